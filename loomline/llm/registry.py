@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+from . import decontaminate as op3
+from . import knn_search as op6
+from . import lm_scoring as op10
+from . import packing as op4
+from . import simhash as op2
 from . import substring_dedup as op8
 
 QUERIES = {
+    "op2_simhash": op2.op2_simhash,
+    "op3_decontaminate": op3.op3_decontaminate,
+    "op4_packing": op4.op4_packing,
+    "op6_knn_search": op6.op6_knn_search,
     "op8_substring_dedup": op8.op8_substring_dedup,
+    "op10_lm_scoring": op10.op10_lm_scoring,
 }
 
 SQL = {
+    "op3_decontaminate": op3.SQL,
+    "op6_knn_search": op6.SQL,
     "op8_substring_dedup": op8.SQL,
+    "op10_lm_scoring": op10.SQL,
 }
