@@ -154,6 +154,7 @@ def candidates(p: dict[str, np.ndarray], threshold: float, nearest: int) -> tupl
     order = np.lexsort((p["size"], p["code"]))
     p = {k: v[order] for k, v in p.items()}
     n, code, size = len(order), p["code"], p["size"]
+    low, high = p["low"].view(np.uint64), p["high"].view(np.uint64)  # bits of signed numbers don't count right
     starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if n else np.empty(0, np.int64)
     ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n))) if n else starts
     # sizes rise within a word, so the partners of a posting that pass the length filter follow it without a gap
@@ -171,7 +172,7 @@ def candidates(p: dict[str, np.ndarray], threshold: float, nearest: int) -> tupl
         need = np.ceil(threshold / (1 + threshold) * sum_size - 1e-9)
         ok = 1 + np.minimum(size[a] - p["at"][a], size[b] - p["at"][b]) - 1 + np.minimum(p["at"][a], p["at"][b]) >= need
         a, b, need, sum_size = a[ok], b[ok], need[ok], sum_size[ok]
-        far = np.bitwise_count(p["low"][a] ^ p["low"][b]).astype(np.int64) + np.bitwise_count(p["high"][a] ^ p["high"][b])
+        far = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b])
         ok = far <= sum_size - 2 * need
         a, b, far = a[ok], b[ok], far[ok]
         later = (p["doc"][a] > p["doc"][b]) | (p["doc"][a] == p["doc"][b]) & ((p["line"][a] > p["line"][b]) | (p["line"][a] == p["line"][b]) & (p["set"][a] > p["set"][b]))

@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 
 from ._shared import raw, table
 
-BUCKETS, DIM, SHORTEST, LONGEST = 1 << 18, 8, 3, 6
+BUCKETS, DIM, SHORTEST, LONGEST = 1 << 18, 4, 3, 6
 TRAIN_ROWS, TRAIN_BYTES = 3000, 1 << 16
-EPOCHS, BATCH, RATE, SEED = 12, 128, 0.5, 7
+EPOCHS, BATCH, RATE, SEED = 15, 32, 0.5, 7
+LEAST, SURE = 2, 4.0
 #: Words whose numbers a Python worker remembers before it starts anew.
 REMEMBER = 500_000
 
@@ -71,73 +72,83 @@ class Model:
         return 1 / (1 + np.exp(-np.clip([self.odds(t) for t in texts], -30, 30))) if texts else np.empty(0)
 
 
-def _means(x: np.ndarray, at: np.ndarray, size: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
-    """Weighted sums of consecutive runs of rows of x[at], over their sizes if there are no weights."""
-    rows = x[at] if weight is None else x[at] * weight[:, None]
-    starts = np.cumsum(size) - size
-    sums = np.add.reduceat(rows, starts, axis=0)
-    return sums / size[:, None] if weight is None else sums
+def _spread(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists end to end, and their sizes."""
+    return (np.concatenate(lists) if lists else np.empty(0, np.int64)), np.array([len(x) for x in lists], np.int64)
+
+
+def _shares(texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each text the buckets of its words and each bucket's share in the text's mean of means."""
+    known: dict[bytes, np.ndarray] = {}
+    ids, shares = [], []
+    for t in texts:
+        ws, n = np.unique(np.array(words(t) or [b""], object), return_counts=True)
+        for w in ws:
+            if w not in known:
+                known[w] = np.array(buckets(w))
+        flat, size = _spread([known[w] for w in ws])
+        own, at = np.unique(flat, return_inverse=True)
+        ids.append(own)
+        shares.append(np.bincount(at, weights=np.repeat(n / n.sum() / size, size)))
+    return ids, shares
 
 
 def fit(texts: list[bytes], labels: list[int]) -> Model:
-    """Adagrad over minibatches. Classes weigh the same, whatever their shares."""
+    """Adagrad over minibatches. Classes weigh the same, whatever their shares.
+
+    Buckets in fewer than LEAST texts, or in shares of the classes' texts that differ by less than SURE standard errors,
+    stay zero: they could only be learnt by heart.
+    """
     y = np.array(labels, np.int64)
     if len(set(labels)) < 2:
         rate = float(y.mean()) if len(y) else 0.5
         return Model(np.zeros(BUCKETS), float(np.log((rate + 1e-3) / (1 - rate + 1e-3))))
     rng = np.random.default_rng(SEED)
-    number: dict[bytes, int] = {}
-    docs = []
-    for t in texts:
-        ids, n = np.unique([number.setdefault(w, len(number)) for w in words(t)], return_counts=True)
-        docs.append((ids.astype(np.int64), n / max(1, n.sum())))
-    lists = [buckets(w) for w in number]
-    size = np.array([len(x) for x in lists], np.int64)
-    flat = np.array([b for x in lists for b in x], np.int64)
-    start = np.cumsum(size) - size
-    e = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
+    ids, shares = _shares(texts)
+    n1, n0 = int(y.sum()), int((1 - y).sum())
+    in1, in0 = (np.bincount(np.concatenate([x for x, c in zip(ids, labels) if c == k]), minlength=BUCKETS) for k in (1, 0))
+    rate = (in1 + in0) / len(y)
+    z = (in1 / n1 - in0 / n0) / np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / n1 + 1 / n0))
+    kept = np.flatnonzero((in1 + in0 >= LEAST) & (np.abs(z) >= SURE))
+    place = np.full(BUCKETS, -1)
+    place[kept] = np.arange(len(kept))
+    for i in range(len(ids)):
+        ok = place[ids[i]] >= 0
+        ids[i], shares[i] = place[ids[i][ok]], shares[i][ok]
+    e = rng.uniform(-1 / DIM, 1 / DIM, (len(kept), DIM))
     w = rng.uniform(-1, 1, (DIM, 2))
     bias = np.zeros(2)
-    ge, gw, gb = np.full(BUCKETS, 1e-8), np.full((DIM, 2), 1e-8), np.full(2, 1e-8)
+    ge, gw, gb = np.full(e.shape, 1e-12), np.full(w.shape, 1e-8), np.full(2, 1e-8)
     weight = len(y) / (2 * np.bincount(y, minlength=2))
-    useful = np.array([i for i, d in enumerate(docs) if len(d[0])])
+    rows = np.arange(len(y))
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
-        rng.shuffle(useful)
-        for lo in range(0, len(useful), BATCH):
-            batch = useful[lo : lo + BATCH]
-            every = np.concatenate([docs[i][0] for i in batch])
-            share = np.concatenate([docs[i][1] for i in batch])
-            length = np.array([len(docs[i][0]) for i in batch])
-            own, at = np.unique(every, return_inverse=True)
-            k = size[own]
-            spread = np.repeat(start[own] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-            bucket = flat[spread]
-            vectors = _means(e, bucket, k)
-            hidden = _means(vectors, at, length, share)
+        rng.shuffle(rows)
+        for lo in range(0, len(rows), BATCH):
+            batch = rows[lo : lo + BATCH]
+            at, size = _spread([ids[i] for i in batch])
+            share = np.concatenate([shares[i] for i in batch])
+            hidden = np.zeros((len(batch), DIM))
+            if len(at):  # a text without any kept bucket has the bias alone
+                hidden[size > 0] = np.add.reduceat(e[at] * share[:, None], (np.cumsum(size) - size)[size > 0], axis=0)
             logit = hidden @ w + bias
-            p = np.exp(logit - logit.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            d = p.copy()
+            d = np.exp(logit - logit.max(1, keepdims=True))
+            d /= d.sum(1, keepdims=True)
             d[np.arange(len(batch)), y[batch]] -= 1
             d *= weight[y[batch], None] / len(batch)
-            dh = d @ w.T
-            dv = np.zeros_like(vectors)
-            doc = np.repeat(np.arange(len(batch)), length)
-            for j in range(DIM):
-                dv[:, j] = np.bincount(at, weights=share * dh[doc, j], minlength=len(own))
-            dv /= k[:, None]
-            word = np.repeat(np.arange(len(own)), k)
-            touched, place = np.unique(bucket, return_inverse=True)
-            de = np.stack([np.bincount(place, weights=dv[word, j], minlength=len(touched)) for j in range(DIM)], axis=1)
-            ge[touched] += (de * de).mean(1)
-            e[touched] -= rate * de / np.sqrt(ge[touched])[:, None]
+            dh = np.repeat(d @ w.T, size, axis=0) * share[:, None]
+            own, of = np.unique(at, return_inverse=True)
+            de = np.stack([np.bincount(of, weights=dh[:, j], minlength=len(own)) for j in range(DIM)], axis=1)
             dw, db = hidden.T @ d, d.sum(0)
+            ge[own] += de * de
             gw += dw * dw
             gb += db * db
-            w -= rate * 0.2 * dw / np.sqrt(gw)
-            bias -= rate * 0.2 * db / np.sqrt(gb)
-    return Model(e @ (w[:, 1] - w[:, 0]), float(bias[1] - bias[0]))
+            e[own] -= rate * de / np.sqrt(ge[own])
+            w -= 0.1 * rate * dw / np.sqrt(gw)
+            bias -= 0.1 * rate * db / np.sqrt(gb)
+    share = np.zeros(BUCKETS)
+    share[kept] = e @ (w[:, 1] - w[:, 0])
+    return Model(share, float(bias[1] - bias[0]))
 
 
 def held_out(id_col: str = "doc_id"):
