@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from . import decontaminate as op3
 from . import knn_search as op6
+from . import license_scan as op7
 from . import line_dedup as op1
 from . import lm_scoring as op10
 from . import packing as op4
+from . import pii as op9
 from . import simhash as op2
 from . import substring_dedup as op8
 from . import toxicity as op5
@@ -18,7 +20,9 @@ QUERIES = {
     "op4_packing": op4.op4_packing,
     "op5_toxicity": op5.op5_toxicity,
     "op6_knn_search": op6.op6_knn_search,
+    "op7_license_scan": op7.op7_license_scan,
     "op8_substring_dedup": op8.op8_substring_dedup,
+    "op9_pii": op9.op9_pii,
     "op10_lm_scoring": op10.op10_lm_scoring,
 }
 

@@ -33,8 +33,10 @@ from ._shared import LOWER, drop_path, materialise, mix, partitions, raw, table
 
 SHINGLE, RADIUS, SEED, BITS = 3, 2, 42, 64
 HISTOGRAM = 1 << 16
-#: Part values that more fingerprints share by the histogram are divided further.
-HEAVY = 4096
+#: Part values that more fingerprints share by the histogram, and many more than the mean, are divided further.
+HEAVY, TIMES_MEAN = 4096, 16
+#: What sending a probe costs, in comparisons.
+PROBE = 50
 ONE = np.uint64(1)
 
 
@@ -104,18 +106,20 @@ def choose_parts(n: int, radius: int) -> int:
     """The number of parts, from 2 to radius + 2, with the least expected probes and candidates of evenly spread fingerprints."""
 
     def cost(m: int) -> float:
-        total = 0.0
-        for t in min(_splits(m, radius), key=lambda ts: sum(_ball(BITS // m, t) for t in ts)):
-            total += _ball(BITS // m, t) * (1 + n / 2.0 ** (BITS // m))
-        return total
+        width = BITS // m
+        each = {t: _ball(width, t) * (PROBE + n / 2.0**width) if t >= 0 else 0.0 for t in range(-1, min(radius, width) + 1)}
+        best = {0: 0.0}
+        for _ in range(m):
+            new: dict[int, float] = {}
+            for s, c in best.items():
+                for t, x in each.items():
+                    new[s + t] = min(new.get(s + t, float("inf")), c + x)
+            best = new
+        return best[radius - m + 1]
 
     return min(range(2, radius + 3), key=cost)
 
 
-def _splits(m: int, radius: int) -> list[tuple[int, ...]]:
-    return [t for t in itertools.product(range(-1, radius + 1), repeat=m) if sum(t) == radius - m + 1]
-
-
 def _ball(width: int, t: int) -> int:
     return int(sum(np.prod(np.arange(width - k + 1, width + 1)) / np.prod(np.arange(1, k + 1)) for k in range(t + 1)))
 
@@ -141,9 +145,9 @@ def allocate(fps: np.ndarray, parts: list[tuple[int, ...]], counts: np.ndarray,
         near = np.zeros(n)
         for flip in _flips(width, 1).tolist():
             near += counts[i][_slot(v ^ np.uint64(flip))]
-        cost[i, 1] = 1 + counts[i][_slot(v)]
+        cost[i, 1] = PROBE + counts[i][_slot(v)]
         for t in range(1, radius + 1):
-            cost[i, t + 1] = _ball(width, t) * (1 + near / (width + 1))
+            cost[i, t + 1] = _ball(width, t) * (PROBE + near / (width + 1))
     low, high = -m, radius
     goal = radius - m + 1
     best = {0: np.zeros(n)}
@@ -192,15 +196,17 @@ def forest(a: np.ndarray, b: np.ndarray, nodes: int) -> np.ndarray:
 
 
 def _pairs_of_run(fp: np.ndarray, data: np.ndarray, probe: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links within one run, as a forest of it: blocks of rows, so that memory stays bounded."""
-    label, block = np.arange(len(fp)), max(1, (1 << 22) // max(1, len(fp)))
-    for lo in range(0, len(fp), block):
-        near = np.bitwise_count(fp[lo : lo + block, None] ^ fp[None, :]) <= radius
-        near &= (probe[lo : lo + block, None] & data[None, :]) | (data[lo : lo + block, None] & probe[None, :])
-        x, y = np.nonzero(near)
-        link = forest(np.concatenate([x + lo, np.arange(len(fp))]), np.concatenate([y, label]), len(fp))
-        label = link
-    other = np.flatnonzero(label != np.arange(len(fp)))
+    """Verified links within one run, as a forest of it: probes against data in blocks, so that memory stays bounded."""
+    q, d = np.flatnonzero(probe), np.flatnonzero(data)
+    label, own = np.arange(len(fp)), np.arange(len(fp))
+    block = max(1, (1 << 21) // max(1, len(d)))
+    for lo in range(0, len(q), block):
+        part = q[lo : lo + block]
+        x, y = np.nonzero(np.bitwise_count(fp[part, None] ^ fp[None, d]) <= radius)
+        x, y = part[x], d[y]
+        if (x != y).any():
+            label = forest(np.concatenate([x, own]), np.concatenate([y, label]), len(fp))
+    other = np.flatnonzero(label != own)
     return other, label[other]
 
 
@@ -274,7 +280,7 @@ def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
                 t = allocate(fps, parts, counts.value, radius)
                 for i, part in enumerate(parts):
                     v = gather(fps, part)
-                    for k, flips in enumerate([_flips(len(part), 0), *([_flips(len(part), radius)] if (t[:, i] > 0).any() else [])]):
+                    for k, flips in enumerate([_flips(len(part), 0), *([_flips(len(part), int(t[:, i].max()))] if (t[:, i] > 0).any() else [])]):
                         # the value itself, for data and for probes of threshold 0 or more; then the others within a probe's threshold
                         for flip in flips[k:].tolist():
                             rows = np.arange(len(fps)) if not k else np.flatnonzero(t[:, i] >= bin(flip).count("1"))
@@ -283,7 +289,7 @@ def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
                             value = v[rows] ^ np.uint64(flip)
                             role = np.full(len(rows), 2) if k else 1 + 2 * (t[rows, i] >= 0)
                             key = mix(value * np.uint64(m) + np.uint64(i + 1))
-                            heavy = counts.value[i][_slot(value)] > HEAVY
+                            heavy = counts.value[i][_slot(value)] > max(HEAVY, TIMES_MEAN * n / 2.0 ** len(part))
                             yield from _rows(key[~heavy], fps[rows][~heavy], role[~heavy])
                             if heavy.any():
                                 for j, sub in enumerate(rest[i]):
