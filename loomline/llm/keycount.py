@@ -9,6 +9,7 @@ it recomputes. Texts cross the network once: both uses of the chunks share one e
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,11 @@ from pyspark.sql import functions as F
 
 from ._shared import partitions
 
-Keys = Callable[[pa.Table], np.ndarray]
-Finish = Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table]
+#: The keys of a chunk's rows, repeats included, and whatever the later steps need of them.
+Keys = Callable[[pa.Table], tuple[np.ndarray, Any]]
+#: More keys of a chunk, chosen by the totals of its first ones.
+MoreKeys = Callable[[Any, np.ndarray], np.ndarray]
+Finish = Callable[..., pa.Table]
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -53,46 +57,69 @@ def chunked(df: DataFrame, columns: list[str], chunks: int) -> DataFrame:
     return df.select(F.pmod(F.xxhash64(*columns), F.lit(chunks)).cast("int").alias("chunk"), *columns)
 
 
-def with_totals(df: DataFrame, columns: list[str], keys: Keys, finish: Finish, schema: str, buckets: int | None = None, chunks: int | None = None) -> DataFrame:
-    """Applies ``finish(rows, distinct keys, totals)`` to each chunk of rows.
+def with_totals(df: DataFrame, columns: list[str], keys: Keys, finish: Finish, schema: str, more: MoreKeys | None = None, buckets: int | None = None, chunks: int | None = None) -> DataFrame:
+    """chunk_totals() for rows that are not yet dealt to chunks."""
+    return chunk_totals(chunked(df, columns, chunks or 2 * partitions(df.sparkSession)), keys, finish, schema, more, buckets)
 
-    keys: all keys of a chunk's rows, repeats included; totals: how often each distinct key of the chunk occurs in the whole table.
+
+def chunk_totals(rows: DataFrame, keys: Keys, finish: Finish, schema: str, more: MoreKeys | None = None, buckets: int | None = None) -> DataFrame:
+    """Applies ``finish(rows, state, totals)`` to each chunk of rows; with more keys ``finish(rows, state, totals, totals of those)``.
+
+    totals: how often each key occurs in the whole table, in the order in which the keys were given.
     buckets and chunks follow the number of shuffle partitions, so that they grow with the cluster's setting for the data.
     """
-    spark = df.sparkSession
-    buckets = buckets or 2 * partitions(spark)
-    chunks = chunks or 2 * partitions(spark)
-    rows = chunked(df, columns, chunks)
+    buckets = buckets or 2 * partitions(rows.sparkSession)
 
-    def send(group: pa.Table) -> pa.Table:
-        chunk = group["chunk"][0].as_py()
-        own, n = distinct(keys(group))
+    def blocks(chunk: int, found: np.ndarray) -> pa.Table:
+        own, n = distinct(found)
         at = _bounds(own, buckets)
         out = [(b, chunk, pack(np.diff(own[s:e], prepend=np.uint64(0))), pack(n[s:e])) for b, (s, e) in enumerate(zip(at[:-1], at[1:])) if e > s]
-        return pa.table({name: pa.array([x[i] for x in out], kind) for i, (name, kind) in enumerate((("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())))})
-
-    def add(group: pa.Table) -> pa.Table:
-        own = [np.cumsum(unpack(x), dtype=np.uint64) for x in group["keys"].to_pylist()]
-        sizes = np.array([len(x) for x in own])
-        own = np.concatenate(own)
-        n = np.concatenate([unpack(x) for x in group["n"].to_pylist()])
-        order = np.argsort(own, kind="stable")
-        s = own[order]
-        run = np.cumsum(np.concatenate([[False], s[1:] != s[:-1]]))
-        sums = np.bincount(run, weights=n[order]).astype(np.uint64)  # exact below 2 ** 53
-        total = np.empty(len(own), np.uint64)
-        total[order] = sums[run]
-        ends = np.cumsum(sizes)
-        return pa.table({"chunk": group["chunk"].combine_chunks(), "bucket": group["bucket"].combine_chunks(), "total": pa.array([pack(total[e - k : e]) for e, k in zip(ends, sizes)], pa.binary())})
+        kinds = (("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("n", pa.binary()))
+        return pa.table({name: pa.array([x[i] for x in out], kind) for i, (name, kind) in enumerate(kinds)})
+
+    def aligned(found: np.ndarray, got: pa.Table, turn: int) -> np.ndarray:
+        """The totals of a chunk's keys from the buckets' answers."""
+        order = np.argsort(found)
+        s = found[order]
+        at = np.cumsum(np.concatenate([[False], s[1:] != s[:-1]])) if len(s) else order
+        answers = [(b, x) for t, b, x in zip(got["turn"].to_pylist(), got["bucket"].to_pylist(), got["total"].to_pylist()) if t == turn]
+        totals = np.concatenate([unpack(x) for _, x in sorted(answers)]) if answers else np.empty(0, np.uint64)
+        out = np.empty(len(found), np.uint64)
+        out[order] = totals[at]
+        return out
+
+    def send(group: pa.Table) -> pa.Table:
+        return blocks(group["chunk"][0].as_py(), keys(group)[0])
+
+    def send_more(group: pa.Table, got: pa.Table) -> pa.Table:
+        found, state = keys(group)
+        return blocks(group["chunk"][0].as_py(), more(state, aligned(found, got, 1)))
+
+    def adder(turn: int):
+        def add(group: pa.Table) -> pa.Table:
+            own = [np.cumsum(unpack(x), dtype=np.uint64) for x in group["keys"].to_pylist()]
+            ends = np.cumsum([len(x) for x in own])
+            own = np.concatenate(own)
+            n = np.concatenate([unpack(x) for x in group["n"].to_pylist()])
+            order = np.argsort(own)
+            s = own[order]
+            run = np.cumsum(np.concatenate([[False], s[1:] != s[:-1]]))
+            sums = np.bincount(run, weights=n[order]).astype(np.uint64)  # exact below 2 ** 53
+            total = np.empty(len(own), np.uint64)
+            total[order] = sums[run]
+            answer = [pack(total[s:e]) for s, e in zip(np.concatenate([[0], ends[:-1]]), ends)]
+            return pa.table({"chunk": group["chunk"].combine_chunks(), "bucket": group["bucket"].combine_chunks(), "turn": pa.array([turn] * len(answer), pa.int32()), "total": pa.array(answer, pa.binary())})
+
+        return add
 
     def back(group: pa.Table, got: pa.Table) -> pa.Table:
-        if not group.num_rows:
-            return finish(group, np.empty(0, np.uint64), np.empty(0, np.uint64))
-        own, _ = distinct(keys(group))
-        parts = [x for _, x in sorted(zip(got["bucket"].to_pylist(), got["total"].to_pylist()))]
-        totals = np.concatenate([unpack(x) for x in parts]) if parts else np.empty(0, np.uint64)
-        return finish(group, own, totals)
-
-    sent = rows.groupBy("chunk").applyInArrow(send, "bucket int, chunk int, keys binary, n binary")
-    totals = sent.groupBy("bucket").applyInArrow(add, "chunk int, bucket int, total binary")
+        found, state = keys(group)
+        first = aligned(found, got, 1)
+        return finish(group, state, first) if more is None else finish(group, state, first, aligned(more(state, first), got, 2))
+
+    block, answer = "bucket int, chunk int, keys binary, n binary", "chunk int, bucket int, turn int, total binary"
+    totals = rows.groupBy("chunk").applyInArrow(send, block).groupBy("bucket").applyInArrow(adder(1), answer)
+    if more is not None:
+        second = rows.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(send_more, block)
+        totals = totals.union(second.groupBy("bucket").applyInArrow(adder(2), answer))
     return rows.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(back, schema)

@@ -4,12 +4,12 @@ A line is the set of its words (A-Z lower-cased, separated by ASCII white space)
 ``threshold`` or more, the later one goes, whether or not the earlier one stays; earlier means a smaller doc_id (null last),
 then an earlier line. Blank lines always stay.
 
-1. Words are counted over all documents into 2 ** 18 hashed counters. A word's code is its rarity class by those counters and
-   its hash, so sorted codes run from rare to frequent. Counters steer the cost alone; any fixed order gives right results.
-2. A line sends one posting for each word of its prefix, the |x| - ceil(t |x|) + 1 rarest words, unless the counter says
-   that no other line has it. Lines that are equal sets meet within a chunk of documents first and send one line's postings.
+1. Words are counted over all documents (see keycount). A word's code is its rarity class by that count and its hash, so
+   sorted codes run from rare to frequent.
+2. A line sends one posting for each word of its prefix, the |x| - ceil(t |x|) + 1 rarest words, but for words that occur
+   once. Lines that are equal sets meet within a chunk of documents first and send one line's postings.
 3. A bucket of words drops equal sets but the first, then compares postings of a word under the length filter, the
-   positional filter, and a bitmap filter: the parity of a line's words in 128 bits bounds from below how many words two lines
+   positional filter, and a bitmap filter: the parity of a line's words in 256 bits bounds from below how many words two lines
    differ in. For each line it names the ``nearest`` earlier candidates and notes whether there were more.
 4. Candidates' words are fetched from their documents and compared exactly. If a line has none that match and had more
    candidates, the join runs again with 16 times ``nearest``, until no line is left open; so the bound never costs a match.
@@ -20,80 +20,60 @@ the two named ones pass through keep_lines() unread.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
-import uuid
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import LOWER, materialise, mix, partitions, raw, table
+from ._shared import GRAPHIC, Words, materialise, mix, partitions, raw, table
+from .keycount import chunk_totals
 
-THRESHOLD, COUNTERS, NEAREST = 0.8, 1 << 18, 16
-#: Words whose codes a Python worker remembers before it starts anew.
-REMEMBER = 400_000
+THRESHOLD, NEAREST = 0.8, 16
 LAST = (1 << 63) - 1
-POSTING = ("code", "set", "doc", "line", "size", "at", "low", "high")
+POSTING = ("code", "set", "doc", "line", "size", "at", "m0", "m1", "m2", "m3")
 
 
-class Codes(dict):
-    """Words to codes: the rarity class in the upper byte, then 55 bits of the word's hash. Never negative as signed numbers."""
+class Lines:
+    """The non-blank lines of many texts as sets of words: text and number within the text of each line; the words' hashes of
+    line i, without repeats, are words[first[i] : first[i + 1]]."""
 
-    def __init__(self, classes: np.ndarray):
-        super().__init__()
-        self.classes = classes
+    def __init__(self, texts: list[bytes]):
+        w = Words(texts, GRAPHIC, lower=True)
+        cuts = np.flatnonzero(np.frombuffer(w.data, np.uint8) == 10)
+        of = np.searchsorted(cuts, w.start)
+        begin = np.searchsorted(cuts, w.begins[:-1])  # the first line of each text
+        some = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else of
+        dense = np.cumsum(np.concatenate([[0], of[1:] != of[:-1]])) if len(of) else of
+        number = of[some]
+        self.text = np.searchsorted(begin, number, "right") - 1
+        self.number = number - begin[self.text] if len(number) else number
+        self.words, self.first = _sets(w.hash, dense, len(number))
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        self[word] = code = int(self.classes[h % COUNTERS]) << 55 | h >> 9
-        return code
+    @functools.cached_property
+    def ids(self) -> np.ndarray:
+        """A hash of each line's set."""
+        return np.add.reduceat(mix(self.words), self.first[:-1]) if len(self.words) else np.empty(0, np.uint64)
 
 
-_codes: dict[str, Codes] = {}
+def _sets(key: np.ndarray, line: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys sorted within their lines, without repeats, and where each line's begin."""
+    order = np.argsort(key)
+    by = line[order]
+    order = order[np.argsort(by.astype(np.uint16) if lines < 1 << 16 else by, kind="stable")]
+    key, line = key[order], line[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])]) if len(key) else np.empty(0, bool)
+    return key[new], np.searchsorted(line[new], np.arange(lines + 1))
 
 
-def codes_of(shared, stamp: str) -> Codes:
-    """This worker's codes for a broadcast of rarity classes; stamp names the broadcast."""
-    if stamp not in _codes:
-        _codes.clear()
-        _codes[stamp] = Codes(shared.value)
-    if len(_codes[stamp]) > REMEMBER:
-        _codes[stamp].clear()
-    return _codes[stamp]
-
-
-def line_codes(line: bytes, codes: Codes) -> list[int]:
-    return sorted({codes[w] for w in line.split()})
-
-
-def lines_of(text: bytes) -> list[bytes]:
-    return text.translate(LOWER.tobytes()).split(b"\n")
-
-
-def rarity(docs: DataFrame) -> np.ndarray:
-    """A rarity class from 0 to 127 for each counter: 0 if it counted one word occurrence, and more the more it counted."""
-
-    def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                seen: Counter = Counter()
-                for text in raw(b.column(0).slice(lo, 500)):
-                    seen.update(text.translate(LOWER.tobytes()).split())
-                at = np.fromiter((xxhash.xxh64_intdigest(w) % COUNTERS for w in seen), np.int64, len(seen))
-                total += np.bincount(at, weights=np.fromiter(seen.values(), float, len(seen)), minlength=COUNTERS).astype(np.int64)
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at])], names=["at", "n"])
-
-    sums = docs.select("text").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(COUNTERS)
-    total[sums["at"].to_numpy()] = sums["n"].to_numpy()
-    return np.minimum(127, np.where(total > 1, 1 + np.log2(np.maximum(total, 1)) * 2.5, 0)).astype(np.uint8)
+def rarity(totals: np.ndarray) -> np.ndarray:
+    """Classes from 0, for a word that occurs once, to 255."""
+    return np.minimum(255, np.where(totals > 1, 1 + np.log2(np.maximum(totals, 1)) * 5, 0)).astype(np.uint64)
 
 
 def home(doc: np.ndarray, chunks: int) -> np.ndarray:
@@ -154,7 +134,7 @@ def candidates(p: dict[str, np.ndarray], threshold: float, nearest: int) -> tupl
     order = np.lexsort((p["size"], p["code"]))
     p = {k: v[order] for k, v in p.items()}
     n, code, size = len(order), p["code"], p["size"]
-    low, high = p["low"].view(np.uint64), p["high"].view(np.uint64)  # bits of signed numbers don't count right
+    maps = [p[m].view(np.uint64) for m in ("m0", "m1", "m2", "m3")]  # bits of signed numbers don't count right
     starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if n else np.empty(0, np.int64)
     ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n))) if n else starts
     # sizes rise within a word, so the partners of a posting that pass the length filter follow it without a gap
@@ -172,7 +152,9 @@ def candidates(p: dict[str, np.ndarray], threshold: float, nearest: int) -> tupl
         need = np.ceil(threshold / (1 + threshold) * sum_size - 1e-9)
         ok = 1 + np.minimum(size[a] - p["at"][a], size[b] - p["at"][b]) - 1 + np.minimum(p["at"][a], p["at"][b]) >= need
         a, b, need, sum_size = a[ok], b[ok], need[ok], sum_size[ok]
-        far = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b])
+        far = np.zeros(len(a), np.int64)
+        for m in maps:
+            far += np.bitwise_count(m[a] ^ m[b])
         ok = far <= sum_size - 2 * need
         a, b, far = a[ok], b[ok], far[ok]
         later = (p["doc"][a] > p["doc"][b]) | (p["doc"][a] == p["doc"][b]) & ((p["line"][a] > p["line"][b]) | (p["line"][a] == p["line"][b]) & (p["set"][a] > p["set"][b]))
@@ -207,139 +189,133 @@ def _places(x: np.ndarray) -> np.ndarray:
 PAIR = ("xdoc", "xline", "xset", "ydoc", "yline", "yset", "more")
 
 
-def _decide(docs: DataFrame, threshold: float, nearest: int, shared) -> DataFrame:
-    """For each row of docs: its chunk, ordinal key, line counts, removed lines, a digest of what is kept, and open lines."""
-    spark = docs.sparkSession
-    stamp = uuid.uuid4().hex
-    chunks = buckets = 2 * partitions(spark)
+def _decide(docs: DataFrame, threshold: float, nearest: int) -> DataFrame:
+    """For each row of docs: its id, line counts, removed lines, digests of what is kept and of the text, and open lines."""
+    chunks = buckets = 2 * partitions(docs.sparkSession)
     rows = docs.select(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(LAST))), F.lit(chunks)).cast("int").alias("chunk"), F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("doc"), F.col("doc_id").isNull().alias("unnamed"), "text")
 
-    def own_lines(group: pa.Table):
-        """The rows of a chunk in document order; equal rows side by side."""
+    def in_order(group: pa.Table) -> tuple[list[int], list[bytes], np.ndarray]:
+        """The rows of a chunk in document order, equal rows side by side; their texts and ids."""
         texts, doc = raw(group["text"]), group["doc"].to_pylist()
-        return sorted(range(len(texts)), key=lambda i: (doc[i], texts[i])), texts, doc
-
-    def sets(group: pa.Table):
-        """Lines of the chunk that are the first with their set, and those that repeat one: (row, line) pairs."""
-        order, texts, doc = own_lines(group)
-        codes, first, repeats = codes_of(shared, stamp), {}, []
-        for i in order:
-            for no, line in enumerate(lines_of(texts[i])):
-                own = line_codes(line, codes)
-                if own:
-                    key = tuple(own)
-                    if key in first:
-                        repeats.append((i, no))
-                    else:
-                        first[key] = (i, no)
-        return first, repeats, doc
-
-    def send(group: pa.Table) -> pa.Table:
-        first, _, doc = sets(group)
-        size = np.fromiter(map(len, first), np.int64, len(first))
-        flat = np.fromiter((c for k in first for c in k), np.int64, int(size.sum())).view(np.uint64)
-        at = np.cumsum(size) - size
-        out = []
-        if len(size):
-            h = mix(flat)
-            bit = np.uint64(1) << (h >> np.uint64(8) & np.uint64(63))
-            side = (h & np.uint64(1)).astype(bool)
-            ids = np.add.reduceat(mix(h), at)
-            low, high = (np.bitwise_xor.reduceat(np.where(side == s, bit, np.uint64(0)), at) for s in (False, True))
-            long = np.array([prefix(s, threshold) for s in range(int(size.max()) + 1)])[size]
-            line = np.repeat(np.arange(len(size)), long)
+        order = sorted(range(len(texts)), key=lambda i: (doc[i], texts[i]))
+        return order, [texts[i] for i in order], np.array([doc[i] for i in order], np.int64)
+
+    def words(group: pa.Table):
+        _, texts, doc = in_order(group)
+        lines = Lines(texts)
+        return lines.words, (lines, doc, group["chunk"][0].as_py())
+
+    def send(group: pa.Table, state, totals: np.ndarray) -> pa.Table:
+        lines, doc, chunk = state
+        out, count = [], len(lines.number)
+        if count:
+            _, first = np.unique(lines.ids, return_index=True)
+            again = np.ones(count, bool)
+            again[first] = False
+            if again.any():  # known here already: passed on to the end, spread over the buckets
+                out.append((chunk % buckets, chunk, squeeze({"doc": doc[lines.text[again]], "line": lines.number[again], "row": lines.text[again]})))
+            size = np.diff(lines.first)
+            line = np.repeat(np.arange(count), size)
+            code, first_word = _sets(rarity(totals) << np.uint64(55) | lines.words >> np.uint64(9), line, count)
+            size = np.diff(first_word)
+            h = mix(code)
+            bit, side = np.uint64(1) << (h >> np.uint64(8) & np.uint64(63)), h & np.uint64(3)
+            maps = [np.bitwise_xor.reduceat(np.where(side == np.uint64(s), bit, np.uint64(0)), first_word[:-1]) for s in range(4)]
+            long = np.where(again, 0, np.array([prefix(s, threshold) if s else 0 for s in range(int(size.max()) + 1)])[size])
+            line = np.repeat(np.arange(count), long)
             place = np.arange(len(line)) - np.repeat(np.cumsum(long) - long, long)
-            code = flat[at[line] + place]
-            some = code >= np.uint64(1 << 55)  # class 0: nothing else has it
-            line, place, code = line[some], place[some], code[some]
-            to = (mix(code) % np.uint64(buckets)).astype(np.int64)
-            docs_of = np.array([doc[i] for i, _ in first.values()], np.int64)
-            nos = np.array([no for _, no in first.values()], np.int64)
-            for b, rows_of in by_value(to):
-                rows_of = rows_of[np.argsort(code[rows_of], kind="stable")]
-                k = line[rows_of]
-                out.append((b, squeeze(dict(zip(POSTING, (code[rows_of], ids[k], docs_of[k], nos[k], size[k], place[rows_of], low[k], high[k]))))))
-        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "blob": pa.array([x for _, x in out], pa.binary())})
+            sent = code[first_word[line] + place]
+            some = sent >= np.uint64(1 << 55)
+            line, place, sent = line[some], place[some], sent[some]
+            to = (mix(sent) % np.uint64(buckets)).astype(np.int64)
+            for b, own in by_value(to):
+                own = own[np.argsort(sent[own], kind="stable")]
+                k = line[own]
+                out.append((b, -1, squeeze(dict(zip(POSTING, (sent[own], lines.ids[k], doc[lines.text[k]], lines.number[k], size[k], place[own], *(m[k] for m in maps)))))))
+        return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "chunk": pa.array([x[1] for x in out], pa.int32()), "blob": pa.array([x[2] for x in out], pa.binary())})
 
     def meet(group: pa.Table) -> pa.Table:
-        pairs, repeats = candidates(expand(group["blob"].to_pylist(), POSTING), threshold, nearest)
-        out = []
+        to, blobs = group["chunk"].to_pylist(), group["blob"].to_pylist()
+        out = [(c, 2, x) for c, x in zip(to, blobs) if c >= 0]
+        pairs, repeats = candidates(expand([x for c, x in zip(to, blobs) if c < 0], POSTING), threshold, nearest)
         for chunk, at in by_value(home(pairs["ydoc"], chunks)):
             out.append((chunk, 0, squeeze({k: pairs[k][at] for k in PAIR})))
         for chunk, at in by_value(home(repeats["doc"], chunks)):
             out.append((chunk, 1, squeeze({k: repeats[k][at] for k in ("doc", "line")})))
         return pa.table({"chunk": pa.array([x[0] for x in out], pa.int32()), "kind": pa.array([x[1] for x in out], pa.int32()), "blob": pa.array([x[2] for x in out], pa.binary())})
 
-    def lookup(group: pa.Table, wanted: set[tuple[int, int]]) -> dict[tuple[int, int, int], np.ndarray]:
-        """The codes of the named lines by document, line and set; rows that share an id are told apart by the set."""
-        codes, got = codes_of(shared, stamp), {}
-        by_doc = defaultdict(list)
-        for d, no in wanted:
-            by_doc[d].append(no)
-        for i, d in enumerate(group["doc"].to_pylist()):
-            if d in by_doc:
-                lines = lines_of(raw(group["text"].slice(i, 1))[0])
-                for no in by_doc[d]:
-                    if no < len(lines):
-                        own = np.array(line_codes(lines[no], codes), np.int64)
-                        if len(own):
-                            got[d, no, int(mix(mix(own.view(np.uint64))).sum(dtype=np.uint64).astype(np.int64))] = own
-        return got
+    def lookup(group: pa.Table, wanted: np.ndarray) -> dict[tuple[int, int, int], np.ndarray]:
+        """The words' hashes of lines of the documents wanted, by document, line and set; rows that share an id are told apart by the set."""
+        at = np.flatnonzero(np.isin(group["doc"].to_numpy(), wanted))
+        if not len(at):
+            return {}
+        own = group.take(pa.array(at))
+        doc, lines = own["doc"].to_numpy(), Lines(raw(own["text"]))
+        keys = zip(doc[lines.text].tolist(), lines.number.tolist(), lines.ids.view(np.int64).tolist())
+        return {k: (s, e, lines.words) for k, s, e in zip(keys, lines.first[:-1].tolist(), lines.first[1:].tolist())}
 
     def fetch(group: pa.Table, asked: pa.Table) -> pa.Table:
-        """Sends the words of earlier lines to the chunks of later ones."""
-        out = [(c, 1, x) for c, k, x in zip(*(asked[n].to_pylist() for n in ("chunk", "kind", "blob"))) if k == 1]
-        p = expand([x for k, x in zip(asked["kind"].to_pylist(), asked["blob"].to_pylist()) if k == 0], PAIR)
+        """Sends the words of earlier lines, each once, and the pairs to the chunks of later ones."""
+        kinds, blobs = asked["kind"].to_pylist(), asked["blob"].to_pylist()
+        out = [(c, k, x) for c, k, x in zip(asked["chunk"].to_pylist(), kinds, blobs) if k]
+        p = expand([x for k, x in zip(kinds, blobs) if k == 0], PAIR)
         if len(p["xdoc"]):
-            rows_of = np.unique(np.stack([p[k] for k in PAIR], axis=1), axis=0)
-            have = lookup(group, set(zip(rows_of[:, 3].tolist(), rows_of[:, 4].tolist())))
-            for chunk, at in by_value(home(rows_of[:, 0], chunks)):
-                own = [(*r[:3], r[6], have[tuple(r[3:6])]) for r in rows_of[at].tolist()]
-                head = np.array([[a, b, c, m, len(w)] for a, b, c, m, w in own], np.int64)
-                out.append((chunk, 0, zstandard.ZstdCompressor(level=1).compress(np.int64(len(own)).tobytes() + head.tobytes() + np.concatenate([w for *_, w in own]).tobytes())))
+            pairs = np.unique(np.stack([p[k] for k in PAIR], axis=1), axis=0)
+            have = lookup(group, np.unique(pairs[:, 3]))
+            for chunk, at in by_value(home(pairs[:, 0], chunks)):
+                early, which = np.unique(pairs[at, 3:6], axis=0, return_inverse=True)
+                got = [have[tuple(k)] for k in early.tolist()]
+                size = np.array([e - s for s, e, _ in got], np.int64)
+                head = np.column_stack([pairs[at, :3], pairs[at, 6], which.ravel()])
+                body = np.concatenate([w[s:e] for s, e, w in got]).view(np.int64)
+                out.append((chunk, 0, zstandard.ZstdCompressor(level=1).compress(np.array([len(head), len(size)], np.int64).tobytes() + head.tobytes() + size.tobytes() + body.tobytes())))
         return pa.table({"chunk": pa.array([x[0] for x in out], pa.int32()), "kind": pa.array([x[1] for x in out], pa.int32()), "blob": pa.array([x[2] for x in out], pa.binary())})
 
     def decide(group: pa.Table, got: pa.Table) -> pa.Table:
-        order, texts, doc = own_lines(group)
-        _, repeats, _ = sets(group)
+        order, texts, doc = in_order(group)
         gone: dict[int, set] = defaultdict(set)
-        for i, no in repeats:
-            gone[i].add(no)
         late: dict[int, set] = defaultdict(set)
-        tests, open_lines = [], defaultdict(int)
+        tests, open_lines = [], defaultdict(set)
         for kind, blob in zip(got["kind"].to_pylist(), got["blob"].to_pylist()):
-            if kind == 1:
+            if kind == 2:
+                x = expand([blob], ("doc", "line", "row"))
+                for r, no in zip(x["row"].tolist(), x["line"].tolist()):
+                    gone[r].add(no)
+            elif kind == 1:
                 x = expand([blob], ("doc", "line"))
                 for d, no in zip(x["doc"].tolist(), x["line"].tolist()):
                     late[d].add(no)
             else:
                 x = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64)
-                head = x[1 : 1 + 5 * x[0]].reshape(-1, 5)
-                ends = np.cumsum(head[:, 4]) + 1 + 5 * x[0]
-                tests += [(*r, x[e - r[4] : e]) for r, e in zip(head.tolist(), ends.tolist())]
-        mine = lookup(group, {(t[0], t[1]) for t in tests})
-        match, more = set(), set()
-        for d, no, s, m, _, words in tests:
-            if (d, no) not in match:
-                if similar(mine[d, no, s], words, threshold):
-                    match.add((d, no))
+                head = x[2 : 2 + 5 * x[0]].reshape(-1, 5)
+                size = x[2 + 5 * x[0] : 2 + 5 * x[0] + x[1]]
+                body = x[2 + 5 * x[0] + x[1] :].view(np.uint64)
+                ends = np.cumsum(size).tolist()
+                tests += [(d, no, s, m, body[ends[k] - size[k] : ends[k]]) for d, no, s, m, k in head.tolist()]
+        mine = lookup(group, np.unique([t[0] for t in tests])) if tests else {}
+        more = set()
+        for d, no, s, m, early in tests:
+            if no not in late[d]:
+                a, e, words_of = mine[d, no, s]
+                if similar(words_of[a:e], early, threshold):
+                    late[d].add(no)
                 elif m:
                     more.add((d, no))
-        for d, no in match:
-            late[d].add(no)
-        for d, _ in more - match:
-            open_lines[d] += 1
+        for d, no in more:
+            if no not in late[d]:
+                open_lines[d].add(no)
         out, unnamed = [], group["unnamed"].to_pylist()
-        for i in order:
-            lines = texts[i].split(b"\n") if texts[i] else []
-            away = gone[i] | late[doc[i]]
-            kept = b"\n".join([x for no, x in enumerate(lines) if no not in away])
-            out.append((None if unnamed[i] else doc[i], len(lines), sorted(away), hashlib.sha256(kept).hexdigest(), hashlib.sha256(texts[i]).digest(), open_lines[doc[i]]))
+        for r, i in enumerate(order):
+            d = int(doc[r])
+            lines = texts[r].split(b"\n") if texts[r] else []
+            away = gone[r] | late[d]
+            kept = b"\n".join([x for no, x in enumerate(lines) if no not in away]) if away else texts[r]
+            out.append((None if unnamed[i] else d, len(lines), sorted(away), hashlib.sha256(kept).hexdigest(), hashlib.sha256(texts[r]).digest(), len(open_lines[d])))
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string(), pa.binary(), pa.int64())
         names = ("doc_id", "n_lines", "removed", "kept_sha256", "text_sha256", "open")
         return pa.table({n: pa.array([x[i] for x in out], k) for i, (n, k) in enumerate(zip(names, kinds))})
 
-    postings = rows.groupBy("chunk").applyInArrow(send, "bucket int, blob binary")
+    postings = chunk_totals(rows, words, send, "bucket int, chunk int, blob binary", buckets=buckets)
     pairs = postings.groupBy("bucket").applyInArrow(meet, "chunk int, kind int, blob binary")
     fetched = rows.groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(fetch, "chunk int, kind int, blob binary")
     return rows.groupBy("chunk").cogroup(fetched.groupBy("chunk")).applyInArrow(decide, "doc_id long, n_lines long, removed array<int>, kept_sha256 string, text_sha256 binary, open long")
@@ -348,9 +324,8 @@ def _decide(docs: DataFrame, threshold: float, nearest: int, shared) -> DataFram
 def line_decisions(df: DataFrame, threshold: float = THRESHOLD, nearest: int = NEAREST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: doc_id, n_lines, removed (line numbers from 0), kept_sha256, text_sha256."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    shared = df.sparkSession.sparkContext.broadcast(rarity(docs))
     while True:
-        found, _ = materialise(_decide(docs, threshold, nearest, shared), "lines")
+        found, _ = materialise(_decide(docs, threshold, nearest), "lines")
         if not found.filter("open > 0").limit(1).count():
             return found.drop("open")
         nearest *= 16

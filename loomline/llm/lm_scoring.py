@@ -4,7 +4,8 @@ Words are separated by ASCII white space, with A-Z lower-cased. The corpus's 1-
 that are dealt out by hash and joined back to each document's own n-grams (see keycount); a document's score is the sum
 over its words. A word's score is count(gram) / count(context) for the longest gram that ends in it and occurs at least
 ``min_count`` times in the corpus, times ``alpha`` for each order given up; a single word's score is its share of all
-words. Grams stay within one document.
+words. Grams stay within one document. Longer grams are counted only where all their word pairs occur ``min_count`` times,
+as no other can.
 
 A null or empty text has no words: its log_score is 0 and its mean_log_score null. Every row counts, repeated ones too.
 Columns other than the two named ones are not read.
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Words, mix, raw, table
+from ._shared import Words, raw, table
 from .keycount import with_totals
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
@@ -29,38 +30,56 @@ def lm_scores(df: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count
     """One row per document: doc_id, n_words, log_score (natural logarithm), mean_log_score."""
     ids = df.schema[id_col].dataType.simpleString()
 
-    def grams(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
-        return [w.grams(n) for n in range(1, order + 1)]
-
-    def keys(group: pa.Table) -> np.ndarray:
-        w = Words(raw(group["text"]), lower=True)
-        return np.concatenate([np.full(max(1, len(w.start)), ALL)[: len(w.start)], *(k for _, k in grams(w))])
-
-    def finish(group: pa.Table, own: np.ndarray, totals: np.ndarray) -> pa.Table:
+    def keys(group: pa.Table):
         w = Words(raw(group["text"]), lower=True)
+        grams = [w.grams(n) for n in range(1, order + 1)]
+        low = [k for _, k in grams[:2]]
+        return np.concatenate([np.full(len(w.start), ALL), *low]), (w, grams)
+
+    def often(state, totals: np.ndarray) -> list[np.ndarray]:
+        """For 3 words and more: which grams may occur min_count times, as all their word pairs do."""
+        w, grams = state
+        pair = np.zeros(len(w.start) + 1, bool)
+        if order > 1:
+            pair[grams[1][0]] = totals[2 * len(w.start) :] >= min_count
+        out = []
+        for n in range(3, order + 1):
+            ok = np.ones(len(grams[n - 1][0]), bool)
+            for i in range(n - 1):
+                ok &= pair[grams[n - 1][0] + i]
+            out.append(ok)
+        return out
+
+    def more(state, totals: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.empty(0, np.uint64), *(k[ok] for (_, k), ok in zip(state[1][2:], often(state, totals)))])
+
+    def finish(group: pa.Table, state, totals: np.ndarray, long: np.ndarray) -> pa.Table:
+        w, grams = state
         n = len(w.start)
         score = np.zeros(n)
         if n:
-            total = totals[np.searchsorted(own, ALL)].astype(float)
-            context, given_up = None, np.zeros(n)
-            for m, (at, key) in enumerate(grams(w), 1):
-                count = totals[np.searchsorted(own, key)].astype(float)
-                if m == 1:
-                    score, below = np.log(count / total), (at, count)
-                    continue
-                end = at + m - 1
-                context = below[1][np.searchsorted(below[0], at)]  # the same gram without its last word
-                seen = count >= min_count
-                score[end] = np.where(seen, np.log(count / context), score[end] + np.log(alpha))
-                below = (at, count)
-        sums = np.concatenate([[0.0], np.cumsum(score)]) if n else np.zeros(1)
+            counts = [totals[n : 2 * n], *([totals[2 * n :]] if order > 1 else [])]
+            lo = 0
+            for ok in often(state, totals):
+                count = np.ones(len(ok), np.uint64)
+                count[ok] = long[lo : lo + ok.sum()]
+                lo += int(ok.sum())
+                counts.append(count)
+            score = np.log(counts[0] / float(totals[0]))
+            below = counts[0].astype(float)  # by first word, of grams with one word less
+            for m in range(2, order + 1):
+                at, count = grams[m - 1][0], counts[m - 1].astype(float)
+                seen, end = count >= min_count, at + m - 1
+                score[end] = np.where(seen, np.log(count / below[at]), score[end] + np.log(alpha))
+                below = np.ones(n)
+                below[at] = count
         size = np.diff(w.first)
-        log_score = np.array([score[s:e].sum() for s, e in zip(w.first[:-1], w.first[1:])]) if len(size) else sums[:0]
+        log_score = np.array([score[s:e].sum() for s, e in zip(w.first[:-1], w.first[1:])])
         mean = [float(x) / int(k) if k else None for x, k in zip(log_score, size)]
         return pa.table([group["doc_id"], pa.array(size, pa.int64()), pa.array(log_score, pa.float64()), pa.array(mean, pa.float64())], names=["doc_id", "n_words", "log_score", "mean_log_score"])
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return with_totals(rows, ["doc_id", "text"], keys, finish, f"doc_id {ids}, n_words long, log_score double, mean_log_score double")
+    return with_totals(rows, ["doc_id", "text"], keys, finish, f"doc_id {ids}, n_words long, log_score double, mean_log_score double", more)
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,13 +36,14 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     """One row per document: doc_id, n_words, n_removed, kept (kept words, one space between), removed (word intervals, end exclusive)."""
     ids = df.schema[id_col].dataType.simpleString()
 
-    def keys(group: pa.Table) -> np.ndarray:
-        return Words(raw(group["text"])).grams(window)[1]
-
-    def finish(group: pa.Table, own: np.ndarray, totals: np.ndarray) -> pa.Table:
+    def keys(group: pa.Table):
         w = Words(raw(group["text"]))
         at, key = w.grams(window)
-        gone = covered(len(w.start), at[(totals > 1)[np.searchsorted(own, key)]] if len(at) else at, window)
+        return key, (w, at)
+
+    def finish(group: pa.Table, state, totals: np.ndarray) -> pa.Table:
+        w, at = state
+        gone = covered(len(w.start), at[totals > 1], window)
         out = []
         for s, e in zip(w.first[:-1], w.first[1:]):
             edges = np.flatnonzero(np.diff(np.concatenate([[False], gone[s:e], [False]]).view(np.int8))).tolist()
