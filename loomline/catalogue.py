@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from .plans import conversations, tables, texts
+
 QUERIES: dict = {}
 SQL: dict = {}
+for _plan in (conversations, texts, tables):
+    QUERIES |= _plan.QUERIES
+    SQL |= _plan.SQL

@@ -1 +1 @@
-
+"""Column expressions: text, hashes and categories."""
