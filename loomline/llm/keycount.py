@@ -14,7 +14,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import partitions
@@ -57,20 +57,27 @@ def chunked(df: DataFrame, columns: list[str], chunks: int) -> DataFrame:
     return df.select(F.pmod(F.xxhash64(*columns), F.lit(chunks)).cast("int").alias("chunk"), *columns)
 
 
+def chunk_count(spark: SparkSession) -> int:
+    """Half as many again as partitions, so that the hashes of chunk numbers load them evenly enough."""
+    return (3 * partitions(spark) + 1) // 2
+
+
 def with_totals(df: DataFrame, columns: list[str], keys: Keys, finish: Finish, schema: str, more: MoreKeys | None = None, buckets: int | None = None, chunks: int | None = None) -> DataFrame:
     """chunk_totals() for rows that are not yet dealt to chunks."""
-    return chunk_totals(chunked(df, columns, chunks or 2 * partitions(df.sparkSession)), keys, finish, schema, more, buckets)
+    return chunk_totals(chunked(df, columns, chunks or chunk_count(df.sparkSession)), keys, finish, schema, more, buckets)
 
 
 def chunk_totals(rows: DataFrame, keys: Keys, finish: Finish, schema: str, more: MoreKeys | None = None, buckets: int | None = None) -> DataFrame:
     """Applies ``finish(rows, state, totals)`` to each chunk of rows; with more keys ``finish(rows, state, totals, totals of those)``.
 
     totals: how often each key occurs in the whole table, in the order in which the keys were given.
-    buckets and chunks follow the number of shuffle partitions, so that they grow with the cluster's setting for the data.
+    buckets and chunks follow the number of shuffle partitions, so that they grow with the cluster's setting for the data;
+    every chunk sends every bucket one row.
     """
-    buckets = buckets or 2 * partitions(rows.sparkSession)
+    buckets = buckets or partitions(rows.sparkSession)
+    fewer = max(1, buckets // 4)  # for the second keys, which are far fewer
 
-    def blocks(chunk: int, found: np.ndarray) -> pa.Table:
+    def blocks(chunk: int, found: np.ndarray, buckets: int) -> pa.Table:
         own, n = distinct(found)
         at = _bounds(own, buckets)
         out = [(b, chunk, pack(np.diff(own[s:e], prepend=np.uint64(0))), pack(n[s:e])) for b, (s, e) in enumerate(zip(at[:-1], at[1:])) if e > s]
@@ -89,11 +96,11 @@ def chunk_totals(rows: DataFrame, keys: Keys, finish: Finish, schema: str, more:
         return out
 
     def send(group: pa.Table) -> pa.Table:
-        return blocks(group["chunk"][0].as_py(), keys(group)[0])
+        return blocks(group["chunk"][0].as_py(), keys(group)[0], buckets)
 
     def send_more(group: pa.Table, got: pa.Table) -> pa.Table:
         found, state = keys(group)
-        return blocks(group["chunk"][0].as_py(), more(state, aligned(found, got, 1)))
+        return blocks(group["chunk"][0].as_py(), more(state, aligned(found, got, 1)), fewer)
 
     def adder(turn: int):
         def add(group: pa.Table) -> pa.Table:
