@@ -9,10 +9,11 @@ then an earlier line. Blank lines always stay.
 2. A line sends one posting for each word of its prefix, the |x| - ceil(t |x|) + 1 rarest words, but for words that occur
    once. Lines that are equal sets meet within a chunk of documents first and send one line's postings.
 3. A bucket of words drops equal sets but the first, then compares postings of a word under the length filter, the
-   positional filter, and a bitmap filter: the parity of a line's words in 256 bits bounds from below how many words two lines
+   positional filter, and a bitmap filter: the parity of a line's words in ``BITS`` bits bounds from below how many words two lines
    differ in. For each line it names the ``nearest`` earlier candidates and notes whether there were more.
-4. Candidates' words are fetched from their documents and compared exactly. If a line has none that match and had more
-   candidates, the join runs again with 16 times ``nearest``, until no line is left open; so the bound never costs a match.
+4. Candidates' words are fetched from their documents and compared exactly. A line that had more candidates, none of the
+   nearest matching, stays open. Open lines are then a query set: in blocks of bounded size they meet all lines once more,
+   each by as many of its rarest words as a similar line must share one of. So the bound never costs a match.
 
 Texts that are null have no lines. Equal rows are told apart: the second one's lines match the first one's. Columns other than
 the two named ones pass through keep_lines() unread.
@@ -32,11 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import GRAPHIC, Words, materialise, mix, partitions, raw, table
-from .keycount import chunk_totals
+from .keycount import chunk_count, chunk_totals
 
-THRESHOLD, NEAREST = 0.8, 16
+THRESHOLD, NEAREST = 0.8, 4
+#: Open lines that one broadcast holds.
+BLOCK = 50_000
+#: Bits of a line's bitmap, 64 to 128.
+BITS = 96
 LAST = (1 << 63) - 1
-POSTING = ("code", "set", "doc", "line", "size", "at", "m0", "m1", "m2", "m3")
+POSTING = ("code", "set", "doc", "line", "size", "at", "low", "high")
 
 
 class Lines:
@@ -131,10 +136,10 @@ def candidates(p: dict[str, np.ndarray], threshold: float, nearest: int) -> tupl
     again = np.concatenate([[False], (p["code"][1:] == p["code"][:-1]) & (p["set"][1:] == p["set"][:-1])]) if len(order) else np.empty(0, bool)
     repeats = {k: p[k][again & (p["at"] == 0)] for k in ("doc", "line")}
     p = {k: v[~again] for k, v in p.items()}
-    order = np.lexsort((p["size"], p["code"]))
+    order = np.lexsort((p["line"], p["doc"], p["size"], p["code"]))
     p = {k: v[order] for k, v in p.items()}
     n, code, size = len(order), p["code"], p["size"]
-    maps = [p[m].view(np.uint64) for m in ("m0", "m1", "m2", "m3")]  # bits of signed numbers don't count right
+    maps = [p[m].view(np.uint64) for m in ("low", "high")]  # bits of signed numbers don't count right
     starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if n else np.empty(0, np.int64)
     ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n))) if n else starts
     # sizes rise within a word, so the partners of a posting that pass the length filter follow it without a gap
@@ -191,7 +196,7 @@ PAIR = ("xdoc", "xline", "xset", "ydoc", "yline", "yset", "more")
 
 def _decide(docs: DataFrame, threshold: float, nearest: int) -> DataFrame:
     """For each row of docs: its id, line counts, removed lines, digests of what is kept and of the text, and open lines."""
-    chunks = buckets = 2 * partitions(docs.sparkSession)
+    chunks, buckets = chunk_count(docs.sparkSession), partitions(docs.sparkSession)
     rows = docs.select(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(LAST))), F.lit(chunks)).cast("int").alias("chunk"), F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("doc"), F.col("doc_id").isNull().alias("unnamed"), "text")
 
     def in_order(group: pa.Table) -> tuple[list[int], list[bytes], np.ndarray]:
@@ -219,8 +224,9 @@ def _decide(docs: DataFrame, threshold: float, nearest: int) -> DataFrame:
             code, first_word = _sets(rarity(totals) << np.uint64(55) | lines.words >> np.uint64(9), line, count)
             size = np.diff(first_word)
             h = mix(code)
-            bit, side = np.uint64(1) << (h >> np.uint64(8) & np.uint64(63)), h & np.uint64(3)
-            maps = [np.bitwise_xor.reduceat(np.where(side == np.uint64(s), bit, np.uint64(0)), first_word[:-1]) for s in range(4)]
+            place = h % np.uint64(BITS)
+            bit, low = np.uint64(1) << (place & np.uint64(63)), place < 64
+            maps = [np.bitwise_xor.reduceat(np.where(low == side, bit, np.uint64(0)), first_word[:-1]) for side in (True, False)]
             long = np.where(again, 0, np.array([prefix(s, threshold) if s else 0 for s in range(int(size.max()) + 1)])[size])
             line = np.repeat(np.arange(count), long)
             place = np.arange(len(line)) - np.repeat(np.cumsum(long) - long, long)
@@ -304,31 +310,110 @@ def _decide(docs: DataFrame, threshold: float, nearest: int) -> DataFrame:
         for d, no in more:
             if no not in late[d]:
                 open_lines[d].add(no)
+        waiting: dict[int, list] = defaultdict(list)
+        if any(open_lines.values()):
+            words_of = next(iter(mine.values()))[2]
+            known, often = np.unique(words_of, return_counts=True)
+            for d, no, at, _, _ in {t[:3]: t for t in tests}.values():
+                if no in open_lines[d]:
+                    a, e, _ = mine[d, no, at]
+                    own = words_of[a:e]
+                    waiting[d].append({"no": no, "set": at, "words": own[np.argsort(often[np.searchsorted(known, own)], kind="stable")].tobytes()})
         out, unnamed = [], group["unnamed"].to_pylist()
         for r, i in enumerate(order):
             d = int(doc[r])
             lines = texts[r].split(b"\n") if texts[r] else []
             away = gone[r] | late[d]
             kept = b"\n".join([x for no, x in enumerate(lines) if no not in away]) if away else texts[r]
-            out.append((None if unnamed[i] else d, len(lines), sorted(away), hashlib.sha256(kept).hexdigest(), hashlib.sha256(texts[r]).digest(), len(open_lines[d])))
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string(), pa.binary(), pa.int64())
-        names = ("doc_id", "n_lines", "removed", "kept_sha256", "text_sha256", "open")
+            out.append((None if unnamed[i] else d, d, len(lines), sorted(away), hashlib.sha256(kept).hexdigest(), hashlib.sha256(texts[r]).digest(), waiting.pop(d, [])))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string(), pa.binary(), pa.list_(pa.struct([("no", pa.int32()), ("set", pa.int64()), ("words", pa.binary())])))
+        names = ("doc_id", "doc", "n_lines", "removed", "kept_sha256", "text_sha256", "open")
         return pa.table({n: pa.array([x[i] for x in out], k) for i, (n, k) in enumerate(zip(names, kinds))})
 
     postings = chunk_totals(rows, words, send, "bucket int, chunk int, blob binary", buckets=buckets)
     pairs = postings.groupBy("bucket").applyInArrow(meet, "chunk int, kind int, blob binary")
     fetched = rows.groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(fetch, "chunk int, kind int, blob binary")
-    return rows.groupBy("chunk").cogroup(fetched.groupBy("chunk")).applyInArrow(decide, "doc_id long, n_lines long, removed array<int>, kept_sha256 string, text_sha256 binary, open long")
+    return rows.groupBy("chunk").cogroup(fetched.groupBy("chunk")).applyInArrow(decide, "doc_id long, doc long, n_lines long, removed array<int>, kept_sha256 string, text_sha256 binary, open array<struct<no:int,set:long,words:binary>>")
+
+
+class Waiting:
+    """A block of open lines, found by any of so many of their rarest words that a similar line must share one."""
+
+    def __init__(self, lines: list, threshold: float):
+        self.threshold = threshold
+        self.doc, self.no, self.set = (np.array([r[k] for r in lines], np.int64) for k in ("doc", "no", "set"))
+        rare = [np.frombuffer(r["words"], np.uint64) for r in lines]
+        self.words = [np.sort(w) for w in rare]
+        self.size = np.array([len(w) for w in rare], np.int64)
+        probes = [w[: prefix(len(w), threshold)] for w in rare]
+        word = np.concatenate(probes)
+        line = np.repeat(np.arange(len(lines)), [len(p) for p in probes])
+        order = np.argsort(word, kind="stable")
+        self.line = line[order]
+        self.word, self.first = np.unique(word[order], return_index=True)
+        self.first = np.append(self.first, len(word))
+
+    def matched(self, doc: np.ndarray, lines: Lines) -> np.ndarray:
+        """Which open lines have an earlier similar one among these lines of documents."""
+        at = np.searchsorted(self.word, lines.words)
+        at[at == len(self.word)] = 0
+        hit = np.flatnonzero(self.word[at] == lines.words) if len(self.word) else np.empty(0, np.int64)
+        count = (self.first[1:] - self.first[:-1])[at[hit]]
+        x = self.line[np.repeat(self.first[:-1][at[hit]] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        y = np.repeat(np.searchsorted(lines.first, hit, "right") - 1, count)
+        pair = np.unique(x * len(lines.number) + y)
+        x, y = pair // max(1, len(lines.number)), pair % max(1, len(lines.number))
+        d, no, own = doc[lines.text[y]], lines.number[y], lines.ids[y].view(np.int64)
+        earlier = (d < self.doc[x]) | (d == self.doc[x]) & ((no < self.no[x]) | (no == self.no[x]) & (own < self.set[x]))
+        size = np.diff(lines.first)[y]
+        near = (size >= self.threshold * self.size[x] - 1e-9) & (self.size[x] >= self.threshold * size - 1e-9)
+        found: set[int] = set()
+        for i, j in zip(x[earlier & near].tolist(), y[earlier & near].tolist()):
+            if i not in found and similar(self.words[i], lines.words[lines.first[j] : lines.first[j + 1]], self.threshold):
+                found.add(i)
+        return np.array(sorted(found), np.int64)
+
+
+def _settle(docs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """found with the open lines decided: blocks of them against all lines, without a shuffle."""
+    spark = docs.sparkSession
+    waiting = found.select("doc", F.explode("open").alias("o")).select("doc", "o.*")
+    n = waiting.count()
+    rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("doc"), "text")
+    late = None
+    blocks = -(-n // BLOCK)
+    for k in range(blocks):
+        block = spark.sparkContext.broadcast(Waiting(waiting.filter(F.pmod(F.xxhash64("doc", "no", "set"), F.lit(blocks)) == k).collect(), threshold))
+
+        def scan(batches, block=block):
+            own = block.value
+            for b in batches:
+                for lo in range(0, b.num_rows, 1000):
+                    part = b.slice(lo, 1000)
+                    at = own.matched(part.column(0).to_numpy(), Lines(raw(part.column(1))))
+                    yield pa.record_batch([pa.array(own.doc[at]), pa.array(own.no[at], pa.int32())], names=["doc", "no"])
+
+        got, _ = materialise(rows.mapInArrow(scan, "doc long, no int"), "late")
+        late = got if late is None else late.union(got)
+    if late is None or late.isEmpty():
+        return found
+    more = late.groupBy("doc").agg(F.collect_set("no").alias("more"))
+    texts = rows.join(more.select("doc"), "doc", "left_semi").withColumn("text_sha256", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256))).dropDuplicates(["doc", "text_sha256"])
+    hit = found.join(more, "doc").join(texts, ["doc", "text_sha256"]).withColumn("removed", F.array_sort(F.array_union("removed", "more")))
+    hit = hit.withColumn("kept_sha256", F.sha2(F.encode(without(F.col("text"), F.col("removed")), "UTF-8"), 256))
+    return found.join(more, "doc", "left_anti").unionByName(hit.select(*found.columns))
+
+
+def without(text, removed):
+    """A text without the lines of these numbers."""
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(removed, i)), "\n")
 
 
 def line_decisions(df: DataFrame, threshold: float = THRESHOLD, nearest: int = NEAREST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: doc_id, n_lines, removed (line numbers from 0), kept_sha256, text_sha256."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    while True:
-        found, _ = materialise(_decide(docs, threshold, nearest), "lines")
-        if not found.filter("open > 0").limit(1).count():
-            return found.drop("open")
-        nearest *= 16
+    found, _ = materialise(_decide(docs, threshold, nearest), "lines")
+    return _settle(docs, found, threshold).drop("open", "doc")
 
 
 def keep_lines(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -341,7 +426,7 @@ def keep_lines(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
     found = found.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "__removed")
     sha = F.unhex(F.sha2(F.col(text_col).cast("binary"), 256))
     joined = df.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("__removed"), i)), "\n")
+    kept = without(F.col(text_col), F.col("__removed"))
     return joined.withColumn(text_col, F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(kept)).drop("__id", "__sha", "__removed")
 
 
