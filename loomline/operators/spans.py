@@ -19,7 +19,7 @@ def chapter_rows(df: DataFrame, key: str, text: str, shortest: int = 20) -> Data
     """key, chapter (chapter_001 ...), body: what stands between heading lines; nothing for texts with fewer than two headings
     or a body that is too short."""
     cut = F.regexp_replace(F.col(text), HEADING, "\u0001")
-    bodies = F.transform(F.slice(F.split(cut, "\u0001"), 2, 1 << 30), F.trim)
+    bodies = F.transform(F.slice(F.split(cut, "\u0001"), 2, 1 << 30), lambda b: F.regexp_replace(b, r"^\s+|\s+$", ""))
     sure = (F.size(bodies) >= 2) & F.forall(bodies, lambda b: F.length(b) >= shortest)
     rows = df.select(key, F.posexplode(F.when(sure, bodies)).alias("pos", "body"))
     return rows.select(key, F.format_string("chapter_%03d", F.col("pos") + 1).alias("chapter"), F.concat("body", F.lit("\n")).alias("body"))
