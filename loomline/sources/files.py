@@ -72,7 +72,9 @@ def zip_members(spark: SparkSession, path: str, allowed: str = r".*", most_bytes
                         name = info.filename.replace("\\", "/")
                         if name.startswith("/") or ".." in name.split("/") or re.match(r"[A-Za-z]:", name):
                             raise ValueError(f"{p}: unsafe member {info.filename!r}")
-                        if not info.is_dir() and accept.fullmatch(name) and info.file_size <= most_bytes:
+                        if not info.is_dir() and accept.fullmatch(name):
+                            if info.file_size > most_bytes:
+                                raise ValueError(f"{p}: member {name!r} has {info.file_size} bytes")
                             yield pa.record_batch([pa.array([p]), pa.array([name]), pa.array([pos], pa.int32()), pa.array([z.read(info)], pa.binary())], names=["path", "member", "pos", "data"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, MEMBER)
