@@ -26,15 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import materialise, partitions, raw, table
+from ._shared import LOWER, materialise, partitions, raw, table
 
 CAPACITY, END_ID = 4096, 1
 #: Word encodings that a Python worker remembers before it starts anew.
-REMEMBER = 400_000
+REMEMBER = 1_200_000
 
 
 class WordEncoder:
-    """Token ids of texts, for tokenizers whose pre-tokens never hold ASCII white space: each word is encoded once and remembered."""
+    """Token ids of texts, for tokenizers that lower-case, and whose pre-tokens hold neither white space nor letters beside marks.
+
+    The model must mark the last id of a pre-token with </w>. Each word is encoded once and remembered. New words that are all
+    letters are encoded many in one call; a word that ends in marks is its letters' ids, then its marks'. Texts that may name a special token are left to the tokenizer as a whole.
+    """
+
+    MARKS = b".,!?;:%$#&*|"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -42,19 +48,54 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        #: Whether an id ends a pre-token.
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _one_by_one(self, words: list[bytes]) -> None:
+        for lo in range(0, len(words), 4096):
+            part = words[lo : lo + 4096]
+            for word, got in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+                self.known[word] = np.array(got.ids, "<u4").tobytes()
+
+    def _together(self, words: list[bytes]) -> None:
+        """Words of letters only: each is one pre-token, so the ids that end pre-tokens tell words apart."""
+        for lo in range(0, len(words), 1 << 14):
+            parts = [words[i : i + 256] for i in range(lo, min(len(words), lo + (1 << 14)), 256)]
+            for part, got in zip(parts, self.tokenizer.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False)):
+                ids = np.array(got.ids, "<u4")
+                ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+                if len(ends) != len(part):
+                    self._one_by_one(part)
+                    continue
+                data = ids.tobytes()
+                self.known.update(zip(part, map(data.__getitem__, map(slice, [0, *ends], ends))))
+
+    def _learn(self, new: list[bytes]) -> None:
+        known, letters, other, joined = self.known, set(), set(), []
+        for w in new:
+            base = w.rstrip(self.MARKS)
+            if base.isalpha() or base and not base.isascii() and (t := base.decode()).isalpha() and t.lower().isalpha():
+                letters.add(base)
+                if base != w:
+                    other.add(w[len(base) :])
+                    joined.append((w, base, w[len(base) :]))
+            else:
+                other.add(w)
+        self._together([w for w in letters if w not in known])
+        self._one_by_one([w for w in other if w not in known])
+        for w, base, marks in joined:
+            known[w] = known[base] + known[marks]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [t.split() for t in texts]
+        split = [t.translate(LOWER.tobytes()).split() if b"<|" not in t else None for t in texts]
         if len(self.known) > REMEMBER:
-            self.known = {}
+            self.known.clear()
         known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                known[word] = np.array(got.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in ws]) for ws in split]
+        self._learn(list(set().union(*[ws for ws in split if ws]) - known.keys()))
+        return [np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() if ws is None else b"".join(map(known.__getitem__, ws)) for t, ws in zip(texts, split)]
 
 
 _encoders: dict[str, WordEncoder] = {}
