@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import conversations, tables, texts
+from .plans import annotations, conversations, tables, texts
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _plan in (conversations, texts, tables):
+for _plan in (conversations, texts, tables, annotations):
     QUERIES |= _plan.QUERIES
     SQL |= _plan.SQL
