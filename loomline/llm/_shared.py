@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import gc
 import tempfile
 import uuid
 
@@ -69,6 +70,12 @@ def materialise(df: DataFrame, name: str = "t") -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished queries that nothing refers to any more, before the next large one."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def raw(column) -> list[bytes]:
     """The UTF-8 bytes of a string column; null becomes empty."""
     if isinstance(column, pa.ChunkedArray):

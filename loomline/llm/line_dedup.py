@@ -32,10 +32,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import GRAPHIC, Words, materialise, mix, partitions, raw, table
+from ._shared import GRAPHIC, Words, materialise, mix, partitions, raw, release, table
 from .keycount import chunk_count, chunk_totals
 
-THRESHOLD, NEAREST = 0.8, 4
+THRESHOLD, NEAREST = 0.8, 2
+#: Candidates whose bitmaps differ by about as many bits are taken in document order, so that lines name the same ones.
+COARSE = 4
 #: Open lines that one broadcast holds.
 BLOCK = 50_000
 #: Bits of a line's bitmap, 64 to 128.
@@ -139,6 +141,8 @@ def candidates(p: dict[str, np.ndarray], threshold: float, nearest: int) -> tupl
     order = np.lexsort((p["line"], p["doc"], p["size"], p["code"]))
     p = {k: v[order] for k, v in p.items()}
     n, code, size = len(order), p["code"], p["size"]
+    first = np.empty(n, np.int64)
+    first[np.lexsort((p["line"], p["doc"]))] = np.arange(n)
     maps = [p[m].view(np.uint64) for m in ("low", "high")]  # bits of signed numbers don't count right
     starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if n else np.empty(0, np.int64)
     ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n))) if n else starts
@@ -165,12 +169,12 @@ def candidates(p: dict[str, np.ndarray], threshold: float, nearest: int) -> tupl
         later = (p["doc"][a] > p["doc"][b]) | (p["doc"][a] == p["doc"][b]) & ((p["line"][a] > p["line"][b]) | (p["line"][a] == p["line"][b]) & (p["set"][a] > p["set"][b]))
         xs.append(np.where(later, a, b))
         ys.append(np.where(later, b, a))
-        ds.append(far)
+        ds.append(far // COARSE)
         if sum(map(len, xs)) > 1 << 22:
-            xs, ys, ds = ([c] for c in _nearest(np.concatenate(xs), np.concatenate(ys), np.concatenate(ds), nearest + 1))
+            xs, ys, ds = ([c] for c in _nearest(np.concatenate(xs), np.concatenate(ys), np.concatenate(ds), nearest + 1, first))
         lo = hi
     x, y, d = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (xs, ys, ds))
-    x, y, d = _nearest(x, y, d, nearest + 1)
+    x, y, d = _nearest(x, y, d, nearest + 1, first)
     place = _places(x)
     more = np.isin(x, x[place >= nearest])
     keep = place < nearest
@@ -178,8 +182,9 @@ def candidates(p: dict[str, np.ndarray], threshold: float, nearest: int) -> tupl
     return {"xdoc": p["doc"][x], "xline": p["line"][x], "xset": p["set"][x], "ydoc": p["doc"][y], "yline": p["line"][y], "yset": p["set"][y], "more": more.astype(np.int64)}, repeats
 
 
-def _nearest(x: np.ndarray, y: np.ndarray, d: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((y, d, x))
+def _nearest(x: np.ndarray, y: np.ndarray, d: np.ndarray, most: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most pairs of each x: by distance, then by the place of y in first, the order of documents."""
+    order = np.lexsort((first[y], d, x))
     x, y, d = x[order], y[order], d[order]
     keep = _places(x) < most
     return x[keep], y[keep], d[keep]
@@ -221,8 +226,10 @@ def _decide(docs: DataFrame, threshold: float, nearest: int) -> DataFrame:
                 out.append((chunk % buckets, chunk, squeeze({"doc": doc[lines.text[again]], "line": lines.number[again], "row": lines.text[again]})))
             size = np.diff(lines.first)
             line = np.repeat(np.arange(count), size)
-            code, first_word = _sets(rarity(totals) << np.uint64(55) | lines.words >> np.uint64(9), line, count)
-            size = np.diff(first_word)
+            rare, first_word = rarity(totals), lines.first
+            order = np.argsort(rare.astype(np.uint8), kind="stable")  # words are in the order of their hashes already
+            order = order[np.argsort(line[order].astype(np.uint16) if count < 1 << 16 else line[order], kind="stable")]
+            code = rare[order] << np.uint64(55) | lines.words[order] >> np.uint64(9)
             h = mix(code)
             place = h % np.uint64(BITS)
             bit, low = np.uint64(1) << (place & np.uint64(63)), place < 64
@@ -413,6 +420,7 @@ def line_decisions(df: DataFrame, threshold: float = THRESHOLD, nearest: int = N
     """One row per row of df: doc_id, n_lines, removed (line numbers from 0), kept_sha256, text_sha256."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found, _ = materialise(_decide(docs, threshold, nearest), "lines")
+    release(df.sparkSession)
     return _settle(docs, found, threshold).drop("open", "doc")
 
 
