@@ -25,7 +25,8 @@ from ._shared import raw, table
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 18, 4, 3, 6
 TRAIN_ROWS, TRAIN_BYTES = 3000, 1 << 16
-EPOCHS, BATCH, RATE, SEED = 15, 32, 0.5, 7
+#: Gradient steps, whatever the number of rows.
+STEPS, BATCH, RATE, SEED = 4000, 32, 0.5, 7
 LEAST, SURE = 2, 4.0
 #: Words whose numbers a Python worker remembers before it starts anew.
 REMEMBER = 500_000
@@ -93,8 +94,8 @@ def _shares(texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return ids, shares
 
 
-def fit(texts: list[bytes], labels: list[int]) -> Model:
-    """Adagrad over minibatches. Classes weigh the same, whatever their shares.
+def fit(texts: list[bytes], labels: list[int], share1: float | None = None) -> Model:
+    """Adagrad over minibatches. share1: the second class's share in the population, if the sample's differs.
 
     Buckets in fewer than LEAST texts, or in shares of the classes' texts that differ by less than SURE standard errors,
     stay zero: they could only be learnt by heart.
@@ -119,10 +120,13 @@ def fit(texts: list[bytes], labels: list[int]) -> Model:
     w = rng.uniform(-1, 1, (DIM, 2))
     bias = np.zeros(2)
     ge, gw, gb = np.full(e.shape, 1e-12), np.full(w.shape, 1e-8), np.full(2, 1e-8)
-    weight = len(y) / (2 * np.bincount(y, minlength=2))
+    share1 = n1 / len(y) if share1 is None else share1
+    weight = np.array([(1 - share1) * len(y) / n0, share1 * len(y) / n1])
+    bias[1] = np.log(share1 / (1 - share1))
     rows = np.arange(len(y))
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = -(-STEPS * BATCH // len(y))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         rng.shuffle(rows)
         for lo in range(0, len(rows), BATCH):
             batch = rows[lo : lo + BATCH]
@@ -159,6 +163,7 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES, label: str = "toxic") -> Model:
     """Learns from the sample described above; rows that held_out() marks are never read."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out()).select("doc_id", F.col(label).cast("int").alias("y"))
+    totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = {}
     for y in (0, 1):
         for r in known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect():
@@ -168,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes
     sample = docs.filter(F.octet_length("text") <= most_bytes).select("doc_id", "text").join(F.broadcast(ids), "doc_id").collect()  # rows and bytes have bounds
     sample = sorted((r["doc_id"], r["text"] or "") for r in sample)
     pairs = [(t.encode(), y) for i, t in sample for y in picked[i]]
-    return fit([t for t, _ in pairs], [y for _, y in pairs])
+    return fit([t for t, _ in pairs], [y for _, y in pairs], totals.get(1, 0) / max(1, sum(totals.values())))
 
 
 def score(df: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
