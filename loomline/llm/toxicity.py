@@ -78,20 +78,15 @@ def _spread(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(lists) if lists else np.empty(0, np.int64)), np.array([len(x) for x in lists], np.int64)
 
 
-def _shares(texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each text the buckets of its words and each bucket's share in the text's mean of means."""
-    known: dict[bytes, np.ndarray] = {}
-    ids, shares = [], []
-    for t in texts:
-        ws, n = np.unique(np.array(words(t) or [b""], object), return_counts=True)
-        for w in ws:
-            if w not in known:
-                known[w] = np.array(buckets(w))
-        flat, size = _spread([known[w] for w in ws])
-        own, at = np.unique(flat, return_inverse=True)
-        ids.append(own)
-        shares.append(np.bincount(at, weights=np.repeat(n / n.sum() / size, size)))
-    return ids, shares
+def _share(text: bytes, known: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's words and each bucket's share in the text's mean of means. known: buckets of words met before."""
+    ws, n = np.unique(np.array(words(text) or [b""], object), return_counts=True)
+    for w in ws:
+        if w not in known:
+            known[w] = np.array(buckets(w), np.int32)
+    flat, size = _spread([known[w] for w in ws])
+    own, at = np.unique(flat, return_inverse=True)
+    return own, np.bincount(at, weights=np.repeat(n / n.sum() / size, size))
 
 
 def fit(texts: list[bytes], labels: list[int], share1: float | None = None) -> Model:
@@ -105,17 +100,24 @@ def fit(texts: list[bytes], labels: list[int], share1: float | None = None) -> M
         rate = float(y.mean()) if len(y) else 0.5
         return Model(np.zeros(BUCKETS), float(np.log((rate + 1e-3) / (1 - rate + 1e-3))))
     rng = np.random.default_rng(SEED)
-    ids, shares = _shares(texts)
     n1, n0 = int(y.sum()), int((1 - y).sum())
-    in1, in0 = (np.bincount(np.concatenate([x for x, c in zip(ids, labels) if c == k]), minlength=BUCKETS) for k in (1, 0))
+    known: dict[bytes, np.ndarray] = {}
+    inside = np.zeros((2, BUCKETS))
+    for t, c in zip(texts, labels):
+        inside[c, _share(t, known)[0]] += 1
+    in0, in1 = inside
     rate = (in1 + in0) / len(y)
     z = (in1 / n1 - in0 / n0) / np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / n1 + 1 / n0))
     kept = np.flatnonzero((in1 + in0 >= LEAST) & (np.abs(z) >= SURE))
     place = np.full(BUCKETS, -1)
     place[kept] = np.arange(len(kept))
-    for i in range(len(ids)):
-        ok = place[ids[i]] >= 0
-        ids[i], shares[i] = place[ids[i][ok]], shares[i][ok]
+    ids, shares = [], []
+    for t in texts:
+        own, share = _share(t, known)
+        ok = place[own] >= 0
+        ids.append(place[own[ok]])
+        shares.append(share[ok])
+    known.clear()
     e = rng.uniform(-1 / DIM, 1 / DIM, (len(kept), DIM))
     w = rng.uniform(-1, 1, (DIM, 2))
     bias = np.zeros(2)
