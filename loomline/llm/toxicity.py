@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ._shared import raw, table
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 18, 4, 3, 6
-TRAIN_ROWS, TRAIN_BYTES = 3000, 1 << 16
+TRAIN_ROWS, TRAIN_BYTES = 2000, 1 << 16
 #: Gradient steps, whatever the number of rows.
 STEPS, BATCH, RATE, SEED = 4000, 32, 0.5, 7
 LEAST, SURE = 2, 4.0
