@@ -29,7 +29,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import GRAPHIC, Words, materialise, mix, partitions, raw, release, table
@@ -427,15 +427,19 @@ def line_decisions(df: DataFrame, threshold: float = THRESHOLD, nearest: int = N
 def keep_lines(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with the removed lines gone from its text; all columns and rows stay.
 
-    Equal rows get each other's decisions in any order, as nothing tells them apart.
+    Of rows equal in id and text, any one gets the first one's decision; the others lose all their lines.
     """
     found = line_decisions(df, threshold, id_col=id_col, text_col=text_col)
-    found = found.filter(F.size("removed") > 0).groupBy("doc_id", "text_sha256").agg(F.collect_list("removed").alias("__each"), F.min("removed").alias("__removed"))
-    found = found.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "__removed")
-    sha = F.unhex(F.sha2(F.col(text_col).cast("binary"), 256))
-    joined = df.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left")
-    kept = without(F.col(text_col), F.col("__removed"))
-    return joined.withColumn(text_col, F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(kept)).drop("__id", "__sha", "__removed")
+    size = F.size("removed")
+    each = found.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("__n"), F.min_by("removed", size).alias("__first"), F.max_by("removed", size).alias("__others"))
+    marks, _ = materialise(each.filter(F.size("__others") > 0).withColumnsRenamed({"doc_id": "__id", "text_sha256": "__sha"}), "marks")
+    here = lambda m: F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.unhex(F.sha2(F.col(text_col).cast("binary"), 256)) == F.col("__sha"))
+    joined = df.join(marks, here(marks), "left").filter("__n IS NULL OR __n = 1").withColumn("__no", F.lit(1))
+    equal = marks.filter("__n > 1")
+    equal = df.join(equal, here(equal)).withColumn("__no", F.row_number().over(Window.partitionBy("__id", "__sha").orderBy(F.lit(1))))
+    joined = joined.unionByName(equal)
+    removed = F.when(F.col("__no") == 1, F.col("__first")).otherwise(F.col("__others"))
+    return joined.withColumn(text_col, F.when(removed.isNull() | (F.size(removed) == 0), F.col(text_col)).otherwise(without(F.col(text_col), removed))).select(*df.columns)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
