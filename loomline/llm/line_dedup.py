@@ -1,8 +1,8 @@
 """Removal of lines that match an earlier line: an exact set-similarity join with prefix, length and positional filters.
 
 A line is the set of its words (A-Z lower-cased, separated by ASCII white space). Of two lines with Jaccard similarity of
-``threshold`` or more, the later one goes, whether or not the earlier one stays; earlier means a smaller doc_id (null last),
-then an earlier line. Blank lines always stay.
+``threshold`` or more, the later one goes, whether or not the earlier one stays; earlier means a smaller doc_id (null last), of
+rows that share an id (or have none) a smaller hash of the text, then an earlier line. Blank lines always stay.
 
 1. Words are counted over all documents (see keycount). A word's code is its rarity class by that count and its hash, so
    sorted codes run from rare to frequent.
@@ -15,7 +15,8 @@ then an earlier line. Blank lines always stay.
    nearest matching, stays open. Open lines are then a query set: in blocks of bounded size they meet all lines once more,
    each by as many of its rarest words as a similar line must share one of. So the bound never costs a match.
 
-Texts that are null have no lines. Equal rows are told apart: the second one's lines match the first one's. Columns other than
+A row is known by its id and its place among the rows of that id. Ids that are null have no place: these rows are dealt out and
+told apart by the hash of the text. Texts that are null have no lines. Equal rows are told apart: the second one's lines match the first one's. Columns other than
 the two named ones pass through keep_lines() unread.
 """
 
@@ -43,7 +44,8 @@ BLOCK = 50_000
 #: Bits of a line's bitmap, 64 to 128.
 BITS = 96
 LAST = (1 << 63) - 1
-POSTING = ("code", "set", "doc", "line", "size", "at", "low", "high")
+ROW_LINE = ("doc", "row", "line")
+POSTING = ("code", "set", "doc", "row", "line", "size", "at", "low", "high")
 
 
 class Lines:
@@ -83,8 +85,18 @@ def rarity(totals: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.where(totals > 1, 1 + np.log2(np.maximum(totals, 1)) * 5, 0)).astype(np.uint64)
 
 
-def home(doc: np.ndarray, chunks: int) -> np.ndarray:
-    """The chunk of each document id: pmod(xxhash64(id), chunks) as Spark computes it."""
+def places(doc: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """What tells the rows of an id apart, for rows sorted by id and text hash: their place, from 0; the hash where the id is null."""
+    if not len(doc):
+        return tie
+    new = np.concatenate([[True], doc[1:] != doc[:-1]])
+    place = np.cumsum(new | np.concatenate([[True], tie[1:] != tie[:-1]]))
+    return np.where(doc == LAST, tie, place - place[new][np.cumsum(new) - 1])
+
+
+def home(doc: np.ndarray, row: np.ndarray, chunks: int) -> np.ndarray:
+    """The chunk of each row: pmod(xxhash64(id), chunks) as Spark computes it, of the text's hash where the id is null."""
+    doc = np.where(doc == LAST, row, doc)
     p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
     turn = lambda x, r: x << np.uint64(r) | x >> np.uint64(64 - r)
     h = np.full(len(doc), np.uint64(42) + p5 + np.uint64(8))
@@ -133,16 +145,16 @@ def prefix(size: int, threshold: float) -> int:
 
 def candidates(p: dict[str, np.ndarray], threshold: float, nearest: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
     """From postings of whole words: pairs (x later, y earlier) to verify, and lines that repeat an earlier set."""
-    order = np.lexsort((p["line"], p["doc"], p["set"], p["code"]))
+    order = np.lexsort((p["line"], p["row"], p["doc"], p["set"], p["code"]))
     p = {k: v[order] for k, v in p.items()}
     again = np.concatenate([[False], (p["code"][1:] == p["code"][:-1]) & (p["set"][1:] == p["set"][:-1])]) if len(order) else np.empty(0, bool)
-    repeats = {k: p[k][again & (p["at"] == 0)] for k in ("doc", "line")}
+    repeats = {k: p[k][again & (p["at"] == 0)] for k in ROW_LINE}
     p = {k: v[~again] for k, v in p.items()}
-    order = np.lexsort((p["line"], p["doc"], p["size"], p["code"]))
+    order = np.lexsort((p["line"], p["row"], p["doc"], p["size"], p["code"]))
     p = {k: v[order] for k, v in p.items()}
     n, code, size = len(order), p["code"], p["size"]
     first = np.empty(n, np.int64)
-    first[np.lexsort((p["line"], p["doc"]))] = np.arange(n)
+    first[np.lexsort((p["line"], p["row"], p["doc"]))] = np.arange(n)
     maps = [p[m].view(np.uint64) for m in ("low", "high")]  # bits of signed numbers don't count right
     starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if n else np.empty(0, np.int64)
     ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n))) if n else starts
@@ -166,7 +178,7 @@ def candidates(p: dict[str, np.ndarray], threshold: float, nearest: int) -> tupl
             far += np.bitwise_count(m[a] ^ m[b])
         ok = far <= sum_size - 2 * need
         a, b, far = a[ok], b[ok], far[ok]
-        later = (p["doc"][a] > p["doc"][b]) | (p["doc"][a] == p["doc"][b]) & ((p["line"][a] > p["line"][b]) | (p["line"][a] == p["line"][b]) & (p["set"][a] > p["set"][b]))
+        later = first[a] > first[b]
         xs.append(np.where(later, a, b))
         ys.append(np.where(later, b, a))
         ds.append(far // COARSE)
@@ -179,7 +191,7 @@ def candidates(p: dict[str, np.ndarray], threshold: float, nearest: int) -> tupl
     more = np.isin(x, x[place >= nearest])
     keep = place < nearest
     x, y, more = x[keep], y[keep], more[keep]
-    return {"xdoc": p["doc"][x], "xline": p["line"][x], "xset": p["set"][x], "ydoc": p["doc"][y], "yline": p["line"][y], "yset": p["set"][y], "more": more.astype(np.int64)}, repeats
+    return {"xdoc": p["doc"][x], "xrow": p["row"][x], "xline": p["line"][x], "ydoc": p["doc"][y], "yrow": p["row"][y], "yline": p["line"][y], "more": more.astype(np.int64)}, repeats
 
 
 def _nearest(x: np.ndarray, y: np.ndarray, d: np.ndarray, most: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,34 +208,39 @@ def _places(x: np.ndarray) -> np.ndarray:
     return np.arange(len(x)) - np.repeat(starts, np.diff(np.append(starts, len(x))))
 
 
-PAIR = ("xdoc", "xline", "xset", "ydoc", "yline", "yset", "more")
+PAIR = ("xdoc", "xrow", "xline", "ydoc", "yrow", "yline", "more")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs with doc, the id that sorts null last, and tie, a hash of the text."""
+    return docs.select(F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("tie"), "doc_id", "text")
 
 
 def _decide(docs: DataFrame, threshold: float, nearest: int) -> DataFrame:
     """For each row of docs: its id, line counts, removed lines, digests of what is kept and of the text, and open lines."""
     chunks, buckets = chunk_count(docs.sparkSession), partitions(docs.sparkSession)
-    rows = docs.select(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(LAST))), F.lit(chunks)).cast("int").alias("chunk"), F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("doc"), F.col("doc_id").isNull().alias("unnamed"), "text")
+    rows = _rows(docs).select(F.pmod(F.xxhash64(F.when(F.col("doc") == LAST, F.col("tie")).otherwise(F.col("doc"))), F.lit(chunks)).cast("int").alias("chunk"), "doc", "tie", F.col("doc_id").isNull().alias("unnamed"), "text")
 
-    def in_order(group: pa.Table) -> tuple[list[int], list[bytes], np.ndarray]:
-        """The rows of a chunk in document order, equal rows side by side; their texts and ids."""
-        texts, doc = raw(group["text"]), group["doc"].to_pylist()
-        order = sorted(range(len(texts)), key=lambda i: (doc[i], texts[i]))
-        return order, [texts[i] for i in order], np.array([doc[i] for i in order], np.int64)
+    def in_order(group: pa.Table) -> tuple[list[int], list[bytes], np.ndarray, np.ndarray]:
+        """The rows of a chunk in document order, equal rows side by side; their texts, ids and places (see places)."""
+        texts, doc, tie = raw(group["text"]), group["doc"].to_numpy(), group["tie"].to_numpy()
+        order = np.lexsort((tie, doc))
+        return order.tolist(), [texts[i] for i in order.tolist()], doc[order], places(doc[order], tie[order])
 
     def words(group: pa.Table):
-        _, texts, doc = in_order(group)
+        _, texts, doc, row = in_order(group)
         lines = Lines(texts)
-        return lines.words, (lines, doc, group["chunk"][0].as_py())
+        return lines.words, (lines, doc, row, group["chunk"][0].as_py())
 
     def send(group: pa.Table, state, totals: np.ndarray) -> pa.Table:
-        lines, doc, chunk = state
+        lines, doc, row, chunk = state
         out, count = [], len(lines.number)
         if count:
             _, first = np.unique(lines.ids, return_index=True)
             again = np.ones(count, bool)
             again[first] = False
             if again.any():  # known here already: passed on to the end, spread over the buckets
-                out.append((chunk % buckets, chunk, squeeze({"doc": doc[lines.text[again]], "line": lines.number[again], "row": lines.text[again]})))
+                out.append((chunk % buckets, chunk, squeeze({"line": lines.number[again], "at": lines.text[again]})))
             size = np.diff(lines.first)
             line = np.repeat(np.arange(count), size)
             rare, first_word = rarity(totals), lines.first
@@ -244,27 +261,28 @@ def _decide(docs: DataFrame, threshold: float, nearest: int) -> DataFrame:
             for b, own in by_value(to):
                 own = own[np.argsort(sent[own], kind="stable")]
                 k = line[own]
-                out.append((b, -1, squeeze(dict(zip(POSTING, (sent[own], lines.ids[k], doc[lines.text[k]], lines.number[k], size[k], place[own], *(m[k] for m in maps)))))))
+                out.append((b, -1, squeeze(dict(zip(POSTING, (sent[own], lines.ids[k], doc[lines.text[k]], row[lines.text[k]], lines.number[k], size[k], place[own], *(m[k] for m in maps)))))))
         return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "chunk": pa.array([x[1] for x in out], pa.int32()), "blob": pa.array([x[2] for x in out], pa.binary())})
 
     def meet(group: pa.Table) -> pa.Table:
         to, blobs = group["chunk"].to_pylist(), group["blob"].to_pylist()
         out = [(c, 2, x) for c, x in zip(to, blobs) if c >= 0]
         pairs, repeats = candidates(expand([x for c, x in zip(to, blobs) if c < 0], POSTING), threshold, nearest)
-        for chunk, at in by_value(home(pairs["ydoc"], chunks)):
+        for chunk, at in by_value(home(pairs["ydoc"], pairs["yrow"], chunks)):
             out.append((chunk, 0, squeeze({k: pairs[k][at] for k in PAIR})))
-        for chunk, at in by_value(home(repeats["doc"], chunks)):
-            out.append((chunk, 1, squeeze({k: repeats[k][at] for k in ("doc", "line")})))
+        for chunk, at in by_value(home(repeats["doc"], repeats["row"], chunks)):
+            out.append((chunk, 1, squeeze({k: repeats[k][at] for k in ROW_LINE})))
         return pa.table({"chunk": pa.array([x[0] for x in out], pa.int32()), "kind": pa.array([x[1] for x in out], pa.int32()), "blob": pa.array([x[2] for x in out], pa.binary())})
 
-    def lookup(group: pa.Table, wanted: np.ndarray) -> dict[tuple[int, int, int], np.ndarray]:
-        """The words' hashes of lines of the documents wanted, by document, line and set; rows that share an id are told apart by the set."""
-        at = np.flatnonzero(np.isin(group["doc"].to_numpy(), wanted))
+    def lookup(group: pa.Table, wanted: np.ndarray) -> dict[tuple[int, int, int], tuple[int, int, np.ndarray]]:
+        """The words' hashes of lines of the rows wanted (document, place), by document, place and line."""
+        doc, tie = group["doc"].to_numpy(), group["tie"].to_numpy()
+        at = np.flatnonzero(np.isin(doc, wanted[:, 0]) & ((doc != LAST) | np.isin(tie, wanted[:, 1])))
         if not len(at):
             return {}
-        own = group.take(pa.array(at))
-        doc, lines = own["doc"].to_numpy(), Lines(raw(own["text"]))
-        keys = zip(doc[lines.text].tolist(), lines.number.tolist(), lines.ids.view(np.int64).tolist())
+        _, texts, doc, row = in_order(group.take(pa.array(at)))
+        lines = Lines(texts)
+        keys = zip(doc[lines.text].tolist(), row[lines.text].tolist(), lines.number.tolist())
         return {k: (s, e, lines.words) for k, s, e in zip(keys, lines.first[:-1].tolist(), lines.first[1:].tolist())}
 
     def fetch(group: pa.Table, asked: pa.Table) -> pa.Table:
@@ -274,8 +292,8 @@ def _decide(docs: DataFrame, threshold: float, nearest: int) -> DataFrame:
         p = expand([x for k, x in zip(kinds, blobs) if k == 0], PAIR)
         if len(p["xdoc"]):
             pairs = np.unique(np.stack([p[k] for k in PAIR], axis=1), axis=0)
-            have = lookup(group, np.unique(pairs[:, 3]))
-            for chunk, at in by_value(home(pairs[:, 0], chunks)):
+            have = lookup(group, np.unique(pairs[:, 3:5], axis=0))
+            for chunk, at in by_value(home(pairs[:, 0], pairs[:, 1], chunks)):
                 early, which = np.unique(pairs[at, 3:6], axis=0, return_inverse=True)
                 got = [have[tuple(k)] for k in early.tolist()]
                 size = np.array([e - s for s, e, _ in got], np.int64)
@@ -285,62 +303,63 @@ def _decide(docs: DataFrame, threshold: float, nearest: int) -> DataFrame:
         return pa.table({"chunk": pa.array([x[0] for x in out], pa.int32()), "kind": pa.array([x[1] for x in out], pa.int32()), "blob": pa.array([x[2] for x in out], pa.binary())})
 
     def decide(group: pa.Table, got: pa.Table) -> pa.Table:
-        order, texts, doc = in_order(group)
+        order, texts, doc, row = in_order(group)
         gone: dict[int, set] = defaultdict(set)
-        late: dict[int, set] = defaultdict(set)
+        late: dict[tuple[int, int], set] = defaultdict(set)
         tests, open_lines = [], defaultdict(set)
         for kind, blob in zip(got["kind"].to_pylist(), got["blob"].to_pylist()):
             if kind == 2:
-                x = expand([blob], ("doc", "line", "row"))
-                for r, no in zip(x["row"].tolist(), x["line"].tolist()):
+                x = expand([blob], ("line", "at"))
+                for r, no in zip(x["at"].tolist(), x["line"].tolist()):
                     gone[r].add(no)
             elif kind == 1:
-                x = expand([blob], ("doc", "line"))
-                for d, no in zip(x["doc"].tolist(), x["line"].tolist()):
-                    late[d].add(no)
+                x = expand([blob], ROW_LINE)
+                for d, r, no in zip(*(x[k].tolist() for k in ROW_LINE)):
+                    late[d, r].add(no)
             else:
                 x = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64)
                 head = x[2 : 2 + 5 * x[0]].reshape(-1, 5)
                 size = x[2 + 5 * x[0] : 2 + 5 * x[0] + x[1]]
                 body = x[2 + 5 * x[0] + x[1] :].view(np.uint64)
                 ends = np.cumsum(size).tolist()
-                tests += [(d, no, s, m, body[ends[k] - size[k] : ends[k]]) for d, no, s, m, k in head.tolist()]
-        mine = lookup(group, np.unique([t[0] for t in tests])) if tests else {}
+                tests += [((d, r), no, m, body[ends[k] - size[k] : ends[k]]) for d, r, no, m, k in head.tolist()]
+        mine = lookup(group, np.unique(np.array([t[0] for t in tests], np.int64), axis=0)) if tests else {}
         more = set()
-        for d, no, s, m, early in tests:
-            if no not in late[d]:
-                a, e, words_of = mine[d, no, s]
+        for own, no, m, early in tests:
+            if no not in late[own]:
+                a, e, words_of = mine[*own, no]
                 if similar(words_of[a:e], early, threshold):
-                    late[d].add(no)
+                    late[own].add(no)
                 elif m:
-                    more.add((d, no))
-        for d, no in more:
-            if no not in late[d]:
-                open_lines[d].add(no)
-        waiting: dict[int, list] = defaultdict(list)
+                    more.add((own, no))
+        for own, no in more:
+            if no not in late[own]:
+                open_lines[own].add(no)
+        waiting: dict[tuple[int, int], list] = defaultdict(list)
         if any(open_lines.values()):
             words_of = next(iter(mine.values()))[2]
             known, often = np.unique(words_of, return_counts=True)
-            for d, no, at, _, _ in {t[:3]: t for t in tests}.values():
-                if no in open_lines[d]:
-                    a, e, _ = mine[d, no, at]
-                    own = words_of[a:e]
-                    waiting[d].append({"no": no, "set": at, "words": own[np.argsort(often[np.searchsorted(known, own)], kind="stable")].tobytes()})
-        out, unnamed = [], group["unnamed"].to_pylist()
+            for own, numbers in open_lines.items():
+                for no in sorted(numbers):
+                    a, e, _ = mine[*own, no]
+                    w = words_of[a:e]
+                    waiting[own].append({"no": no, "words": w[np.argsort(often[np.searchsorted(known, w)], kind="stable")].tobytes()})
+        out, unnamed, ties = [], group["unnamed"].to_pylist(), group["tie"].to_pylist()
         for r, i in enumerate(order):
             d = int(doc[r])
+            own = d, int(row[r])
             lines = texts[r].split(b"\n") if texts[r] else []
-            away = gone[r] | late[d]
+            away = gone[r] | late[own]
             kept = b"\n".join([x for no, x in enumerate(lines) if no not in away]) if away else texts[r]
-            out.append((None if unnamed[i] else d, d, len(lines), sorted(away), hashlib.sha256(kept).hexdigest(), hashlib.sha256(texts[r]).digest(), waiting.pop(d, [])))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string(), pa.binary(), pa.list_(pa.struct([("no", pa.int32()), ("set", pa.int64()), ("words", pa.binary())])))
-        names = ("doc_id", "doc", "n_lines", "removed", "kept_sha256", "text_sha256", "open")
+            out.append((None if unnamed[i] else d, d, ties[i], len(lines), sorted(away), hashlib.sha256(kept).hexdigest(), hashlib.sha256(texts[r]).digest(), waiting.pop(own, [])))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string(), pa.binary(), pa.list_(pa.struct([("no", pa.int32()), ("words", pa.binary())])))
+        names = ("doc_id", "doc", "tie", "n_lines", "removed", "kept_sha256", "text_sha256", "open")
         return pa.table({n: pa.array([x[i] for x in out], k) for i, (n, k) in enumerate(zip(names, kinds))})
 
     postings = chunk_totals(rows, words, send, "bucket int, chunk int, blob binary", buckets=buckets)
     pairs = postings.groupBy("bucket").applyInArrow(meet, "chunk int, kind int, blob binary")
     fetched = rows.groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(fetch, "chunk int, kind int, blob binary")
-    return rows.groupBy("chunk").cogroup(fetched.groupBy("chunk")).applyInArrow(decide, "doc_id long, doc long, n_lines long, removed array<int>, kept_sha256 string, text_sha256 binary, open array<struct<no:int,set:long,words:binary>>")
+    return rows.groupBy("chunk").cogroup(fetched.groupBy("chunk")).applyInArrow(decide, "doc_id long, doc long, tie long, n_lines long, removed array<int>, kept_sha256 string, text_sha256 binary, open array<struct<no:int,words:binary>>")
 
 
 class Waiting:
@@ -348,7 +367,7 @@ class Waiting:
 
     def __init__(self, lines: list, threshold: float):
         self.threshold = threshold
-        self.doc, self.no, self.set = (np.array([r[k] for r in lines], np.int64) for k in ("doc", "no", "set"))
+        self.doc, self.tie, self.no = (np.array([r[k] for r in lines], np.int64) for k in ("doc", "tie", "no"))
         rare = [np.frombuffer(r["words"], np.uint64) for r in lines]
         self.words = [np.sort(w) for w in rare]
         self.size = np.array([len(w) for w in rare], np.int64)
@@ -360,7 +379,7 @@ class Waiting:
         self.word, self.first = np.unique(word[order], return_index=True)
         self.first = np.append(self.first, len(word))
 
-    def matched(self, doc: np.ndarray, lines: Lines) -> np.ndarray:
+    def matched(self, doc: np.ndarray, tie: np.ndarray, lines: Lines) -> np.ndarray:
         """Which open lines have an earlier similar one among these lines of documents."""
         at = np.searchsorted(self.word, lines.words)
         at[at == len(self.word)] = 0
@@ -370,8 +389,8 @@ class Waiting:
         y = np.repeat(np.searchsorted(lines.first, hit, "right") - 1, count)
         pair = np.unique(x * len(lines.number) + y)
         x, y = pair // max(1, len(lines.number)), pair % max(1, len(lines.number))
-        d, no, own = doc[lines.text[y]], lines.number[y], lines.ids[y].view(np.int64)
-        earlier = (d < self.doc[x]) | (d == self.doc[x]) & ((no < self.no[x]) | (no == self.no[x]) & (own < self.set[x]))
+        d, t, no = doc[lines.text[y]], tie[lines.text[y]], lines.number[y]
+        earlier = (d < self.doc[x]) | (d == self.doc[x]) & ((t < self.tie[x]) | (t == self.tie[x]) & (no < self.no[x]))
         size = np.diff(lines.first)[y]
         near = (size >= self.threshold * self.size[x] - 1e-9) & (self.size[x] >= self.threshold * size - 1e-9)
         found: set[int] = set()
@@ -384,31 +403,32 @@ class Waiting:
 def _settle(docs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     """found with the open lines decided: blocks of them against all lines, without a shuffle."""
     spark = docs.sparkSession
-    waiting = found.select("doc", F.explode("open").alias("o")).select("doc", "o.*")
+    waiting = found.select("doc", "tie", F.explode("open").alias("o")).select("doc", "tie", "o.*")
     n = waiting.count()
-    rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("doc"), "text")
+    rows = _rows(docs).select("doc", "tie", "text")
     late = None
     blocks = -(-n // BLOCK)
     for k in range(blocks):
-        block = spark.sparkContext.broadcast(Waiting(waiting.filter(F.pmod(F.xxhash64("doc", "no", "set"), F.lit(blocks)) == k).collect(), threshold))
+        block = spark.sparkContext.broadcast(Waiting(waiting.filter(F.pmod(F.xxhash64("doc", "tie", "no"), F.lit(blocks)) == k).collect(), threshold))
 
         def scan(batches, block=block):
             own = block.value
             for b in batches:
                 for lo in range(0, b.num_rows, 1000):
                     part = b.slice(lo, 1000)
-                    at = own.matched(part.column(0).to_numpy(), Lines(raw(part.column(1))))
-                    yield pa.record_batch([pa.array(own.doc[at]), pa.array(own.no[at], pa.int32())], names=["doc", "no"])
+                    at = own.matched(part.column(0).to_numpy(), part.column(1).to_numpy(), Lines(raw(part.column(2))))
+                    yield pa.record_batch([pa.array(own.doc[at]), pa.array(own.tie[at]), pa.array(own.no[at], pa.int32())], names=["doc", "tie", "no"])
 
-        got, _ = materialise(rows.mapInArrow(scan, "doc long, no int"), "late")
+        got, _ = materialise(rows.mapInArrow(scan, "doc long, tie long, no int"), "late")
         late = got if late is None else late.union(got)
     if late is None or late.isEmpty():
         return found
-    more = late.groupBy("doc").agg(F.collect_set("no").alias("more"))
-    texts = rows.join(more.select("doc"), "doc", "left_semi").withColumn("text_sha256", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256))).dropDuplicates(["doc", "text_sha256"])
-    hit = found.join(more, "doc").join(texts, ["doc", "text_sha256"]).withColumn("removed", F.array_sort(F.array_union("removed", "more")))
+    row = ["doc", "tie"]
+    more = late.groupBy(row).agg(F.collect_set("no").alias("more"))
+    texts = rows.join(more.select(row), row, "left_semi").dropDuplicates(row)
+    hit = found.join(more, row).join(texts, row).withColumn("removed", F.array_sort(F.array_union("removed", "more")))
     hit = hit.withColumn("kept_sha256", F.sha2(F.encode(without(F.col("text"), F.col("removed")), "UTF-8"), 256))
-    return found.join(more, "doc", "left_anti").unionByName(hit.select(*found.columns))
+    return found.join(more, row, "left_anti").unionByName(hit.select(*found.columns))
 
 
 def without(text, removed):
@@ -421,7 +441,7 @@ def line_decisions(df: DataFrame, threshold: float = THRESHOLD, nearest: int = N
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found, _ = materialise(_decide(docs, threshold, nearest), "lines")
     release(df.sparkSession)
-    return _settle(docs, found, threshold).drop("open", "doc")
+    return _settle(docs, found, threshold).drop("open", "doc", "tie")
 
 
 def keep_lines(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
