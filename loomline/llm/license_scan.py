@@ -3,12 +3,12 @@
 A paragraph is a line. Its features are the hashed word 1- to 3-grams that occur in the training table; a softmax over the
 licence families, "unknown" and "none" is trained on the driver by gradient descent. Training paragraphs are the notices below and
 variants of them made by rule (other words around them, words left out), a few notices of no family, and for "none" a bounded sample of the corpus's
-own lines, the ``NONE_ROWS`` lines with the smallest hashes among those with no word of the notices' cue words.
+own lines, the ``NONE_ROWS`` lines with the smallest hashes among those without cue words, but for lines that share a word
+3-gram with a template. Every line that holds any of the model's n-grams is scored.
 
 Calibration: paragraphs with one family's notice held out play the unseen licence. Each family's confidence threshold is the
-least that keeps their accepted share and that of damaged variants below ``ERROR``. A paragraph that has a cue word and
-isn't "none", but falls below its family's threshold or matches none of the family's templates, is "unknown". A template
-confirms if the paragraph holds at least ``CONFIRM`` of the template's word 3-grams.
+least that keeps their accepted share and that of damaged variants below ``ERROR``. A paragraph that isn't "none", but falls
+below its family's threshold or matches none of the family's templates, is "unknown". A template confirms if the paragraph holds at least ``CONFIRM`` of the template's word 3-grams.
 
 Words: A-Z lower-cased, runs of ASCII letters and digits and everything beyond ASCII. Null texts have no lines. Equal rows
 are handled separately. Columns other than the two named ones are not read.
@@ -37,7 +37,7 @@ NOTICES = {
     "mit": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Released under the Mozilla Public License 2.0."],
 }
-# Words that a licence notice may be known by, and words to put around notices in training.
+# Words that keep a line out of the sample of ordinary ones, and words to put around notices in training.
 CUES = ("license", "licensed", "licence", "licenced", "copyright", "spdx", "redistribution", "permission", "warranty")
 AROUND = ("note", "the following applies to all files here", "see also", "2021 by the authors", "all rights reserved", "unless stated otherwise", "read this first", "part of the project")
 # Notices of licences that no family covers, and lines with cue words that name no licence.
@@ -85,16 +85,17 @@ class Classifier:
     """features: sorted gram hashes; weights and bias: one column for each family, then "unknown" and "none"."""
 
     def __init__(self, none: list[str]):
+        self.templates = [[np.unique(Lines([n.encode()]).grams(3)[1]) for n in NOTICES[f]] for f in FAMILIES]
+        parts = np.concatenate([t for own in self.templates for t in own])
+        none = [t for t in none if not np.isin(Lines([t.replace("\n", " ").encode()]).grams(3)[1], parts).any()]
         texts, labels, damaged = _training()
         known = Lines([t.encode() for t in texts])
-        self.cues = np.unique(Words([c.encode() for c in CUES], ALNUM).grams(1)[1])
         self.features = np.unique(np.concatenate([known.grams(n)[1] for n in (1, 2, 3)]))
         k = len(FAMILIES)
         every = [*texts, *UNKNOWN, *OTHER, *none]
         y = np.array([*labels, *[k] * len(UNKNOWN), *[k + 1] * (len(OTHER) + len(none))])
         x = self._matrix(Lines([t.replace("\n", " ").encode() for t in every]), len(every))
         self.weights, self.bias = self._fit(x, y)
-        self.templates = [[np.unique(Lines([n.encode()]).grams(3)[1]) for n in NOTICES[f]] for f in FAMILIES]
         # the unseen: each family's notices under a model that has never seen the family
         unseen = []
         for k in range(len(FAMILIES)):
@@ -143,31 +144,23 @@ class Classifier:
         """Each text's licence paragraphs: line, family or "unknown", confidence."""
         lines = Lines(texts)
         out: list[list[tuple[int, str, float]]] = [[] for _ in texts]
-        line, key = lines.grams(1)
-        cue = np.isin(key, self.cues)
-        live = np.unique(line[cue])
-        if not len(live):
+        grams = [lines.grams(n) for n in (1, 2, 3)]
+        row, at = (np.concatenate(c) for c in zip(*((line[ok], at[ok]) for line, (at, ok) in ((line, self._find(key)) for line, key in grams))))
+        if not len(row):
             return out
-        x = np.zeros((len(live), len(self.features)), np.float32)
-        trigrams: list[np.ndarray] = [np.empty(0, np.uint64)] * len(live)
-        for n in (1, 2, 3):
-            line, key = lines.grams(n)
-            row = np.searchsorted(live, line)
-            row[row == len(live)] = 0
-            mine = live[row] == line
-            row, key = row[mine], key[mine]
-            at, ok = self._find(key)
-            np.add.at(x, (row[ok], at[ok]), 1.0)
-            if n == 3:
-                ends = np.searchsorted(row, np.arange(len(live) + 1))
-                trigrams = [key[s:e] for s, e in zip(ends[:-1], ends[1:])]
-        x /= np.maximum(1, np.sqrt((x * x).sum(1, keepdims=True)))
-        p = _softmax(x @ self.weights + self.bias)
+        cell, n = np.unique(row * len(self.features) + at, return_counts=True)
+        row, at = cell // len(self.features), cell % len(self.features)
+        starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        live = row[starts]  # lines without any of the model's grams have nothing to score
+        norm = np.maximum(1, np.sqrt(np.add.reduceat(n * n, starts)))
+        p = _softmax(np.add.reduceat(self.weights[at] * n[:, None], starts) / norm[:, None] + self.bias)
         best = p[:, :-2].argmax(1)
+        line, key = grams[2]
+        s, e = np.searchsorted(line, live), np.searchsorted(line, live, "right")
         text = np.searchsorted(lines.begin, live, "right") - 1
         for r, k in enumerate(best.tolist()):
-            sure = max((np.isin(t, trigrams[r]).mean() for t in self.templates[k] if len(t)), default=0.0) >= CONFIRM
-            if sure and p[r, k] >= self.threshold[k]:
+            sure = p[r, k] >= self.threshold[k] and max((np.isin(t, key[s[r] : e[r]]).mean() for t in self.templates[k] if len(t)), default=0.0) >= CONFIRM
+            if sure:
                 name = FAMILIES[k]
             elif p[r, -1] < 0.5:
                 name = "unknown"
