@@ -371,11 +371,11 @@ def keep_rows(df: DataFrame, prints: DataFrame, roots: DataFrame, id_col: str, t
 
 
 def keep_first(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that name their component, one for each id; all its columns. Rows whose component has no name stay."""
-    found = simhash_components(df, shingle, radius, id_col, text_col)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    return kept
+    """One row of each component of df, with all its columns (see keep_rows)."""
+    rows = df.select(F.struct(F.col(id_col).alias("doc_id"), row_hash(text_col).alias("row")).alias("own"), F.col(text_col).alias("text"))
+    prints, _ = materialise(fingerprints(rows, shingle, "own", "text").select("doc_id.*", "fp"), "fingerprints")
+    nodes, _ = materialise(prints.select("fp").distinct(), "nodes")
+    return keep_rows(df, prints, components(near_links(nodes, radius)), id_col, text_col)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
