@@ -10,11 +10,14 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-#: Any odd 64-bit constants do; changing them changes no result, only hash values.
-BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Odd 64-bit constants: the start of a word's hash, and the base of Rabin-Karp over words' hashes.
+WORD_SEED = np.uint64(0x9E3779B97F4A7C15)
 WORD_BASE = np.uint64(0xD1342543DE82EF95)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 512
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: True for bytes of words that white space separates.
@@ -92,6 +95,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def sorted_within(group: np.ndarray, key: np.ndarray, rank: np.ndarray | None = None) -> np.ndarray:
+    """The order of rows by group, then rank (below 256), then key. Groups are whole numbers from 0.
+
+    Numbers that hold group, rank, the key's first bits and the row are sorted by value, which is far faster than sorting places;
+    rows that those bits don't tell apart are put in order afterwards.
+    """
+    n = len(key)
+    at = max(1, n.bit_length())
+    most = max(1, int(group.max(initial=0)).bit_length())
+    bits = min(56, 64 - at - most - (8 if rank is not None else 0))
+    if n == 0 or bits < 1:
+        return np.lexsort((key, group) if rank is None else (key, rank, group))
+    whole = group.astype(np.uint64)
+    if rank is not None:
+        whole = whole << np.uint64(8) | rank.astype(np.uint64)
+    whole = (whole << np.uint64(bits) | key >> np.uint64(64 - bits)) << np.uint64(at) | np.arange(n, dtype=np.uint64)
+    whole.sort()
+    order = (whole & np.uint64((1 << at) - 1)).astype(np.int64)
+    head = whole >> np.uint64(at)
+    same = head[1:] == head[:-1]
+    if same.any():
+        tied = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
+        own = order[tied]
+        order[tied] = own[np.lexsort((key[own], head[tied]))]
+    return order
+
+
 @functools.lru_cache(maxsize=8)
 def _powers(base: int, n: int) -> np.ndarray:
     p = np.full(n, np.uint64(base))
@@ -143,17 +173,21 @@ class Words:
 
     @functools.cached_property
     def hash(self) -> np.ndarray:
-        """Rabin-Karp over bytes in blocks, so that temporary arrays stay small."""
-        out, block = np.empty(len(self.start), np.uint64), 1 << 16
-        lo = 0
-        while lo < len(self.start):
-            base = int(self.start[lo])
-            hi = max(lo + 1, int(np.searchsorted(self.end, base + block, "right")))
-            top = int(self.end[hi - 1])
-            p = rolling(self._bytes[base:top].astype(np.uint64) + np.uint64(1), BYTE_BASE)
-            out[lo:hi] = rolled(p, self.start[lo:hi] - base, self.end[lo:hi] - base, BYTE_BASE)
-            lo = hi
-        return mix(out)
+        """Each word's bytes, eight at a time, pass through a bijection that mixes all bits, so no structure of a word survives;
+        words of up to eight bytes and equal length never share a hash. All words advance together; the longest are hashed apart."""
+        size = self.end - self.start
+        padded = np.concatenate([self._bytes, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+        mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+        h = mix((size.astype(np.uint64) * WORD_SEED) ^ (eight[self.start] & mask[np.minimum(size, 8)]))
+        live, k = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+        while len(live):
+            left = size[live] - k
+            h[live] = mix((h[live] + WORD_BASE) ^ (eight[self.start[live] + k] & mask[np.minimum(left, 8)]))
+            live, k = live[left > 8], k + 8
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            h[i] = xxhash.xxh64_intdigest(self.word(i))
+        return h
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]]

@@ -4,55 +4,61 @@ A line is the set of its words (A-Z lower-cased, separated by ASCII white space)
 ``threshold`` or more, the later one goes, whether or not the earlier one stays; earlier means a smaller doc_id (null last), of
 rows that share an id (or have none) a smaller hash of the text, then an earlier line. Blank lines always stay.
 
-1. Words are counted over all documents (see keycount). A word's code is its rarity class by that count and its hash, so
-   sorted codes run from rare to frequent.
-2. A line sends one posting for each word of its prefix, the |x| - ceil(t |x|) + 1 rarest words, but for words that occur
-   once. Lines that are equal sets meet within a chunk of documents first and send one line's postings.
+1. Words are counted over all documents in ``SLOTS`` hashed counters. A word's code is its rarity class by its counter and its hash,
+   so sorted codes run from rare to frequent, in the same order everywhere.
+2. A line sends one posting for each word of its prefix, the |x| - ceil(t |x|) + 1 rarest words, but for words that certainly
+   occur once. Lines that are equal sets meet within a task first and send one line's postings.
 3. A bucket of words drops equal sets but the first, then compares postings of a word under the length filter, the
-   positional filter, and a bitmap filter: the parity of a line's words in ``BITS`` bits bounds from below how many words two lines
-   differ in. For each line it names the ``nearest`` earlier candidates and notes whether there were more.
-4. Candidates' words are fetched from their documents and compared exactly. A line that had more candidates, none of the
-   nearest matching, stays open. Open lines are then a query set: in blocks of bounded size they meet all lines once more,
-   each by as many of its rarest words as a similar line must share one of. So the bound never costs a match.
-
-A row is known by its id and its place among the rows of that id. Ids that are null have no place: these rows are dealt out and
-told apart by the hash of the text. Texts that are null have no lines. Equal rows are told apart: the second one's lines match the first one's. Columns other than
-the two named ones pass through keep_lines() unread.
+   positional filter, and a bitmap filter: the parity of a line's words in 128 bits bounds from below how many words two lines
+   differ in. For each line it names the ``nearest`` earlier candidates and notes whether there were more. Words with more than
+   ``hot`` postings are put aside and compared in squares of that side, each a task's group of its own.
+4. Candidates' words are fetched from their documents and compared exactly.
+5. A line that had more candidates, none of the named ones matching, is compared with all its candidates by a join on the words
+   of its prefix, under the same filters. So the bound of step 3 never costs a match.
+
+Each step's tables are written to the shared folder and its shuffle files released before the next one begins.
+
+A row is known by its id and the hash of its text. Ids that are no whole numbers count as null. Texts that are null have no
+lines. Equal rows are told apart: the second one's lines match the first one's. Columns other than the two named ones pass
+through keep_lines() unread, whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
 import math
-from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._shared import GRAPHIC, Words, materialise, mix, partitions, raw, release, table
-from .keycount import chunk_count, chunk_totals
+from ._shared import GRAPHIC, Words, materialise, mix, partitions, raw, release, sorted_within, table
 
-THRESHOLD, NEAREST = 0.8, 2
+THRESHOLD, NEAREST = 0.8, 4
 #: Candidates whose bitmaps differ by about as many bits are taken in document order, so that lines name the same ones.
 COARSE = 4
-#: Open lines that one broadcast holds.
-BLOCK = 50_000
-#: Bits of a line's bitmap, 64 to 128.
-BITS = 96
+#: Hashed counters of words, and how many parts they are added up in.
+SLOTS, RANGES = 1 << 22, 64
+#: Postings of a word that are compared in one place.
+HOT = 20_000
+#: Bytes of text that are taken apart at once, and postings that a task gathers before it sends them.
+SLICE, HELD = 8 << 20, 1_000_000
 LAST = (1 << 63) - 1
-ROW_LINE = ("doc", "row", "line")
-POSTING = ("code", "set", "doc", "row", "line", "size", "at", "low", "high")
+ROW_LINE = ("doc", "tie", "line")
+POSTING = ("code", "set", "doc", "tie", "line", "size", "at", "low", "high")
+KINDS = ", ".join(f"{c} long" for c in POSTING)
 
 
 class Lines:
     """The non-blank lines of many texts as sets of words: text and number within the text of each line; the words' hashes of
-    line i, without repeats, are words[first[i] : first[i + 1]]."""
+    line i, without repeats, are words[first[i] : first[i + 1]], in the order of classes (if given, a class for each word slot), then hashes."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], classes: np.ndarray | None = None):
         w = Words(texts, GRAPHIC, lower=True)
         cuts = np.flatnonzero(np.frombuffer(w.data, np.uint8) == 10)
         of = np.searchsorted(cuts, w.start)
@@ -62,7 +68,8 @@ class Lines:
         number = of[some]
         self.text = np.searchsorted(begin, number, "right") - 1
         self.number = number - begin[self.text] if len(number) else number
-        self.words, self.first = _sets(w.hash, dense, len(number))
+        self.rank = None if classes is None else classes[slot(w.hash, len(classes))]
+        self.words, self.first, self.rank = _ranked_sets(w.hash, dense, len(number), self.rank)
 
     @functools.cached_property
     def ids(self) -> np.ndarray:
@@ -70,14 +77,16 @@ class Lines:
         return np.add.reduceat(mix(self.words), self.first[:-1]) if len(self.words) else np.empty(0, np.uint64)
 
 
-def _sets(key: np.ndarray, line: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys sorted within their lines, without repeats, and where each line's begin."""
-    order = np.argsort(key)
-    by = line[order]
-    order = order[np.argsort(by.astype(np.uint16) if lines < 1 << 16 else by, kind="stable")]
+def _ranked_sets(key: np.ndarray, line: np.ndarray, lines: int, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    order = sorted_within(line, key, rank)
     key, line = key[order], line[order]
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])]) if len(key) else np.empty(0, bool)
-    return key[new], np.searchsorted(line[new], np.arange(lines + 1))
+    return key[new], np.searchsorted(line[new], np.arange(lines + 1)), None if rank is None else rank[order][new]
+
+
+def _sets(key: np.ndarray, line: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys sorted within their lines, without repeats, and where each line's begin."""
+    return _ranked_sets(key, line, lines, None)[:2]
 
 
 def rarity(totals: np.ndarray) -> np.ndarray:
@@ -85,26 +94,9 @@ def rarity(totals: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.where(totals > 1, 1 + np.log2(np.maximum(totals, 1)) * 5, 0)).astype(np.uint64)
 
 
-def places(doc: np.ndarray, tie: np.ndarray) -> np.ndarray:
-    """What tells the rows of an id apart, for rows sorted by id and text hash: their place, from 0; the hash where the id is null."""
-    if not len(doc):
-        return tie
-    new = np.concatenate([[True], doc[1:] != doc[:-1]])
-    place = np.cumsum(new | np.concatenate([[True], tie[1:] != tie[:-1]]))
-    return np.where(doc == LAST, tie, place - place[new][np.cumsum(new) - 1])
-
-
-def home(doc: np.ndarray, row: np.ndarray, chunks: int) -> np.ndarray:
-    """The chunk of each row: pmod(xxhash64(id), chunks) as Spark computes it, of the text's hash where the id is null."""
-    doc = np.where(doc == LAST, row, doc)
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda x, r: x << np.uint64(r) | x >> np.uint64(64 - r)
-    h = np.full(len(doc), np.uint64(42) + p5 + np.uint64(8))
-    h ^= turn(doc.astype(np.int64).view(np.uint64) * p2, 31) * p1
-    h = turn(h, 27) * p1 + p4
-    h = (h ^ h >> np.uint64(33)) * p2
-    h = (h ^ h >> np.uint64(29)) * p3
-    return np.mod((h ^ h >> np.uint64(32)).view(np.int64), chunks)
+def slot(key: np.ndarray, slots: int) -> np.ndarray:
+    """The counter of a key, by the key's first bits."""
+    return (key >> np.uint64(64 - (slots.bit_length() - 1))).astype(np.int64)
 
 
 def squeeze(columns: dict[str, np.ndarray]) -> bytes:
@@ -125,15 +117,6 @@ def expand(blobs: list[bytes], names: tuple[str, ...]) -> dict[str, np.ndarray]:
     return {n: np.concatenate(x) if x else np.empty(0, np.int64) for n, x in got.items()}
 
 
-def by_value(key: np.ndarray):
-    """The distinct keys, and where each lies in key."""
-    order = np.argsort(key, kind="stable")
-    s = key[order]
-    at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, np.int64)
-    for b, e in zip(at.tolist(), np.append(at[1:], len(s)).tolist()):
-        yield int(s[b]), order[b:e]
-
-
 def similar(a: list[int] | np.ndarray, b: np.ndarray, threshold: float) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both >= threshold * (len(a) + len(b) - both) - 1e-9
@@ -143,305 +126,442 @@ def prefix(size: int, threshold: float) -> int:
     return size - math.ceil(threshold * size - 1e-9) + 1
 
 
-def candidates(p: dict[str, np.ndarray], threshold: float, nearest: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
-    """From postings of whole words: pairs (x later, y earlier) to verify, and lines that repeat an earlier set."""
-    order = np.lexsort((p["line"], p["row"], p["doc"], p["set"], p["code"]))
-    p = {k: v[order] for k, v in p.items()}
-    again = np.concatenate([[False], (p["code"][1:] == p["code"][:-1]) & (p["set"][1:] == p["set"][:-1])]) if len(order) else np.empty(0, bool)
-    repeats = {k: p[k][again & (p["at"] == 0)] for k in ROW_LINE}
-    p = {k: v[~again] for k, v in p.items()}
-    order = np.lexsort((p["line"], p["row"], p["doc"], p["size"], p["code"]))
+def prefixes(size: np.ndarray, threshold: float) -> np.ndarray:
+    return (size - np.ceil(threshold * size - 1e-9) + 1).astype(np.int64)
+
+
+def _slices(batch: pa.RecordBatch, column: int):
+    """Parts of a batch with about SLICE bytes of text, a row at least."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    lo, total = 0, np.concatenate([[0], np.cumsum(size)])
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + SLICE, "right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def counted(df: DataFrame, keys, slots: int) -> np.ndarray:
+    """How many of the keys that keys(batch) yields fall to each of the slots, over all of df. Its size is fixed by slots."""
+    spark = df.sparkSession
+    width = slots // RANGES
+
+    def count(batches):
+        total = np.zeros(slots, np.uint32)
+        for b in batches:
+            for key in keys(b):
+                total += np.bincount(slot(key, slots), minlength=slots).astype(np.uint32)
+        parts = [(r, squeeze({"n": total[r * width : (r + 1) * width].astype(np.uint64)})) for r in range(RANGES) if total[r * width : (r + 1) * width].any()]
+        yield pa.record_batch([pa.array([r for r, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["range", "n"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for r, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = expand([blob], ("n",))["n"]
+                sums[r] = sums[r] + x if r in sums else x
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, (1 << 32) - 1).astype("<u4").tobytes() for x in sums.values()], pa.binary())], names=["range", "n"])
+
+    out = np.zeros(slots, np.uint32)
+    for r in df.mapInArrow(count, "range int, n binary").repartition(min(RANGES, partitions(spark)), "range").mapInArrow(add, "range int, n binary").collect():  # slots numbers in all
+        out[r["range"] * width : (r["range"] + 1) * width] = np.frombuffer(r["n"], "<u4")
+    return out
+
+
+def earlier(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether line x of the postings comes before line y."""
+    d, t = p["doc"], p["tie"]
+    return (d[x] < d[y]) | (d[x] == d[y]) & ((t[x] < t[y]) | (t[x] == t[y]) & (p["line"][x] < p["line"][y]))
+
+
+def _nearest(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, d: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most pairs of each x (a set's first posting stands for it): by distance, then in document order of y; each y once."""
+    sx, sy = p["set"][x], p["set"][y]
+    order = np.lexsort((sy, p["line"][y], p["tie"][y], p["doc"][y], d, sx))
+    x, y, d, sx, sy = (c[order] for c in (x, y, d, sx, sy))
+    new = np.concatenate([[True], (sx[1:] != sx[:-1]) | (sy[1:] != sy[:-1])]) if len(x) else np.empty(0, bool)
+    x, y, d = x[new], y[new], d[new]
+    keep = _places(p["set"][x]) < most
+    return x[keep], y[keep], d[keep]
+
+
+def _places(x: np.ndarray) -> np.ndarray:
+    """How many equal numbers precede each in a sorted array."""
+    starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
+    return np.arange(len(x)) - np.repeat(starts, np.diff(np.append(starts, len(x))))
+
+
+PAIR = ("xdoc", "xtie", "xline", "ydoc", "ytie", "yline", "more")
+
+
+def once(p: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Postings sorted by word and size with one line, the first, of each set and word; and the lines that repeat an earlier set."""
+    order = np.lexsort((p["set"], p["size"], p["code"]))
     p = {k: v[order] for k, v in p.items()}
-    n, code, size = len(order), p["code"], p["size"]
-    first = np.empty(n, np.int64)
-    first[np.lexsort((p["line"], p["row"], p["doc"]))] = np.arange(n)
-    maps = [p[m].view(np.uint64) for m in ("low", "high")]  # bits of signed numbers don't count right
+    same = (p["code"][1:] == p["code"][:-1]) & (p["set"][1:] == p["set"][:-1]) if len(order) else np.empty(0, bool)
+    if same.any():
+        run = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
+        own = run[np.lexsort((p["line"][run], p["tie"][run], p["doc"][run], p["set"][run], p["size"][run], p["code"][run]))]
+        p = {k: v.copy() for k, v in p.items()}
+        for v in p.values():
+            v[run] = v[own]
+    again = np.concatenate([[False], same]) if len(order) else np.empty(0, bool)
+    return {k: v[~again] for k, v in p.items()}, {k: p[k][elsewhere(again, *(p[c] for c in ROW_LINE)) & (p["at"] == 0)] for k in ROW_LINE}
+
+
+def elsewhere(again: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """Which of the repeats stand in another place than the first of their run: equal rows share their places."""
+    first = np.maximum.accumulate(np.where(again, 0, np.arange(len(again))))
+    differs = np.zeros(len(again), bool)
+    for c in place:
+        differs |= c != c[first]
+    return again & differs
+
+
+def candidates(p: dict[str, np.ndarray], threshold: float, nearest: int, hot: int = HOT) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """From postings of whole words: pairs (x later, y earlier) to verify, lines that repeat an earlier set, and postings of hot words."""
+    p, repeats = once(p)
+    n, code = len(p["code"]), p["code"]
+    starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if n else np.empty(0, np.int64)
+    count = np.diff(np.append(starts, n))
+    big = np.repeat(count > hot, count)
+    aside = {k: v[big] for k, v in p.items()}
+    some = np.repeat(count > 1, count) & ~big
+    p = {k: v[some] for k, v in p.items()}
+    n, code, size = len(p["code"]), p["code"], p["size"]
     starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if n else np.empty(0, np.int64)
-    ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n))) if n else starts
     # sizes rise within a word, so the partners of a posting that pass the length filter follow it without a gap
-    composite = np.cumsum(np.concatenate([[0], code[1:] != code[:-1]])) * (1 << 24) + size if n else size
-    limit = np.minimum(ends, np.searchsorted(composite, (composite >> 24 << 24) + np.minimum(np.floor(size / threshold + 1e-9).astype(np.int64), (1 << 24) - 1), "right")) if n else ends
-    span = limit - np.arange(n) - 1
+    composite = np.cumsum(np.concatenate([[0], code[1:] != code[:-1]])) * (1 << 31) + size if n else size
+    limit = np.minimum(np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n))), np.searchsorted(composite, (composite >> 31 << 31) + np.minimum(np.floor(size / threshold + 1e-9).astype(np.int64), (1 << 31) - 1), "right")) if n else size
     xs, ys, ds = [], [], []
-    lo = 0
-    total = np.concatenate([[0], np.cumsum(span)])
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + (1 << 21), "right")) - 1)
-        a = np.repeat(np.arange(lo, hi), span[lo:hi])
-        b = a + 1 + np.arange(len(a)) - np.repeat(total[lo:hi] - total[lo], span[lo:hi])
-        sum_size = size[a] + size[b]
-        need = np.ceil(threshold / (1 + threshold) * sum_size - 1e-9)
-        ok = 1 + np.minimum(size[a] - p["at"][a], size[b] - p["at"][b]) - 1 + np.minimum(p["at"][a], p["at"][b]) >= need
-        a, b, need, sum_size = a[ok], b[ok], need[ok], sum_size[ok]
-        far = np.zeros(len(a), np.int64)
-        for m in maps:
-            far += np.bitwise_count(m[a] ^ m[b])
-        ok = far <= sum_size - 2 * need
-        a, b, far = a[ok], b[ok], far[ok]
-        later = first[a] > first[b]
+    for a, b in _following(limit - np.arange(n) - 1):
+        a, b, far = compared(p, a, b, threshold)
+        later = earlier(p, b, a)
         xs.append(np.where(later, a, b))
         ys.append(np.where(later, b, a))
         ds.append(far // COARSE)
         if sum(map(len, xs)) > 1 << 22:
-            xs, ys, ds = ([c] for c in _nearest(np.concatenate(xs), np.concatenate(ys), np.concatenate(ds), nearest + 1, first))
+            xs, ys, ds = ([c] for c in _nearest(p, np.concatenate(xs), np.concatenate(ys), np.concatenate(ds), nearest + 1))
+    return _named(p, xs, ys, ds, nearest), repeats, aside
+
+
+def _following(span: np.ndarray):
+    """Blocks of pairs of each row with the span rows after it."""
+    lo, n = 0, len(span)
+    total = np.concatenate([[0], np.cumsum(span)])
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + (1 << 21), "right")) - 1)
+        a = np.repeat(np.arange(lo, hi), span[lo:hi])
+        yield a, a + 1 + np.arange(len(a)) - np.repeat(total[lo:hi] - total[lo], span[lo:hi])
         lo = hi
+
+
+def compared(p: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of postings of a word that pass the length, positional and bitmap filters, and by how many bits their bitmaps differ."""
+    size, at = p["size"], p["at"]
+    need = np.ceil(threshold / (1 + threshold) * (size[a] + size[b]) - 1e-9)
+    ok = (np.minimum(size[a] - at[a], size[b] - at[b]) + np.minimum(at[a], at[b]) >= need) & (np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9)
+    a, b, need = a[ok], b[ok], need[ok]
+    far = sum(np.bitwise_count(p[m][a].view(np.uint64) ^ p[m][b].view(np.uint64)).astype(np.int64) for m in ("low", "high"))
+    ok = far <= size[a] + size[b] - 2 * need
+    return a[ok], b[ok], far[ok]
+
+
+def _named(p: dict[str, np.ndarray], xs: list, ys: list, ds: list, nearest: int) -> dict[str, np.ndarray]:
     x, y, d = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (xs, ys, ds))
-    x, y, d = _nearest(x, y, d, nearest + 1, first)
-    place = _places(x)
-    more = np.isin(x, x[place >= nearest])
+    x, y, d = _nearest(p, x, y, d, nearest + 1)
+    place = _places(p["set"][x])
+    more = np.isin(p["set"][x], p["set"][x[place >= nearest]])
     keep = place < nearest
     x, y, more = x[keep], y[keep], more[keep]
-    return {"xdoc": p["doc"][x], "xrow": p["row"][x], "xline": p["line"][x], "ydoc": p["doc"][y], "yrow": p["row"][y], "yline": p["line"][y], "more": more.astype(np.int64)}, repeats
+    return {"xdoc": p["doc"][x], "xtie": p["tie"][x], "xline": p["line"][x], "ydoc": p["doc"][y], "ytie": p["tie"][y], "yline": p["line"][y], "more": more.astype(np.int64)}
 
 
-def _nearest(x: np.ndarray, y: np.ndarray, d: np.ndarray, most: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The most pairs of each x: by distance, then by the place of y in first, the order of documents."""
-    order = np.lexsort((first[y], d, x))
-    x, y, d = x[order], y[order], d[order]
-    keep = _places(x) < most
-    return x[keep], y[keep], d[keep]
+def square(p: dict[str, np.ndarray], threshold: float, nearest: int) -> dict[str, np.ndarray]:
+    """Pairs between two sides (column side, 0 and 1) of one hot word's postings, or among one side alone."""
+    p, side = p, p["side"]
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    xs, ys, ds = [], [], []
+    other = right if len(right) else left
+    block = max(1, (1 << 21) // max(1, len(other)))
+    for lo in range(0, len(left), block):
+        a, b = np.repeat(left[lo : lo + block], len(other)), np.tile(other, len(left[lo : lo + block]))
+        if not len(right):
+            a, b = a[a < b], b[a < b]
+        a, b, far = compared(p, a, b, threshold)
+        later = earlier(p, b, a)
+        xs.append(np.where(later, a, b))
+        ys.append(np.where(later, b, a))
+        ds.append(far // COARSE)
+        if sum(map(len, xs)) > 1 << 22:
+            xs, ys, ds = ([c] for c in _nearest(p, np.concatenate(xs), np.concatenate(ys), np.concatenate(ds), nearest + 1))
+    return _named(p, xs, ys, ds, nearest)
+
+
+def _keyed(df: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    """doc, the id that sorts null last, tie, a hash of the text, and text."""
+    kind = df.schema[id_col].dataType.simpleString()
+    number = F.col(id_col).cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else F.col(id_col).cast("string").try_cast("long")
+    return df.select(F.coalesce(number, F.lit(LAST)).alias("doc"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"), *more)
+
+
+def posted(lines: Lines, doc: np.ndarray, tie: np.ndarray, which: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
+    """The postings of some of the lines, but for words that occur once. doc and tie: of each text."""
+    count = len(lines.number)
+    size = np.diff(lines.first)
+    place = lines.words & np.uint64(127)
+    bit, low = np.uint64(1) << (place & np.uint64(63)), place < 64
+    maps = [np.bitwise_xor.reduceat(np.where(low == side, bit, np.uint64(0)), lines.first[:-1]) if count else np.empty(0, np.uint64) for side in (True, False)]
+    long = np.where(which, prefixes(size, threshold), 0)
+    line = np.repeat(np.arange(count), long)
+    at = np.arange(len(line)) - np.repeat(np.cumsum(long) - long, long)
+    word = lines.first[line] + at
+    some = lines.rank[word] > 0
+    line, at, word = line[some], at[some], word[some]
+    code = lines.rank[word].astype(np.uint64) << np.uint64(40) | lines.words[word] >> np.uint64(24)
+    text = lines.text[line]
+    return {"code": code.view(np.int64), "set": lines.ids[line].view(np.int64), "doc": doc[text], "tie": tie[text], "line": lines.number[line], "size": size[line], "at": at, **{n: m[line].view(np.int64) for n, m in zip(("low", "high"), maps)}}
+
+
+def _postings(rows: DataFrame, classes, threshold: float, buckets: int) -> DataFrame:
+    """bucket, kind (0: postings, 1: lines known as repeats) and blob."""
+
+    def send(batches):
+        held: list[dict[str, np.ndarray]] = []
+        turn = 0
+
+        def flush():
+            p = {k: np.concatenate([h[k] for h in held]) for k in POSTING}
+            held.clear()
+            to = (mix(p["code"].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((p["code"], to))
+            p, to = {k: v[order] for k, v in p.items()}, to[order]
+            edges = np.searchsorted(to, np.arange(buckets + 1))
+            out = [(b, squeeze({k: v[s:e] for k, v in p.items()})) for b, (s, e) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if e > s]
+            return pa.record_batch([pa.array([b for b, _ in out], pa.int32()), pa.array([0] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "kind", "blob"])
+
+        for b in batches:
+            for part in _slices(b, 2):
+                lines = Lines(raw(part.column(2)), classes.value)
+                doc, tie = part.column(0).to_numpy(), part.column(1).to_numpy()
+                if not len(lines.number):
+                    continue
+                d, t = doc[lines.text], tie[lines.text]
+                order = np.lexsort((lines.number, t, d, lines.ids))
+                ids = lines.ids[order]
+                again = np.zeros(len(order), bool)
+                again[order[1:][ids[1:] == ids[:-1]]] = True
+                away = order[elsewhere(again[order], d[order], t[order], lines.number[order])]
+                if len(away):
+                    turn += 1
+                    gone = {"doc": d[away], "tie": t[away], "line": lines.number[away]}
+                    yield pa.record_batch([pa.array([turn % buckets], pa.int32()), pa.array([1], pa.int32()), pa.array([squeeze(gone)], pa.binary())], names=["bucket", "kind", "blob"])
+                held.append(posted(lines, doc, tie, ~again, threshold))
+                if sum(len(h["code"]) for h in held) > HELD:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return rows.mapInArrow(send, "bucket int, kind int, blob binary")
+
+
+FOUND = "kind int, " + ", ".join(f"{c} long" for c in (*PAIR, *POSTING))
+
+
+def _found(kind: int, columns: dict[str, np.ndarray]) -> pa.Table:
+    n = len(next(iter(columns.values())))
+    none = pa.nulls(n, pa.int64())
+    return pa.table({"kind": pa.array(np.full(n, kind, np.int32)), **{c: pa.array(columns[c].astype(np.int64)) if c in columns else none for c in (*PAIR, *POSTING)}})
+
+
+def _meet(rows: DataFrame, classes, threshold: float, nearest: int, hot: int) -> DataFrame:
+    """kind 0: pairs to verify; 1: lines that repeat an earlier set; 2: postings of hot words."""
 
+    def meet(group: pa.Table) -> pa.Table:
+        kinds, blobs = group["kind"].to_pylist(), group["blob"].to_pylist()
+        known = expand([x for k, x in zip(kinds, blobs) if k == 1], ROW_LINE)
+        pairs, repeats, aside = candidates(expand([x for k, x in zip(kinds, blobs) if k == 0], POSTING), threshold, nearest, hot)
+        return pa.concat_tables([_found(0, pairs), _found(1, known), _found(1, repeats), _found(2, aside)])
 
-def _places(x: np.ndarray) -> np.ndarray:
-    """How many equal numbers precede each in a sorted array."""
-    starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
-    return np.arange(len(x)) - np.repeat(starts, np.diff(np.append(starts, len(x))))
+    buckets = partitions(rows.sparkSession)
+    return materialise(_postings(rows, classes, threshold, buckets).groupBy("bucket").applyInArrow(meet, FOUND), "lines-met")[0]
 
 
-PAIR = ("xdoc", "xrow", "xline", "ydoc", "yrow", "yline", "more")
-
-
-def _rows(docs: DataFrame) -> DataFrame:
-    """docs with doc, the id that sorts null last, and tie, a hash of the text."""
-    return docs.select(F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("tie"), "doc_id", "text")
-
-
-def _decide(docs: DataFrame, threshold: float, nearest: int) -> DataFrame:
-    """For each row of docs: its id, line counts, removed lines, digests of what is kept and of the text, and open lines."""
-    chunks, buckets = chunk_count(docs.sparkSession), partitions(docs.sparkSession)
-    rows = _rows(docs).select(F.pmod(F.xxhash64(F.when(F.col("doc") == LAST, F.col("tie")).otherwise(F.col("doc"))), F.lit(chunks)).cast("int").alias("chunk"), "doc", "tie", F.col("doc_id").isNull().alias("unnamed"), "text")
-
-    def in_order(group: pa.Table) -> tuple[list[int], list[bytes], np.ndarray, np.ndarray]:
-        """The rows of a chunk in document order, equal rows side by side; their texts, ids and places (see places)."""
-        texts, doc, tie = raw(group["text"]), group["doc"].to_numpy(), group["tie"].to_numpy()
-        order = np.lexsort((tie, doc))
-        return order.tolist(), [texts[i] for i in order.tolist()], doc[order], places(doc[order], tie[order])
-
-    def words(group: pa.Table):
-        _, texts, doc, row = in_order(group)
-        lines = Lines(texts)
-        return lines.words, (lines, doc, row, group["chunk"][0].as_py())
-
-    def send(group: pa.Table, state, totals: np.ndarray) -> pa.Table:
-        lines, doc, row, chunk = state
-        out, count = [], len(lines.number)
-        if count:
-            _, first = np.unique(lines.ids, return_index=True)
-            again = np.ones(count, bool)
-            again[first] = False
-            if again.any():  # known here already: passed on to the end, spread over the buckets
-                out.append((chunk % buckets, chunk, squeeze({"line": lines.number[again], "at": lines.text[again]})))
-            size = np.diff(lines.first)
-            line = np.repeat(np.arange(count), size)
-            rare, first_word = rarity(totals), lines.first
-            order = np.argsort(rare.astype(np.uint8), kind="stable")  # words are in the order of their hashes already
-            order = order[np.argsort(line[order].astype(np.uint16) if count < 1 << 16 else line[order], kind="stable")]
-            code = rare[order] << np.uint64(55) | lines.words[order] >> np.uint64(9)
-            h = mix(code)
-            place = h % np.uint64(BITS)
-            bit, low = np.uint64(1) << (place & np.uint64(63)), place < 64
-            maps = [np.bitwise_xor.reduceat(np.where(low == side, bit, np.uint64(0)), first_word[:-1]) for side in (True, False)]
-            long = np.where(again, 0, np.array([prefix(s, threshold) if s else 0 for s in range(int(size.max()) + 1)])[size])
-            line = np.repeat(np.arange(count), long)
-            place = np.arange(len(line)) - np.repeat(np.cumsum(long) - long, long)
-            sent = code[first_word[line] + place]
-            some = sent >= np.uint64(1 << 55)
-            line, place, sent = line[some], place[some], sent[some]
-            to = (mix(sent) % np.uint64(buckets)).astype(np.int64)
-            for b, own in by_value(to):
-                own = own[np.argsort(sent[own], kind="stable")]
-                k = line[own]
-                out.append((b, -1, squeeze(dict(zip(POSTING, (sent[own], lines.ids[k], doc[lines.text[k]], row[lines.text[k]], lines.number[k], size[k], place[own], *(m[k] for m in maps)))))))
-        return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "chunk": pa.array([x[1] for x in out], pa.int32()), "blob": pa.array([x[2] for x in out], pa.binary())})
+def _squares(aside: DataFrame, threshold: float, nearest: int, hot: int) -> DataFrame:
+    """The pairs of hot words: a word's postings fall into groups of about ``hot``, and each pair of groups is one task's work."""
+    sizes = aside.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / hot).cast("int").alias("groups"))
+    own = aside.join(sizes, "code").withColumn("g", F.pmod(F.xxhash64("set"), F.col("groups")).cast("int"))
+    each = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    each = each.select("code", F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), (F.col("g") > F.col("o")).cast("long").alias("side"), *[c for c in POSTING if c != "code"])
 
     def meet(group: pa.Table) -> pa.Table:
-        to, blobs = group["chunk"].to_pylist(), group["blob"].to_pylist()
-        out = [(c, 2, x) for c, x in zip(to, blobs) if c >= 0]
-        pairs, repeats = candidates(expand([x for c, x in zip(to, blobs) if c < 0], POSTING), threshold, nearest)
-        for chunk, at in by_value(home(pairs["ydoc"], pairs["yrow"], chunks)):
-            out.append((chunk, 0, squeeze({k: pairs[k][at] for k in PAIR})))
-        for chunk, at in by_value(home(repeats["doc"], repeats["row"], chunks)):
-            out.append((chunk, 1, squeeze({k: repeats[k][at] for k in ROW_LINE})))
-        return pa.table({"chunk": pa.array([x[0] for x in out], pa.int32()), "kind": pa.array([x[1] for x in out], pa.int32()), "blob": pa.array([x[2] for x in out], pa.binary())})
-
-    def lookup(group: pa.Table, wanted: np.ndarray) -> dict[tuple[int, int, int], tuple[int, int, np.ndarray]]:
-        """The words' hashes of lines of the rows wanted (document, place), by document, place and line."""
-        doc, tie = group["doc"].to_numpy(), group["tie"].to_numpy()
-        at = np.flatnonzero(np.isin(doc, wanted[:, 0]) & ((doc != LAST) | np.isin(tie, wanted[:, 1])))
-        if not len(at):
-            return {}
-        _, texts, doc, row = in_order(group.take(pa.array(at)))
-        lines = Lines(texts)
-        keys = zip(doc[lines.text].tolist(), row[lines.text].tolist(), lines.number.tolist())
-        return {k: (s, e, lines.words) for k, s, e in zip(keys, lines.first[:-1].tolist(), lines.first[1:].tolist())}
-
-    def fetch(group: pa.Table, asked: pa.Table) -> pa.Table:
-        """Sends the words of earlier lines, each once, and the pairs to the chunks of later ones."""
-        kinds, blobs = asked["kind"].to_pylist(), asked["blob"].to_pylist()
-        out = [(c, k, x) for c, k, x in zip(asked["chunk"].to_pylist(), kinds, blobs) if k]
-        p = expand([x for k, x in zip(kinds, blobs) if k == 0], PAIR)
-        if len(p["xdoc"]):
-            pairs = np.unique(np.stack([p[k] for k in PAIR], axis=1), axis=0)
-            have = lookup(group, np.unique(pairs[:, 3:5], axis=0))
-            for chunk, at in by_value(home(pairs[:, 0], pairs[:, 1], chunks)):
-                early, which = np.unique(pairs[at, 3:6], axis=0, return_inverse=True)
-                got = [have[tuple(k)] for k in early.tolist()]
-                size = np.array([e - s for s, e, _ in got], np.int64)
-                head = np.column_stack([pairs[at, :3], pairs[at, 6], which.ravel()])
-                body = np.concatenate([w[s:e] for s, e, w in got]).view(np.int64)
-                out.append((chunk, 0, zstandard.ZstdCompressor(level=1).compress(np.array([len(head), len(size)], np.int64).tobytes() + head.tobytes() + size.tobytes() + body.tobytes())))
-        return pa.table({"chunk": pa.array([x[0] for x in out], pa.int32()), "kind": pa.array([x[1] for x in out], pa.int32()), "blob": pa.array([x[2] for x in out], pa.binary())})
-
-    def decide(group: pa.Table, got: pa.Table) -> pa.Table:
-        order, texts, doc, row = in_order(group)
-        gone: dict[int, set] = defaultdict(set)
-        late: dict[tuple[int, int], set] = defaultdict(set)
-        tests, open_lines = [], defaultdict(set)
-        for kind, blob in zip(got["kind"].to_pylist(), got["blob"].to_pylist()):
-            if kind == 2:
-                x = expand([blob], ("line", "at"))
-                for r, no in zip(x["at"].tolist(), x["line"].tolist()):
-                    gone[r].add(no)
-            elif kind == 1:
-                x = expand([blob], ROW_LINE)
-                for d, r, no in zip(*(x[k].tolist() for k in ROW_LINE)):
-                    late[d, r].add(no)
-            else:
-                x = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64)
-                head = x[2 : 2 + 5 * x[0]].reshape(-1, 5)
-                size = x[2 + 5 * x[0] : 2 + 5 * x[0] + x[1]]
-                body = x[2 + 5 * x[0] + x[1] :].view(np.uint64)
-                ends = np.cumsum(size).tolist()
-                tests += [((d, r), no, m, body[ends[k] - size[k] : ends[k]]) for d, r, no, m, k in head.tolist()]
-        mine = lookup(group, np.unique(np.array([t[0] for t in tests], np.int64), axis=0)) if tests else {}
-        more = set()
-        for own, no, m, early in tests:
-            if no not in late[own]:
-                a, e, words_of = mine[*own, no]
-                if similar(words_of[a:e], early, threshold):
-                    late[own].add(no)
-                elif m:
-                    more.add((own, no))
-        for own, no in more:
-            if no not in late[own]:
-                open_lines[own].add(no)
-        waiting: dict[tuple[int, int], list] = defaultdict(list)
-        if any(open_lines.values()):
-            words_of = next(iter(mine.values()))[2]
-            known, often = np.unique(words_of, return_counts=True)
-            for own, numbers in open_lines.items():
-                for no in sorted(numbers):
-                    a, e, _ = mine[*own, no]
-                    w = words_of[a:e]
-                    waiting[own].append({"no": no, "words": w[np.argsort(often[np.searchsorted(known, w)], kind="stable")].tobytes()})
-        out, unnamed, ties = [], group["unnamed"].to_pylist(), group["tie"].to_pylist()
-        for r, i in enumerate(order):
-            d = int(doc[r])
-            own = d, int(row[r])
-            lines = texts[r].split(b"\n") if texts[r] else []
-            away = gone[r] | late[own]
-            kept = b"\n".join([x for no, x in enumerate(lines) if no not in away]) if away else texts[r]
-            out.append((None if unnamed[i] else d, d, ties[i], len(lines), sorted(away), hashlib.sha256(kept).hexdigest(), hashlib.sha256(texts[r]).digest(), waiting.pop(own, [])))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string(), pa.binary(), pa.list_(pa.struct([("no", pa.int32()), ("words", pa.binary())])))
-        names = ("doc_id", "doc", "tie", "n_lines", "removed", "kept_sha256", "text_sha256", "open")
-        return pa.table({n: pa.array([x[i] for x in out], k) for i, (n, k) in enumerate(zip(names, kinds))})
-
-    postings = chunk_totals(rows, words, send, "bucket int, chunk int, blob binary", buckets=buckets)
-    pairs = postings.groupBy("bucket").applyInArrow(meet, "chunk int, kind int, blob binary")
-    fetched = rows.groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(fetch, "chunk int, kind int, blob binary")
-    return rows.groupBy("chunk").cogroup(fetched.groupBy("chunk")).applyInArrow(decide, "doc_id long, doc long, tie long, n_lines long, removed array<int>, kept_sha256 string, text_sha256 binary, open array<struct<no:int,words:binary>>")
-
-
-class Waiting:
-    """A block of open lines, found by any of so many of their rarest words that a similar line must share one."""
-
-    def __init__(self, lines: list, threshold: float):
-        self.threshold = threshold
-        self.doc, self.tie, self.no = (np.array([r[k] for r in lines], np.int64) for k in ("doc", "tie", "no"))
-        rare = [np.frombuffer(r["words"], np.uint64) for r in lines]
-        self.words = [np.sort(w) for w in rare]
-        self.size = np.array([len(w) for w in rare], np.int64)
-        probes = [w[: prefix(len(w), threshold)] for w in rare]
-        word = np.concatenate(probes)
-        line = np.repeat(np.arange(len(lines)), [len(p) for p in probes])
-        order = np.argsort(word, kind="stable")
-        self.line = line[order]
-        self.word, self.first = np.unique(word[order], return_index=True)
-        self.first = np.append(self.first, len(word))
-
-    def matched(self, doc: np.ndarray, tie: np.ndarray, lines: Lines) -> np.ndarray:
-        """Which open lines have an earlier similar one among these lines of documents."""
-        at = np.searchsorted(self.word, lines.words)
-        at[at == len(self.word)] = 0
-        hit = np.flatnonzero(self.word[at] == lines.words) if len(self.word) else np.empty(0, np.int64)
-        count = (self.first[1:] - self.first[:-1])[at[hit]]
-        x = self.line[np.repeat(self.first[:-1][at[hit]] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
-        y = np.repeat(np.searchsorted(lines.first, hit, "right") - 1, count)
-        pair = np.unique(x * len(lines.number) + y)
-        x, y = pair // max(1, len(lines.number)), pair % max(1, len(lines.number))
-        d, t, no = doc[lines.text[y]], tie[lines.text[y]], lines.number[y]
-        earlier = (d < self.doc[x]) | (d == self.doc[x]) & ((t < self.tie[x]) | (t == self.tie[x]) & (no < self.no[x]))
-        size = np.diff(lines.first)[y]
-        near = (size >= self.threshold * self.size[x] - 1e-9) & (self.size[x] >= self.threshold * size - 1e-9)
-        found: set[int] = set()
-        for i, j in zip(x[earlier & near].tolist(), y[earlier & near].tolist()):
-            if i not in found and similar(self.words[i], lines.words[lines.first[j] : lines.first[j + 1]], self.threshold):
-                found.add(i)
-        return np.array(sorted(found), np.int64)
-
-
-def _settle(docs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """found with the open lines decided: blocks of them against all lines, without a shuffle."""
-    spark = docs.sparkSession
-    waiting = found.select("doc", "tie", F.explode("open").alias("o")).select("doc", "tie", "o.*")
-    n = waiting.count()
-    rows = _rows(docs).select("doc", "tie", "text")
-    late = None
-    blocks = -(-n // BLOCK)
-    for k in range(blocks):
-        block = spark.sparkContext.broadcast(Waiting(waiting.filter(F.pmod(F.xxhash64("doc", "tie", "no"), F.lit(blocks)) == k).collect(), threshold))
-
-        def scan(batches, block=block):
-            own = block.value
-            for b in batches:
-                for lo in range(0, b.num_rows, 1000):
-                    part = b.slice(lo, 1000)
-                    at = own.matched(part.column(0).to_numpy(), part.column(1).to_numpy(), Lines(raw(part.column(2))))
-                    yield pa.record_batch([pa.array(own.doc[at]), pa.array(own.tie[at]), pa.array(own.no[at], pa.int32())], names=["doc", "tie", "no"])
-
-        got, _ = materialise(rows.mapInArrow(scan, "doc long, tie long, no int"), "late")
-        late = got if late is None else late.union(got)
-    if late is None or late.isEmpty():
-        return found
-    row = ["doc", "tie"]
-    more = late.groupBy(row).agg(F.collect_set("no").alias("more"))
-    texts = rows.join(more.select(row), row, "left_semi").dropDuplicates(row)
-    hit = found.join(more, row).join(texts, row).withColumn("removed", F.array_sort(F.array_union("removed", "more")))
-    hit = hit.withColumn("kept_sha256", F.sha2(F.encode(without(F.col("text"), F.col("removed")), "UTF-8"), 256))
-    return found.join(more, row, "left_anti").unionByName(hit.select(*found.columns))
-
-
-def without(text, removed):
+        got = square({c: group[c].to_numpy() for c in (*POSTING, "side")}, threshold, nearest)
+        return pa.table({c: pa.array(got[c].astype(np.int64)) for c in PAIR})
+
+    return each.groupBy("code", "i", "j").applyInArrow(meet, ", ".join(f"{c} long" for c in PAIR))
+
+
+WORDS = "doc long, tie long, line long, words binary"
+
+
+def _words_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The words' hashes, sorted, of the lines wanted (doc, tie, line), each once."""
+    each = wanted.groupBy("doc", "tie").agg(F.collect_set("line").alias("lines"))  # lines of one text
+
+    def take(batches):
+        for b in batches:
+            for part in _slices(b, 2):
+                lines = Lines(raw(part.column(2)))
+                asked = part.column(3)
+                size = np.diff(asked.offsets.to_numpy())
+                some = np.isin(lines.text * (1 << 31) + lines.number, np.repeat(np.arange(part.num_rows), size) * (1 << 31) + asked.flatten().to_numpy())
+                at = np.flatnonzero(some)
+                text = pa.array(lines.text[at])
+                yield pa.record_batch([part.column(0).take(text), part.column(1).take(text), pa.array(lines.number[at]), pa.array([lines.words[lines.first[i] : lines.first[i + 1]].tobytes() for i in at.tolist()], pa.binary())], names=["doc", "tie", "line", "words"])
+
+    joined = rows.select("doc", "tie", "text").join(each, ["doc", "tie"]).select("doc", "tie", "text", "lines")
+    return materialise(joined.mapInArrow(take, WORDS).dropDuplicates(["doc", "tie", "line"]), "lines-words")[0]
+
+
+def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """xdoc, xtie, xline, more and ok, whether the lines are similar, of each pair."""
+    side = lambda s: words.select(*[F.col(c).alias(s + c) for c in ROW_LINE], F.col("words").alias(s + "words"))
+
+    def compare(batches):
+        for b in batches:
+            ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist())]
+            yield pa.record_batch([*(b.column(i) for i in range(4)), pa.array(ok, pa.bool_())], names=["xdoc", "xtie", "xline", "more", "ok"])
+
+    both = pairs.join(side("x"), ["xdoc", "xtie", "xline"]).join(side("y"), ["ydoc", "ytie", "yline"])
+    return materialise(both.select("xdoc", "xtie", "xline", "more", "xwords", "ywords").mapInArrow(compare, "xdoc long, xtie long, xline long, more long, ok boolean"), "lines-verified")[0]
+
+
+def _places_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(*[F.col("x" + c).alias(c) for c in ROW_LINE]).union(pairs.select(*["y" + c for c in ROW_LINE])).distinct()
+
+
+def _settle(rows: DataFrame, waiting: DataFrame, words: DataFrame, classes, threshold: float) -> DataFrame:
+    """The waiting lines (doc, tie, line) that have an earlier similar line among all their candidates."""
+    spark = rows.sparkSession
+    own = words.join(waiting, list(ROW_LINE), "left_semi")
+
+    def codes(batches):
+        for b in batches:
+            lines = [np.frombuffer(x, np.uint64) for x in b.column(3).to_pylist()]
+            one = Lines.__new__(Lines)
+            flat = np.concatenate([*lines, np.empty(0, np.uint64)])
+            of = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+            one.text = one.number = np.arange(len(lines))
+            one.words, one.first, one.rank = _ranked_sets(flat, of, len(lines), classes.value[slot(flat, len(classes.value))])
+            p = posted(one, b.column(0).to_numpy(), b.column(1).to_numpy(), np.ones(len(lines), bool), threshold)
+            p["line"] = b.column(2).to_numpy()[p["line"]]
+            yield pa.record_batch([pa.array(p[c].astype(np.int64)) for c in POSTING], names=list(POSTING))
+
+    asked = materialise(own.select("doc", "tie", "line", "words").mapInArrow(codes, KINDS), "lines-asked")[0]
+    hit = spark.sparkContext.broadcast(counted(asked.select("code"), lambda b: [mix(b.column(0).to_numpy().view(np.uint64))], SLOTS) > 0)
+
+    def send(batches):
+        for b in batches:
+            for part in _slices(b, 2):
+                lines = Lines(raw(part.column(2)), classes.value)
+                p = posted(lines, part.column(0).to_numpy(), part.column(1).to_numpy(), np.ones(len(lines.number), bool), threshold)
+                ok = hit.value[slot(mix(p["code"].view(np.uint64)), SLOTS)]
+                yield pa.record_batch([pa.array(p[c][ok].astype(np.int64)) for c in POSTING], names=list(POSTING))
+
+    here = rows.select("doc", "tie", "text").mapInArrow(send, KINDS)
+    x = asked.select(*[F.col(c).alias("x" + c) for c in POSTING])
+    y = here.select(*[F.col(c).alias("y" + c) for c in POSTING])
+    before = F.struct("ydoc", "ytie", "yline") < F.struct("xdoc", "xtie", "xline")
+    total, less = F.col("xsize") + F.col("ysize"), F.least("xsize", "ysize")
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * total - 1e-9)
+    fits = (less >= threshold * F.greatest("xsize", "ysize") - 1e-9) & (F.least(F.col("xsize") - F.col("xat"), F.col("ysize") - F.col("yat")) + F.least("xat", "yat") >= need)
+    close = F.bit_count(F.col("xlow").bitwiseXOR(F.col("ylow"))) + F.bit_count(F.col("xhigh").bitwiseXOR(F.col("yhigh"))) <= total - 2 * need
+    pairs = x.join(y, (F.col("xcode") == F.col("ycode")) & before & fits & close)
+    pairs = materialise(pairs.select(*PAIR[:-1], F.lit(0).cast("long").alias("more")).distinct(), "lines-rest")[0]
+    release(spark)
+    found = _verified(pairs, _words_of(rows, _places_of(pairs)), threshold)
+    return found.filter("ok").select(*[F.col("x" + c).alias(c) for c in ROW_LINE]).distinct()
+
+
+def removed_lines(rows: DataFrame, threshold: float = THRESHOLD, nearest: int = NEAREST, hot: int = HOT) -> DataFrame:
+    """doc, tie and removed (line numbers from 0, sorted) of the texts that lose lines to other rows' or their own earlier lines.
+
+    rows: doc, tie and text, as _keyed makes them. Equal rows have the same lines and so one row here.
+    """
+    spark = rows.sparkSession
+    rows = rows.select("doc", "tie", "text")
+
+    def keys(batch):
+        for part in _slices(batch, 2):
+            yield Words(raw(part.column(2)), GRAPHIC, lower=True).hash
+
+    classes = spark.sparkContext.broadcast(rarity(counted(rows, keys, SLOTS)).astype(np.uint8))
+    met = _meet(rows, classes, threshold, nearest, hot)
+    release(spark)
+    pairs, aside = met.filter("kind = 0").select(*PAIR), met.filter("kind = 2")
+    if not aside.isEmpty():
+        pairs = pairs.union(_squares(aside.select(*POSTING), threshold, nearest, hot))
+    pairs = materialise(pairs.groupBy(*PAIR[:-1]).agg(F.max("more").alias("more")), "lines-pairs")[0]
+    words = _words_of(rows, _places_of(pairs))
+    release(spark)
+    seen = _verified(pairs, words, threshold)
+    each = seen.groupBy(*[F.col("x" + c).alias(c) for c in ROW_LINE]).agg(F.bool_or("ok").alias("ok"), F.max("more").alias("more"))
+    gone = met.filter("kind = 1").select(*ROW_LINE).union(each.filter("ok").select(*ROW_LINE))
+    waiting = materialise(each.filter("NOT ok AND more > 0").select(*ROW_LINE), "lines-waiting")[0]
+    if not waiting.isEmpty():
+        gone = gone.union(_settle(rows, waiting, words, classes, threshold))
+    out = materialise(gone.groupBy("doc", "tie").agg(F.array_sort(F.collect_set(F.col("line").cast("int"))).alias("removed")), "lines-removed")[0]
+    release(spark)
+    return out
+
+
+@F.pandas_udf(T.StringType())
+def without(text: pd.Series, removed: pd.Series) -> pd.Series:
     """A text without the lines of these numbers."""
-    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(removed, i)), "\n")
+    out = []
+    for t, gone in zip(text, removed):
+        if t is None or gone is None:
+            out.append(t)
+            continue
+        lines = t.split("\n")
+        stays = np.ones(len(lines), bool)
+        stays[np.asarray(gone, np.int64)] = False
+        out.append("\n".join([x for x, s in zip(lines, stays.tolist()) if s]))
+    return pd.Series(out, dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def filled(text: pd.Series) -> pd.Series:
+    """The numbers of a text's lines that aren't blank."""
+    out = []
+    for t in text:
+        lines = Lines([t.encode()]) if t is not None else None
+        out.append(None if lines is None else lines.number.astype(np.int32))
+    return pd.Series(out, dtype=object)
+
+
+def _decided(df: DataFrame, threshold: float, nearest: int, id_col: str, text_col: str, *more) -> DataFrame:
+    """The rows of df as doc, tie, text and more, with removed: null if no line goes."""
+    rows = _keyed(df, id_col, text_col, *more)
+    gone = removed_lines(rows, threshold, nearest)
+    copies = materialise(rows.filter("text <> ''").groupBy("doc", "tie").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc", "tie"), "lines-copies")[0]
+    if copies.isEmpty():
+        return rows.join(gone, ["doc", "tie"], "left")
+    # of equal rows all but one lose every line that isn't blank
+    marks = gone.join(copies.withColumn("several", F.lit(True)), ["doc", "tie"], "full")
+    marked = rows.join(marks, ["doc", "tie"], "left")
+    alone = marked.filter("several IS NULL").drop("several")
+    equal = marked.filter("several").withColumn("no", F.row_number().over(Window.partitionBy("doc", "tie").orderBy(F.lit(1))))
+    every = filled(F.when(F.col("no") > 1, F.col("text")))
+    return alone.unionByName(equal.withColumn("removed", F.coalesce(every, "removed")).drop("several", "no"))
 
 
 def line_decisions(df: DataFrame, threshold: float = THRESHOLD, nearest: int = NEAREST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of df: doc_id, n_lines, removed (line numbers from 0), kept_sha256, text_sha256."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found, _ = materialise(_decide(docs, threshold, nearest), "lines")
-    release(df.sparkSession)
-    return _settle(docs, found, threshold).drop("open", "doc", "tie")
+    """One row per row of df: doc_id, n_lines, removed (line numbers from 0), kept_sha256."""
+    found = _decided(df, threshold, nearest, id_col, text_col, F.col(id_col).alias("doc_id"))
+    text = F.coalesce("text", F.lit(""))
+    n_lines = F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    kept = F.coalesce(without(F.when(F.col("removed").isNotNull(), F.col("text")), "removed"), text)
+    return found.select("doc_id", n_lines.alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 def keep_lines(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -449,17 +569,10 @@ def keep_lines(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
 
     Of rows equal in id and text, any one gets the first one's decision; the others lose all their lines.
     """
-    found = line_decisions(df, threshold, id_col=id_col, text_col=text_col)
-    size = F.size("removed")
-    each = found.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("__n"), F.min_by("removed", size).alias("__first"), F.max_by("removed", size).alias("__others"))
-    marks, _ = materialise(each.filter(F.size("__others") > 0).withColumnsRenamed({"doc_id": "__id", "text_sha256": "__sha"}), "marks")
-    here = lambda m: F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.unhex(F.sha2(F.col(text_col).cast("binary"), 256)) == F.col("__sha"))
-    joined = df.join(marks, here(marks), "left").filter("__n IS NULL OR __n = 1").withColumn("__no", F.lit(1))
-    equal = marks.filter("__n > 1")
-    equal = df.join(equal, here(equal)).withColumn("__no", F.row_number().over(Window.partitionBy("__id", "__sha").orderBy(F.lit(1))))
-    joined = joined.unionByName(equal)
-    removed = F.when(F.col("__no") == 1, F.col("__first")).otherwise(F.col("__others"))
-    return joined.withColumn(text_col, F.when(removed.isNull() | (F.size(removed) == 0), F.col(text_col)).otherwise(without(F.col(text_col), removed))).select(*df.columns)
+    quoted = [F.col(f"`{c}`") for c in df.columns]
+    found = _decided(df, threshold, NEAREST, id_col, text_col, F.struct(*quoted).alias("row"))
+    kept = F.coalesce(without(F.when(F.col("removed").isNotNull(), F.col("text")), "removed"), "text").alias(text_col)
+    return found.select("row", kept.alias("kept")).select(*[F.col("kept").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in df.columns])
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
