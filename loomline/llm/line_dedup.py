@@ -39,9 +39,7 @@ from pyspark.sql import types as T
 
 from ._shared import GRAPHIC, Words, materialise, mix, partitions, raw, release, sorted_within, table
 
-THRESHOLD, NEAREST = 0.8, 4
-#: Candidates whose bitmaps differ by about as many bits are taken in document order, so that lines name the same ones.
-COARSE = 4
+THRESHOLD, NEAREST = 0.8, 8
 #: Hashed counters of words, and how many parts they are added up in.
 SLOTS, RANGES = 1 << 22, 64
 #: Postings of a word that are compared in one place.
@@ -238,7 +236,7 @@ def candidates(p: dict[str, np.ndarray], threshold: float, nearest: int, hot: in
         later = earlier(p, b, a)
         xs.append(np.where(later, a, b))
         ys.append(np.where(later, b, a))
-        ds.append(far // COARSE)
+        ds.append(far)
         if sum(map(len, xs)) > 1 << 22:
             xs, ys, ds = ([c] for c in _nearest(p, np.concatenate(xs), np.concatenate(ys), np.concatenate(ds), nearest + 1))
     return _named(p, xs, ys, ds, nearest), repeats, aside
@@ -291,21 +289,33 @@ def square(p: dict[str, np.ndarray], threshold: float, nearest: int) -> dict[str
         later = earlier(p, b, a)
         xs.append(np.where(later, a, b))
         ys.append(np.where(later, b, a))
-        ds.append(far // COARSE)
+        ds.append(far)
         if sum(map(len, xs)) > 1 << 22:
             xs, ys, ds = ([c] for c in _nearest(p, np.concatenate(xs), np.concatenate(ys), np.concatenate(ds), nearest + 1))
     return _named(p, xs, ys, ds, nearest)
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
-    """doc, the id that sorts null last, tie, a hash of the text, and text."""
+    """doc, the id that sorts null last, tie, a hash of the text where the id has several rows or is null, else 0, and text."""
     kind = df.schema[id_col].dataType.simpleString()
     number = F.col(id_col).cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else F.col(id_col).cast("string").try_cast("long")
-    return df.select(F.coalesce(number, F.lit(LAST)).alias("doc"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"), *more)
+    rows = df.select(F.coalesce(number, F.lit(LAST)).alias("doc"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"), *more)
+    # a row whose id is its own needs no hash to be told apart; most postings are smaller for it
+    several = materialise(rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col("doc") < LAST)).select("doc"), "lines-ids")[0]
+    if several.isEmpty():
+        return rows.withColumn("tie", F.when(F.col("doc") == LAST, F.col("tie")).otherwise(0))
+    hit = df.sparkSession.sparkContext.broadcast(counted(several, lambda b: [mix(b.column(0).to_numpy().view(np.uint64))], SLOTS) > 0)
+
+    @F.pandas_udf(T.LongType())
+    def told(doc: pd.Series, tie: pd.Series) -> pd.Series:
+        own = doc.to_numpy()
+        return pd.Series(np.where(hit.value[slot(mix(own.view(np.uint64)), SLOTS)] | (own == LAST), tie.to_numpy(), 0))
+
+    return rows.withColumn("tie", told("doc", "tie"))
 
 
 def posted(lines: Lines, doc: np.ndarray, tie: np.ndarray, which: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
-    """The postings of some of the lines, but for words that occur once. doc and tie: of each text."""
+    """The postings of some of the lines, but for words that occur once; of: their lines. doc and tie: of each text."""
     count = len(lines.number)
     size = np.diff(lines.first)
     place = lines.words & np.uint64(127)
@@ -319,7 +329,7 @@ def posted(lines: Lines, doc: np.ndarray, tie: np.ndarray, which: np.ndarray, th
     line, at, word = line[some], at[some], word[some]
     code = lines.rank[word].astype(np.uint64) << np.uint64(40) | lines.words[word] >> np.uint64(24)
     text = lines.text[line]
-    return {"code": code.view(np.int64), "set": lines.ids[line].view(np.int64), "doc": doc[text], "tie": tie[text], "line": lines.number[line], "size": size[line], "at": at, **{n: m[line].view(np.int64) for n, m in zip(("low", "high"), maps)}}
+    return {"of": line, "code": code.view(np.int64), "set": lines.ids[line].view(np.int64), "doc": doc[text], "tie": tie[text], "line": lines.number[line], "size": size[line], "at": at, **{n: m[line].view(np.int64) for n, m in zip(("low", "high"), maps)}}
 
 
 def _postings(rows: DataFrame, classes, threshold: float, buckets: int) -> DataFrame:
@@ -403,23 +413,42 @@ def _squares(aside: DataFrame, threshold: float, nearest: int, hot: int) -> Data
 WORDS = "doc long, tie long, line long, words binary"
 
 
+def _text_key(doc: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    return mix(mix(doc.view(np.uint64)) ^ tie.view(np.uint64))
+
+
+def _line_key(text: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mix(text + (line.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
+
+
+def _marked(df: DataFrame, lines: bool):
+    """A broadcast bitmap of fixed size that holds the texts (doc, tie) of df, and their lines if asked for; it may hold others too."""
+
+    def keys(b):
+        text = _text_key(b.column(0).to_numpy(), b.column(1).to_numpy())
+        yield text
+        if lines:
+            yield _line_key(text, b.column(2).to_numpy())
+
+    return df.sparkSession.sparkContext.broadcast(counted(df.select(*ROW_LINE[: 3 if lines else 2]), keys, SLOTS) > 0)
+
+
 def _words_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The words' hashes, sorted, of the lines wanted (doc, tie, line), each once."""
-    each = wanted.groupBy("doc", "tie").agg(F.collect_set("line").alias("lines"))  # lines of one text
+    """The words' hashes, sorted, of the lines wanted (doc, tie, line), each once: a scan that keeps what the bitmap holds, then a join."""
+    hit = _marked(wanted, True)
 
     def take(batches):
         for b in batches:
+            b = b.filter(pa.array(hit.value[slot(_text_key(b.column(0).to_numpy(), b.column(1).to_numpy()), SLOTS)]))
             for part in _slices(b, 2):
                 lines = Lines(raw(part.column(2)))
-                asked = part.column(3)
-                size = np.diff(asked.offsets.to_numpy())
-                some = np.isin(lines.text * (1 << 31) + lines.number, np.repeat(np.arange(part.num_rows), size) * (1 << 31) + asked.flatten().to_numpy())
-                at = np.flatnonzero(some)
-                text = pa.array(lines.text[at])
-                yield pa.record_batch([part.column(0).take(text), part.column(1).take(text), pa.array(lines.number[at]), pa.array([lines.words[lines.first[i] : lines.first[i + 1]].tobytes() for i in at.tolist()], pa.binary())], names=["doc", "tie", "line", "words"])
+                text = _text_key(part.column(0).to_numpy(), part.column(1).to_numpy())
+                at = np.flatnonzero(hit.value[slot(_line_key(text[lines.text], lines.number), SLOTS)])
+                of = pa.array(lines.text[at])
+                yield pa.record_batch([part.column(0).take(of), part.column(1).take(of), pa.array(lines.number[at]), pa.array([lines.words[lines.first[i] : lines.first[i + 1]].tobytes() for i in at.tolist()], pa.binary())], names=["doc", "tie", "line", "words"])
 
-    joined = rows.select("doc", "tie", "text").join(each, ["doc", "tie"]).select("doc", "tie", "text", "lines")
-    return materialise(joined.mapInArrow(take, WORDS).dropDuplicates(["doc", "tie", "line"]), "lines-words")[0]
+    found = rows.select("doc", "tie", "text").mapInArrow(take, WORDS)
+    return materialise(found.join(wanted, list(ROW_LINE), "left_semi").dropDuplicates(list(ROW_LINE)), "lines-words")[0]
 
 
 def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
@@ -439,47 +468,115 @@ def _places_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(*[F.col("x" + c).alias(c) for c in ROW_LINE]).union(pairs.select(*["y" + c for c in ROW_LINE])).distinct()
 
 
+def _bodies(p: dict[str, np.ndarray], words: np.ndarray, first: np.ndarray, line: np.ndarray, to: np.ndarray, kind: int) -> pa.RecordBatch:
+    """Postings with the words of their lines, one row for each bucket (column to); line: the place of each posting's line in first."""
+    out = []
+    order = np.argsort(to, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(to[order]) != 0, [True]])) if len(order) else np.zeros(1, np.int64)
+    for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        own = order[s:e]
+        each, body = np.unique(line[own], return_inverse=True)
+        flat = np.concatenate([words[first[i] : first[i + 1]] for i in each.tolist()])
+        out.append((int(to[own[0]]), squeeze({**{k: v[own] for k, v in p.items()}, "body": body.astype(np.int64)}), zstandard.ZstdCompressor(level=1).compress(flat.tobytes())))
+    return pa.record_batch([pa.array([x[0] for x in out], pa.int32()), pa.array([kind] * len(out), pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["bucket", "kind", "blob", "words"])
+
+
+def _unpacked(blobs: list[bytes], words: list[bytes]) -> tuple[dict[str, np.ndarray], list[np.ndarray]]:
+    """What _bodies packed: postings, and the sorted words of each body; body is then a place in that list."""
+    parts, bodies = [], []
+    for blob, flat in zip(blobs, words):
+        p = expand([blob], (*POSTING, "body"))
+        flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(flat), np.uint64)
+        size = np.zeros(int(p["body"].max()) + 1, np.int64)
+        size[p["body"]] = p["size"]
+        ends = np.cumsum(size)
+        p["body"] = p["body"] + len(bodies)
+        bodies += [flat[e - n : e] for e, n in zip(ends.tolist(), size.tolist())]
+        parts.append(p)
+    return {k: np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in (*POSTING, "body")}, bodies
+
+
+def matched(x: dict[str, np.ndarray], xbody: list[np.ndarray], y: dict[str, np.ndarray], ybody: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which postings of x belong to lines that have an earlier similar line among the postings y of the same word."""
+    order = np.argsort(y["code"], kind="stable")
+    y = {k: v[order] for k, v in y.items()}
+    both = {k: np.concatenate([x[k], y[k]]) for k in POSTING}
+    n, found = len(x["code"]), set()
+    for i, (lo, hi) in enumerate(zip(np.searchsorted(y["code"], x["code"]).tolist(), np.searchsorted(y["code"], x["code"], "right").tolist())):
+        if int(x["set"][i]) in found:
+            continue
+        a, b, far = compared(both, np.full(hi - lo, i), n + np.arange(lo, hi), threshold)
+        before = earlier(both, b, a)
+        b, far = b[before], far[before]
+        for j in b[np.argsort(far, kind="stable")].tolist():
+            if similar(xbody[x["body"][i]], ybody[y["body"][j - n]], threshold):
+                found.add(int(x["set"][i]))
+                break
+    return np.isin(x["set"], np.array(sorted(found), np.int64))
+
+
 def _settle(rows: DataFrame, waiting: DataFrame, words: DataFrame, classes, threshold: float) -> DataFrame:
-    """The waiting lines (doc, tie, line) that have an earlier similar line among all their candidates."""
+    """The waiting lines (doc, tie, line) that have an earlier similar line among all their candidates.
+
+    Lines with a word of a waiting line's prefix are sent to that word's bucket with their words, and compared there; words that
+    are frequent have several buckets, and waiting lines go to all of them. Only lines found similar leave a bucket.
+    """
     spark = rows.sparkSession
-    own = words.join(waiting, list(ROW_LINE), "left_semi")
+    buckets = partitions(spark)
+    share = lambda code: 1 + (np.exp2((np.maximum(code >> 40, 1) - 1) / 5) // HOT).astype(np.int64)  # noqa: E731  buckets of a word
 
-    def codes(batches):
+    def place(code: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        return (mix(code.view(np.uint64) ^ mix(salt.astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)
+
+    def ask(batches):
         for b in batches:
-            lines = [np.frombuffer(x, np.uint64) for x in b.column(3).to_pylist()]
+            some = [np.frombuffer(w, np.uint64) for w in b.column(3).to_pylist()]
             one = Lines.__new__(Lines)
-            flat = np.concatenate([*lines, np.empty(0, np.uint64)])
-            of = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
-            one.text = one.number = np.arange(len(lines))
-            one.words, one.first, one.rank = _ranked_sets(flat, of, len(lines), classes.value[slot(flat, len(classes.value))])
-            p = posted(one, b.column(0).to_numpy(), b.column(1).to_numpy(), np.ones(len(lines), bool), threshold)
-            p["line"] = b.column(2).to_numpy()[p["line"]]
-            yield pa.record_batch([pa.array(p[c].astype(np.int64)) for c in POSTING], names=list(POSTING))
-
-    asked = materialise(own.select("doc", "tie", "line", "words").mapInArrow(codes, KINDS), "lines-asked")[0]
-    hit = spark.sparkContext.broadcast(counted(asked.select("code"), lambda b: [mix(b.column(0).to_numpy().view(np.uint64))], SLOTS) > 0)
+            flat = np.concatenate([*some, np.empty(0, np.uint64)])
+            one.text = one.number = np.arange(len(some))
+            one.words, one.first, one.rank = _ranked_sets(flat, np.repeat(one.text, [len(w) for w in some]), len(some), classes.value[slot(flat, SLOTS)])
+            p = posted(one, b.column(0).to_numpy(), b.column(1).to_numpy(), np.ones(len(some), bool), threshold)
+            line, n = p.pop("of"), share(p["code"])
+            p["line"] = b.column(2).to_numpy()[line]
+            again = np.repeat(np.arange(len(n)), n)
+            salt = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
+            p, line = {k: v[again] for k, v in p.items()}, line[again]
+            yield _bodies(p, flat, np.concatenate([[0], np.cumsum([len(w) for w in some])]), line, place(p["code"], salt), 0)
+
+    own = materialise(words.join(waiting, list(ROW_LINE), "left_semi").select("doc", "tie", "line", "words"), "lines-own")[0]
+
+    def prefix_words(b):
+        for w in b.column(3).to_pylist():
+            w = np.frombuffer(w, np.uint64)
+            yield w[sorted_within(np.zeros(len(w), np.int64), w, classes.value[slot(w, SLOTS)])][: prefix(len(w), threshold)]
+
+    hit = spark.sparkContext.broadcast(counted(own, prefix_words, SLOTS) > 0)
 
     def send(batches):
         for b in batches:
             for part in _slices(b, 2):
+                w = Words(raw(part.column(2)), GRAPHIC, lower=True)
+                met = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(hit.value[slot(w.hash, SLOTS)])])[w.first]))
+                part = part.take(pa.array(met))
                 lines = Lines(raw(part.column(2)), classes.value)
                 p = posted(lines, part.column(0).to_numpy(), part.column(1).to_numpy(), np.ones(len(lines.number), bool), threshold)
-                ok = hit.value[slot(mix(p["code"].view(np.uint64)), SLOTS)]
-                yield pa.record_batch([pa.array(p[c][ok].astype(np.int64)) for c in POSTING], names=list(POSTING))
-
-    here = rows.select("doc", "tie", "text").mapInArrow(send, KINDS)
-    x = asked.select(*[F.col(c).alias("x" + c) for c in POSTING])
-    y = here.select(*[F.col(c).alias("y" + c) for c in POSTING])
-    before = F.struct("ydoc", "ytie", "yline") < F.struct("xdoc", "xtie", "xline")
-    total, less = F.col("xsize") + F.col("ysize"), F.least("xsize", "ysize")
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * total - 1e-9)
-    fits = (less >= threshold * F.greatest("xsize", "ysize") - 1e-9) & (F.least(F.col("xsize") - F.col("xat"), F.col("ysize") - F.col("yat")) + F.least("xat", "yat") >= need)
-    close = F.bit_count(F.col("xlow").bitwiseXOR(F.col("ylow"))) + F.bit_count(F.col("xhigh").bitwiseXOR(F.col("yhigh"))) <= total - 2 * need
-    pairs = x.join(y, (F.col("xcode") == F.col("ycode")) & before & fits & close)
-    pairs = materialise(pairs.select(*PAIR[:-1], F.lit(0).cast("long").alias("more")).distinct(), "lines-rest")[0]
-    release(spark)
-    found = _verified(pairs, _words_of(rows, _places_of(pairs)), threshold)
-    return found.filter("ok").select(*[F.col("x" + c).alias(c) for c in ROW_LINE]).distinct()
+                ok = hit.value[slot(p["code"].view(np.uint64) << np.uint64(24), SLOTS)]
+                line = np.repeat(np.arange(len(lines.number)), np.diff(lines.first))
+                sort = sorted_within(line, lines.words)  # bodies are sorted by hash
+                p = {k: v[ok] for k, v in p.items()}
+                of = p.pop("of")
+                yield _bodies(p, lines.words[sort], lines.first, of, place(p["code"], mix(p["set"].view(np.uint64)) % share(p["code"]).astype(np.uint64)), 1)
+
+    def check(group: pa.Table) -> pa.Table:
+        kinds, blobs, flats = (group[c].to_pylist() for c in ("kind", "blob", "words"))
+        side = lambda k: _unpacked([x for n, x in zip(kinds, blobs) if n == k], [x for n, x in zip(kinds, flats) if n == k])
+        (x, xbody), (y, ybody) = side(0), side(1)
+        ok = matched(x, xbody, y, ybody, threshold)
+        return pa.table({c: pa.array(x[c][ok]) for c in ROW_LINE})
+
+    packed = "bucket int, kind int, blob binary, words binary"
+    every = own.mapInArrow(ask, packed).unionByName(rows.select("doc", "tie", "text").mapInArrow(send, packed))
+    return materialise(every.groupBy("bucket").applyInArrow(check, "doc long, tie long, line long").distinct(), "lines-late")[0]
 
 
 def removed_lines(rows: DataFrame, threshold: float = THRESHOLD, nearest: int = NEAREST, hot: int = HOT) -> DataFrame:
@@ -488,7 +585,6 @@ def removed_lines(rows: DataFrame, threshold: float = THRESHOLD, nearest: int =
     rows: doc, tie and text, as _keyed makes them. Equal rows have the same lines and so one row here.
     """
     spark = rows.sparkSession
-    rows = rows.select("doc", "tie", "text")
 
     def keys(batch):
         for part in _slices(batch, 2):
@@ -544,15 +640,23 @@ def _decided(df: DataFrame, threshold: float, nearest: int, id_col: str, text_co
     rows = _keyed(df, id_col, text_col, *more)
     gone = removed_lines(rows, threshold, nearest)
     copies = materialise(rows.filter("text <> ''").groupBy("doc", "tie").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc", "tie"), "lines-copies")[0]
-    if copies.isEmpty():
-        return rows.join(gone, ["doc", "tie"], "left")
-    # of equal rows all but one lose every line that isn't blank
-    marks = gone.join(copies.withColumn("several", F.lit(True)), ["doc", "tie"], "full")
-    marked = rows.join(marks, ["doc", "tie"], "left")
-    alone = marked.filter("several IS NULL").drop("several")
-    equal = marked.filter("several").withColumn("no", F.row_number().over(Window.partitionBy("doc", "tie").orderBy(F.lit(1))))
-    every = filled(F.when(F.col("no") > 1, F.col("text")))
-    return alone.unionByName(equal.withColumn("removed", F.coalesce(every, "removed")).drop("several", "no"))
+    several = not copies.isEmpty()
+    marks = gone.join(copies.withColumn("several", F.lit(True)), ["doc", "tie"], "full") if several else gone
+    hit = _marked(marks, False)
+
+    @F.pandas_udf(T.BooleanType())
+    def concerned(doc: pd.Series, tie: pd.Series) -> pd.Series:
+        return pd.Series(hit.value[slot(_text_key(doc.to_numpy(), tie.to_numpy()), SLOTS)])
+
+    # only texts that the bitmap holds are shuffled; the others pass by
+    rest = rows.filter(~concerned("doc", "tie")).withColumn("removed", F.lit(None).cast("array<int>"))
+    marked = rows.filter(concerned("doc", "tie")).join(marks, ["doc", "tie"], "left")
+    if several:  # of equal rows all but one lose every line that isn't blank
+        rest = rest.unionByName(marked.filter("several IS NULL").drop("several"))
+        equal = marked.filter("several").withColumn("no", F.row_number().over(Window.partitionBy("doc", "tie").orderBy(F.lit(1))))
+        every = filled(F.when(F.col("no") > 1, F.col("text")))
+        marked = equal.withColumn("removed", F.coalesce(every, "removed")).drop("several", "no")
+    return rest.unionByName(marked)
 
 
 def line_decisions(df: DataFrame, threshold: float = THRESHOLD, nearest: int = NEAREST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
