@@ -39,13 +39,15 @@ from pyspark.sql import types as T
 
 from ._shared import GRAPHIC, Words, materialise, mix, partitions, raw, release, sorted_within, table
 
-THRESHOLD, NEAREST = 0.8, 8
+THRESHOLD, NEAREST = 0.8, 4
+#: Candidates named for a line whose nearest one may well fail, as its bitmap differs by over half of what is allowed.
+WIDE = 256
 #: Hashed counters of words, and how many parts they are added up in.
-SLOTS, RANGES = 1 << 22, 64
+SLOTS, RANGES = 1 << 22, 16
 #: Postings of a word that are compared in one place.
 HOT = 20_000
-#: Bytes of text that are taken apart at once, and postings that a task gathers before it sends them.
-SLICE, HELD = 8 << 20, 1_000_000
+#: Bytes of text that are taken apart at once (little enough for a core's cache), and postings that a task gathers before it sends them.
+SLICE, HELD = 1 << 18, 400_000
 LAST = (1 << 63) - 1
 ROW_LINE = ("doc", "tie", "line")
 POSTING = ("code", "set", "doc", "tie", "line", "size", "at", "low", "high")
@@ -128,12 +130,12 @@ def prefixes(size: np.ndarray, threshold: float) -> np.ndarray:
     return (size - np.ceil(threshold * size - 1e-9) + 1).astype(np.int64)
 
 
-def _slices(batch: pa.RecordBatch, column: int):
-    """Parts of a batch with about SLICE bytes of text, a row at least."""
+def _slices(batch: pa.RecordBatch, column: int, most: int = SLICE):
+    """Parts of a batch with about so many bytes of text, a row at least."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     lo, total = 0, np.concatenate([[0], np.cumsum(size)])
     while lo < batch.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + SLICE, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + most, "right")) - 1)
         yield batch.slice(lo, hi - lo)
         lo = hi
 
@@ -144,10 +146,19 @@ def counted(df: DataFrame, keys, slots: int) -> np.ndarray:
     width = slots // RANGES
 
     def count(batches):
-        total = np.zeros(slots, np.uint32)
+        total, held = np.zeros(slots, np.uint32), [np.empty(0, np.uint64)]
+
+        def tally():
+            total[:] += np.bincount(slot(np.concatenate(held), slots), minlength=slots).astype(np.uint32)
+            held.clear()
+
         for b in batches:
             for key in keys(b):
-                total += np.bincount(slot(key, slots), minlength=slots).astype(np.uint32)
+                held.append(key)
+                if sum(map(len, held)) > 1 << 21:
+                    tally()
+        if held:
+            tally()
         parts = [(r, squeeze({"n": total[r * width : (r + 1) * width].astype(np.uint64)})) for r in range(RANGES) if total[r * width : (r + 1) * width].any()]
         yield pa.record_batch([pa.array([r for r, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["range", "n"])
 
@@ -238,7 +249,7 @@ def candidates(p: dict[str, np.ndarray], threshold: float, nearest: int, hot: in
         ys.append(np.where(later, b, a))
         ds.append(far)
         if sum(map(len, xs)) > 1 << 22:
-            xs, ys, ds = ([c] for c in _nearest(p, np.concatenate(xs), np.concatenate(ys), np.concatenate(ds), nearest + 1))
+            xs, ys, ds = ([c] for c in _nearest(p, np.concatenate(xs), np.concatenate(ys), np.concatenate(ds), WIDE + 1))
     return _named(p, xs, ys, ds, nearest), repeats, aside
 
 
@@ -254,22 +265,26 @@ def _following(span: np.ndarray):
 
 
 def compared(p: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs of postings of a word that pass the length, positional and bitmap filters, and by how many bits their bitmaps differ."""
+    """The pairs of postings of a word that pass the length, positional and bitmap filters, and twice the bits that their bitmaps
+    differ in, plus one where that is over half of what is allowed."""
     size, at = p["size"], p["at"]
     need = np.ceil(threshold / (1 + threshold) * (size[a] + size[b]) - 1e-9)
-    ok = (np.minimum(size[a] - at[a], size[b] - at[b]) + np.minimum(at[a], at[b]) >= need) & (np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9)
+    # similar lines share a word of both prefixes that are as long as this pair needs them
+    ok = (np.maximum(at[a] - size[a], at[b] - size[b]) <= -need) & (np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9)
     a, b, need = a[ok], b[ok], need[ok]
     far = sum(np.bitwise_count(p[m][a].view(np.uint64) ^ p[m][b].view(np.uint64)).astype(np.int64) for m in ("low", "high"))
-    ok = far <= size[a] + size[b] - 2 * need
-    return a[ok], b[ok], far[ok]
+    most = (size[a] + size[b] - 2 * need).astype(np.int64)
+    ok = far <= most
+    return a[ok], b[ok], 2 * far[ok] + (2 * far[ok] > most[ok])  # an odd number: not sure
 
 
 def _named(p: dict[str, np.ndarray], xs: list, ys: list, ds: list, nearest: int) -> dict[str, np.ndarray]:
     x, y, d = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (xs, ys, ds))
-    x, y, d = _nearest(p, x, y, d, nearest + 1)
+    x, y, d = _nearest(p, x, y, d, WIDE + 1)
     place = _places(p["set"][x])
-    more = np.isin(p["set"][x], p["set"][x[place >= nearest]])
-    keep = place < nearest
+    most = np.where(d[np.maximum.accumulate(np.where(place == 0, np.arange(len(x)), 0))] % 2 > 0, max(nearest, WIDE), nearest) if len(x) else x
+    more = np.isin(p["set"][x], p["set"][x[place >= most]])
+    keep = place < most
     x, y, more = x[keep], y[keep], more[keep]
     return {"xdoc": p["doc"][x], "xtie": p["tie"][x], "xline": p["line"][x], "ydoc": p["doc"][y], "ytie": p["tie"][y], "yline": p["line"][y], "more": more.astype(np.int64)}
 
@@ -291,7 +306,7 @@ def square(p: dict[str, np.ndarray], threshold: float, nearest: int) -> dict[str
         ys.append(np.where(later, b, a))
         ds.append(far)
         if sum(map(len, xs)) > 1 << 22:
-            xs, ys, ds = ([c] for c in _nearest(p, np.concatenate(xs), np.concatenate(ys), np.concatenate(ds), nearest + 1))
+            xs, ys, ds = ([c] for c in _nearest(p, np.concatenate(xs), np.concatenate(ys), np.concatenate(ds), WIDE + 1))
     return _named(p, xs, ys, ds, nearest)
 
 
@@ -314,14 +329,14 @@ def _keyed(df: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
     return rows.withColumn("tie", told("doc", "tie"))
 
 
-def posted(lines: Lines, doc: np.ndarray, tie: np.ndarray, which: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
-    """The postings of some of the lines, but for words that occur once; of: their lines. doc and tie: of each text."""
+def posted(lines: Lines, doc: np.ndarray, tie: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
+    """The postings of the lines, but for words that occur once; of: their lines. doc and tie: of each text."""
     count = len(lines.number)
     size = np.diff(lines.first)
     place = lines.words & np.uint64(127)
     bit, low = np.uint64(1) << (place & np.uint64(63)), place < 64
     maps = [np.bitwise_xor.reduceat(np.where(low == side, bit, np.uint64(0)), lines.first[:-1]) if count else np.empty(0, np.uint64) for side in (True, False)]
-    long = np.where(which, prefixes(size, threshold), 0)
+    long = prefixes(size, threshold)
     line = np.repeat(np.arange(count), long)
     at = np.arange(len(line)) - np.repeat(np.cumsum(long) - long, long)
     word = lines.first[line] + at
@@ -335,41 +350,40 @@ def posted(lines: Lines, doc: np.ndarray, tie: np.ndarray, which: np.ndarray, th
 def _postings(rows: DataFrame, classes, threshold: float, buckets: int) -> DataFrame:
     """bucket, kind (0: postings, 1: lines known as repeats) and blob."""
 
-    def send(batches):
-        held: list[dict[str, np.ndarray]] = []
-        turn = 0
-
-        def flush():
-            p = {k: np.concatenate([h[k] for h in held]) for k in POSTING}
-            held.clear()
-            to = (mix(p["code"].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((p["code"], to))
-            p, to = {k: v[order] for k, v in p.items()}, to[order]
-            edges = np.searchsorted(to, np.arange(buckets + 1))
-            out = [(b, squeeze({k: v[s:e] for k, v in p.items()})) for b, (s, e) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if e > s]
-            return pa.record_batch([pa.array([b for b, _ in out], pa.int32()), pa.array([0] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "kind", "blob"])
+    def flush(held: list[dict[str, np.ndarray]], places: list[dict[str, np.ndarray]], turn: int):
+        at = {k: np.concatenate([h[k] for h in places]) for k in (*ROW_LINE, "set")}
+        order = np.lexsort((at["line"], at["tie"], at["doc"], at["set"]))
+        same = at["set"][order]
+        again = np.zeros(len(order), bool)
+        again[order[1:][same[1:] == same[:-1]]] = True
+        away = order[elsewhere(again[order], *(at[c][order] for c in ROW_LINE))]
+        out = [(turn % buckets, 1, squeeze({c: at[c][away] for c in ROW_LINE}))] if len(away) else []
+        starts = np.cumsum([0, *(len(h["set"]) for h in places)])
+        of = np.concatenate([h["of"] + s for h, s in zip(held, starts)])
+        p = {k: np.concatenate([h[k] for h in held])[~again[of]] for k in POSTING}
+        to = (mix(p["code"].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = sorted_within(to, p["code"].view(np.uint64) << np.uint64(16))
+        p, to = {k: v[order] for k, v in p.items()}, to[order]
+        edges = np.searchsorted(to, np.arange(buckets + 1))
+        out += [(b, 0, squeeze({k: v[s:e] for k, v in p.items()})) for b, (s, e) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if e > s]
+        return pa.record_batch([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "kind", "blob"])
 
+    def send(batches):
+        held, places, count, turn = [], [], 0, 0
         for b in batches:
             for part in _slices(b, 2):
                 lines = Lines(raw(part.column(2)), classes.value)
-                doc, tie = part.column(0).to_numpy(), part.column(1).to_numpy()
                 if not len(lines.number):
                     continue
-                d, t = doc[lines.text], tie[lines.text]
-                order = np.lexsort((lines.number, t, d, lines.ids))
-                ids = lines.ids[order]
-                again = np.zeros(len(order), bool)
-                again[order[1:][ids[1:] == ids[:-1]]] = True
-                away = order[elsewhere(again[order], d[order], t[order], lines.number[order])]
-                if len(away):
-                    turn += 1
-                    gone = {"doc": d[away], "tie": t[away], "line": lines.number[away]}
-                    yield pa.record_batch([pa.array([turn % buckets], pa.int32()), pa.array([1], pa.int32()), pa.array([squeeze(gone)], pa.binary())], names=["bucket", "kind", "blob"])
-                held.append(posted(lines, doc, tie, ~again, threshold))
-                if sum(len(h["code"]) for h in held) > HELD:
-                    yield flush()
+                doc, tie = part.column(0).to_numpy(), part.column(1).to_numpy()
+                held.append(posted(lines, doc, tie, threshold))
+                places.append({"doc": doc[lines.text], "tie": tie[lines.text], "line": lines.number, "set": lines.ids.view(np.int64)})
+                count += len(held[-1]["code"])
+                if count > HELD:
+                    yield flush(held, places, turn)
+                    held, places, count, turn = [], [], 0, turn + 1
         if held:
-            yield flush()
+            yield flush(held, places, turn)
 
     return rows.mapInArrow(send, "bucket int, kind int, blob binary")
 
@@ -535,7 +549,7 @@ def _settle(rows: DataFrame, waiting: DataFrame, words: DataFrame, classes, thre
             flat = np.concatenate([*some, np.empty(0, np.uint64)])
             one.text = one.number = np.arange(len(some))
             one.words, one.first, one.rank = _ranked_sets(flat, np.repeat(one.text, [len(w) for w in some]), len(some), classes.value[slot(flat, SLOTS)])
-            p = posted(one, b.column(0).to_numpy(), b.column(1).to_numpy(), np.ones(len(some), bool), threshold)
+            p = posted(one, b.column(0).to_numpy(), b.column(1).to_numpy(), threshold)
             line, n = p.pop("of"), share(p["code"])
             p["line"] = b.column(2).to_numpy()[line]
             again = np.repeat(np.arange(len(n)), n)
@@ -548,19 +562,28 @@ def _settle(rows: DataFrame, waiting: DataFrame, words: DataFrame, classes, thre
     def prefix_words(b):
         for w in b.column(3).to_pylist():
             w = np.frombuffer(w, np.uint64)
-            yield w[sorted_within(np.zeros(len(w), np.int64), w, classes.value[slot(w, SLOTS)])][: prefix(len(w), threshold)]
+            w = w[sorted_within(np.zeros(len(w), np.int64), w, classes.value[slot(w, SLOTS)])][: prefix(len(w), threshold)]
+            yield w
+            yield mix(w >> np.uint64(24))
 
     hit = spark.sparkContext.broadcast(counted(own, prefix_words, SLOTS) > 0)
 
+    def asked(word: np.ndarray) -> np.ndarray:
+        """Whether a word may be in a waiting line's prefix: by two bits of the bitmap."""
+        out = hit.value[slot(word, SLOTS)]
+        out[out] = hit.value[slot(mix(word[out] >> np.uint64(24)), SLOTS)]
+        return out
+
     def send(batches):
         for b in batches:
+            met = []
             for part in _slices(b, 2):
                 w = Words(raw(part.column(2)), GRAPHIC, lower=True)
-                met = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(hit.value[slot(w.hash, SLOTS)])])[w.first]))
-                part = part.take(pa.array(met))
+                met.append(np.diff(np.concatenate([[0], np.cumsum(asked(w.hash))])[w.first]) > 0)
+            for part in _slices(b.filter(pa.array(np.concatenate([*met, np.empty(0, bool)]))), 2, 8 * SLICE):
                 lines = Lines(raw(part.column(2)), classes.value)
-                p = posted(lines, part.column(0).to_numpy(), part.column(1).to_numpy(), np.ones(len(lines.number), bool), threshold)
-                ok = hit.value[slot(p["code"].view(np.uint64) << np.uint64(24), SLOTS)]
+                p = posted(lines, part.column(0).to_numpy(), part.column(1).to_numpy(), threshold)
+                ok = asked(p["code"].view(np.uint64) << np.uint64(24))
                 line = np.repeat(np.arange(len(lines.number)), np.diff(lines.first))
                 sort = sorted_within(line, lines.words)  # bodies are sorted by hash
                 p = {k: v[ok] for k, v in p.items()}
@@ -650,7 +673,7 @@ def _decided(df: DataFrame, threshold: float, nearest: int, id_col: str, text_co
 
     # only texts that the bitmap holds are shuffled; the others pass by
     rest = rows.filter(~concerned("doc", "tie")).withColumn("removed", F.lit(None).cast("array<int>"))
-    marked = rows.filter(concerned("doc", "tie")).join(marks, ["doc", "tie"], "left")
+    marked = rows.filter(concerned("doc", "tie")).join(marks.hint("shuffle_hash"), ["doc", "tie"], "left")
     if several:  # of equal rows all but one lose every line that isn't blank
         rest = rest.unionByName(marked.filter("several IS NULL").drop("several"))
         equal = marked.filter("several").withColumn("no", F.row_number().over(Window.partitionBy("doc", "tie").orderBy(F.lit(1))))

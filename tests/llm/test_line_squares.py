@@ -25,11 +25,12 @@ def corpus(n):
     return [(k, "\n".join(line() for _ in range(rng.randint(1, 3)))) for k in range(n)]
 
 
-def test_hot_words_are_compared_in_squares(spark):
+def test_hot_words_are_compared_in_squares(spark, monkeypatch):
     rows = corpus(50)
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     keyed = line_dedup._keyed(frame, "doc_id", "text")
-    for hot, nearest in ((3, 1), (7, 4)):
+    for hot, nearest, wide in ((3, 1, 1), (7, 4, 256)):
+        monkeypatch.setattr(line_dedup, "WIDE", wide)
         got = {r.doc: r.removed for r in line_dedup.removed_lines(keyed, hot=hot, nearest=nearest).collect()}
         assert got == {i: g for i, g in brute(rows) if g}
 
