@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import annotations, conversations, tables, texts
+from .plans import annotations, casts, conversations, scripts, tables, texts
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _plan in (conversations, texts, tables, annotations):
+for _plan in (conversations, texts, tables, annotations, scripts, casts):
     QUERIES |= _plan.QUERIES
     SQL |= _plan.SQL

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Every character that counts as white space, for regular expressions.
 SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
-# Tags whose start and end break lines, and entities with their characters, &amp; last.
+# Tags whose start and end break lines; the commonest entities with their characters, &amp; last, for SQL twins.
 BLOCK_TAGS = "address|article|aside|blockquote|br|div|h1|h2|h3|h4|h5|h6|li|p|section|table|tr"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&"))
 # A sentence ends after one of .!? where white space and an opening quote, a capital or a digit follow.
 SENTENCE_BREAK = r"""(?<=[.!?])\s+(?=["'“‘A-Z0-9])"""
 # The three kinds of quotes; a single closing quote before a letter or digit is an apostrophe; an open quote runs on.
 QUOTE = r"""“[^”]*(?:”|\z)|"[^"]*(?:"|\z)|‘(?:[^’]|’(?=[\p{L}\p{N}]))*(?:’|\z)"""
+# What secrets look like.
+SECRETS = (r"(?i)Bearer\s+[A-Za-z0-9._\-]+", r"(?i)sk-ant-[A-Za-z0-9._\-]+")
 # Chapter headings, alone on a line.
 HEADING = r"(?im)^\s*(?:chapter\s+(?:[0-9]+|[ivxlcdm]+|[a-z]+)|prologue|epilogue|part\s+[ivxlcdm]+)\s*$"
 
@@ -34,8 +40,10 @@ def name_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
 
 
-def slug(c: Column, separator: str = "_") -> Column:
-    return F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", separator), F.lit(separator))
+def slug(c: Column, separator: str = "_", strict: bool = False) -> Column:
+    """Letters and digits with separators between them; text without any is blank, or an error if strict."""
+    out = F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", separator), F.lit(separator))
+    return F.when(out == "", F.raise_error(F.lit("no letter or digit in a name")).cast("string")).otherwise(out) if strict else out
 
 
 def safe_slug(c: Column, default: str = "book", most: int = 80) -> Column:
@@ -57,21 +65,27 @@ def sentences(c: Column) -> Column:
     return F.split(squeeze(c), SENTENCE_BREAK)
 
 
+@F.pandas_udf(T.StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """All character references of HTML as characters; for the texts that may hold some, in batches."""
+    return text.map(html.unescape, na_action="ignore")
+
+
 def html_text(c: Column) -> Column:
     """Text of HTML: no script, style or comments; block tags break lines; entities; no blank lines."""
     x = F.regexp_replace(c, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", "")
     x = F.regexp_replace(x, rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>", "\n")
     x = F.regexp_replace(x, r"(?s)<[a-zA-Z/!][^>]*>", "")
-    for entity, char in ENTITIES:
-        x = F.replace(x, F.lit(entity), F.lit(char))
+    x = F.coalesce(unescaped(F.when(F.contains(x, F.lit("&")), x)), x)
     lines = F.filter(F.transform(F.split(x, "\n"), squeeze), lambda line: line != "")
     return F.array_join(lines, "\n")
 
 
 def redact(c: Column) -> Column:
     """Hides bearer tokens and values that follow key-like names."""
-    x = F.regexp_replace(c, r"(?i)Bearer\s+[A-Za-z0-9._\-]+", "[REDACTED]")
-    x = F.regexp_replace(x, r"(?i)sk-ant-[A-Za-z0-9._\-]+", "[REDACTED]")
+    x = c
+    for secret in SECRETS:
+        x = F.regexp_replace(x, secret, "[REDACTED]")
     return F.regexp_replace(x, r"""(?i)\b(?:token|api_key|secret|password)\s*=\s*"[^"]*\"""", "[REDACTED]")
 
 
@@ -102,3 +116,58 @@ def two_part_key(name: Column, stage: Column) -> Column:
     """The name's slug with the stage's, unless the stage is unknown."""
     s = slug(stage)
     return F.concat_ws("_", slug(name), F.when((s != "") & (s != "unknown"), s))
+
+
+# Quote marks around a quote's key.
+QUOTE_MARKS = "\"'“”‘’"
+
+
+def quote_key(c: Column) -> Column:
+    """What a quote is compared by: its normalised text without quote marks around it."""
+    return name_key(F.btrim(F.btrim(c), F.lit(QUOTE_MARKS)))
+
+
+def join_filled(parts: Column, separator: str = " ") -> Column:
+    """The parts that aren't blank, trimmed and joined."""
+    return F.array_join(F.filter(F.transform(parts, lambda x: F.btrim(x)), lambda x: x != ""), separator)
+
+
+def fixed(c: Column, places: int = 3) -> Column:
+    """A number with so many decimal places; blank for null."""
+    return F.coalesce(F.format_string(f"%.{places}f", c.cast("double")), F.lit(""))
+
+
+def log_line(prefix: str, event: Column, **details: Column) -> Column:
+    """prefix event key=value ... without details that are null."""
+    return F.concat_ws(" ", F.lit(prefix), event, *[F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in details.items()])
+
+
+def text_hash(c: Column) -> Column:
+    return F.sha2(c, 256)
+
+
+def path_parts(c: Column, prefix: str, middle: str, suffix: str) -> tuple[Column, Column]:
+    """The name and the number of prefix name/middle/number suffix; null for other paths."""
+    p = rf"\A\Q{prefix}\E([^/]*)/\Q{middle}\E/(\d+)\Q{suffix}\E\z"
+    hit = F.regexp_like(c, F.lit(p))
+    return F.when(hit, F.regexp_extract(c, p, 1)), F.when(hit, F.regexp_extract(c, p, 2).cast("long"))
+
+
+def prompt(template: str, **parts: Column) -> Column:
+    """A template's {name} filled with columns: rows rendered on the executors, whatever the template says."""
+    import string
+
+    pieces = []
+    for literal, name, _, _ in string.Formatter().parse(template):
+        pieces += [F.lit(literal)] * bool(literal) + ([F.coalesce(parts[name].cast("string"), F.lit(""))] if name else [])
+    return F.concat(*pieces)
+
+
+# What stands for the cut middle of a text.
+CUT = "\n\n[...truncated failed model response...]\n\n"
+
+
+def bounded(c: Column, most: int = 12000) -> Column:
+    """Head and tail of a text that is too long, CUT between them."""
+    half = most // 2
+    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, half), F.lit(CUT), F.substring(c, -half, half))).otherwise(c)

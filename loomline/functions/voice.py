@@ -50,3 +50,66 @@ def clamp(c: Column, low, high, default) -> Column:
 def choice(c: Column, options: tuple[str, ...], default: str) -> Column:
     x = F.lower(F.trim(c))
     return F.when(x.isin(*options), x).otherwise(default)
+
+
+# What a narrator's voice is by default, as description and instruction.
+NARRATORS = {
+    "male": ("adult male audiobook narrator, calm baritone timbre, clear pacing", "A steady adult male audiobook narrator voice with calm baritone timbre, clear audiobook narration, measured pacing, and crisp articulation."),
+    "female": ("adult female audiobook narrator, warm alto timbre, clear pacing", "A steady adult female audiobook narrator voice with warm alto timbre, clear audiobook narration, measured pacing, and crisp articulation."),
+}
+# The instruction for an accent that has none of its own, around the accent's name; what every voice's instruction ends with.
+OTHER_ACCENT = " pronunciation: keep the accent consistent, audible, and do not drift into General American unless requested"
+DELIVERY = "clear natural audiobook delivery"
+
+
+def accent_instruction(accent: Column, own: dict[str, str] | None = None) -> Column:
+    """The instruction of an accent by its normalised name, or one made of its name; blank for no accent. own: instructions by name."""
+    t = F.btrim(F.coalesce(accent, F.lit("")))
+    other = F.concat(t, F.lit(OTHER_ACCENT))
+    if own:
+        table = F.create_map(*[F.lit(x) for kv in own.items() for x in kv])
+        other = F.coalesce(F.try_element_at(table, name_key(t)), other)
+    return F.when(t == "", "").otherwise(other)
+
+
+def narrator_voice(kind: Column) -> tuple[Column, Column]:
+    """Description and instruction of a narrator of a kind; anything but female is male."""
+    female = F.coalesce(F.lower(F.btrim(kind)) == "female", F.lit(False))
+    return tuple(F.when(female, b).otherwise(a) for a, b in zip(NARRATORS["male"], NARRATORS["female"]))
+
+
+def profile(name: Column, stage: Column, gender: Column, personality: Column, race: Column, given_accent: Column, own: dict[str, str] | None = None) -> tuple[Column, Column]:
+    """A voice's description and instruction from who speaks; personality is an array of traits."""
+    known = lambda c: F.when(~F.coalesce(c, F.lit("unknown")).isin("unknown", ""), c)
+    blank = lambda c: F.nullif(F.btrim(F.coalesce(c, F.lit(""))), F.lit(""))
+    who = F.concat_ws(" ", F.replace(known(stage), F.lit("_"), F.lit(" ")), known(gender))
+    who = F.when(who == "", F.concat(name, F.lit(" voice"))).otherwise(who)
+    traits = F.array_join(F.filter(F.transform(F.coalesce(personality, F.array().cast("array<string>")), lambda x: F.btrim(x)), lambda x: x != ""), ", ")
+    traits = F.when(traits == "", "natural").otherwise(traits)
+    said = F.coalesce(blank(given_accent), accent(F.coalesce(race, F.lit(""))))
+    description = F.concat_ws("; ", who, traits, blank(race), F.concat(said, F.lit(" accent")))
+    spoken = F.nullif(accent_instruction(said, own), F.lit(""))
+    instruction = F.concat(F.concat_ws("; ", F.concat(F.lit("A "), who, F.lit(" voice")), F.concat(traits, F.lit(" personality")), spoken, F.lit(DELIVERY)), F.lit("."))
+    return description, instruction
+
+
+def narrator_summary(name: Column, stage: Column, gender: Column, accent_: Column) -> Column:
+    part = lambda c: F.when(~F.coalesce(c, F.lit("")).isin("", "unknown"), F.replace(c, F.lit("_"), F.lit(" ")))
+    rest = F.concat_ws(" ", part(stage), part(gender), part(accent_))
+    return F.concat(F.coalesce(F.nullif(F.btrim(name), F.lit("")), F.lit("Narrator")), F.lit(": "), F.when(rest == "", "custom narrator").otherwise(rest))
+
+
+def last_read_label(chapter: Column, unit: Column) -> Column:
+    c = F.btrim(F.coalesce(chapter, F.lit("")))
+    return F.when(c == "", "Not started").when(unit.isNull(), c).otherwise(F.concat(c, F.lit(", segment "), (unit + 1).cast("string")))
+
+
+def is_narrator() -> Column:
+    """Whether a unit (role, role_id, voice_variant) is read by the narrator, under its present or its older name."""
+    said = lambda c, *names: F.coalesce(F.col(c).isin(*names), F.lit(False))
+    return said("role_id", "functional_narrator", "narrator") | said("voice_variant", "functional_narrator") | said("role", "Narrator")
+
+
+def is_temp(path: Column) -> Column:
+    """Whether a voice belongs to a chapter alone."""
+    return F.startswith(F.replace(F.btrim(F.coalesce(path, F.lit(""))), F.lit("\\"), F.lit("/")), F.lit("voices/_temp/"))

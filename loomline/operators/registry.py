@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import name_key
@@ -35,10 +35,14 @@ def stale(current: DataFrame, stored: DataFrame, key: str, digest: str) -> DataF
     return rows.select(key, F.when(F.col("__old").isNull(), "missing").otherwise("changed").alias("reason"))
 
 
-def resume_points(df: DataFrame, key: str, idx: str, stage: str) -> DataFrame:
-    """key and where to go on: the first failed chapter, else the first that is stale or missing, else 0."""
+def resume_points(df: DataFrame, key: str, idx: str, stage: str, completed: str | None = None) -> DataFrame:
+    """key and where to go on: the first failed chapter, else the running one, else (after an unfinished run) the last completed one,
+    else the first that is stale or missing, else 0. completed: a column with the number of chapters the last run completed."""
     at = lambda *s: F.min(F.when(F.col(stage).isin(*s), F.col(idx)))
-    return df.groupBy(key).agg(F.coalesce(at("failed"), at("stale", "missing"), F.lit(0)).cast("long").alias("resume_at"))
+    last = [F.max(F.when((F.col(completed) > 0) & (F.col(completed) <= F.col("__n")), F.col(completed) - 1))] if completed else []
+    if completed:
+        df = df.join(df.groupBy(key).agg(F.count("*").alias("__n")), key)
+    return df.groupBy(key).agg(F.coalesce(at("failed"), at("running"), *last, at("stale", "missing"), F.lit(0)).cast("long").alias("resume_at"))
 
 
 def unique_slugs(df: DataFrame, slug: str, order: str, name: str = "unique_slug") -> DataFrame:
@@ -65,5 +69,3 @@ def variants(df: DataFrame, person: str, role: str, label: str) -> DataFrame:
     labels = df.groupBy(person).agg(F.array_join(F.sort_array(F.collect_set(label)), ",").alias("variants"), F.count("*").alias("n_records"), F.min(role).alias("first_role"))
     return df.select(person, role).join(labels, person)
 
-
-__all__ = ["merge", "ordered_distinct", "progress", "resume_points", "stale", "unique_slugs", "variants", "Window"]

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import HEADING, QUOTE, sentences, squeeze, title
+from ..functions.text import HEADING, QUOTE, sentences, title
+
+WHITE = " \t\n\x0b\f\r"
 
 
 def sentence_rows(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -25,31 +27,51 @@ def chapter_rows(df: DataFrame, key: str, text: str, shortest: int = 20) -> Data
     return rows.select(key, F.format_string("chapter_%03d", F.col("pos") + 1).alias("chapter"), F.concat("body", F.lit("\n")).alias("body"))
 
 
-def _pieces(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Quotes and what stands between them, with their places; one regular expression finds the quotes."""
-    quotes = F.regexp_extract_all(F.col(text), F.lit(QUOTE), F.lit(0))
-    between = F.split(F.col(text), QUOTE, -1)
-    both = F.flatten(F.zip_with(between, quotes, lambda a, b: F.array(F.struct(F.lit("narration").alias("kind"), F.coalesce(a, F.lit("")).alias("raw")), F.struct(F.lit("quote").alias("kind"), F.coalesce(b, F.lit("")).alias("raw")))))
-    start = F.aggregate(both, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x["raw"]))))
-    rows = df.select(key, F.posexplode(F.arrays_zip(both.alias("p"), F.slice(start, 1, F.size(both)).alias("s"))).alias("pos", "x"))
-    return rows.select(key, "pos", F.col("x.p.kind").alias("kind"), F.col("x.p.raw").alias("raw"), F.col("x.s").alias("at")).filter(F.length("raw") > 0)
+def _spans(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Spans of each text with their number among all (unit_id): one linear pass over each text, in Arrow batches, no shuffle."""
+    pattern = QUOTE.replace(r"\z", r"\Z")
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import regex
+
+        quotes = regex.compile(pattern)
+        for b in batches:
+            rows: list[tuple] = []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                n, cursor = [0, 0, 0], 0
+
+                def narration(lo: int, hi: int, i=i, t=t, n=n):
+                    said = t[lo:hi].strip(WHITE)
+                    if said:
+                        at = lo + len(t[lo:hi]) - len(t[lo:hi].lstrip(WHITE))
+                        rows.append((i, "narration", n[0], n[2], at, at + len(said), said))
+                        n[0], n[2] = n[0] + 1, n[2] + 1
+
+                for m in quotes.finditer(t or ""):
+                    narration(cursor, m.start())
+                    cursor = m.end()
+                    rows.append((i, "quote", n[1] + 1, n[2], m.start(), cursor, m[0]))
+                    n[1], n[2] = n[1] + 1, n[2] + 1
+                narration(cursor, len(t or ""))
+            columns = list(zip(*rows)) if rows else [()] * 7
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.record_batch([b.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(c, k) for c, k in zip(columns[1:], kinds))], names=[key, "kind", "idx", "unit_id", "start", "end", "text"])
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, kind string, idx long, unit_id long, start long, end long, text string")
 
 
 def spans(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, kind (quote or narration), idx, start, end, text. Narration is trimmed, and dropped if blank; quotes count from 1."""
-    p = _pieces(df, key, text)
-    lead = F.length("raw") - F.length(F.regexp_replace("raw", r"^\s+", ""))
-    inner = F.regexp_replace("raw", r"^\s+|\s+$", "")
-    quote = F.col("kind") == "quote"
-    rows = p.select(key, "kind", "pos", (F.col("at") + F.when(quote, 0).otherwise(lead)).cast("long").alias("start"), F.when(quote, F.col("raw")).otherwise(inner).alias("text")).filter(F.length("text") > 0)
-    numbered = F.row_number().over(Window.partitionBy(key, "kind").orderBy("pos")).cast("long")
-    return rows.select(key, "kind", (numbered - F.when(quote, 0).otherwise(1)).alias("idx"), "start", (F.col("start") + F.length("text")).cast("long").alias("end"), "text")
+    """key, kind (quote or narration), idx, start, end, text. Narration is trimmed, and dropped if blank; quotes count from 1.
+
+    key names one text; rows of one key are numbered apart.
+    """
+    return _spans(df, key, text).drop("unit_id")
 
 
 def reading_units(df: DataFrame, key: str, text: str) -> DataFrame:
     """Quotes and narration together, numbered densely by place: key, unit_id, kind, start, end, text."""
-    unit = F.row_number().over(Window.partitionBy(key).orderBy("start", "end")).cast("long") - 1
-    return spans(df, key, text).select(key, unit.alias("unit_id"), "kind", "start", "end", "text")
+    return _spans(df, key, text).select(key, "unit_id", "kind", "start", "end", "text")
 
 
 def marked(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -129,5 +151,3 @@ def stitched(df: DataFrame, key: str, group: str, text: str) -> DataFrame:
     laid = running_sum(sized.withColumn("step", F.col("marker") + F.col("size") + 2), group, key, "step", "marker_start")
     return laid.select(group, key, "marker_start", (F.col("marker_start") + F.col("marker")).alias("content_start"), (F.col("marker_start") + F.col("marker") + F.col("size")).alias("content_end"))
 
-
-__all__ = ["chapter_rows", "marked", "quote_fragments", "reading_units", "role_unit_rows", "role_units", "sentence_rows", "spans", "squeeze", "stitched", "titles"]

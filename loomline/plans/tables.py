@@ -94,11 +94,12 @@ def resolve_names(spark, sf_dir):
     return L.resolve(names, registry(spark, sf_dir))
 
 
-@query("kth_match", f"WITH a AS (SELECT conv_id, turn, sha256({name_key('text')}) AS k FROM conversations), l AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY conv_id * 100000 + turn) AS rn FROM a WHERE turn % 2 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY conv_id * 100000 + turn) AS rn FROM a WHERE turn % 2 = 1) SELECT l.k AS name_key, l.conv_id AS left_conv, r.conv_id AS right_conv FROM l JOIN r ON l.k = r.k AND l.rn = r.rn")
+@query("kth_match", "WITH a AS (SELECT conv_id, turn, role || ':' || length(text) % 9 AS k, conv_id * 100000 + turn AS o FROM conversations), l AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY o) AS rn FROM a WHERE conv_id % 2 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY o) AS rn FROM a WHERE conv_id % 2 = 1) SELECT l.k AS match_key, l.o AS left_o, r.o AS right_o FROM l JOIN r ON l.k = r.k AND l.rn = r.rn")
 def kth_match(spark, sf_dir):
-    rows = conversations(spark, sf_dir).select(F.sha2(X.name_key(F.col("text")), 256).alias("name_key"), "conv_id", "turn", (F.col("conv_id") * 100000 + F.col("turn")).alias("o"))
-    side = lambda k, name: rows.filter(F.col("turn") % 2 == k).select("name_key", F.col("conv_id").alias(f"{name}_conv"), F.col("o").alias(f"{name}_o"))
-    return L.kth_match(side(0, "left"), side(1, "right"), "name_key", "left_o", "right_o").select("name_key", "left_conv", "right_conv")
+    key = F.concat_ws(":", "role", (F.length("text") % 9).cast("string"))
+    rows = conversations(spark, sf_dir).filter("role IS NOT NULL AND text IS NOT NULL").select(key.alias("match_key"), "conv_id", (F.col("conv_id") * 100000 + F.col("turn")).alias("o"))
+    side = lambda k, name: rows.filter(F.col("conv_id") % 2 == k).select("match_key", F.col("o").alias(f"{name}_o"))
+    return L.kth_match(side(0, "left"), side(1, "right"), "match_key", "left_o", "right_o")
 
 
 @query("coverage_check", "SELECT doc_id, 'missing' AS error FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'extra' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT doc_id, 'duplicate' FROM labels GROUP BY doc_id HAVING count(*) > 1")
@@ -211,7 +212,10 @@ def memory_peaks(spark, sf_dir):
     return events(spark, sf_dir).groupBy("user_id").agg(M.gigabytes(F.greatest(F.max(F.col("value") * 1e8), F.max(k))).alias("peak_gb"))
 
 
-@query("adaptive_limit")
+@query("adaptive_limit", """WITH RECURSIVE e AS (SELECT user_id, event_id, 1 + event_id % 9 AS b, trunc(value * 1000)::BIGINT AS p, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+s AS (SELECT user_id, 0::BIGINT AS rn, 0::BIGINT AS event_id, 4::BIGINT AS was, 4::BIGINT AS now FROM e WHERE rn = 1
+UNION ALL SELECT e.user_id, e.rn, e.event_id, s.now, CASE WHEN p <= 0 THEN s.now WHEN p > 120000 THEN greatest(1, floor(b * 120000 / p * 0.85))::BIGINT WHEN s.now > 0 AND p < 78000 THEN CASE WHEN s.now + greatest(1, s.now // 2) >= 24 THEN 0 ELSE s.now + greatest(1, s.now // 2) END ELSE s.now END FROM s JOIN e ON e.user_id = s.user_id AND e.rn = s.rn + 1)
+SELECT user_id, event_id, was AS limit_before, now AS limit_after FROM s WHERE rn > 0""")
 def adaptive_limit(spark, sf_dir):
     rows = events(spark, sf_dir).select("user_id", "event_id", (1 + F.pmod("event_id", F.lit(9))).alias("blocks"), (F.col("value") * 1000).cast("long").alias("peak"))
     return S.adaptive_limits(rows, "user_id", ["event_id"], "blocks", "peak", 120_000, 4).select("user_id", "event_id", "limit_before", "limit_after")
@@ -251,26 +255,27 @@ def element_means(spark, sf_dir):
 
 
 @query("attribution_errors", """WITH q AS (SELECT conv_id AS chapter, turn AS idx FROM conversations WHERE turn % 5 <> 4),
-w AS (SELECT conv_id AS chapter, turn AS idx, CASE WHEN turn % 6 = 5 THEN 'ghost' ELSE role END AS role, CASE WHEN turn % 7 = 6 THEN 'song' ELSE 'dialogue' END AS kind FROM conversations WHERE turn % 4 <> 3),
+w AS (SELECT conv_id AS chapter, turn AS idx, CASE WHEN turn % 11 = 10 THEN 'out' WHEN turn % 6 = 5 THEN 'ghost' WHEN turn % 6 = 2 THEN 'Narrator' ELSE role END AS role, CASE WHEN turn % 7 = 6 THEN 'song' WHEN turn % 8 = 5 THEN 'narrator_quote' ELSE 'dialogue' END AS kind FROM conversations WHERE turn % 4 <> 3),
 e AS (SELECT chapter, idx, 'missing quote' AS error FROM q WHERE (chapter, idx) NOT IN (SELECT (chapter, idx) FROM w) UNION ALL SELECT chapter, idx, 'extra quote' FROM w WHERE (chapter, idx) NOT IN (SELECT (chapter, idx) FROM q)
-UNION ALL SELECT chapter, idx, 'unknown role' FROM w WHERE role = 'ghost' UNION ALL SELECT chapter, idx, 'unknown kind' FROM w WHERE kind = 'song' UNION ALL SELECT chapter, idx, 'Narrator cannot speak dialogue' FROM w WHERE lower(role) = 'narrator' AND kind = 'dialogue')
-SELECT chapter, string_agg(error || ' ' || idx, '; ' ORDER BY idx, error) AS errors FROM e GROUP BY chapter""")
+UNION ALL SELECT chapter, idx, CASE WHEN role = 'out' THEN 'role out of range' WHEN kind = 'song' THEN 'unknown kind' WHEN kind = 'narrator_quote' THEN NULL WHEN role = 'Narrator' THEN 'Narrator cannot speak dialogue' WHEN role = 'ghost' THEN 'unknown role ghost of' END FROM w
+UNION ALL SELECT DISTINCT chapter, NULL::BIGINT, 'unused local speaker tmp_009' FROM q)
+SELECT chapter, string_agg(error || coalesce(' ' || idx, ''), '; ' ORDER BY idx IS NULL, idx, error) AS errors FROM e WHERE error IS NOT NULL GROUP BY chapter""")
 def attribution_errors(spark, sf_dir):
     c = conversations(spark, sf_dir).select(F.col("conv_id").alias("chapter"), F.col("turn").alias("idx"), "role")
     i = F.col("idx")
-    rows = c.filter(i % 4 != 3).select("chapter", "idx", F.when(i % 6 == 5, "ghost").otherwise(F.col("role")).alias("role"), F.when(i % 7 == 6, "song").otherwise("dialogue").alias("kind"))
-    return Q.attribution_errors(c.filter(i % 5 != 4), rows, c)
+    role = F.when(i % 11 == 10, "out").when(i % 6 == 5, "ghost").when(i % 6 == 2, "Narrator").otherwise(F.col("role"))
+    rows = c.filter(i % 4 != 3).select("chapter", "idx", role.alias("role"), F.when(i % 7 == 6, "song").when(i % 8 == 5, "narrator_quote").otherwise("dialogue").alias("kind"))
+    every = c.select("chapter").distinct()
+    roles = every.crossJoin(F.broadcast(spark.createDataFrame([(0, "ghost"), (1, "Narrator"), (2, "user"), (3, "assistant"), (4, "system"), (5, "tool")], "role_idx long, role string")))
+    coded = rows.join(roles, ["chapter", "role"], "left").select("chapter", "idx", F.coalesce("role_idx", F.lit(99)).alias("role_idx"), "kind")
+    known = spark.createDataFrame([("user",), ("ASSISTANT",), ("system",), ("tool",)], "role string")
+    return Q.attribution_errors(c.filter(i % 5 != 4), coded, roles, known, every.withColumn("local_id", F.lit("tmp_009")))
 
 
-@query("event_stream")
+@query("event_stream", "SELECT event_type, date_trunc('hour', ts) AS begin, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def event_stream(spark, sf_dir):
-    """Streaming: events per kind and hour, from the table read as a stream."""
-    import uuid
-
+    """Streaming: events per kind and hour, from the table read as a stream; its results go to files in the shared folder."""
     from ..streaming.stateful import drain, event_counts, table_stream
 
     stream = event_counts(table_stream(spark, f"{sf_dir}/events.parquet"), "ts", "event_type", "value")
-    return drain(stream, f"events_{uuid.uuid4().hex}", "complete")
-
-
-__all__ = ["PLAN", "QUERIES", "SQL", "Window"]
+    return drain(stream, "complete").withColumn("total", F.round("total", 2))

@@ -79,7 +79,7 @@ def chapter_title(spark, sf_dir):
     return P.titles(documents(spark, sf_dir), "doc_id", "text")
 
 
-QUOTE_SQL = """'“[^”]*(?:”|$)|"[^"]*(?:"|$)'"""
+QUOTE_SQL = r"""'“[^”]*(?:”|$)|"[^"]*(?:"|$)|‘(?:[^’]|’[\p{L}\p{N}])*(?:’|$)'"""
 PIECES_SQL = f"""q AS (SELECT doc_id, text, regexp_extract_all(text, {QUOTE_SQL}) AS qs, string_split(regexp_replace(text, {QUOTE_SQL}, chr(30), 'g'), chr(30)) AS bs FROM documents),
 z AS (SELECT doc_id, unnest(generate_series(1, 2 * len(bs))) AS pos, bs, qs FROM q),
 p AS (SELECT doc_id, pos, CASE WHEN pos % 2 = 1 THEN 'narration' ELSE 'quote' END AS kind, coalesce(CASE WHEN pos % 2 = 1 THEN bs[(pos + 1) // 2] ELSE qs[pos // 2] END, '') AS raw FROM z),
@@ -110,9 +110,13 @@ def role_units(spark, sf_dir):
     return P.role_unit_rows(P.sentence_rows(documents(spark, sf_dir), "doc_id", "text"), "doc_id", "idx", "sentence")
 
 
-@query("chapter_split")
+@query("chapter_split", r"""WITH b AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM documents),
+s AS (SELECT doc_id, unnest([1, 2]) AS k, body FROM b WHERE length(body) >= 20 AND NOT regexp_matches(body, '(?im)^\s*(?:chapter\s+(?:[0-9]+|[ivxlcdm]+|[a-z]+)|prologue|epilogue|part\s+[ivxlcdm]+)\s*$'))
+SELECT doc_id, printf('chapter_%03d', k) AS chapter, sha256(CASE k WHEN 1 THEN body ELSE 'Again: ' || body END || chr(10)) AS body_sha256 FROM s""")
 def chapter_split(spark, sf_dir):
-    return P.chapter_rows(documents(spark, sf_dir), "doc_id", "text")
+    heading = F.regexp_like(F.col("text"), F.lit(X.HEADING))
+    rows = documents(spark, sf_dir).filter(~heading).select("doc_id", F.concat(F.lit("Preface\n Chapter One\n"), "text", F.lit("\nPart II \nAgain: "), F.regexp_replace("text", r"^\s+", "")).alias("text"))
+    return P.chapter_rows(rows, "doc_id", "text").select("doc_id", "chapter", F.sha2("body", 256).alias("body_sha256"))
 
 
 @query("stitch_offsets", """WITH s AS (SELECT source, doc_id, length('[' || doc_id || ']' || chr(10)) AS m, length(coalesce(text, '')) AS n FROM documents),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +22,13 @@ def local_session(app: str = "loomline", cores: int | str | None = None, shuffle
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's checkpoint folder. A temporary one in local mode only."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomline-"))
+    return sc.getCheckpointDir()

@@ -3,10 +3,13 @@ Arrow batches on the executors."""
 
 from __future__ import annotations
 
+import base64
 import io
+import os
 import posixpath
 import re
 import struct
+import wave
 import xml.etree.ElementTree as ET
 import zipfile
 
@@ -107,7 +110,7 @@ def spine(z: zipfile.ZipFile) -> list[tuple[str, str]]:
 
 
 # What a chapter's member name holds.
-CHAPTER_NAME = r"(?i)chapter|chap|part|prologue|epilogue"
+CHAPTER_NAME = r"(?i)chapter|prologue|epilogue|part"
 
 
 def epub_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -127,7 +130,7 @@ def epub_documents(spark: SparkSession, path: str) -> DataFrame:
 def select_chapters(docs: DataFrame, book: str, pos: str, member: str, text: str, shortest: int = 300) -> DataFrame:
     """The best tier of a book's documents: those named like chapters, else those that begin with a heading, else the long ones.
     Chapters are numbered before short ones go, so numbers may have gaps."""
-    heading = F.regexp_like(F.substring(text, 1, 500), F.lit(r"(?im)^\s*(?:chapter\s+\S+|prologue|epilogue)\s*$"))
+    heading = F.regexp_like(F.substring(text, 1, 500), F.lit(r"(?im)^\s*(?:chapter\s+\S+|prologue|epilogue|part\s+\S+)\s*$"))
     tier = F.when(F.regexp_like(F.col(member), F.lit(CHAPTER_NAME)), 1).when(heading, 2).when(F.length(text) >= shortest, 3)
     tiered = docs.withColumn("__tier", tier).withColumn("__best", F.min("__tier").over(Window.partitionBy(book))).filter("__tier = __best")
     number = F.row_number().over(Window.partitionBy(book).orderBy(pos))
@@ -174,3 +177,66 @@ def write_report(df: DataFrame, path: str) -> None:
 def write_chapters(df: DataFrame, path: str, chapter: str = "chapter", text: str = "text") -> None:
     """One folder per chapter with its text, a line break at its end."""
     df.select(chapter, F.rtrim(text).alias("value")).write.mode("overwrite").partitionBy(chapter).text(path)
+
+
+def stitched_wavs(df: DataFrame, key: str, order: str, wav: str, rate: int) -> DataFrame:
+    """key, wav: a chapter's mono 16-bit chunks end to end, in order; another rate, width or channel count is an error. One chapter is one group."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(group: pa.Table) -> pa.Table:
+        out = io.BytesIO()
+        with wave.open(out, "wb") as whole:
+            whole.setnchannels(1)
+            whole.setsampwidth(2)
+            whole.setframerate(rate)
+            for chunk in group.sort_by(order)[wav].to_pylist():
+                with wave.open(io.BytesIO(chunk)) as part:
+                    if (part.getframerate(), part.getnchannels(), part.getsampwidth()) != (rate, 1, 2):
+                        raise ValueError(f"chunk of {part.getframerate()} Hz, {part.getnchannels()} channels, {8 * part.getsampwidth()} bits in a chapter of {rate} Hz mono 16 bits")
+                    whole.writeframes(part.readframes(part.getnframes()))
+        return pa.table({key: group[key].slice(0, 1), "wav": pa.array([out.getvalue()], pa.binary())})
+
+    return df.select(key, order, wav).groupBy(key).applyInArrow(run, f"`{key}` {kind}, wav binary")
+
+
+def _floats(df: DataFrame, column: str, name: str, kind: str, of: pa.DataType, change) -> DataFrame:
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{name}` {kind}"])
+
+    def run(batches):
+        for b in batches:
+            made = [None if x is None else change(x) for x in b.column(b.schema.names.index(column)).to_pylist()]
+            yield pa.record_batch([*b.columns, pa.array(made, of)], names=[*b.schema.names, name])
+
+    return df.mapInArrow(run, schema)
+
+
+def encoded_audio(df: DataFrame, samples: str, name: str = "samples_b64") -> DataFrame:
+    """df with samples as base64 of little-endian 32-bit floats."""
+    return _floats(df, samples, name, "string", pa.string(), lambda x: base64.b64encode(np.array(x, "<f4").tobytes()).decode())
+
+
+def decoded_audio(df: DataFrame, encoded: str, name: str = "samples") -> DataFrame:
+    """df with samples from base64 of little-endian 32-bit floats."""
+    return _floats(df, encoded, name, "array<float>", pa.list_(pa.float32()), lambda x: np.frombuffer(base64.b64decode(x), "<f4"))
+
+
+def unit_texts(spark: SparkSession, path: str, first: int = 0, most: int | None = None) -> DataFrame:
+    """unit_id, text of a unit file's units (JSON with a list units) from a number on, without blank ones; the first few if asked for."""
+    rows = spark.read.schema("units array<struct<unit_id:long,text:string>>").json(path, multiLine=True).select(F.explode("units").alias("u")).select("u.*")
+    rows = rows.filter((F.btrim(F.coalesce("text", F.lit(""))) != "") & (F.col("unit_id") >= first)).orderBy("unit_id")
+    return rows if most is None else rows.limit(most)
+
+
+def environment(defaults: dict, prefix: str = "", env: dict | None = None) -> dict:
+    """Settings from the environment: a default's type decides how a value is read; absent and blank ones are the default."""
+    env = os.environ if env is None else env
+    out = {}
+    for name, default in defaults.items():
+        value = env.get(prefix + name.upper(), "").strip()
+        if not value:
+            out[name] = default
+        elif isinstance(default, bool):
+            out[name] = value.lower() in ("1", "true", "yes", "on")
+        else:
+            out[name] = type(default)(value) if default is not None else value
+    return out

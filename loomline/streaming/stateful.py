@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,16 +11,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.sequence import next_limit
+from ..session import scratch
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over all that is there now and returns what it made, as a table in memory: for tests and small results."""
+def drain(stream: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
+    """Runs a stream over all that is there now and returns what it made, from Parquet files in the shared folder.
+
+    In complete mode each batch replaces the files, otherwise it adds to them; a batch that is run again writes the same folder.
+    """
     spark = stream.sparkSession
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
-    return spark.table(name)
+    path = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out" if mode == "complete" else f"{path}/out/batch={number}")
+
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{path}/checkpoint")
+    writer.foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
 def event_counts(events: DataFrame, ts: str, kind: str, value: str, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -25,17 +25,17 @@ def texts(spark, *values):
 
 
 def test_chapters(spark):
-    book = "Chapter 1\nThe first room was silent.\n\nChapter 2\nThe second room was loud.\n"
-    got = spans.chapter_rows(texts(spark, book, "A book with no clear headings.", None), "id", "t").orderBy("chapter").collect()
-    assert [(r.chapter, r.body) for r in got] == [("chapter_001", "The first room was silent.\n"), ("chapter_002", "The second room was loud.\n")]
+    book = "Chapter 1\nRain fell on the harbour all night.\n\nChapter 2\nBy noon the ferries ran again.\n"
+    got = spans.chapter_rows(texts(spark, book, "Pages without any heading at all.", None), "id", "t").orderBy("chapter").collect()
+    assert [(r.chapter, r.body) for r in got] == [("chapter_001", "Rain fell on the harbour all night.\n"), ("chapter_002", "By noon the ferries ran again.\n")]
 
 
 def test_sentences(spark):
-    got = spans.sentence_rows(texts(spark, "Hello there.  She waved.\nStay close!", ""), "id", "t").orderBy("idx").collect()
-    assert [(r.idx, r.sentence) for r in got] == [(0, "Hello there."), (1, "She waved."), (2, "Stay close!")]
+    got = spans.sentence_rows(texts(spark, "Lanterns swung.  Tides turned!\nWho rows?", ""), "id", "t").orderBy("idx").collect()
+    assert [(r.idx, r.sentence) for r in got] == [(0, "Lanterns swung."), (1, "Tides turned!"), (2, "Who rows?")]
 
 
-QUOTED = "Callie smiled. “I found this for you in the return bin.” “Wonderful, thank you.” Callie took the thick paperback."
+QUOTED = "Ines knelt. “These shells came up with the nets.” “Put them by the lamp.” Ines emptied the bucket."
 
 
 def test_spans(spark):
@@ -45,13 +45,13 @@ def test_spans(spark):
 
 
 def test_single_quotes(spark):
-    t = "I meet its eyes. ‘That there’s Ensor House, there,’ says the driver. ‘I’ve ’ad worse.’"
+    t = "Fog again. ‘That boat’s Marek’s, look,’ calls the pilot. ‘It’s ’alf sunk.’"
     got = spans.spans(texts(spark, t), "id", "t").filter("kind = 'quote'").orderBy("idx").collect()
-    assert [r.text for r in got] == ["‘That there’s Ensor House, there,’", "‘I’ve ’ad worse.’"]
+    assert [r.text for r in got] == ["‘That boat’s Marek’s, look,’", "‘It’s ’alf sunk.’"]
 
 
 def test_marked(spark):
-    assert spans.marked(texts(spark, 'One. "Two." Three.'), "id", "t").first()["marked"] == 'One. |q001| "Two." ||q001|| Three.'
+    assert spans.marked(texts(spark, 'Up. "Down." Off.'), "id", "t").first()["marked"] == 'Up. |q001| "Down." ||q001|| Off.'
 
 
 def scan(text):
@@ -79,9 +79,9 @@ def test_quotes_match_a_state_machine(spark):
 @pytest.mark.parametrize(
     "text, units",
     [
-        ('"I found this for you." "Wonderful, thank you." Callie took the book.', ['"I found this for you."', '"Wonderful, thank you." Callie took the book.']),
-        ('"Go," Callie said, looking away. "Now."', ['"Go," Callie said, looking away.', '"Now."']),
-        ('Walter said, "I like your jacket." "It is from high school." Callie turned around.', ['Walter said, "I like your jacket."', '"It is from high school." Callie turned around.']),
+        ('"Salt in the flour." "Sieve it, then." Odo shrugged at the oven.', ['"Salt in the flour."', '"Sieve it, then." Odo shrugged at the oven.']),
+        ('"Row," Ines called across the water. "Harder."', ['"Row," Ines called across the water.', '"Harder."']),
+        ('Marek asked, "Is that rope new?" "Spliced last week." Odo tied it off.', ['Marek asked, "Is that rope new?"', '"Spliced last week." Odo tied it off.']),
     ],
 )
 def test_role_units(text, units):
@@ -89,9 +89,9 @@ def test_role_units(text, units):
 
 
 def test_open_quotes_go_on(spark):
-    rows = spark.createDataFrame([("a", 0, "“I could not see your face."), ("a", 1, "You never looked up."), ("a", 2, "You did what she told you to do.” It was almost a relief.")], "k string, i long, s string")
+    rows = spark.createDataFrame([("a", 0, "“The bell rang twice."), ("a", 1, "Nobody came down."), ("a", 2, "Then the tower fell silent.” Gulls wheeled over it.")], "k string, i long, s string")
     got = spans.role_unit_rows(rows, "k", "i", "s").orderBy("i", "part").collect()
-    assert [(r.i, r.unit) for r in got] == [(0, "“I could not see your face."), (1, "You never looked up."), (2, "You did what she told you to do.” It was almost a relief.")]
+    assert [(r.i, r.unit) for r in got] == [(0, "“The bell rang twice."), (1, "Nobody came down."), (2, "Then the tower fell silent.” Gulls wheeled over it.")]
 
 
 def jobs(spark, *pairs):
@@ -99,8 +99,8 @@ def jobs(spark, *pairs):
 
 
 def test_dialogue(spark):
-    rows = jobs(spark, ("Narrator", "First sentence."), ("Narrator", "Second sentence."), ("Elena", "Hello."), ("Narrator", "Follow #Team."))
-    assert sequence.dialogue(rows, "k", "i", "role", "t").first()["script"] == "Narrator: First sentence. Second sentence.\nElena: Hello.\nNarrator: Follow hashtag Team."
+    rows = jobs(spark, ("Narrator", "Dusk came."), ("Narrator", "Boats went out."), ("Ines", "Ready."), ("Narrator", "They chose #Nine."))
+    assert sequence.dialogue(rows, "k", "i", "role", "t").first()["script"] == "Narrator: Dusk came. Boats went out.\nInes: Ready.\nNarrator: They chose hashtag Nine."
 
 
 def test_capacity_windows(spark):
@@ -197,20 +197,20 @@ REGISTRY = "ord long, role_id string, profile_id string, display_name string, al
 
 
 def test_aliases(spark):
-    reg = spark.createDataFrame([(0, "mr_john_pounds_adult", "mr_john_pounds_adult", "Mr John Pounds", [], "adult")], REGISTRY)
-    said = spark.createDataFrame([(1, ["Mr. Pounds"]), (2, ["he", "John Pounds"]), (3, ["he"])], "q long, aliases array<string>")
+    reg = spark.createDataFrame([(0, "mr_odo_marsh_adult", "mr_odo_marsh_adult", "Mr Odo Marsh", [], "adult")], REGISTRY)
+    said = spark.createDataFrame([(1, ["Mr. Marsh"]), (2, ["he", "Odo Marsh"]), (3, ["he"])], "q long, aliases array<string>")
     got = {r.q: r.role_id for r in lookup.match_candidates(said, lookup.alias_bridge(reg), "q", "aliases").collect()}
-    assert got == {1: "mr_john_pounds_adult", 2: None, 3: None}
-    two = reg.union(spark.createDataFrame([(1, "mr_tom_pounds_adult", "x", "Mr Tom Pounds", None, "adult")], REGISTRY))
+    assert got == {1: "mr_odo_marsh_adult", 2: None, 3: None}
+    two = reg.union(spark.createDataFrame([(1, "mr_lev_marsh_adult", "x", "Mr Lev Marsh", None, "adult")], REGISTRY))
     got = lookup.match_candidates(said.filter("q = 1"), lookup.alias_bridge(two), "q", "aliases").first()
-    assert (got.role_id, got.roles) == (None, "mr_john_pounds_adult,mr_tom_pounds_adult")
+    assert (got.role_id, got.roles) == (None, "mr_lev_marsh_adult,mr_odo_marsh_adult")
 
 
 def test_resolve(spark):
-    reg = spark.createDataFrame([(0, "buddy_waleski_adult", "p", "Buddy Waleski", None, ""), (1, "ann_a", "q", "Ann Lee", ["Annie"], ""), (2, "ann_b", "r", "Ann Lee", None, "")], REGISTRY)
-    names = spark.createDataFrame([("Buddy",), ("narrator",), ("Annie",), ("Ann Lee",), ("Ann",), ("buddy waleski adult",)], "name string")
+    reg = spark.createDataFrame([(0, "brina_holt_adult", "p", "Brina Holt", None, ""), (1, "ann_a", "q", "Ann Lee", ["Annie"], ""), (2, "ann_b", "r", "Ann Lee", None, "")], REGISTRY)
+    names = spark.createDataFrame([("Brina",), ("narrator",), ("Annie",), ("Ann Lee",), ("Ann",), ("brina holt adult",)], "name string")
     got = {r.name: (r.role_id, r.how) for r in lookup.resolve(names, reg).collect()}
-    assert got == {"Buddy": ("buddy_waleski_adult", "short"), "narrator": ("narrator", "narrator"), "Annie": ("ann_a", "direct"), "Ann Lee": (None, "none"), "Ann": (None, "none"), "buddy waleski adult": ("buddy_waleski_adult", "direct")}
+    assert got == {"Brina": ("brina_holt_adult", "short"), "narrator": ("narrator", "narrator"), "Annie": ("ann_a", "direct"), "Ann Lee": (None, "none"), "Ann": (None, "none"), "brina holt adult": ("brina_holt_adult", "direct")}
 
 
 def test_kth_match(spark):
@@ -220,21 +220,24 @@ def test_kth_match(spark):
 
 
 def test_first_appearance(spark):
-    got = sequence.first_appearance(jobs(spark, ("Narrator", ""), ("Elena", ""), ("Narrator", "")), "k", "i", "role").orderBy("i").collect()
+    got = sequence.first_appearance(jobs(spark, ("Narrator", ""), ("Ines", ""), ("Narrator", "")), "k", "i", "role").orderBy("i").collect()
     assert [r.code for r in got] == [0, 1, 0]
 
 
 def test_merge(spark):
-    rows = spark.createDataFrame([("callie_adult", 0, "protective", "unknown"), ("callie_adult", 1, "direct", "lawyer"), ("callie_adult", 2, "Direct", "judge"), ("callie_teen", 3, "shy", "")], "k string, o long, trait string, job string")
+    rows = spark.createDataFrame([("ines_adult", 0, "patient", "unknown"), ("ines_adult", 1, "blunt", "pilot"), ("ines_adult", 2, "Blunt", "baker"), ("ines_teen", 3, "shy", "")], "k string, o long, trait string, job string")
     got = {r.k: (r.n_rows, r.job, r.trait) for r in registry.merge(rows, "k", "o", ["job"], ["trait"]).collect()}
-    assert got == {"callie_adult": (3, "lawyer", "protective,direct"), "callie_teen": (1, None, "shy")}
+    assert got == {"ines_adult": (3, "pilot", "patient,blunt"), "ines_teen": (1, None, "shy")}
 
 
 def test_attribution(spark):
     quotes = spark.createDataFrame([("c", 1), ("c", 2)], "chapter string, idx long")
-    rows = spark.createDataFrame([("c", 1, "Narrator", "dialogue")], "chapter string, idx long, role string, kind string")
-    roles = spark.createDataFrame([("c", "Elena")], "chapter string, role string")
-    assert quality.attribution_errors(quotes, rows, roles).first()["errors"] == "Narrator cannot speak dialogue 1; missing quote 2"
+    rows = spark.createDataFrame([("c", 1, 1, "dialogue"), ("c", 3, 0, "song"), ("c", 4, 7, "dialogue"), ("c", 5, 2, "narrator_quote"), ("c", 6, 2, "dialogue")], "chapter string, idx long, role_idx long, kind string")
+    roles = spark.createDataFrame([("c", 0, "Ines"), ("c", 1, "Narrator"), ("c", 2, "stranger")], "chapter string, role_idx long, role string")
+    known = spark.createDataFrame([("INES",)], "role string")
+    local = spark.createDataFrame([("c", "tmp_001")], "chapter string, local_id string")
+    got = quality.attribution_errors(quotes, rows, roles, known, local).first()["errors"].split("; ")
+    assert got == ["Narrator cannot speak dialogue 1", "missing quote 2", "extra quote 3", "unknown kind 3", "extra quote 4", "role out of range 4", "extra quote 5", "extra quote 6", "unknown role stranger of 6", "unused local speaker tmp_001"]
 
 
 def test_ratio(spark):
@@ -255,6 +258,7 @@ def test_scalars(spark):
 def test_html(spark):
     page = "<html><head><style>p{}</style><script>if (a<b) {}</script></head><body><h1>T&amp;C</h1><!-- no --><p>One <b>two</b><br/>three&nbsp;four</p><ul><li>x</li></ul></body></html>"
     assert one(spark, page, X.html_text) == "T&C\nOne two\nthree four\nx"
+    assert one(spark, "<p>it&#8217;s caf&eacute; &#x41; &notanentity; &lt;b&gt;</p>", X.html_text) == "it’s café A ¬anentity; <b>"
 
 
 OPF = """<package><manifest><item id="a" href="contents.xhtml" media-type="application/xhtml+xml"/><item id="b" href="chapter001.xhtml" media-type="application/xhtml+xml"/></manifest><spine><itemref idref="a"/><itemref idref="b"/></spine></package>"""
@@ -264,10 +268,10 @@ def test_epub(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "b.epub", "w") as z:
         z.writestr("content.opf", OPF)
         z.writestr("contents.xhtml", "<p>Contents</p>")
-        z.writestr("chapter001.xhtml", "<h1>Chapter 1</h1><p>It began.</p>")
+        z.writestr("chapter001.xhtml", "<h1>Chapter 1</h1><p>Oars dipped.</p>")
     docs = files.epub_documents(spark, str(tmp_path / "b.epub"))
     got = files.select_chapters(docs, "path", "pos", "member", "text").collect()
-    assert [(r.chapter, r.text) for r in got] == [("chapter_001", "Chapter 1\nIt began.")]
+    assert [(r.chapter, r.text) for r in got] == [("chapter_001", "Chapter 1\nOars dipped.")]
 
 
 def test_zip_rejects_paths_that_leave(spark, tmp_path):
@@ -278,9 +282,9 @@ def test_zip_rejects_paths_that_leave(spark, tmp_path):
 
 
 def test_tab_tables(spark, tmp_path):
-    (tmp_path / "e.tsv").write_text("COREF\tstart_token\ttext\n7\t1\tJohn Pounds\n8\t\tMary\n")
+    (tmp_path / "e.tsv").write_text("COREF\tstart_token\ttext\n7\t1\tOdo Marsh\n8\t\tMary\n")
     got = files.tab_entities(spark, str(tmp_path / "e.tsv"), {"id": ("char_id", "COREF"), "start": ("start_token",), "mention": ("text", "mention")}, ("start",)).orderBy("id").collect()
-    assert [(r.id, r.start, r.mention) for r in got] == [("7", 1, "John Pounds"), ("8", -1, "Mary")]
+    assert [(r.id, r.start, r.mention) for r in got] == [("7", 1, "Odo Marsh"), ("8", -1, "Mary")]
     (tmp_path / "q.tsv").write_text("a\tb\nx\t1\n")
     with pytest.raises(Exception):
         files.tab_table(spark, str(tmp_path / "q.tsv"), "a int, b int").collect()
@@ -292,7 +296,7 @@ def test_events_and_stream(spark, tmp_path):
     from loomline.streaming.stateful import drain
 
     stream = files.stream_events(spark, str(tmp_path / "log"), "k string, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    assert {r.k: r.n for r in drain(stream, "events_test", "complete", str(tmp_path / "ck")).collect()} == {"a": 1, "b": 2}
+    assert {r.k: r.n for r in drain(stream, "complete", str(tmp_path / "ck")).collect()} == {"a": 1, "b": 2}
 
 
 def test_streaming_limits_equal_the_batch_twin(spark, tmp_path):
@@ -302,7 +306,7 @@ def test_streaming_limits_equal_the_batch_twin(spark, tmp_path):
     from loomline.streaming.stateful import drain, limits
 
     stream = files.stream_events(spark, str(tmp_path / "in"), "u string, i long, b long, p long")
-    got = {r.i: r.limit_after for r in drain(limits(stream, "u", "i", "b", "p", 100, 4), "limits_test", "append", str(tmp_path / "ck")).collect()}
+    got = {r.i: r.limit_after for r in drain(limits(stream, "u", "i", "b", "p", 100, 4), "append", str(tmp_path / "ck")).collect()}
     want = {r.i: r.limit_after for r in sequence.adaptive_limits(frame, "u", ["i"], "b", "p", 100, 4).collect()}
     assert got == want
 
