@@ -7,10 +7,11 @@ own lines, the ``NONE_ROWS`` lines with the smallest hashes among those without
 3-gram with a template. Every line that holds any of the model's n-grams is scored.
 
 Calibration: paragraphs with one family's notice held out play the unseen licence. Each family's confidence threshold is the
-least that keeps their accepted share and that of damaged variants below ``ERROR``. A paragraph that isn't "none", but falls
+least that keeps their accepted share and that of damaged variants below ``ERROR``. A paragraph that is likelier anything else than "none", but falls
 below its family's threshold or matches none of the family's templates, is "unknown". A template confirms if the paragraph holds at least ``CONFIRM`` of the template's word 3-grams.
 
-Words: A-Z lower-cased, runs of ASCII letters and digits and everything beyond ASCII. Null texts have no lines. Equal rows
+Words: A-Z lower-cased, runs of ASCII letters and digits and everything beyond ASCII. Null texts have no lines; long ones are read
+whole; of equally likely families the first by name is taken. Equal rows
 are handled separately. Columns other than the two named ones are not read.
 """
 
@@ -162,7 +163,7 @@ class Classifier:
             sure = p[r, k] >= self.threshold[k] and max((np.isin(t, key[s[r] : e[r]]).mean() for t in self.templates[k] if len(t)), default=0.0) >= CONFIRM
             if sure:
                 name = FAMILIES[k]
-            elif p[r, -1] < 0.5:
+            elif p[r].argmax() < len(FAMILIES) + 1:
                 name = "unknown"
             else:
                 continue

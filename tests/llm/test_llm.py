@@ -284,6 +284,18 @@ def test_top_k(spark):
     assert bag(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
     assert knn_search.top_k(frame.limit(0)).count() == 0
     assert knn_search.products(np.array([[2.0**52, 1]]), np.array([[2.0**8, 3]])).tolist() == [[2**60 + 3]]
+    with pytest.raises(OverflowError):
+        knn_search.products(np.array([[2.0**60]]), np.array([[2.0**8]]))
+    assert bag(knn_search.top_k(frame, query_step=10, pivots=8, block=16, queries=3), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+
+
+def test_top_k_of_text_ids_and_clusters(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(str(i), [float(x) for x in 8 * np.eye(8)[i % 8] + rng.normal(scale=0.1, size=8)]) for i in range(400)] + [("no number", [1.0] * 8)]
+    frame = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    good = {int(i): np.floor(256 * np.array(v)) for i, v in rows if i.isdigit()}
+    want = [(q, k + 1, i, -s) for q in good if q % 50 == 0 for k, (s, i) in enumerate(sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q)[:5])]
+    assert bag(knn_search.top_k(frame), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
 
 
 # 7
