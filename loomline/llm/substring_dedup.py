@@ -1,11 +1,12 @@
 """Removal of word passages that repeat anywhere in the corpus.
 
 Every run of ``window`` consecutive words of a document gets a 64-bit Rabin-Karp hash. Windows are counted over the whole
-corpus (see keycount); every word that some repeated window covers goes, so overlapping repeated windows merge into
+corpus (see keycount); those whose hash repeats are counted again by a second hash of other word hashes and another base, as
+64 bits alone would repeat by chance among 10 ** 13 windows. Every word that some repeated window covers goes, so overlapping repeated windows merge into
 maximal intervals. Windows are judged on the input, not on what is left of it.
 
 Words are separated by ASCII white space and otherwise unchanged. A null text has no words. Documents with fewer words than
-a window keep all of them. Equal rows count separately, so they remove each other's windows. Columns other than the two
+a window keep all of them; texts and words of any length are read whole. Equal rows count separately, so they remove each other's windows. Columns other than the two
 named ones are not read.
 """
 
@@ -18,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Words, raw, table
+from ._shared import Words, mix, raw, rolled, rolling, table
 from .keycount import with_totals
 
 WINDOW = 35
+#: What makes the second hash of a window.
+OTHER, OTHER_BASE = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
 def covered(words: int, at: np.ndarray, window: int) -> np.ndarray:
@@ -39,11 +42,18 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     def keys(group: pa.Table):
         w = Words(raw(group["text"]))
         at, key = w.grams(window)
-        return key, (w, at)
-
-    def finish(group: pa.Table, state, totals: np.ndarray) -> pa.Table:
-        w, at = state
-        gone = covered(len(w.start), at[totals > 1], window)
+        return key, (w, at, key)
+
+    def again(state, totals: np.ndarray) -> np.ndarray:
+        """A second hash, made of other hashes of the words, of the windows whose first one repeats."""
+        w, at, key = state
+        some = at[totals > 1]
+        prefix = rolling(mix(w.hash ^ OTHER), OTHER_BASE)
+        return mix(key[totals > 1] ^ mix(rolled(prefix, some, some + window, OTHER_BASE)))
+
+    def finish(group: pa.Table, state, totals: np.ndarray, second: np.ndarray) -> pa.Table:
+        w, at, _ = state
+        gone = covered(len(w.start), at[totals > 1][second > 1], window)
         out = []
         for s, e in zip(w.first[:-1], w.first[1:]):
             edges = np.flatnonzero(np.diff(np.concatenate([[False], gone[s:e], [False]]).view(np.int8))).tolist()
@@ -53,7 +63,7 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
         return pa.table([group["doc_id"], *(pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), span)))], names=["doc_id", "n_words", "n_removed", "kept", "removed"])
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return with_totals(rows, ["doc_id", "text"], keys, finish, f"doc_id {ids}, n_words long, n_removed long, kept string, removed array<struct<first:long,end:long>>")
+    return with_totals(rows, ["doc_id", "text"], keys, finish, f"doc_id {ids}, n_words long, n_removed long, kept string, removed array<struct<first:long,end:long>>", again)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
