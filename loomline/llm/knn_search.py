@@ -4,13 +4,15 @@ Vectors become whole numbers, floor(scale * component). A bounded set of pivots
 to its nearest pivot. A cell's summary holds its largest distance from the pivot and its nearest distances. From the
 summaries alone a query knows a score that its k-th best candidate reaches at least, and the highest score that each cell
 can hold: q.x lies within |q| * |x - p| of q.p. The query is copied only to cells that can still matter, and each cell is
-solved locally by one matrix product per block. Cells are split into blocks of bounded size by a hash of the id, so one
-cell may hold most of the data. The query set is a stated one, so every row is still compared in blocks at most.
+solved locally by one matrix product per block. Cells are split into blocks of bounded size by a hash of the id, and the queries
+into parts, so one cell may hold most of the data and a task holds a block and a part at most. Where vectors have no clusters, as
+in high dimensions at random, the bounds leave out no cell and every query meets every block; the query set is a stated one.
 
 Vectors that are null, or hold null or non-finite components, and rows with a null id take no part. Shorter vectors count
 as zero beyond their end. Rows of one id count as one row: the least vector of them. A query's own row is no candidate of
-it; queries without candidates return nothing. Components are kept within 2 ** 52 after scaling; scores that doubles cannot
-hold exactly are worked out in whole numbers and kept within 64 bits. Other columns are not read.
+it; queries without candidates return nothing. Ids that are texts count as their whole numbers, others take no part. Scores that
+doubles cannot hold exactly are worked out in whole numbers; one that needs more than 64 bits is an error. Vectors of any
+length are used whole; equal scores rank by smaller id. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from ._shared import materialise, table
 
 K, SCALE, QUERY_STEP = 5, 256, 50
-#: The most pivots, and about how many vectors a block has.
-PIVOTS, BLOCK = 64, 8192
+#: The most pivots, and about how many vectors and how many queries meet in one place.
+PIVOTS, BLOCK, QUERIES = 64, 1 << 16, 1 << 15
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -41,19 +43,26 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact inner products of whole-numbered rows."""
     if not len(q) or not len(x) or np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(1, q.shape[1]) < 2.0**53:
         return (q @ x.T).astype(np.int64)
-    exact = q.astype(np.int64).astype(object) @ x.astype(np.int64).astype(object).T
-    return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
+    whole = np.frompyfunc(int, 1, 1)
+    exact = whole(q) @ whole(x).T
+    if max(abs(s) for s in exact.ravel().tolist()) >= 2**63:
+        raise OverflowError("an inner product needs more than 64 bits")
+    return exact.astype(np.int64)
 
 
 def quantised(df: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
     """vec_id and v, the whole-numbered vector, of the rows that take part."""
     x = F.transform(vector_col, lambda c: c.cast("double"))
     ok = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    whole = F.transform(x, lambda c: F.greatest(F.least(F.floor(c * F.lit(float(scale))).cast("double"), F.lit(2.0**52)), F.lit(-(2.0**52))))
+    # doubles from 2 ** 52 on are whole numbers already
+    whole = F.transform(x, lambda c: F.when(F.abs(c * F.lit(float(scale))) < 2.0**52, F.floor(c * F.lit(float(scale))).cast("double")).otherwise(c * F.lit(float(scale))))
+    if df.schema[id_col].dataType.simpleString() == "string":
+        df = df.withColumn(id_col, F.col(id_col).try_cast("long"))
+        ok = F.col(id_col).isNotNull() & ok
     return df.filter(ok).select(F.col(id_col).alias("vec_id"), whole.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def top_k(df: DataFrame, k: int = K, query_step: int = QUERY_STEP, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+def top_k(df: DataFrame, k: int = K, query_step: int = QUERY_STEP, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best rows for each row whose id is divisible by query_step; ties to smaller ids."""
     spark = df.sparkSession
     data, _ = materialise(quantised(df, scale, id_col, vector_col), "vectors")
@@ -113,8 +122,10 @@ def top_k(df: DataFrame, k: int = K, query_step: int = QUERY_STEP, scale: int =
             )
 
     split = F.create_map(*[F.lit(x) for c in blocks.items() for x in c]) if blocks else F.create_map(F.lit(0), F.lit(1))
-    held = celled.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id"), split[F.col("cell")]).cast("int").alias("block"))
-    asked = data.filter(F.col("vec_id") % query_step == 0).select("vec_id", "v").mapInArrow(route, f"query_id {ids}, q array<double>, cell int, block int")
+    asks = data.filter(F.col("vec_id") % query_step == 0)
+    parts = 1 + asks.count() // queries  # queries are split too: every block meets each part of them by itself
+    held = celled.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id"), split[F.col("cell")]).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    asked = asks.select("vec_id", "v").mapInArrow(route, f"query_id {ids}, q array<double>, cell int, block int").withColumn("part", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(parts)).cast("int"))
 
     def solve(queries: pa.Table, rows: pa.Table) -> pa.Table:
         qid, vid = queries["query_id"].to_numpy(), rows["vec_id"].to_numpy()
@@ -135,7 +146,7 @@ def top_k(df: DataFrame, k: int = K, query_step: int = QUERY_STEP, scale: int =
                 out += [(qid[lo + i], vid[others[j]], s[j]) for j in best]
         return pa.table({"query_id": pa.array([x[0] for x in out], queries.schema.field("query_id").type), "vec_id": pa.array([x[1] for x in out], rows.schema.field("vec_id").type), "score": pa.array([int(x[2]) for x in out], pa.int64())})
 
-    local = asked.groupBy("cell", "block").cogroup(held.groupBy("cell", "block")).applyInArrow(solve, f"query_id {ids}, vec_id {ids}, score long")
+    local = asked.groupBy("cell", "block", "part").cogroup(held.groupBy("cell", "block", "part")).applyInArrow(solve, f"query_id {ids}, vec_id {ids}, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
