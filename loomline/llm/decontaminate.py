@@ -7,11 +7,13 @@ window's suffixes gives all its occurrences, and windows that continue each othe
 matches. A document lies in one shard, so no shuffle is needed.
 
 The benchmark is dealt into blocks of bounded size. Each block is broadcast by itself, and the documents pass through the
-blocks one after the other, so the benchmark may be larger than any one broadcast.
+blocks one after the other in one scan; each block then has a Python worker of its own, so memory grows with the benchmark,
+by about three times its text for each task, but not with the documents.
 
 Words: A-Z lower-cased, then runs of ASCII letters, digits and everything beyond ASCII. A window is ``window`` consecutive
 words of an item; an item of fewer words is one window, an item of none has none. A null text has no words; items with a
-null id take no part; items of the same id count as one. Equal rows each get their own result.
+null id take no part; items of the same id count as one. Texts of any length are read whole, many to a shard. Equal rows each get their
+own result, and ties don't occur: an item's id is listed once.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import ALNUM, Words, raw, table
+from ._shared import ALNUM, WORD_BASE, Words, mix, raw, rolled, rolling, table
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast block.
@@ -41,6 +43,17 @@ class Index:
         self.vocabulary = np.unique(w.hash)
         codes = (np.searchsorted(self.vocabulary, w.hash) + 1).astype(">u4")
         self.items = [codes[s:e] for s, e in zip(w.first[:-1], w.first[1:])]
+        #: By width of window: the sorted hashes of all windows of that width, and each one's item and place.
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        by_width: dict[int, list] = {}
+        for no, item in enumerate(self.items):
+            if width := min(window, len(item)):
+                key = windows(item.astype(np.uint64), width)
+                by_width.setdefault(width, []).append((key, np.full(len(key), no), np.arange(len(key))))
+        for width, parts in by_width.items():
+            key, no, at = (np.concatenate(c) for c in zip(*parts))
+            order = np.argsort(key, kind="stable")
+            self.windows[width] = key[order], no[order], at[order]
         sizes = [len(x) for x in self.items if len(x)]
         self.shortest = min([window, *sizes])
         self.longest = max(sizes, default=0)
@@ -48,6 +61,14 @@ class Index:
         self.empty = not sizes
 
 
+def windows(codes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of width codes."""
+    if len(codes) < width:
+        return np.empty(0, np.uint64)
+    at = np.arange(len(codes) - width + 1)
+    return mix(rolled(rolling(mix(codes), WORD_BASE), at, at + width, WORD_BASE))
+
+
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     """Positions of codes in the order of their suffixes, compared over depth codes at least."""
     rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
@@ -88,14 +109,15 @@ def matches(index: Index, texts: list[bytes]) -> tuple[np.ndarray, list[list[dic
     array = array[text[array] > 0].tolist()
     whole = text.astype(">u4").tobytes()
     item_no, item_at, place = [], [], []
-    for no, item in enumerate(index.items):
-        width = min(index.window, len(item))
-        if not width:
-            continue
-        pattern = item.tobytes()
-        for first in range(len(item) - width + 1):
-            p = pattern[4 * first : 4 * (first + width)]
-            key = lambda i: whole[4 * i : 4 * (i + width)]  # noqa: B023, E731
+    for width, (known, no_of, at_of) in index.windows.items():
+        # only windows whose hash the shard holds are searched, so a shard costs its own size and not the benchmark's
+        own = np.unique(windows(text.astype(np.uint64), width))
+        lo = np.searchsorted(known, own)
+        count = np.searchsorted(known, own, "right") - lo
+        some = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        key = lambda i: whole[4 * i : 4 * (i + width)]  # noqa: B023, E731
+        for no, first in zip(no_of[some].tolist(), at_of[some].tolist()):
+            p = index.items[no][first : first + width].tobytes()
             lo = bisect.bisect_left(array, p, key=key)
             if lo == len(array) or key(array[lo]) != p:
                 continue
