@@ -7,8 +7,8 @@ digit or an @; all other words are outside by construction, so a line falls into
 on the driver from the small table below by gradient ascent, and decoded by Viterbi in numpy, many runs at once. Its spans
 are added where they overlap no pattern's span.
 
-Offsets count code points; ends are exclusive. A null text is empty. Equal rows are handled separately. Columns other than
-the two named ones are not read.
+Offsets count code points; ends are exclusive. A null text is empty; long texts and words are read whole. Where spans of a kind
+could tie, the leftmost one is taken. Equal rows are handled separately. Columns other than the two named ones are not read.
 """
 
 from __future__ import annotations
@@ -130,7 +130,7 @@ def pattern_spans(text: str) -> list[tuple[str, int, int]]:
 
 def shape(word: str) -> str:
     """Letters as a or A with runs as one, digits as 9 with runs of up to 4, everything else as it is."""
-    s = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() else "a", word.rstrip(",;:!?\"'#$%&*|")[:64])
+    s = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() else "a", word.rstrip(",;:!?\"'#$%&*|"))
     return re.sub(r"[0-9]+", lambda m: "9" * min(4, len(m[0])), s)
 
 
@@ -142,7 +142,8 @@ def features(words: list[str], i: int) -> list[str]:
     d = digits_of(w)
     near = lambda j: shape(words[j]) if 0 <= j < len(words) and MAYBE.search(words[j]) else "word" if 0 <= j < len(words) else "edge"
     before = words[i - 1].lower() if i else ""
-    out = ["bias", f"s={shape(w)}", f"n={min(len(d), 20)}", f"-1={near(i - 1)}", f"+1={near(i + 1)}", f"c={before if before in CUES else ''}", f"-1s={near(i - 1)}|{shape(w)}", f"s+1={shape(w)}|{near(i + 1)}"]
+    own, left, right = shape(w), near(i - 1), near(i + 1)
+    out = ["bias", f"s={own}", f"n={min(len(d), 20)}", f"-1={left}", f"+1={right}", f"c={before if before in CUES else ''}", f"-1s={left}|{own}", f"s+1={own}|{right}"]
     if "@" in w:
         out.append("at" if DOMAIN.search(w.split("@", 1)[1]) and not w.startswith("@") else "at-alone")
     if len(d) >= 13:
@@ -334,8 +335,8 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 every = []
                 for own, more in zip(base, field_spans(texts, model.value)):
                     taken = sorted((s, e) for _, s, e in own)
-                    ends = np.maximum.accumulate([e for _, e in taken]) if taken else np.empty(0)
-                    free = [x for x in more if not (k := int(np.searchsorted([s for s, _ in taken], x[2]))) or ends[k - 1] <= x[1]]
+                    starts, ends = np.array([s for s, _ in taken], np.int64), np.maximum.accumulate([e for _, e in taken]) if taken else np.empty(0)
+                    free = [x for x in more if not (k := int(np.searchsorted(starts, x[2]))) or ends[k - 1] <= x[1]]
                     every.append(sorted([*own, *free], key=lambda x: (rank[x[0]], x[1], x[2])))
                 yield pa.record_batch([part.column(0), pa.array(map(_text, base), pa.string()), pa.array(map(_text, every), pa.string())], names=["doc_id", "base", "spans"])
 
