@@ -301,17 +301,20 @@ def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
             yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(fps.view(np.int64)), pa.array(role.astype(np.int8))], names=["key", "fp", "role"])
 
     def match(batches):
-        key, fp, role = (np.empty(0, k) for k in (np.int64, np.uint64, np.int8))
+        held: list[tuple] = []  # joined when a key ends, so a long run is copied once
         for b in itertools.chain(batches, [None]):
-            if b is not None:
-                key = np.concatenate([key, b.column(0).to_numpy()])
-                fp = np.concatenate([fp, b.column(1).to_numpy().view(np.uint64)])
-                role = np.concatenate([role, b.column(2).to_numpy()])
+            if b is not None and b.num_rows:
+                held.append((b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy()))
+                if held[0][0][0] == held[-1][0][-1]:
+                    continue
+            elif b is not None:
+                continue
+            key, fp, role = (np.concatenate(c) for c in zip(*held)) if held else (np.empty(0, k) for k in (np.int64, np.uint64, np.int8))
             cut = len(key) if b is None else int(np.searchsorted(key, key[-1])) if len(key) else 0
             if cut:
                 x, y = _links(key[:cut], fp[:cut], (role[:cut] & 1) > 0, (role[:cut] & 2) > 0, radius)
                 yield pa.record_batch([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
-                key, fp, role = key[cut:], fp[cut:], role[cut:]
+                held = [(key[cut:], fp[cut:], role[cut:])] if cut < len(key) else []
 
     probes = nodes.select("fp").mapInArrow(emit, "key long, fp long, role byte")
     return probes.repartition(n_parts, "key").sortWithinPartitions("key").mapInArrow(match, "a long, b long")
