@@ -9,7 +9,11 @@ scoring looks up one number for each word.
 
 Words: lower-cased runs of letters and digits. A null or empty text has no words and gets the score of the bias alone. If
 the labelled rows lack one of the classes, the score is the share of the other (0.5 without any rows). Rows of labels with
-a null id or class take no part; repeated ones count as often as they occur. Other columns are not read.
+a null id or class take no part; repeated ones count as often as they occur; of several texts of one id the least is learnt. Texts
+of any length are scored whole. Other columns are not read.
+
+Buckets whose shares in the two classes' texts don't differ surely (``SURE`` standard errors) keep a zero vector: on held-out
+rows that gives fewer wrong answers of both kinds than training all of them (the README has the figures).
 """
 
 from __future__ import annotations
@@ -172,8 +176,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes
             picked.setdefault(r["doc_id"], []).append(y)
     spark = docs.sparkSession
     ids = spark.createDataFrame([(i,) for i in picked], docs.select("doc_id").schema)
-    sample = docs.filter(F.octet_length("text") <= most_bytes).select("doc_id", "text").join(F.broadcast(ids), "doc_id").collect()  # rows and bytes have bounds
-    sample = sorted((r["doc_id"], r["text"] or "") for r in sample)
+    text = F.coalesce("text", F.lit(""))
+    found = docs.select("doc_id", text.alias("text")).filter(F.octet_length("text") <= most_bytes).join(F.broadcast(ids), "doc_id")
+    sample = found.groupBy("doc_id").agg(F.min("text").alias("text")).collect()  # one text of an id, so rows and bytes have bounds
+    sample = sorted((r["doc_id"], r["text"]) for r in sample)
     pairs = [(t.encode(), y) for i, t in sample for y in picked[i]]
     return fit([t for t, _ in pairs], [y for _, y in pairs], totals.get(1, 0) / max(1, sum(totals.values())))
 
