@@ -311,14 +311,19 @@ def square(p: dict[str, np.ndarray], threshold: float, nearest: int) -> dict[str
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
-    """doc, the id that sorts null last, tie, a hash of the text where the id has several rows or is null, else 0, and text."""
+    return _named(df, id_col, text_col, *more)[0]
+
+
+def _named(df: DataFrame, id_col: str, text_col: str, *more) -> tuple[DataFrame, DataFrame]:
+    """The rows, and those of them that may have equal rows: with a null id, and others only where ids repeat. Columns: doc, the id that sorts null last, tie, a hash of the text where the id has several rows or is null, else 0, text and more."""
     kind = df.schema[id_col].dataType.simpleString()
     number = F.col(id_col).cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else F.col(id_col).cast("string").try_cast("long")
-    rows = df.select(F.coalesce(number, F.lit(LAST)).alias("doc"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"), *more)
+    named = lambda d: d.select(F.coalesce(number, F.lit(LAST)).alias("doc"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"), *more)
+    rows = named(df)
     # a row whose id is its own needs no hash to be told apart; most postings are smaller for it
     several = materialise(rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col("doc") < LAST)).select("doc"), "lines-ids")[0]
     if several.isEmpty():
-        return rows.withColumn("tie", F.when(F.col("doc") == LAST, F.col("tie")).otherwise(0))
+        return rows.withColumn("tie", F.when(F.col("doc") == LAST, F.col("tie")).otherwise(0)), named(df.filter(number.isNull()))
     hit = df.sparkSession.sparkContext.broadcast(counted(several, lambda b: [mix(b.column(0).to_numpy().view(np.uint64))], SLOTS) > 0)
 
     @F.pandas_udf(T.LongType())
@@ -326,7 +331,8 @@ def _keyed(df: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
         own = doc.to_numpy()
         return pd.Series(np.where(hit.value[slot(mix(own.view(np.uint64)), SLOTS)] | (own == LAST), tie.to_numpy(), 0))
 
-    return rows.withColumn("tie", told("doc", "tie"))
+    rows = rows.withColumn("tie", told("doc", "tie"))
+    return rows, rows
 
 
 def posted(lines: Lines, doc: np.ndarray, tie: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
@@ -660,9 +666,9 @@ def filled(text: pd.Series) -> pd.Series:
 
 def _decided(df: DataFrame, threshold: float, nearest: int, id_col: str, text_col: str, *more) -> DataFrame:
     """The rows of df as doc, tie, text and more, with removed: null if no line goes."""
-    rows = _keyed(df, id_col, text_col, *more)
+    rows, doubtful = _named(df, id_col, text_col, *more)
     gone = removed_lines(rows, threshold, nearest)
-    copies = materialise(rows.filter("text <> ''").groupBy("doc", "tie").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc", "tie"), "lines-copies")[0]
+    copies = materialise(doubtful.filter("text <> ''").groupBy("doc", "tie").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc", "tie"), "lines-copies")[0]
     several = not copies.isEmpty()
     marks = gone.join(copies.withColumn("several", F.lit(True)), ["doc", "tie"], "full") if several else gone
     hit = _marked(marks, False)
