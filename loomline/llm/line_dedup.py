@@ -311,10 +311,10 @@ def square(p: dict[str, np.ndarray], threshold: float, nearest: int) -> dict[str
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
-    return _named(df, id_col, text_col, *more)[0]
+    return _keyed_rows(df, id_col, text_col, *more)[0]
 
 
-def _named(df: DataFrame, id_col: str, text_col: str, *more) -> tuple[DataFrame, DataFrame]:
+def _keyed_rows(df: DataFrame, id_col: str, text_col: str, *more) -> tuple[DataFrame, DataFrame]:
     """The rows, and those of them that may have equal rows: with a null id, and others only where ids repeat. Columns: doc, the id that sorts null last, tie, a hash of the text where the id has several rows or is null, else 0, text and more."""
     kind = df.schema[id_col].dataType.simpleString()
     number = F.col(id_col).cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else F.col(id_col).cast("string").try_cast("long")
@@ -666,7 +666,7 @@ def filled(text: pd.Series) -> pd.Series:
 
 def _decided(df: DataFrame, threshold: float, nearest: int, id_col: str, text_col: str, *more) -> DataFrame:
     """The rows of df as doc, tie, text and more, with removed: null if no line goes."""
-    rows, doubtful = _named(df, id_col, text_col, *more)
+    rows, doubtful = _keyed_rows(df, id_col, text_col, *more)
     gone = removed_lines(rows, threshold, nearest)
     copies = materialise(doubtful.filter("text <> ''").groupBy("doc", "tie").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc", "tie"), "lines-copies")[0]
     several = not copies.isEmpty()
