@@ -665,7 +665,7 @@ def filled(text: pd.Series) -> pd.Series:
 
 
 def _decided(df: DataFrame, threshold: float, nearest: int, id_col: str, text_col: str, *more) -> DataFrame:
-    """The rows of df as doc, tie, text and more, with removed: null if no line goes."""
+    """The rows of df as doc, tie, text and more, with removed, null if no line goes, and kept, the text that stays."""
     rows, doubtful = _keyed_rows(df, id_col, text_col, *more)
     gone = removed_lines(rows, threshold, nearest)
     copies = materialise(doubtful.filter("text <> ''").groupBy("doc", "tie").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc", "tie"), "lines-copies")[0]
@@ -678,14 +678,15 @@ def _decided(df: DataFrame, threshold: float, nearest: int, id_col: str, text_co
         return pd.Series(hit.value[slot(_text_key(doc.to_numpy(), tie.to_numpy()), SLOTS)])
 
     # only texts that the bitmap holds are shuffled; the others pass by
-    rest = rows.filter(~concerned("doc", "tie")).withColumn("removed", F.lit(None).cast("array<int>"))
+    rest = rows.filter(~concerned("doc", "tie")).withColumns({"removed": F.lit(None).cast("array<int>"), "kept": F.col("text")})
     marked = rows.filter(concerned("doc", "tie")).join(marks.hint("shuffle_hash"), ["doc", "tie"], "left")
     if several:  # of equal rows all but one lose every line that isn't blank
-        rest = rest.unionByName(marked.filter("several IS NULL").drop("several"))
+        alone = marked.filter("several IS NULL").drop("several")
         equal = marked.filter("several").withColumn("no", F.row_number().over(Window.partitionBy("doc", "tie").orderBy(F.lit(1))))
         every = filled(F.when(F.col("no") > 1, F.col("text")))
-        marked = equal.withColumn("removed", F.coalesce(every, "removed")).drop("several", "no")
-    return rest.unionByName(marked)
+        marked = alone.unionByName(equal.withColumn("removed", F.coalesce(every, "removed")).drop("several", "no"))
+    kept = F.coalesce(without(F.when(F.col("removed").isNotNull(), F.col("text")), "removed"), "text")
+    return rest.unionByName(marked.withColumn("kept", kept))
 
 
 def line_decisions(df: DataFrame, threshold: float = THRESHOLD, nearest: int = NEAREST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -693,8 +694,8 @@ def line_decisions(df: DataFrame, threshold: float = THRESHOLD, nearest: int = N
     found = _decided(df, threshold, nearest, id_col, text_col, F.col(id_col).alias("doc_id"))
     text = F.coalesce("text", F.lit(""))
     n_lines = F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    kept = F.coalesce(without(F.when(F.col("removed").isNotNull(), F.col("text")), "removed"), text)
-    return found.select("doc_id", n_lines.alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), F.sha2(kept, 256).alias("kept_sha256"))
+    kept = F.sha2(F.coalesce("kept", F.lit("")), 256)
+    return found.select("doc_id", n_lines.alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), kept.alias("kept_sha256"))
 
 
 def keep_lines(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -704,8 +705,7 @@ def keep_lines(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
     """
     quoted = [F.col(f"`{c}`") for c in df.columns]
     found = _decided(df, threshold, NEAREST, id_col, text_col, F.struct(*quoted).alias("row"))
-    kept = F.coalesce(without(F.when(F.col("removed").isNotNull(), F.col("text")), "removed"), "text").alias(text_col)
-    return found.select("row", kept.alias("kept")).select(*[F.col("kept").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in df.columns])
+    return found.select("row", "kept").select(*[F.col("kept").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in df.columns])
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

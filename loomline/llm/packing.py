@@ -30,7 +30,7 @@ from ._shared import Words, materialise, partitions, raw, table
 
 CAPACITY, END_ID = 4096, 1
 #: Word encodings that a Python worker remembers before it starts anew.
-REMEMBER = 1_200_000
+REMEMBER = 300_000
 
 
 class WordEncoder:

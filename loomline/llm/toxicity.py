@@ -33,7 +33,7 @@ TRAIN_ROWS, TRAIN_BYTES = 2000, 1 << 16
 STEPS, BATCH, RATE, SEED = 4000, 32, 0.5, 7
 LEAST, SURE = 2, 4.0
 #: Words whose numbers a Python worker remembers before it starts anew.
-REMEMBER = 500_000
+REMEMBER = 200_000
 
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
