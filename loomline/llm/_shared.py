@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import gc
+import inspect
 import tempfile
 import uuid
 
@@ -19,6 +21,11 @@ WORD_BASE = np.uint64(0xD1342543DE82EF95)
 #: Words of more bytes are hashed one by one.
 LONG_WORD = 512
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim  # glibc has it
+except (OSError, AttributeError):
+    _TRIM = None
+
 SPACE = b" \t\n\x0b\x0c\r"
 #: True for bytes of words that white space separates.
 GRAPHIC = np.array([b not in SPACE for b in range(256)])
@@ -79,6 +86,49 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tidy() -> None:
+    """Gives memory that a Python worker no longer uses back to the system: workers live on, idle, while others work."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def lean(f):
+    """A function for mapInArrow or applyInArrow that tidies up when it is done."""
+    if inspect.isgeneratorfunction(f):
+
+        def run(batches):
+            try:
+                yield from f(batches)
+            finally:
+                tidy()
+
+    elif f.__code__.co_argcount == 1:
+
+        def run(group):
+            try:
+                return f(group)
+            finally:
+                tidy()
+
+    else:
+
+        def run(group, other):
+            try:
+                return f(group, other)
+            finally:
+                tidy()
+
+    return run
+
+
+def forget(known: dict, most: int) -> None:
+    """Drops the newer half of a memory that has grown too large; the frequent words came first."""
+    if len(known) > most:
+        for k in list(known)[most // 2 :]:
+            del known[k]
+
+
 def raw(column) -> list[bytes]:
     """The UTF-8 bytes of a string column; null becomes empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -122,7 +172,7 @@ def sorted_within(group: np.ndarray, key: np.ndarray, rank: np.ndarray | None =
     return order
 
 
-@functools.lru_cache(maxsize=8)
+@functools.lru_cache(maxsize=4)
 def _powers(base: int, n: int) -> np.ndarray:
     p = np.full(n, np.uint64(base))
     p[0] = 1

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import ALNUM, WORD_BASE, Words, mix, raw, rolled, rolling, table
+from ._shared import ALNUM, WORD_BASE, Words, lean, mix, raw, rolled, rolling, table
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast block.
@@ -173,7 +173,7 @@ def find_matches(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, text
                     new = {"n_words": pa.array(sizes, pa.int64()), "n_hit": pa.array([hit_words(m) for m in every], pa.int64()), "matches": pa.array(every, part.schema.field("matches").type)}
                     yield pa.record_batch([new.get(n, part.column(i)) for i, n in enumerate(names)], names=names)
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(lean(run), out.schema)
     return out.drop("__text")
 
 

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import partitions
+from ._shared import lean, partitions
 
 #: The keys of a chunk's rows, repeats included, and whatever the later steps need of them.
 Keys = Callable[[pa.Table], tuple[np.ndarray, Any]]
@@ -125,8 +125,8 @@ def chunk_totals(rows: DataFrame, keys: Keys, finish: Finish, schema: str, more:
         return finish(group, state, first) if more is None else finish(group, state, first, aligned(more(state, first), got, 2))
 
     block, answer = "bucket int, chunk int, keys binary, n binary", "chunk int, bucket int, turn int, total binary"
-    totals = rows.groupBy("chunk").applyInArrow(send, block).groupBy("bucket").applyInArrow(adder(1), answer)
+    totals = rows.groupBy("chunk").applyInArrow(lean(send), block).groupBy("bucket").applyInArrow(lean(adder(1)), answer)
     if more is not None:
-        second = rows.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(send_more, block)
-        totals = totals.union(second.groupBy("bucket").applyInArrow(adder(2), answer))
-    return rows.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(back, schema)
+        second = rows.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(lean(send_more), block)
+        totals = totals.union(second.groupBy("bucket").applyInArrow(lean(adder(2)), answer))
+    return rows.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(lean(back), schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import materialise, table
+from ._shared import lean, materialise, table
 
 K, SCALE, QUERY_STEP = 5, 256, 50
 #: The most pivots, and about how many vectors and how many queries meet in one place.
@@ -83,7 +83,7 @@ def top_k(df: DataFrame, k: int = K, query_step: int = QUERY_STEP, scale: int =
             d = np.sqrt(((x - p[cell]) ** 2).sum(1))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(cell, pa.int32()), pa.array(d * (1 + 1e-9) + 1e-6)], names=["vec_id", "v", "cell", "d"])
 
-    celled, _ = materialise(data.select("vec_id", "v").mapInArrow(assign, f"vec_id {ids}, v array<double>, cell int, d double"), "cells")
+    celled, _ = materialise(data.select("vec_id", "v").mapInArrow(lean(assign), f"vec_id {ids}, v array<double>, cell int, d double"), "cells")
 
     def summarise(batches):
         found: dict[int, list] = {}
@@ -97,7 +97,7 @@ def top_k(df: DataFrame, k: int = K, query_step: int = QUERY_STEP, scale: int =
         yield pa.record_batch([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64()), pa.array([x[3] for x in out], pa.list_(pa.float64()))], names=["cell", "n", "far", "near"])
 
     near = F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k + 1)  # k + 1 numbers from each task
-    cells = celled.select("cell", "d").mapInArrow(summarise, "cell int, n long, far double, near array<double>").groupBy("cell").agg(F.sum("n").alias("n"), F.max("far").alias("far"), near.alias("near")).collect()
+    cells = celled.select("cell", "d").mapInArrow(lean(summarise), "cell int, n long, far double, near array<double>").groupBy("cell").agg(F.sum("n").alias("n"), F.max("far").alias("far"), near.alias("near")).collect()
     number = np.array([c["cell"] for c in cells], np.int64)
     far = np.array([c["far"] for c in cells])
     blocks = {c["cell"]: 1 + c["n"] // block for c in cells}
@@ -125,7 +125,7 @@ def top_k(df: DataFrame, k: int = K, query_step: int = QUERY_STEP, scale: int =
     asks = data.filter(F.col("vec_id") % query_step == 0)
     parts = 1 + asks.count() // queries  # queries are split too: every block meets each part of them by itself
     held = celled.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id"), split[F.col("cell")]).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    asked = asks.select("vec_id", "v").mapInArrow(route, f"query_id {ids}, q array<double>, cell int, block int").withColumn("part", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(parts)).cast("int"))
+    asked = asks.select("vec_id", "v").mapInArrow(lean(route), f"query_id {ids}, q array<double>, cell int, block int").withColumn("part", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(parts)).cast("int"))
 
     def solve(queries: pa.Table, rows: pa.Table) -> pa.Table:
         qid, vid = queries["query_id"].to_numpy(), rows["vec_id"].to_numpy()
@@ -146,7 +146,7 @@ def top_k(df: DataFrame, k: int = K, query_step: int = QUERY_STEP, scale: int =
                 out += [(qid[lo + i], vid[others[j]], s[j]) for j in best]
         return pa.table({"query_id": pa.array([x[0] for x in out], queries.schema.field("query_id").type), "vec_id": pa.array([x[1] for x in out], rows.schema.field("vec_id").type), "score": pa.array([int(x[2]) for x in out], pa.int64())})
 
-    local = asked.groupBy("cell", "block", "part").cogroup(held.groupBy("cell", "block", "part")).applyInArrow(solve, f"query_id {ids}, vec_id {ids}, score long")
+    local = asked.groupBy("cell", "block", "part").cogroup(held.groupBy("cell", "block", "part")).applyInArrow(lean(solve), f"query_id {ids}, vec_id {ids}, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import ALNUM, Words, raw, table
+from ._shared import ALNUM, Words, lean, raw, table
 
 # Notices of the families.
 NOTICES = {
@@ -200,7 +200,7 @@ def scan(df: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str
                 of = pa.list_(pa.struct([("line", pa.int32()), ("family", pa.string()), ("confidence", pa.float64())]))
                 yield pa.record_batch([part.column(0), pa.array([t.count(b"\n") + 1 if t else 0 for t in texts], pa.int64()), pa.array(found, of)], names=["doc_id", "n_lines", "paragraphs"])
 
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_lines long, paragraphs {SPANS}")
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"doc_id {kind}, n_lines long, paragraphs {SPANS}")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

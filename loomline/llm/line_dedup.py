@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import GRAPHIC, Words, materialise, mix, partitions, raw, release, sorted_within, table
+from ._shared import GRAPHIC, Words, lean, materialise, mix, partitions, raw, release, sorted_within, table
 
 THRESHOLD, NEAREST = 0.8, 4
 #: Candidates named for a line whose nearest one may well fail, as its bitmap differs by over half of what is allowed.
@@ -171,7 +171,7 @@ def counted(df: DataFrame, keys, slots: int) -> np.ndarray:
         yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, (1 << 32) - 1).astype("<u4").tobytes() for x in sums.values()], pa.binary())], names=["range", "n"])
 
     out = np.zeros(slots, np.uint32)
-    for r in df.mapInArrow(count, "range int, n binary").repartition(min(RANGES, partitions(spark)), "range").mapInArrow(add, "range int, n binary").collect():  # slots numbers in all
+    for r in df.mapInArrow(lean(count), "range int, n binary").repartition(min(RANGES, partitions(spark)), "range").mapInArrow(lean(add), "range int, n binary").collect():  # slots numbers in all
         out[r["range"] * width : (r["range"] + 1) * width] = np.frombuffer(r["n"], "<u4")
     return out
 
@@ -391,7 +391,7 @@ def _postings(rows: DataFrame, classes, threshold: float, buckets: int) -> DataF
         if held:
             yield flush(held, places, turn)
 
-    return rows.mapInArrow(send, "bucket int, kind int, blob binary")
+    return rows.mapInArrow(lean(send), "bucket int, kind int, blob binary")
 
 
 FOUND = "kind int, " + ", ".join(f"{c} long" for c in (*PAIR, *POSTING))
@@ -413,7 +413,7 @@ def _meet(rows: DataFrame, classes, threshold: float, nearest: int, hot: int) ->
         return pa.concat_tables([_found(0, pairs), _found(1, known), _found(1, repeats), _found(2, aside)])
 
     buckets = partitions(rows.sparkSession)
-    return materialise(_postings(rows, classes, threshold, buckets).groupBy("bucket").applyInArrow(meet, FOUND), "lines-met")[0]
+    return materialise(_postings(rows, classes, threshold, buckets).groupBy("bucket").applyInArrow(lean(meet), FOUND), "lines-met")[0]
 
 
 def _squares(aside: DataFrame, threshold: float, nearest: int, hot: int) -> DataFrame:
@@ -427,7 +427,7 @@ def _squares(aside: DataFrame, threshold: float, nearest: int, hot: int) -> Data
         got = square({c: group[c].to_numpy() for c in (*POSTING, "side")}, threshold, nearest)
         return pa.table({c: pa.array(got[c].astype(np.int64)) for c in PAIR})
 
-    return each.groupBy("code", "i", "j").applyInArrow(meet, ", ".join(f"{c} long" for c in PAIR))
+    return each.groupBy("code", "i", "j").applyInArrow(lean(meet), ", ".join(f"{c} long" for c in PAIR))
 
 
 WORDS = "doc long, tie long, line long, words binary"
@@ -467,7 +467,7 @@ def _words_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 of = pa.array(lines.text[at])
                 yield pa.record_batch([part.column(0).take(of), part.column(1).take(of), pa.array(lines.number[at]), pa.array([lines.words[lines.first[i] : lines.first[i + 1]].tobytes() for i in at.tolist()], pa.binary())], names=["doc", "tie", "line", "words"])
 
-    found = rows.select("doc", "tie", "text").mapInArrow(take, WORDS)
+    found = rows.select("doc", "tie", "text").mapInArrow(lean(take), WORDS)
     return materialise(found.join(wanted, list(ROW_LINE), "left_semi").dropDuplicates(list(ROW_LINE)), "lines-words")[0]
 
 
@@ -481,7 +481,7 @@ def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame
             yield pa.record_batch([*(b.column(i) for i in range(4)), pa.array(ok, pa.bool_())], names=["xdoc", "xtie", "xline", "more", "ok"])
 
     both = pairs.join(side("x"), ["xdoc", "xtie", "xline"]).join(side("y"), ["ydoc", "ytie", "yline"])
-    return materialise(both.select("xdoc", "xtie", "xline", "more", "xwords", "ywords").mapInArrow(compare, "xdoc long, xtie long, xline long, more long, ok boolean"), "lines-verified")[0]
+    return materialise(both.select("xdoc", "xtie", "xline", "more", "xwords", "ywords").mapInArrow(lean(compare), "xdoc long, xtie long, xline long, more long, ok boolean"), "lines-verified")[0]
 
 
 def _places_of(pairs: DataFrame) -> DataFrame:
@@ -604,8 +604,8 @@ def _settle(rows: DataFrame, waiting: DataFrame, words: DataFrame, classes, thre
         return pa.table({c: pa.array(x[c][ok]) for c in ROW_LINE})
 
     packed = "bucket int, kind int, blob binary, words binary"
-    every = own.mapInArrow(ask, packed).unionByName(rows.select("doc", "tie", "text").mapInArrow(send, packed))
-    return materialise(every.groupBy("bucket").applyInArrow(check, "doc long, tie long, line long").distinct(), "lines-late")[0]
+    every = own.mapInArrow(lean(ask), packed).unionByName(rows.select("doc", "tie", "text").mapInArrow(lean(send), packed))
+    return materialise(every.groupBy("bucket").applyInArrow(lean(check), "doc long, tie long, line long").distinct(), "lines-late")[0]
 
 
 def removed_lines(rows: DataFrame, threshold: float = THRESHOLD, nearest: int = NEAREST, hot: int = HOT) -> DataFrame:

@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import Words, materialise, partitions, raw, table
+from ._shared import Words, forget, lean, materialise, partitions, raw, table
 
 CAPACITY, END_ID = 4096, 1
-#: Word encodings that a Python worker remembers before it starts anew.
+#: Word encodings that a Python worker remembers at most.
 REMEMBER = 300_000
 
 
@@ -90,8 +90,7 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers. Words are told apart by 64-bit hashes, many texts at once."""
-        if len(self.known) > REMEMBER:
-            self.known.clear()
+        forget(self.known, REMEMBER)
         known, special = self.known, {i for i, t in enumerate(texts) if b"<|" in t}
         w = Words([b"" if i in special else t for i, t in enumerate(texts)], lower=True)
         _, at, of = np.unique(w.hash, return_index=True, return_inverse=True)
@@ -143,7 +142,7 @@ def tokenise(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 yield pa.record_batch([*out, *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])], names=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 class Gaps:
@@ -227,7 +226,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.record_batch([*kept, pa.array(got[:, 3] + step // got[:, 2]), pa.array(got[:, 4] + step % got[:, 2] * length)], names=[*(n for n in names if n != "rank"), "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(place), f"{fields}, sequence_id long, offset long")
 
 
 def default_tokenizer() -> str:

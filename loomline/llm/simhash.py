@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import LOWER, drop_path, materialise, mix, partitions, raw, table
+from ._shared import LOWER, drop_path, lean, materialise, mix, partitions, raw, table
 
 SHINGLE, RADIUS, SEED, BITS = 3, 2, 42, 64
 HISTOGRAM = 1 << 16
@@ -66,7 +66,7 @@ def fingerprints(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id",
             yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"doc_id {kind}, fp long")
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -251,7 +251,7 @@ def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         at = np.append(np.arange(BITS * BITS), -1)
         yield pa.record_batch([pa.array(at), pa.array(np.append(total.ravel(), n))], names=["at", "n"])
 
-    sums = {r["at"]: r["n"] for r in nodes.select("fp").mapInArrow(together, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    sums = {r["at"]: r["n"] for r in nodes.select("fp").mapInArrow(lean(together), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
     n = sums.get(-1, 0)
     both = np.array([sums.get(i, 0) for i in range(BITS * BITS)], float).reshape(BITS, BITS)
     parts = layout(both, n, choose_parts(n, radius))
@@ -267,7 +267,7 @@ def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         yield pa.record_batch([pa.array(at), pa.array(h.ravel()[at])], names=["at", "n"])
 
     counts = np.zeros(m * HISTOGRAM)
-    for r in nodes.select("fp").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in nodes.select("fp").mapInArrow(lean(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["at"]] = r["n"]
     counts = spark.sparkContext.broadcast(counts.reshape(m, HISTOGRAM).astype(np.float32))
     rest = [[tuple(b for b in range(BITS) if b not in part)[k :: radius + 1] for k in range(radius + 1)] for part in parts]
@@ -316,8 +316,8 @@ def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
                 yield pa.record_batch([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
                 held = [(key[cut:], fp[cut:], role[cut:])] if cut < len(key) else []
 
-    probes = nodes.select("fp").mapInArrow(emit, "key long, fp long, role byte")
-    return probes.repartition(n_parts, "key").sortWithinPartitions("key").mapInArrow(match, "a long, b long")
+    probes = nodes.select("fp").mapInArrow(lean(emit), "key long, fp long, role byte")
+    return probes.repartition(n_parts, "key").sortWithinPartitions("key").mapInArrow(lean(match), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import raw, table
+from ._shared import forget, lean, raw, table
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 18, 4, 3, 6
 TRAIN_ROWS, TRAIN_BYTES = 2000, 1 << 16
 #: Gradient steps, whatever the number of rows.
 STEPS, BATCH, RATE, SEED = 4000, 32, 0.5, 7
 LEAST, SURE = 2, 4.0
-#: Words whose numbers a Python worker remembers before it starts anew.
+#: Words whose numbers a Python worker remembers at most.
 REMEMBER = 200_000
 
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -65,8 +65,7 @@ class Model:
         ws = words(text)
         if not ws:
             return self.bias
-        if len(self.known) > REMEMBER:
-            self.known.clear()
+        forget(self.known, REMEMBER)
         known, share = self.known, self.share
         for w in set(ws):
             if w not in known:
@@ -197,7 +196,7 @@ def score(df: DataFrame, model: Model, keep: list[str] | None = None, text_col:
             yield pa.record_batch([*kept, pa.array(shared.value.scores(raw(b.column(at))), pa.float64())], names=[*(n for n in b.schema.names if n != "__text"), "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-    return rows.mapInArrow(run, f"{fields}, score double" if fields else "score double")
+    return rows.mapInArrow(lean(run), f"{fields}, score double" if fields else "score double")
 
 
 def remove_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
