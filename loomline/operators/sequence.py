@@ -1,16 +1,20 @@
 """Ordered sequences: runs, greedy windows, prefix sums, timelines, apportionment.
 
 Greedy windows depend on what came before, so they are folds: rows are dealt by group, sorted in the JVM, and streamed
-through a Python state in Arrow batches; a group is never held as a whole. Everything else is window functions.
+through a Python state in Arrow batches; a group is never held as a whole. Everything else is window functions, at two levels:
+within blocks of a key's order, and over one row for each block. So a key with a third of all rows is spread over its blocks.
+Orders are whole numbers, one for each row of a key. Where depth() finds no key as long as a block, block may be None: one level
+then gives the same rows with one shuffle less.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.text import speech, squeeze
@@ -41,6 +45,8 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], start: Callable[[],
 
 
 LONG = ("long", pa.int64())
+#: Rows of a key's order that are one block.
+BLOCK = 10_000
 
 
 def capacity_windows(df: DataFrame, key: str, order: list[str], size: str, most: int, most_rows: int = 0, alone: bool = False) -> DataFrame:
@@ -106,14 +112,66 @@ def speech_windows(df: DataFrame, key: str, order: list[str], role: str, text: s
     return ordered_fold(sized, key, order, start, [role, "__n"], {"window_id": LONG}).drop("__n")
 
 
-def islands(df: DataFrame, key: str, order: str, *changes: str) -> DataFrame:
+def _columns(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def depth(df: DataFrame, order: str, block: int = BLOCK) -> int | None:
+    """block if any row's order reaches it, else None. Best on a stored table, whose statistics answer it almost alone."""
+    return None if df.filter(F.col(order) >= block).isEmpty() else block
+
+
+def _blocks(df: DataFrame, key: list[str], order: str, block: int | None) -> tuple[DataFrame, WindowSpec]:
+    """df with __block, and the window of a block's rows in order; without blocks, the window of a key's rows."""
+    if block is None:
+        return df, Window.partitionBy(*key).orderBy(order)
+    return df.withColumn("__block", F.floor(F.col(order) / block)), Window.partitionBy(*key, "__block").orderBy(order)
+
+
+def _over_blocks(parts: DataFrame, totals: Callable[[], DataFrame], key: list[str], carried: Callable[[WindowSpec], dict[str, Column]], block: int | None) -> DataFrame:
+    """parts with what their block gets from its key's other blocks: carried(window of blocks in order) of totals(), one row a block.
+
+    Null for keys of one block: these, which are nearly all, are not joined, so that the other side stays small.
+    """
+    added = carried(Window.partitionBy(*key).orderBy("__block"))
+    if block is None:
+        return parts.withColumns({name: F.lit(None) for name in added})
+    found = totals().withColumn("__several", F.count("*").over(Window.partitionBy(*key)) > 1)
+    for name, made in added.items():  # each may use those before it
+        found = found.withColumn(name, made)
+    found = found.filter("__several")
+    at = [*key, "__block"]
+    side = found.select(*[F.col(k).alias(f"__at{i}") for i, k in enumerate(at)], *added)
+    same = reduce(lambda x, y: x & y, [parts[k].eqNullSafe(side[f"__at{i}"]) for i, k in enumerate(at)])
+    return parts.join(side, same, "left").drop(*[f"__at{i}" for i in range(len(at))])
+
+
+def _before(w: WindowSpec) -> WindowSpec:
+    return w.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def islands(df: DataFrame, key: str | list[str], order: str, *changes: str, block: int | None = BLOCK) -> DataFrame:
     """island from 0: a new one where any of the columns differs from the row before."""
-    w = Window.partitionBy(key).orderBy(order)
-    differs = F.lit(False)
-    for c in changes:
-        differs = differs | ~F.col(c).eqNullSafe(F.lag(c).over(w))
-    flag = F.when(F.row_number().over(w) == 1, 0).otherwise(differs.cast("int"))
-    return df.withColumn("__new", flag).withColumn("island", F.sum("__new").over(w).cast("long")).drop("__new")
+    key = _columns(key)
+    parts, w = _blocks(df, key, order, block)
+    row = F.struct(*changes)
+
+    def marked(rows):
+        """__new: 1 where a row differs from the one before it in its block."""
+        differs = reduce(lambda x, y: x | y, [~F.col(c).eqNullSafe(F.lag(c).over(w)) for c in changes])
+        return rows.withColumn("__new", F.when(F.row_number().over(w) == 1, 0).otherwise(differs.cast("int")))
+
+    def totals():
+        found = marked(parts.select(*dict.fromkeys([*key, order, *changes]), "__block")).groupBy(*key, "__block")
+        return found.agg(F.sum("__new").alias("__total"), F.min_by(row, order).alias("__first"), F.max_by(row, order).alias("__last"))
+
+    def carried(v):
+        ended = F.lag("__last").over(v)
+        return {"__start": F.when(ended.isNull() | F.col("__first").eqNullSafe(ended), 0).otherwise(1), "__sum": F.col("__total") + F.col("__start"), "__base": F.coalesce(F.sum("__sum").over(_before(v)), F.lit(0)) + F.col("__start")}
+
+    rows = marked(_over_blocks(parts, totals, key, carried, block))
+    island = F.coalesce("__base", F.lit(0)) + F.sum("__new").over(w)
+    return rows.withColumn("island", island.cast("long")).drop("__new", "__block", "__start", "__sum", "__base")
 
 
 def ordered_text(order: str | Column, text: str | Column, separator: str) -> Column:
@@ -124,35 +182,71 @@ def ordered_text(order: str | Column, text: str | Column, separator: str) -> Col
     return F.array_join(F.transform(rows, lambda x: x["t"]), separator)
 
 
-def running_sum(df: DataFrame, key: str, order: str, value: str, name: str, block: int = 10_000) -> DataFrame:
-    """name: the sum of value over the rows before this one. order: whole numbers, one for each row.
+def _cumulated(df: DataFrame, key: list[str], order: str, values: dict[str, Column], block: int | None) -> DataFrame:
+    """df with __block and, for each value, name_before and name_all: its sums over the earlier rows and all rows of the key.
 
-    Two levels: sums within blocks of the order, and sums of whole blocks. A key that holds a third of all rows is spread
-    over its blocks; the second level sees one row for each block.
+    Null where there is nothing to add up.
     """
-    parts = df.withColumn("__block", F.floor(F.col(order) / block))
-    inside = Window.partitionBy(key, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = parts.groupBy(key, "__block").agg(F.sum(value).alias("__total"))
-    before = Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("__before", F.coalesce(F.sum("__total").over(before), F.lit(0))).drop("__total")
-    summed = parts.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(totals, [key, "__block"])
-    return summed.withColumn(name, F.col("__before") + F.col("__inside")).drop("__block", "__before", "__inside")
+    parts, w = _blocks(df, key, order, block)
+
+    def totals():
+        return parts.groupBy(*key, "__block").agg(*[F.sum(v).alias(f"__{n}_total") for n, v in values.items()])
 
+    def carried(v):
+        out = {}
+        for n in values:
+            out |= {f"__{n}_earlier": F.sum(f"__{n}_total").over(_before(v)), f"__{n}_key": F.sum(f"__{n}_total").over(Window.partitionBy(*key))}
+        return out
 
-def timeline(df: DataFrame, key: str, order: str, samples: str, rate: int, pause_ms: int, inner_pause_ms: int | None = None, group: str | None = None) -> DataFrame:
+    rows = _over_blocks(parts, totals, key, carried, block)
+    every = Window.partitionBy(*key) if block is None else Window.partitionBy(*key, "__block")
+    for n, v in values.items():
+        inside = F.sum(v).over(_before(w))
+        rows = rows.withColumn(f"{n}_before", F.coalesce(F.col(f"__{n}_earlier") + inside, f"__{n}_earlier", inside))
+        rows = rows.withColumn(f"{n}_all", F.coalesce(f"__{n}_key", F.sum(v).over(every))).drop(f"__{n}_earlier", f"__{n}_key")
+    return rows
+
+
+def running_sum(df: DataFrame, key: str | list[str], order: str, value: str, name: str, block: int | None = BLOCK) -> DataFrame:
+    """name: the sum of value over the rows before this one, 0 for the first."""
+    rows = _cumulated(df, _columns(key), order, {"__sum": F.col(value)}, block)
+    return rows.withColumn(name, F.coalesce("__sum_before", F.lit(0))).drop("__sum_before", "__sum_all", "__block")
+
+
+def timeline(df: DataFrame, key: str | list[str], order: str, samples: str, rate: int, pause_ms: int, inner_pause_ms: int | None = None, group: str | None = None, block: int | None = BLOCK) -> DataFrame:
     """start_ms and end_ms of each row: samples before it, with a pause after every row but the last.
 
     The pause is inner_pause_ms where the next row has the same group. Milliseconds are rounded half to even in whole numbers.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    pause = F.lit(rate * pause_ms // 1000)
-    if group is not None:
-        pause = F.when(F.lead(group).over(w) == F.col(group), rate * (inner_pause_ms or 0) // 1000).otherwise(pause)
-    pause = F.when(F.lead(order).over(w).isNull(), 0).otherwise(pause)
-    rows = df.withColumn("__step", F.col(samples) + pause)
-    start = F.coalesce(F.sum("__step").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    key = _columns(key)
+    parts, w = _blocks(df, key, order, block)
+    long, short = rate * pause_ms // 1000, rate * (inner_pause_ms or 0) // 1000
+
+    def pause(here, after):
+        return F.lit(long) if group is None else F.when(after == here, short).otherwise(long)
+
+    def paused(rows):
+        """__pause: what follows a row within its block; 0 for the block's last."""
+        last = F.lead(order).over(w).isNull()
+        after = F.lead(group).over(w) if group is not None else None
+        return rows.withColumn("__pause", F.when(last, 0).otherwise(pause(F.col(group) if group is not None else None, after)).cast("long"))
+
+    own = F.col(group) if group is not None else F.lit(None).cast("string")
+
+    def totals():
+        found = paused(parts.select(*dict.fromkeys([*key, order, samples, *([group] if group is not None else [])]), "__block")).groupBy(*key, "__block")
+        return found.agg(F.sum(F.col(samples) + F.col("__pause")).alias("__total"), F.min_by(F.struct(own.alias("g")), order).alias("__first"), F.max_by(F.struct(own.alias("g")), order).alias("__last"))
+
+    def carried(v):
+        after = F.lead("__first").over(v)
+        tail = F.when(after.isNull(), 0).otherwise(pause(F.col("__last.g"), after["g"]))
+        return {"__step": F.coalesce("__total", F.lit(0)) + tail, "__base": F.sum("__step").over(_before(v))}
+
+    rows = paused(_over_blocks(parts, totals, key, carried, block))
+    inside = F.sum(F.col(samples) + F.col("__pause")).over(_before(w))
+    start = F.coalesce("__base", F.lit(0)) + F.coalesce(inside, F.lit(0))
     rows = rows.withColumn("__start", start)
-    return rows.withColumns({"start_ms": half_even(F.col("__start") * 1000, rate), "end_ms": half_even((F.col("__start") + F.col(samples)) * 1000, rate)}).drop("__step", "__start")
+    return rows.withColumns({"start_ms": half_even(F.col("__start") * 1000, rate), "end_ms": half_even((F.col("__start") + F.col(samples)) * 1000, rate)}).drop("__pause", "__start", "__step", "__base", "__block")
 
 
 def half_even(n: Column, d: int | Column) -> Column:
@@ -163,23 +257,38 @@ def half_even(n: Column, d: int | Column) -> Column:
     return (q + F.when((twice > d) | ((twice == d) & (F.pmod(q, F.lit(2)) == 1)), 1).otherwise(0)).cast("long")
 
 
-def apportion(df: DataFrame, key: list[str], order: str, weight: str, total: Column) -> DataFrame:
-    """first and last: where each row's share of total begins and ends, in proportion to weights, half to even."""
-    w = Window.partitionBy(*key).orderBy(order)
-    every = Window.partitionBy(*key)
-    rows = df.withColumns({"__cum": F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__all": F.sum(weight).over(every), "__n": total})
-    end = half_even(F.col("__n") * F.col("__cum"), F.col("__all"))
-    rows = rows.withColumn("last", F.when(F.lead(order).over(w).isNull(), F.col("__n")).otherwise(end).cast("long"))
-    return rows.withColumn("first", F.coalesce(F.lag("last").over(w), F.lit(0)).cast("long")).drop("__cum", "__all", "__n")
+def apportion(df: DataFrame, key: str | list[str], order: str, weight: str, total: Callable[[Column], Column], block: int | None = BLOCK) -> DataFrame:
+    """first and last: where each row's share of total(sum of weights) begins and ends, in proportion to weights, half to even.
+
+    Weights are positive.
+    """
+    rows = _cumulated(df, _columns(key), order, {"__weight": F.col(weight)}, block)
+    before, every = F.coalesce("__weight_before", F.lit(0)), F.col("__weight_all")
+    reached = before + F.col(weight)
+    last = F.when(reached == every, total(every)).otherwise(half_even(total(every) * reached, every))
+    first = half_even(total(every) * before, every)
+    return rows.withColumns({"first": first.cast("long"), "last": last.cast("long")}).drop("__weight_before", "__weight_all", "__block")
+
+
+def counted_sums(df: DataFrame, key: str | list[str], order: str, size: str, block: int | None = BLOCK) -> DataFrame:
+    """chars: the sum of size up to and with each row, null while there is none; rn: the row's number from 1."""
+    rows = _cumulated(df, _columns(key), order, {"__size": F.col(size), "__one": F.lit(1)}, block)
+    chars = F.coalesce(F.col("__size_before") + F.col(size), "__size_before", F.col(size))
+    rows = rows.withColumns({"chars": chars.cast("long"), "rn": (F.coalesce("__one_before", F.lit(0)) + 1).cast("long")})
+    return rows.drop("__size_before", "__size_all", "__one_before", "__one_all", "__block")
+
+
+def prefix_take(df: DataFrame, key: str | list[str], order: str, size: str, most: int, block: int | None = BLOCK) -> DataFrame:
+    """The rows whose sizes up to and with them stay within most, with that sum as chars; the first row is always taken."""
+    return counted_sums(df, key, order, size, block).filter((F.col("chars") <= most) | (F.col("rn") == 1)).drop("rn")
 
 
-def target_sweep(df: DataFrame, key: str, order: str, size: str, start: int, step: int, most: int) -> DataFrame:
+def target_sweep(df: DataFrame, key: str, order: str, size: str, start: int, step: int, most: int, block: int | None = BLOCK) -> DataFrame:
     """The targets whose prefixes differ: key, target, n rows, n chars of the prefix; the first row is always taken."""
-    w = Window.partitionBy(key).orderBy(order)
-    cum = df.withColumns({"__cum": F.sum(size).over(w), "__rn": F.row_number().over(w)})
+    cum = counted_sums(df, key, order, size, block)
     # row k enters the prefix at the first target that reaches its running sum
-    at = F.when(F.col("__rn") == 1, start).otherwise(start + step * F.greatest(F.lit(0), F.ceil((F.col("__cum") - start) / step)))
-    grown = cum.withColumn("target", at.cast("long")).groupBy(key, "target").agg(F.max("__rn").cast("long").alias("n_rows"), F.max("__cum").cast("long").alias("n_chars"))
+    at = F.when(F.col("rn") == 1, start).otherwise(start + step * F.greatest(F.lit(0), F.ceil((F.col("chars") - start) / step)))
+    grown = cum.withColumn("target", at.cast("long")).groupBy(key, "target").agg(F.max("rn").alias("n_rows"), F.max("chars").alias("n_chars"))
     by = Window.partitionBy(key).orderBy("target")
     return grown.withColumn("__k", F.row_number().over(by)).filter(F.col("__k") <= most).drop("__k")
 
@@ -244,9 +353,9 @@ def adaptive_limits(df: DataFrame, key: str, order: list[str], blocks: str, peak
     return ordered_fold(df, key, order, start, [blocks, peak], {"limit_before": LONG, "limit_after": LONG})
 
 
-def dialogue(df: DataFrame, key: str, order: str, role: str, text: str) -> DataFrame:
+def dialogue(df: DataFrame, key: str, order: str, role: str, text: str, block: int | None = BLOCK) -> DataFrame:
     """key, n_runs, script: one line per run of a role, "role: texts"."""
-    said = islands(df.withColumn("__t", speech(F.coalesce(text, F.lit("")))), key, order, role)
+    said = islands(df.withColumn("__t", speech(F.coalesce(text, F.lit("")))), key, order, role, block=block)
     lines = said.groupBy(key, "island", role).agg(ordered_text(order, F.when(F.col("__t") != "", F.col("__t")), " ").alias("__line"))
     lines = lines.withColumn("__line", F.concat(F.col(role), F.lit(": "), F.col("__line")))
     return lines.groupBy(key).agg(F.count("*").alias("n_runs"), ordered_text("island", "__line", "\n").alias("script"))

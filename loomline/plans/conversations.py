@@ -19,6 +19,11 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
 
 
+def blocks(spark: SparkSession, sf_dir: str) -> int | None:
+    """How to window over turns: at two levels if any conversation is longer than a block."""
+    return S.depth(turns(spark, sf_dir), "turn")
+
+
 RUNS_SQL = f"""n AS (SELECT conv_id, turn, role, {SQ("replace(text, '#', ' hashtag ')")} AS t, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
 i AS (SELECT *, sum(CASE WHEN rn = 1 OR role IS NOT DISTINCT FROM prev THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM n)"""
 
@@ -27,12 +32,12 @@ i AS (SELECT *, sum(CASE WHEN rn = 1 OR role IS NOT DISTINCT FROM prev THEN 0 EL
 l AS (SELECT conv_id, island, role || ': ' || coalesce(string_agg(nullif(t, ''), ' ' ORDER BY turn), '') AS line FROM i GROUP BY conv_id, island, role)
 SELECT conv_id, count(*) AS n_runs, string_agg(line, chr(10) ORDER BY island) AS script FROM l GROUP BY conv_id""")
 def dialogue_script(spark, sf_dir):
-    return S.dialogue(turns(spark, sf_dir), "conv_id", "turn", "role", "text")
+    return S.dialogue(turns(spark, sf_dir), "conv_id", "turn", "role", "text", blocks(spark, sf_dir))
 
 
 @query("role_switches", f"WITH {RUNS_SQL} SELECT conv_id, max(island)::BIGINT AS switches, count(DISTINCT role) AS n_roles FROM i GROUP BY conv_id")
 def role_switches(spark, sf_dir):
-    rows = S.islands(turns(spark, sf_dir), "conv_id", "turn", "role")
+    rows = S.islands(turns(spark, sf_dir), "conv_id", "turn", "role", block=blocks(spark, sf_dir))
     return rows.groupBy("conv_id").agg(F.max("island").alias("switches"), F.count_distinct("role").alias("n_roles"))
 
 
@@ -44,7 +49,7 @@ tl AS (SELECT conv_id, turn, round_even(st * 1000 / {RATE}, 0)::BIGINT AS start_
 
 def laid_out(spark, sf_dir):
     rows = turns(spark, sf_dir).withColumn("n", PER_CHAR * F.length(F.coalesce("text", F.lit(""))).cast("long"))
-    return S.timeline(rows, "conv_id", "turn", "n", RATE, PAUSE, INNER, "role")
+    return S.timeline(rows, "conv_id", "turn", "n", RATE, PAUSE, INNER, "role", blocks(spark, sf_dir))
 
 
 @query("timeline", f"WITH {TIMELINE_SQL} SELECT conv_id, turn, start_ms, end_ms FROM tl")
@@ -60,7 +65,7 @@ def chapter_duration(spark, sf_dir):
 @query("conversation_timeline_summary", f"""WITH {TIMELINE_SQL}, {RUNS_SQL}, r AS (SELECT conv_id, max(island) + 1 AS n_runs, count(DISTINCT role) AS n_roles FROM i GROUP BY conv_id)
 SELECT conv_id, count(*) AS n_turns, max(end_ms) AS end_ms, any_value(n_runs)::BIGINT AS n_runs, any_value(n_roles) AS n_roles FROM tl JOIN r USING (conv_id) GROUP BY conv_id""")
 def conversation_timeline_summary(spark, sf_dir):
-    rows = S.islands(laid_out(spark, sf_dir), "conv_id", "turn", "role")
+    rows = S.islands(laid_out(spark, sf_dir), "conv_id", "turn", "role", block=blocks(spark, sf_dir))
     return rows.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.max("end_ms").alias("end_ms"), (F.max("island") + 1).alias("n_runs"), F.count_distinct("role").alias("n_roles"))
 
 
@@ -86,7 +91,7 @@ BLOCKS_SQL = f"""WITH {RUNS_SQL}, w AS (SELECT conv_id, turn, role, island, grea
 
 
 def weighted(spark, sf_dir):
-    rows = S.islands(turns(spark, sf_dir), "conv_id", "turn", "role")
+    rows = S.islands(turns(spark, sf_dir), "conv_id", "turn", "role", block=blocks(spark, sf_dir))
     return rows.withColumn("weight", F.greatest(F.lit(1), F.length(squeeze(F.coalesce("text", F.lit(""))))))
 
 
@@ -101,20 +106,13 @@ e AS (SELECT *, tot * 977 AS n FROM c),
 b AS (SELECT *, CASE WHEN nxt IS NULL THEN n ELSE round_even(n * cum / tot, 0) END::BIGINT AS last FROM e)
 SELECT conv_id, turn, coalesce(lag(last) OVER (PARTITION BY conv_id, island ORDER BY turn), 0)::BIGINT AS first, last FROM b""")
 def apportion_audio(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = weighted(spark, sf_dir)
-    total = F.sum("weight").over(Window.partitionBy("conv_id", "island")) * 977
-    return S.apportion(rows, ["conv_id", "island"], "turn", "weight", total).select("conv_id", "turn", "first", "last")
+    return S.apportion(weighted(spark, sf_dir), ["conv_id", "island"], "turn", "weight", lambda n: n * 977, blocks(spark, sf_dir)).select("conv_id", "turn", "first", "last")
 
 
 @query("prefix_take", "SELECT conv_id, turn, cum::BIGINT AS chars FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS cum, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) WHERE cum <= 600 OR rn = 1")
 def prefix_take(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = turns(spark, sf_dir).select("conv_id", "turn", F.sum(F.length("text")).over(w).cast("long").alias("chars"), F.row_number().over(w).alias("rn"))
-    return rows.filter("chars <= 600 or rn = 1").drop("rn")
+    rows = turns(spark, sf_dir).select("conv_id", "turn", F.length("text").alias("n"))
+    return S.prefix_take(rows, "conv_id", "turn", "n", 600, blocks(spark, sf_dir)).drop("n")
 
 
 @query("target_sweep", """WITH c AS (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS cum, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, sum(length(text)) OVER (PARTITION BY conv_id) AS tot FROM conversations),
@@ -124,7 +122,7 @@ m AS (SELECT conv_id, min(target) AS target, n_rows, n_chars FROM p GROUP BY con
 SELECT conv_id, target, n_rows, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY target) AS k FROM m) WHERE k <= 8""")
 def target_sweep(spark, sf_dir):
     rows = turns(spark, sf_dir).select("conv_id", "turn", F.length("text").cast("long").alias("n"))
-    return S.target_sweep(rows, "conv_id", "turn", "n", 100, 100, 8)
+    return S.target_sweep(rows, "conv_id", "turn", "n", 100, 100, 8, blocks(spark, sf_dir))
 
 
 @query("buffer_simulation", """WITH RECURSIVE n AS (SELECT conv_id, turn, length(text) * 1.0::DOUBLE / 16 AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),

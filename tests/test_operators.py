@@ -326,3 +326,33 @@ def test_report(spark, tmp_path):
     line = "".join(p.read_text() for p in (tmp_path / "r" / "json").glob("part*"))
     assert json.loads(line) == {"k": "a", "v": [1, 2]}
     assert re.search(r"\[1,2\]", "".join(p.read_text() for p in (tmp_path / "r" / "csv").glob("part*")))
+
+
+def test_two_levels_equal_plain_windows(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(k, i, r.randrange(1, 9), r.choice(["a", "b", None])) for k, n in (("x", 40), ("y", 3), ("z", 1), (None, 25)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, i long, v long, g string")
+
+    def got(frame, *columns):
+        return sorted(((x.k or "", x.i, *[x[c] for c in columns]) for x in frame.collect()))
+
+    for wide, args in ((sequence.islands, ("k", "i", "g")), (sequence.timeline, ("k", "i", "v", 1000, 7, 3, "g"))):
+        columns = ["island"] if wide is sequence.islands else ["start_ms", "end_ms"]
+        assert got(wide(df, *args, block=4), *columns) == got(wide(df, *args, block=None), *columns)
+    plain, before = {}, {}
+    for k, i, v, g in rows:
+        last, n = plain.get(k, {}).get(i - 1, (None, -1))
+        plain.setdefault(k, {})[i] = (g, n + 1 if i == 0 or g != last else n)
+        before[k, i] = sum(x[2] for x in rows if x[0] == k and x[1] < i)
+    assert got(sequence.islands(df, "k", "i", "g", block=4), "island") == sorted((k or "", i, plain[k][i][1]) for k, i, *_ in rows)
+    assert got(sequence.running_sum(df, "k", "i", "v", "s", block=4), "s") == sorted((k or "", i, before[k, i]) for k, i, *_ in rows)
+    for block in (4, None):
+        shares = sequence.apportion(df, ["k"], "i", "v", lambda n: n * 3, block)
+        assert got(shares, "first", "last") == sorted((k or "", i, 3 * before[k, i], 3 * (before[k, i] + v)) for k, i, v, _ in rows)
+        taken = sequence.prefix_take(df, "k", "i", "v", 20, block)
+        assert got(taken, "chars") == sorted((k or "", i, before[k, i] + v) for k, i, v, _ in rows if before[k, i] + v <= 20 or i == 0)
+    assert sequence.depth(df, "i") is None and sequence.depth(df, "i", 30) == 30
+    swept = [sequence.target_sweep(df, "k", "i", "v", 10, 10, 5, block=b).collect() for b in (4, None)]
+    assert sorted(map(repr, swept[0])) == sorted(map(repr, swept[1]))
