@@ -61,13 +61,18 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def _drop_late(spark: SparkSession, path: str) -> None:
+def _drop_quietly(spark: SparkSession, path: str) -> None:
     try:
         drop_path(spark, path)
     except Exception:  # the session is gone, and its folder with it  # noqa: BLE001
         pass
 
 
+def drop_late(spark: SparkSession, path: str) -> None:
+    """Frees a path when the process ends."""
+    atexit.register(_drop_quietly, spark, path)
+
+
 def materialise(df: DataFrame, name: str = "t") -> tuple[DataFrame, str]:
     """Writes a table in the shared folder and reads it again: lineage ends there, and lost executors cost no recomputation.
 
@@ -76,7 +81,7 @@ def materialise(df: DataFrame, name: str = "t") -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_drop_late, spark, path)
+    drop_late(spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import bpe_codec as op11
 from . import decontaminate as op3
 from . import knn_search as op6
 from . import license_scan as op7
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_substring_dedup": op8.op8_substring_dedup,
     "op9_pii": op9.op9_pii,
     "op10_lm_scoring": op10.op10_lm_scoring,
+    "op11_bpe_codec": op11.op11_bpe_codec,
 }
 
 SQL = {

@@ -13,6 +13,7 @@ COLUMNS = {
     "op6_knn_search": ["query_id", "rank", "vec_id", "score"],
     "op8_substring_dedup": ["doc_id", "n_words", "n_removed", "kept_sha256"],
     "op9_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+    "op11_bpe_codec": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
 }
 
 
