@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import ball_kmeans as op12
 from . import bpe_codec as op11
 from . import decontaminate as op3
 from . import knn_search as op6
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_pii": op9.op9_pii,
     "op10_lm_scoring": op10.op10_lm_scoring,
     "op11_bpe_codec": op11.op11_bpe_codec,
+    "op12_centroids": op12.op12_centroids,
 }
 
 SQL = {
@@ -34,4 +36,5 @@ SQL = {
     "op6_knn_search": op6.SQL,
     "op8_substring_dedup": op8.SQL,
     "op10_lm_scoring": op10.SQL,
+    "op12_centroids": op12.SQL,
 }

@@ -14,6 +14,7 @@ COLUMNS = {
     "op8_substring_dedup": ["doc_id", "n_words", "n_removed", "kept_sha256"],
     "op9_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
     "op11_bpe_codec": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op12_centroids": ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
 }
 
 
