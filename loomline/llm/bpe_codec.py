@@ -28,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import drop_late, lean, materialise, raw, shared_dir, table
+from ._shared import drop_late, lean, materialise, mix, raw, shared_dir, table
 
 #: The most words of a lexicon, the longest of them in bytes, and how many words a counting task holds before it hands them on.
 LEXICON, LONGEST, HELD = 1 << 17, 32, 1 << 18
@@ -46,6 +46,22 @@ def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+def same_words(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One word of each set of equal words of up to 15 bytes, and every longer word; and which of these each word is.
+
+    Words are gathered by a hash of two numbers that hold all their bytes and their size, then compared by the numbers themselves.
+    """
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    low = eight[start] & mask[np.minimum(size, 8)]
+    high = (eight[np.minimum(start + 8, len(eight) - 1)] & mask[np.clip(size - 8, 0, 7)]) | (np.minimum(size, 255).astype(np.uint64) << np.uint64(56))
+    _, first, of = np.unique(mix(low) ^ (high * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_inverse=True)
+    alone = np.flatnonzero((size > 15) | (low[first[of]] != low) | (high[first[of]] != high))
+    of[alone] = len(first) + np.arange(len(alone))
+    return np.concatenate([first, alone]), of
+
+
 def byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in byte-level vocabularies, and back."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -158,7 +174,15 @@ class Vocabulary:
         return np.array([x for x in ids if x >= 0], np.int32)
 
     def merge(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of many words: how many each has, and all of them in a row."""
+        """The ids of many words: how many each has, and all of them in a row. Equal words are merged once."""
+        if len(start) < 256:
+            return self._merge(data, start, size)
+        first, of = same_words(data, start, size)
+        count, ids = self._merge(data, start[first], size[first])
+        at = np.cumsum(count) - count
+        return count[of], ids[spread(at[of], count[of])]
+
+    def _merge(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         count, parts = np.zeros(len(start), np.int64), []
         low = 0
         for width in (1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32, WIDE):

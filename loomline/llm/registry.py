@@ -13,6 +13,7 @@ from . import packing as op4
 from . import pii as op9
 from . import simhash as op2
 from . import substring_dedup as op8
+from . import token_alignment as op13
 from . import toxicity as op5
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_lm_scoring": op10.op10_lm_scoring,
     "op11_bpe_codec": op11.op11_bpe_codec,
     "op12_centroids": op12.op12_centroids,
+    "op13_token_alignment": op13.op13_token_alignment,
 }
 
 SQL = {
