@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import annotations, casts, conversations, scripts, tables, texts
+from .plans import annotations, casts, conversations, merges, scripts, tables, texts
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _plan in (conversations, texts, tables, annotations, scripts, casts):
+for _plan in (conversations, texts, tables, annotations, scripts, casts, merges):
     QUERIES |= _plan.QUERIES
     SQL |= _plan.SQL
