@@ -1,7 +1,7 @@
 """Ordered sequences: runs, greedy windows, prefix sums, timelines, apportionment.
 
 Greedy windows depend on what came before, so they are folds: rows are dealt by group, sorted in the JVM, and streamed
-through a Python state in Arrow batches; a group is never held as a whole. Everything else is window functions, at two levels:
+through a Python state in Arrow batches; a group is never held as a whole. Windows of bounded sums can be folded by blocks, all at once. Everything else is window functions, at two levels:
 within blocks of a key's order, and over one row for each block. So a key with a third of all rows is spread over its blocks.
 Orders are whole numbers, one for each row of a key. Where depth() finds no key as long as a block, block may be None: one level
 then gives the same rows with one shuffle less.
@@ -9,10 +9,12 @@ then gives the same rows with one shuffle less.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -20,18 +22,19 @@ from pyspark.sql import functions as F
 from ..functions.text import speech, squeeze
 
 
-def ordered_fold(df: DataFrame, key: str, order: list[str], start: Callable[[], Callable], inputs: list[str], outputs: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
+def ordered_fold(df: DataFrame, key: str | list[str], order: list[str], start: Callable[[], Callable], inputs: list[str], outputs: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
     """df with columns that a stateful function yields row by row.
 
     start() makes a step function for a group; the step takes the inputs of a row and returns the outputs.
     """
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{n}` {t}" for n, (t, _) in outputs.items())])
+    key = _columns(key)
 
     def run(batches):
         current, step = object(), None
         for b in batches:
             names = b.schema.names
-            keys = b.column(names.index(key)).to_pylist()
+            keys = list(zip(*(b.column(names.index(k)).to_pylist() for k in key)))
             columns = [b.column(names.index(c)).to_pylist() for c in inputs]
             out = []
             for k, *row in zip(keys, *columns):
@@ -41,7 +44,7 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], start: Callable[[],
             added = [pa.array([r[i] for r in out], kind) for i, (_, kind) in enumerate(outputs.values())]
             yield pa.record_batch([*b.columns, *added], names=[*names, *outputs])
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)
 
 
 LONG = ("long", pa.int64())
@@ -49,11 +52,15 @@ LONG = ("long", pa.int64())
 BLOCK = 10_000
 
 
-def capacity_windows(df: DataFrame, key: str, order: list[str], size: str, most: int, most_rows: int = 0, alone: bool = False) -> DataFrame:
+def capacity_windows(df: DataFrame, key: str, order: list[str], size: str, most: int, most_rows: int = 0, alone: bool = False, block: int | None = None) -> DataFrame:
     """window_id from 0: a new window where the sizes' sum would pass most or the rows most_rows (0: no bound).
 
-    A row larger than most is an error unless alone, when it may fill a window by itself; most of 0 is then no bound.
+    A row larger than most is an error unless alone, when it may fill a window by itself; most of 0 is then no bound. With
+    block, order is one whole number and keys are cut into blocks of so many of its values: a key of any length is worked on by as many
+    tasks as it has blocks, and only a row for each block passes through one task.
     """
+    if block is not None:
+        return _windows_by_blocks(df, key, order[0], size, most, most_rows, alone, block)
 
     def start():
         window, total, rows = -1, 0, 0
@@ -74,6 +81,110 @@ def capacity_windows(df: DataFrame, key: str, order: list[str], size: str, most:
     return ordered_fold(df, key, order, start, [size], {"window_id": LONG})
 
 
+def successors(sums: np.ndarray, most: float, most_rows: int) -> np.ndarray:
+    """For each row the first row that no longer fits into a window which starts at it. sums: of the sizes before each row, and of all."""
+    n = len(sums) - 1
+    at = np.maximum(np.searchsorted(sums[1:], sums[:-1] + most, "right"), np.arange(1, n + 1))
+    return np.minimum(at, np.arange(n) + most_rows) if most_rows else at
+
+
+def block_paths(sizes: np.ndarray, most: float, most_rows: int) -> dict[str, np.ndarray]:
+    """How the windows of a block go on for each row at which the first of them may start.
+
+    sums: of the sizes before each such row, and up to the next; for each of them, starts: how many windows start from it on; total and rows: what the
+    last one holds at the block's end. Rows at which nothing that came before the block could make a window start are left out.
+    """
+    sums = np.concatenate([[0], np.cumsum(sizes)])
+    after, n = successors(sums, most, most_rows).tolist(), len(sizes)
+    last, starts = list(range(n)), [1] * n
+    for i in range(n - 1, -1, -1):
+        if after[i] < n:
+            last[i], starts[i] = last[after[i]], starts[after[i]] + 1
+    reach = min(n, int(np.searchsorted(sums[:-1], most, "right")), most_rows + 1 if most_rows else n)
+    last = np.array(last[:reach], np.int64)
+    return {"sums": sums[: reach + 1].astype(np.int64), "starts": np.array(starts[:reach], np.int64), "total": (sums[-1] - sums[last]).astype(np.int64), "rows": n - last}
+
+
+def _windows_by_blocks(df: DataFrame, key: str, order: str, size: str, most: int, most_rows: int, alone: bool, block: int) -> DataFrame:
+    """Greedy windows in three steps: each block's paths from every row where a window may start, all blocks at once; one pass over the
+    blocks of a key, a row each, to see where its first window starts; and the windows of all blocks at once."""
+    bound = most if most > 0 else math.inf
+    rows = df.withColumn("__block", F.floor(F.col(order) / block)).withColumn("__size", F.coalesce(F.col(size), F.lit(0)).cast("long"))
+    if not alone:
+        rows = rows.withColumn("__size", F.when(F.col("__size") <= most, F.col("__size")).otherwise(F.raise_error(F.concat(F.lit("a row of size "), F.col("__size").cast("string"), F.lit(f" exceeds the window size {most}"))).cast("long")))
+    lists = ("sums", "starts", "total", "rows")
+    kind = df.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, __block long, n long, whole long, " + ", ".join(f"{c} array<long>" for c in lists)
+
+    def paths(batches):
+        current, keys, held = None, None, []
+
+        def close():
+            sizes = np.concatenate(held)
+            p = block_paths(sizes, bound, most_rows)
+            return pa.record_batch([*keys, pa.array([len(sizes)]), pa.array([int(sizes.sum())]), *(pa.array([p[c]], pa.list_(pa.int64())) for c in lists)], names=[key, "__block", "n", "whole", *lists])
+
+        for b in batches:
+            sizes = b.column(2).to_numpy()
+            both = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            cuts = [i for i in range(len(both)) if i == 0 or both[i] != both[i - 1]]
+            for lo, hi in zip(cuts, [*cuts[1:], len(both)]):
+                if both[lo] != current and held:
+                    yield close()
+                    held = []
+                if not held:
+                    current, keys = both[lo], [b.column(0).slice(lo, 1), b.column(1).slice(lo, 1)]
+                held.append(sizes[lo:hi])
+        if held:
+            yield close()
+
+    narrow = rows.select(key, "__block", "__size", F.col(order).alias("__order"))
+    blocks = narrow.repartition(key, "__block").sortWithinPartitions(key, "__block", "__order").select(key, "__block", "__size").mapInArrow(paths, schema)
+
+    def start():
+        window, held_total, held_rows = -1, 0, 0
+
+        def step(n, whole, sums, starts, total, count):
+            """The number of the block's rows before its first start, and the window that is open before them."""
+            nonlocal window, held_total, held_rows
+            before = window
+            if window < 0:
+                first = 0
+            else:  # the first row that the open window has no room for
+                first = bisect.bisect_right(sums, bound - held_total, 1) - 1
+                first = min(first, max(0, most_rows - held_rows)) if most_rows else first
+            if first < len(starts):
+                window, held_total, held_rows = window + starts[first], total[first], count[first]
+            else:
+                first, held_total, held_rows = n, held_total + whole, held_rows + n
+            return first, before
+
+        return step
+
+    entered = ordered_fold(blocks, key, ["__block"], start, ["n", "whole", *lists], {"__first": LONG, "__open": LONG})
+    side = entered.select(F.col(key).alias("__key"), F.col("__block").alias("__b"), "__first", "__open")
+    met = rows.join(side, rows[key].eqNullSafe(side["__key"]) & (rows["__block"] == side["__b"])).drop("__key", "__b")
+
+    def inside():
+        row, window, total, count = -1, 0, 0, 0
+
+        def step(n, first, before):
+            nonlocal row, window, total, count
+            row += 1
+            if row < first:
+                return (before,)
+            if row == first:
+                window, total, count = before + 1, 0, 0
+            elif total + n > bound or most_rows and count >= most_rows:
+                window, total, count = window + 1, 0, 0
+            total, count = total + n, count + 1
+            return (window,)
+
+        return step
+
+    return ordered_fold(met, [key, "__block"], [order], inside, ["__size", "__first", "__open"], {"window_id": LONG}).drop("__block", "__size", "__first", "__open")
+
+
 def speech_windows(df: DataFrame, key: str, order: list[str], role: str, text: str, most: int, most_roles: int, alone: bool = False) -> DataFrame:
     """window_id from 0: a new window where the dialogue as rendered, or its roles, would pass the bounds.
 

@@ -71,7 +71,8 @@ FROM f JOIN n ON n.source = f.source AND n.rn = f.rn + 1)
 SELECT doc_id, source, chunk FROM f""")
 def corpus_chunks(spark, sf_dir):
     rows = documents(spark, sf_dir).select("doc_id", "source", F.length("text").alias("n"))
-    return S.capacity_windows(rows, "source", ["doc_id"], "n", 20000, alone=True).select("doc_id", "source", F.col("window_id").alias("chunk"))
+    block = S.depth(documents(spark, sf_dir), "doc_id")
+    return S.capacity_windows(rows, "source", ["doc_id"], "n", 20000, alone=True, block=block).select("doc_id", "source", F.col("window_id").alias("chunk"))
 
 
 @query("chapter_title", f"SELECT doc_id, coalesce(left(list_filter(list_transform(string_split(text, chr(10)), lambda l: {squeezed('l')}), lambda l: l <> '')[1], 120), 'document_' || doc_id) AS title FROM documents")

@@ -111,6 +111,32 @@ def test_capacity_windows(spark):
         sequence.capacity_windows(rows, "k", ["i"], "n", 3).collect()
 
 
+@pytest.mark.parametrize("most,most_rows", [(9, 0), (30, 4), (0, 3), (200, 0), (5, 1)])
+def test_capacity_windows_by_blocks(spark, most, most_rows):
+    """Blocks of any length give the windows of the fold: windows longer than a block, rows larger than a window, gaps, empty sizes and null keys."""
+    r = random.Random(most)
+    data = [(k, i * g, r.choice([0, None, 1, 2, 5, 8, 12])) for k, g in (("a", 1), ("b", 3), (None, 1)) for i in range(200)] + [("c", 999, 7)]
+    rows = spark.createDataFrame(data, "k string, i long, n int").repartition(5)
+    told = lambda df: sorted(map(str, df.select("k", "i", "n", "window_id").collect()))
+    want = told(sequence.capacity_windows(rows, "k", ["i"], "n", most, most_rows, alone=True))
+    for block in (1, 7, 64, 5000):
+        assert told(sequence.capacity_windows(rows, "k", ["i"], "n", most, most_rows, alone=True, block=block)) == want
+
+
+def test_blocks_of_one_key_are_tasks_of_their_own(spark):
+    rows = spark.range(40_000).select(F.lit("one").alias("k"), F.col("id").alias("i"), (F.col("id") % 7).alias("n"))
+    got = sequence.capacity_windows(rows, "k", ["i"], "n", 50, block=1000)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = got.groupBy(F.spark_partition_id().alias("p")).count().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert parts > 1
+    with pytest.raises(Exception, match="exceeds"):
+        sequence.capacity_windows(rows, "k", ["i"], "n", 3, block=1000).collect()
+
+
 def rendered(rows):
     lines, last, held = [], None, []
     for r, t in rows:
@@ -329,7 +355,6 @@ def test_report(spark, tmp_path):
 
 
 def test_two_levels_equal_plain_windows(spark):
-    import random
 
     r = random.Random(3)
     rows = [(k, i, r.randrange(1, 9), r.choice(["a", "b", None])) for k, n in (("x", 40), ("y", 3), ("z", 1), (None, 25)) for i in range(n)]
