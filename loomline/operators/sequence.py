@@ -232,14 +232,14 @@ def depth(df: DataFrame, order: str, block: int = BLOCK) -> int | None:
     return None if df.filter(F.col(order) >= block).isEmpty() else block
 
 
-def _blocks(df: DataFrame, key: list[str], order: str, block: int | None) -> tuple[DataFrame, WindowSpec]:
+def blocks_of(df: DataFrame, key: list[str], order: str, block: int | None) -> tuple[DataFrame, WindowSpec]:
     """df with __block, and the window of a block's rows in order; without blocks, the window of a key's rows."""
     if block is None:
         return df, Window.partitionBy(*key).orderBy(order)
     return df.withColumn("__block", F.floor(F.col(order) / block)), Window.partitionBy(*key, "__block").orderBy(order)
 
 
-def _over_blocks(parts: DataFrame, totals: Callable[[], DataFrame], key: list[str], carried: Callable[[WindowSpec], dict[str, Column]], block: int | None) -> DataFrame:
+def over_blocks(parts: DataFrame, totals: Callable[[], DataFrame], key: list[str], carried: Callable[[WindowSpec], dict[str, Column]], block: int | None) -> DataFrame:
     """parts with what their block gets from its key's other blocks: carried(window of blocks in order) of totals(), one row a block.
 
     Null for keys of one block: these, which are nearly all, are not joined, so that the other side stays small.
@@ -257,14 +257,14 @@ def _over_blocks(parts: DataFrame, totals: Callable[[], DataFrame], key: list[st
     return parts.join(side, same, "left").drop(*[f"__at{i}" for i in range(len(at))])
 
 
-def _before(w: WindowSpec) -> WindowSpec:
+def before(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, -1)
 
 
 def islands(df: DataFrame, key: str | list[str], order: str, *changes: str, block: int | None = BLOCK) -> DataFrame:
     """island from 0: a new one where any of the columns differs from the row before."""
     key = _columns(key)
-    parts, w = _blocks(df, key, order, block)
+    parts, w = blocks_of(df, key, order, block)
     row = F.struct(*changes)
 
     def marked(rows):
@@ -278,9 +278,9 @@ def islands(df: DataFrame, key: str | list[str], order: str, *changes: str, bloc
 
     def carried(v):
         ended = F.lag("__last").over(v)
-        return {"__start": F.when(ended.isNull() | F.col("__first").eqNullSafe(ended), 0).otherwise(1), "__sum": F.col("__total") + F.col("__start"), "__base": F.coalesce(F.sum("__sum").over(_before(v)), F.lit(0)) + F.col("__start")}
+        return {"__start": F.when(ended.isNull() | F.col("__first").eqNullSafe(ended), 0).otherwise(1), "__sum": F.col("__total") + F.col("__start"), "__base": F.coalesce(F.sum("__sum").over(before(v)), F.lit(0)) + F.col("__start")}
 
-    rows = marked(_over_blocks(parts, totals, key, carried, block))
+    rows = marked(over_blocks(parts, totals, key, carried, block))
     island = F.coalesce("__base", F.lit(0)) + F.sum("__new").over(w)
     return rows.withColumn("island", island.cast("long")).drop("__new", "__block", "__start", "__sum", "__base")
 
@@ -298,7 +298,7 @@ def _cumulated(df: DataFrame, key: list[str], order: str, values: dict[str, Colu
 
     Null where there is nothing to add up.
     """
-    parts, w = _blocks(df, key, order, block)
+    parts, w = blocks_of(df, key, order, block)
 
     def totals():
         return parts.groupBy(*key, "__block").agg(*[F.sum(v).alias(f"__{n}_total") for n, v in values.items()])
@@ -306,13 +306,13 @@ def _cumulated(df: DataFrame, key: list[str], order: str, values: dict[str, Colu
     def carried(v):
         out = {}
         for n in values:
-            out |= {f"__{n}_earlier": F.sum(f"__{n}_total").over(_before(v)), f"__{n}_key": F.sum(f"__{n}_total").over(Window.partitionBy(*key))}
+            out |= {f"__{n}_earlier": F.sum(f"__{n}_total").over(before(v)), f"__{n}_key": F.sum(f"__{n}_total").over(Window.partitionBy(*key))}
         return out
 
-    rows = _over_blocks(parts, totals, key, carried, block)
+    rows = over_blocks(parts, totals, key, carried, block)
     every = Window.partitionBy(*key) if block is None else Window.partitionBy(*key, "__block")
     for n, v in values.items():
-        inside = F.sum(v).over(_before(w))
+        inside = F.sum(v).over(before(w))
         rows = rows.withColumn(f"{n}_before", F.coalesce(F.col(f"__{n}_earlier") + inside, f"__{n}_earlier", inside))
         rows = rows.withColumn(f"{n}_all", F.coalesce(f"__{n}_key", F.sum(v).over(every))).drop(f"__{n}_earlier", f"__{n}_key")
     return rows
@@ -330,7 +330,7 @@ def timeline(df: DataFrame, key: str | list[str], order: str, samples: str, rate
     The pause is inner_pause_ms where the next row has the same group. Milliseconds are rounded half to even in whole numbers.
     """
     key = _columns(key)
-    parts, w = _blocks(df, key, order, block)
+    parts, w = blocks_of(df, key, order, block)
     long, short = rate * pause_ms // 1000, rate * (inner_pause_ms or 0) // 1000
 
     def pause(here, after):
@@ -351,10 +351,10 @@ def timeline(df: DataFrame, key: str | list[str], order: str, samples: str, rate
     def carried(v):
         after = F.lead("__first").over(v)
         tail = F.when(after.isNull(), 0).otherwise(pause(F.col("__last.g"), after["g"]))
-        return {"__step": F.coalesce("__total", F.lit(0)) + tail, "__base": F.sum("__step").over(_before(v))}
+        return {"__step": F.coalesce("__total", F.lit(0)) + tail, "__base": F.sum("__step").over(before(v))}
 
-    rows = paused(_over_blocks(parts, totals, key, carried, block))
-    inside = F.sum(F.col(samples) + F.col("__pause")).over(_before(w))
+    rows = paused(over_blocks(parts, totals, key, carried, block))
+    inside = F.sum(F.col(samples) + F.col("__pause")).over(before(w))
     start = F.coalesce("__base", F.lit(0)) + F.coalesce(inside, F.lit(0))
     rows = rows.withColumn("__start", start)
     return rows.withColumns({"start_ms": half_even(F.col("__start") * 1000, rate), "end_ms": half_even((F.col("__start") + F.col(samples)) * 1000, rate)}).drop("__pause", "__start", "__step", "__base", "__block")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import HEADING, QUOTE, sentences, title
+from ..functions.text import HEADING, QUOTE, SPACES, sentences, title
+from .sequence import BLOCK, before, blocks_of, over_blocks, running_sum
 
 WHITE = " \t\n\x0b\f\r"
 
@@ -87,65 +88,84 @@ def titles(df: DataFrame, key: str, text: str, stem: str = "document_%s") -> Dat
     return df.select(key, title(F.col(text), F.format_string(stem, F.col(key).cast("string"))).alias("title"))
 
 
-PAIRS = {'"': '"', "“": "”"}
+#: Quotes of a sentence that begins outside of one: a mark is closed by its own kind, or runs on; and of one that began inside, where any closing mark ends a quote.
+OUTSIDE, INSIDE = r'"[^"]*(?:"|\z)|“[^”]*(?:”|\z)', r'["“][^"”]*(?:["”]|\z)'
+TAIL = r'\A[^"”]*["”]?'
 
 
-def quote_fragments(text: str, inside: bool) -> tuple[list[tuple[str, bool]], bool]:
-    """Fragments of a sentence and whether each is a quote; inside: the sentence begins in an open quote, which any closing mark ends."""
-    out, held, quoted, close = [], "", inside, ""
-    for c in text:
-        if not quoted and c in PAIRS:
-            out.append((held.strip(), False))
-            held, quoted, close = c, True, PAIRS[c]
-            continue
-        held += c
-        if quoted and (c == close or inside and c in '"”'):
-            out.append((held.strip(), True))
-            held, quoted, close = "", False, ""
-    out.append((held.strip(), quoted))
-    return [f for f in out if f[0]], quoted
+def _open_after(c: Column) -> tuple[Column, Column]:
+    """Whether a quote is open after a sentence that begins outside, and after one that begins inside a quote: its transition."""
+    out = F.regexp_like(F.regexp_replace(c, r'"[^"]*"|“[^”]*”', ""), F.lit('["“]'))
+    rest = F.regexp_replace(c, TAIL, "")
+    ended = F.regexp_like(c, F.lit('["”]'))
+    return out, ~ended | F.regexp_like(F.regexp_replace(rest, r'["“][^"”]*["”]', ""), F.lit('["“]'))
 
 
-def role_units(fragments: list[tuple[str, bool]]) -> list[str]:
-    """One unit per quote: narration before the first quote joins it, later narration joins the unit before."""
-    if not any(q for _, q in fragments):
-        whole = " ".join(t for t, _ in fragments)
-        return [whole] if whole else []
-    units: list[str] = []
-    ahead = ""
-    for t, q in fragments:
-        if q:
-            units.append(f"{ahead} {t}".strip())
-            ahead = ""
-        elif units:
-            units[-1] += f" {t}"
-        else:
-            ahead = f"{ahead} {t}".strip()
-    return units
+def open_before(df: DataFrame, key: str, order: str, text: str, name: str, block: int | None = None) -> DataFrame:
+    """name: whether a quote is open where each text begins, carried along the order of its key from closed at the start.
 
-
-def role_unit_rows(df: DataFrame, key: str, idx: str, sentence: str) -> DataFrame:
-    """key, idx, part, unit: sentences in order split into role units; an open quote goes on into the next sentence."""
-    from .sequence import ordered_fold
-
-    def start():
-        inside = False
-
-        def step(text):
-            nonlocal inside
-            fragments, inside = quote_fragments(text or "", inside)
-            return (role_units(fragments),)
-
-        return step
-
-    folded = ordered_fold(df.select(key, idx, sentence), key, [idx], start, [sentence], {"units": ("array<string>", pa.list_(pa.string()))})
-    return folded.select(key, idx, F.posexplode("units").alias("part", "unit")).withColumn("part", F.col("part").cast("long"))
+    A text is a transition of two states: it sets the state, keeps it, or turns it over. Such steps compose, so the state before a row is what the last setting row
+    left, turned over once for each turning row since. Blocks compose in the same way: order is a whole number, and keys longer than block are
+    spread over their blocks.
+    """
+    key_columns = [key]
+    c = F.coalesce(text, F.lit(""))
+    out, inside = _open_after(c)
+    rows = df.withColumns({"__o": out, "__i": inside})
+    rows = rows.withColumns({"__turn": (F.col("__o") & ~F.col("__i")).cast("int"), "__set": F.when(F.col("__o") == F.col("__i"), F.col("__o"))}).drop("__o", "__i")
+    parts, w = blocks_of(rows, key_columns, order, block)
+    turns = F.sum("__turn").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    parts = parts.withColumn("__turns", turns)
+    mark = lambda: F.when(F.col("__set").isNotNull(), F.struct(F.col("__set").alias("v"), F.col("__turns").alias("t")))
+
+    def totals():
+        """A block as one step: what it sets, or how often it turns."""
+        return parts.groupBy(*key_columns, "__block").agg(F.max_by(mark(), F.when(F.col("__set").isNotNull(), F.col(order))).alias("__m"), F.sum("__turn").alias("__n")).select(*key_columns, "__block", (F.col("__m.v") != ((F.col("__n") - F.col("__m.t")) % 2 == 1)).alias("__sets"), "__n")
+
+    def carried(v):
+        earlier = before(v)
+        return {
+            "__n_cum": F.sum("__n").over(v.rowsBetween(Window.unboundedPreceding, 0)),
+            "__last": F.last(F.when(F.col("__sets").isNotNull(), F.struct(F.col("__sets").alias("v"), F.col("__n_cum").alias("t"))), ignorenulls=True).over(earlier),
+            "__entry": F.coalesce(F.col("__last.v") != ((F.lag("__n_cum").over(v) - F.col("__last.t")) % 2 == 1), F.coalesce(F.lag("__n_cum").over(v), F.lit(0)) % 2 == 1),
+        }
+
+    met = over_blocks(parts, totals, key_columns, carried, block)
+    last = F.last(mark(), ignorenulls=True).over(before(w))
+    met = met.withColumn("__here", last).withColumn("__turned", F.coalesce(F.col("__turns") - F.col("__turn"), F.lit(0)))
+    state = F.when(F.col("__here").isNotNull(), F.col("__here.v") != ((F.col("__turned") - F.col("__here.t")) % 2 == 1)).otherwise(F.coalesce(F.col("__entry").cast("boolean"), F.lit(False)) != (F.col("__turned") % 2 == 1))
+    return met.withColumn(name, state).select(*df.columns, name)
+
+
+def role_units(text: Column, inside: Column) -> Column:
+    """The units of a sentence, one for each quote: narration before the first quote joins it, later narration joins the unit before.
+
+    inside: whether the sentence begins in an open quote. Blank parts drop out; a sentence without quotes is one unit.
+    """
+    clean = lambda c: F.regexp_replace(c, rf"\A{SPACES}|{SPACES}\z", "")
+    said = F.coalesce(text, F.lit(""))
+    head = clean(F.when(inside, F.regexp_extract(said, TAIL, 0)).otherwise(""))
+    rest = F.when(inside, F.regexp_replace(said, TAIL, "")).otherwise(said)
+    quotes = F.when(inside, F.regexp_extract_all(rest, F.lit(INSIDE), F.lit(0))).otherwise(F.regexp_extract_all(rest, F.lit(OUTSIDE), F.lit(0)))
+    between = F.transform(F.when(inside, F.split(rest, INSIDE, -1)).otherwise(F.split(rest, OUTSIDE, -1)), clean)
+    joined = lambda *parts: F.array_join(F.filter(F.array(*parts), lambda x: x != ""), " ")
+    first = F.element_at(between, 1)
+    units = F.transform(quotes, lambda q, i: joined(F.when((i == 0) & (head == ""), first).otherwise(""), clean(q), F.element_at(between, i.cast("int") + 2)))
+    led = F.when(head != "", F.array(joined(head, first))).when(F.size(quotes) == 0, F.array(first)).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.concat(led, units), lambda u: u != "")
+
+
+def role_unit_rows(df: DataFrame, key: str, idx: str, sentence: str, block: int = BLOCK) -> DataFrame:
+    """key, idx, part, unit: sentences in order split into role units; an open quote goes on into the next sentence.
+
+    Null and blank sentences have no units. idx: a whole number, one for each row of a key; keys of any length are spread over blocks of so many of its values.
+    """
+    told = open_before(df.select(key, idx, sentence), key, idx, sentence, "__inside", block)
+    return told.select(key, idx, F.posexplode(role_units(F.col(sentence), F.col("__inside"))).alias("part", "unit")).withColumn("part", F.col("part").cast("long"))
 
 
 def stitched(df: DataFrame, key: str, group: str, text: str) -> DataFrame:
     """Offsets of texts laid end to end in their group, each after a marker line, two line breaks between them."""
-    from .sequence import running_sum
-
     marker = F.length(F.concat(F.lit("["), F.col(key).cast("string"), F.lit("]\n")))
     sized = df.select(group, key, marker.cast("long").alias("marker"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("size"))
     laid = running_sum(sized.withColumn("step", F.col("marker") + F.col("size") + 2), group, key, "step", "marker_start")

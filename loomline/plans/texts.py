@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import sequence as S
 from ..operators import spans as P
-from .base import Plan, name_key, reader, slug, squeezed
+from .base import SPACES_SQL, Plan, name_key, reader, slug, squeezed
 
 PLAN = Plan()
 query, QUERIES, SQL = PLAN.query, PLAN.QUERIES, PLAN.SQL
@@ -106,11 +106,33 @@ def marked_text(spark, sf_dir):
     return P.marked(documents(spark, sf_dir), "doc_id", "text")
 
 
-@query("role_units")
+def _units_sql(sentence: str) -> str:
+    """Role units by a recursion over the sentences of each document, which hands on whether a quote is open."""
+    clean = lambda x: f"regexp_replace({x}, '^' || {SPACES_SQL} || '|' || {SPACES_SQL} || '$', '', 'g')"
+    out, inside, tail = """'"[^"]*(?:"|$)|“[^”]*(?:”|$)'""", """'["“][^"”]*(?:["”]|$)'""", """'^[^"”]*["”]?'"""
+    return f"""WITH RECURSIVE {SENTENCES_SQL}, n AS (SELECT doc_id, idx, {sentence} AS t, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS rn FROM s),
+f AS (SELECT doc_id, rn, idx, t, false AS inside FROM n WHERE rn = 1
+UNION ALL SELECT n.doc_id, n.rn, n.idx, n.t, CASE WHEN f.inside THEN NOT regexp_matches(f.t, '["”]') OR regexp_matches(regexp_replace(regexp_replace(f.t, {tail}, ''), '["“][^"”]*["”]', '', 'g'), '["“]') ELSE regexp_matches(regexp_replace(f.t, '"[^"]*"|“[^”]*”', '', 'g'), '["“]') END
+FROM f JOIN n ON n.doc_id = f.doc_id AND n.rn = f.rn + 1),
+h AS (SELECT doc_id, idx, inside, CASE WHEN inside THEN {clean(f"regexp_extract(t, {tail})")} ELSE '' END AS head, CASE WHEN inside THEN regexp_replace(t, {tail}, '') ELSE t END AS rest FROM f),
+q AS (SELECT doc_id, idx, head, CASE WHEN inside THEN regexp_extract_all(rest, {inside}) ELSE regexp_extract_all(rest, {out}) END AS qs, string_split(CASE WHEN inside THEN regexp_replace(rest, {inside}, chr(30), 'g') ELSE regexp_replace(rest, {out}, chr(30), 'g') END, chr(30)) AS bs FROM h),
+p AS (SELECT doc_id, idx, head, qs, list_transform(bs, lambda b: {clean('b')}) AS bs FROM q),
+u AS (SELECT doc_id, idx, list_filter([CASE WHEN head <> '' THEN trim(head || ' ' || bs[1]) WHEN len(qs) = 0 THEN bs[1] ELSE '' END] || list_transform(range(1, len(qs) + 1), lambda i: trim(CASE WHEN i = 1 AND head = '' THEN bs[1] || ' ' ELSE '' END || {clean('qs[i]')} || ' ' || bs[i + 1])), lambda x: x <> '') AS units FROM p)
+SELECT doc_id, idx, unnest(range(len(units))) AS part, unnest(units) AS unit FROM u"""
+
+
+@query("role_units", _units_sql("sentence"))
 def role_units(spark, sf_dir):
     return P.role_unit_rows(P.sentence_rows(documents(spark, sf_dir), "doc_id", "text"), "doc_id", "idx", "sentence")
 
 
+@query("quoted_units", _units_sql("translate(sentence, 'kvwz', '“”\"\"')"))
+def quoted_units(spark, sf_dir):
+    """The same where rare letters are taken for marks, so that quotes open, run on over sentences and close in every way."""
+    rows = P.sentence_rows(documents(spark, sf_dir), "doc_id", "text")
+    return P.role_unit_rows(rows.withColumn("sentence", F.translate("sentence", "kvwz", "“”\"\"")), "doc_id", "idx", "sentence")
+
+
 @query("chapter_split", r"""WITH b AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM documents),
 s AS (SELECT doc_id, unnest([1, 2]) AS k, body FROM b WHERE length(body) >= 20 AND NOT regexp_matches(body, '(?im)^\s*(?:chapter\s+(?:[0-9]+|[ivxlcdm]+|[a-z]+)|prologue|epilogue|part\s+[ivxlcdm]+)\s*$'))
 SELECT doc_id, printf('chapter_%03d', k) AS chapter, sha256(CASE k WHEN 1 THEN body ELSE 'Again: ' || body END || chr(10)) AS body_sha256 FROM s""")

@@ -76,6 +76,43 @@ def test_quotes_match_a_state_machine(spark):
     assert [got.get(i, []) for i in range(len(cases))] == [scan(t) for t in cases]
 
 
+PAIRS = {'"': '"', "“": "”"}
+
+
+def quote_fragments(text: str, inside: bool) -> tuple[list[tuple[str, bool]], bool]:
+    """Letter by letter: fragments of a sentence and whether each is a quote; inside: the sentence begins in an open quote, which any closing mark ends."""
+    out, held, quoted, close = [], "", inside, ""
+    for c in text:
+        if not quoted and c in PAIRS:
+            out.append((held.strip(), False))
+            held, quoted, close = c, True, PAIRS[c]
+            continue
+        held += c
+        if quoted and (c == close or inside and c in '"”'):
+            out.append((held.strip(), True))
+            held, quoted, close = "", False, ""
+    out.append((held.strip(), quoted))
+    return [f for f in out if f[0]], quoted
+
+
+def plain_units(fragments: list[tuple[str, bool]]) -> list[str]:
+    """One unit per quote: narration before the first quote joins it, later narration joins the unit before."""
+    if not any(q for _, q in fragments):
+        whole = " ".join(t for t, _ in fragments)
+        return [whole] if whole else []
+    units: list[str] = []
+    ahead = ""
+    for t, q in fragments:
+        if q:
+            units.append(f"{ahead} {t}".strip())
+            ahead = ""
+        elif units:
+            units[-1] += f" {t}"
+        else:
+            ahead = f"{ahead} {t}".strip()
+    return units
+
+
 @pytest.mark.parametrize(
     "text, units",
     [
@@ -84,8 +121,23 @@ def test_quotes_match_a_state_machine(spark):
         ('Marek asked, "Is that rope new?" "Spliced last week." Odo tied it off.', ['Marek asked, "Is that rope new?"', '"Spliced last week." Odo tied it off.']),
     ],
 )
-def test_role_units(text, units):
-    assert spans.role_units(spans.quote_fragments(text, False)[0]) == units
+def test_role_units(spark, text, units):
+    rows = spark.createDataFrame([("a", 0, text)], "k string, i long, s string")
+    assert [r.unit for r in spans.role_unit_rows(rows, "k", "i", "s").orderBy("part").collect()] == units
+
+
+@pytest.mark.parametrize("block", [3, 50, 10_000])
+def test_role_units_equal_a_scan_letter_by_letter(spark, block):
+    r = random.Random(block)
+    texts = [None, "", " ", '"', "”", *("".join(r.choices(["“", "”", '"', "a", "b ", " ", "\u00a0", "c."], [1, 1, 1, 4, 4, 2, 1, 2], k=r.randint(0, 9))) for _ in range(600))]
+    r.shuffle(texts)
+    data = [("ab"[i % 5 == 0], i, t) for i, t in enumerate(texts)] + [(None, i, t) for i, t in enumerate(texts[:80])]
+    want, state = [], {}
+    for k, i, t in data:
+        fragments, state[k] = quote_fragments(t or "", state.get(k, False))
+        want += [(k, i, part, u) for part, u in enumerate(plain_units(fragments))]
+    got = spans.role_unit_rows(spark.createDataFrame(data, "k string, i long, s string").repartition(3), "k", "i", "s", block)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
 def test_open_quotes_go_on(spark):
