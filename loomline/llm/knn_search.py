@@ -9,7 +9,8 @@ into parts, so one cell may hold most of the data and a task holds a block and a
 in high dimensions at random, the bounds leave out no cell and every query meets every block; the query set is a stated one.
 
 Vectors that are null, or hold null or non-finite components, and rows with a null id take no part. Shorter vectors count
-as zero beyond their end. Rows of one id count as one row: the least vector of them. A query's own row is no candidate of
+as zero beyond their end. Rows count, not ids: each row is a candidate, and where several rows share an id that is asked for, each
+of them is a query with ranks of its own, and the others are candidates of it. Only a query's own row is no candidate of
 it; queries without candidates return nothing. Ids that are texts count as their whole numbers, others take no part. Scores that
 doubles cannot hold exactly are worked out in whole numbers; one that needs more than 64 bits is an error. Vectors of any
 length are used whole; equal scores rank by smaller id. Other columns are not read.
@@ -27,6 +28,8 @@ from ._shared import lean, materialise, table
 K, SCALE, QUERY_STEP = 5, 256, 50
 #: The most pivots, and about how many vectors and how many queries meet in one place.
 PIVOTS, BLOCK, QUERIES = 64, 1 << 16, 1 << 15
+#: Queries that are routed at once, and rows of a batch of routed ones.
+ROUTED, COPIES = 256, 1 << 13
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -51,7 +54,7 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def quantised(df: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id and v, the whole-numbered vector, of the rows that take part."""
+    """vec_id, v (the whole-numbered vector) and row (a number of its own) of the rows that take part."""
     x = F.transform(vector_col, lambda c: c.cast("double"))
     ok = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     # doubles from 2 ** 52 on are whole numbers already
@@ -59,7 +62,7 @@ def quantised(df: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFr
     if df.schema[id_col].dataType.simpleString() == "string":
         df = df.withColumn(id_col, F.col(id_col).try_cast("long"))
         ok = F.col(id_col).isNotNull() & ok
-    return df.filter(ok).select(F.col(id_col).alias("vec_id"), whole.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return df.filter(ok).select(F.col(id_col).alias("vec_id"), whole.alias("v"), F.monotonically_increasing_id().alias("row"))
 
 
 def top_k(df: DataFrame, k: int = K, query_step: int = QUERY_STEP, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
@@ -81,9 +84,9 @@ def top_k(df: DataFrame, k: int = K, query_step: int = QUERY_STEP, scale: int =
             far = np.maximum((x * x).sum(1)[:, None] - 2 * (x @ p.T) + (p * p).sum(1)[None, :], 0)
             cell = far.argmin(1)
             d = np.sqrt(((x - p[cell]) ** 2).sum(1))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(cell, pa.int32()), pa.array(d * (1 + 1e-9) + 1e-6)], names=["vec_id", "v", "cell", "d"])
+            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(cell, pa.int32()), pa.array(d * (1 + 1e-9) + 1e-6)], names=["vec_id", "v", "row", "cell", "d"])
 
-    celled, _ = materialise(data.select("vec_id", "v").mapInArrow(lean(assign), f"vec_id {ids}, v array<double>, cell int, d double"), "cells")
+    celled, _ = materialise(data.select("vec_id", "v", "row").mapInArrow(lean(assign), f"vec_id {ids}, v array<double>, row long, cell int, d double"), "cells")
 
     def summarise(batches):
         found: dict[int, list] = {}
@@ -104,50 +107,73 @@ def top_k(df: DataFrame, k: int = K, query_step: int = QUERY_STEP, scale: int =
     low_cell = np.repeat(np.arange(len(cells)), [len(c["near"]) for c in cells])
     low_d = np.array([d for c in cells for d in c["near"]])
 
+    def near_blocks(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The blocks of every cell that may hold one of a query's best: query, cell, block."""
+        norm = np.sqrt((q * q).sum(1)) * (1 + 1e-9)
+        at_pivot = q @ p[number].T
+        least = np.sort(at_pivot[:, low_cell] - norm[:, None] * low_d[None, :], axis=1)
+        # the k + 1 best of known rows reach this; one of them may be the query itself
+        sure = least[:, -(k + 1)] if least.shape[1] > k else np.full(len(q), -np.inf)
+        reach = at_pivot + norm[:, None] * far[None, :]
+        row, at = np.nonzero(reach >= (sure - 1e-6 * (1 + np.abs(sure)))[:, None])
+        times = several[at]
+        return np.repeat(row, times), np.repeat(number[at], times), np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+
     def route(batches):
+        """Each query once for each block; a batch that leaves holds a bounded number of rows."""
         for b in batches:
-            q = matrix(b.column(1), width)
-            norm = np.sqrt((q * q).sum(1)) * (1 + 1e-9)
-            at_pivot = q @ p[number].T
-            least = np.sort(at_pivot[:, low_cell] - norm[:, None] * low_d[None, :], axis=1)
-            # the k + 1 best of known rows reach this; one of them may be the query itself
-            sure = least[:, -(k + 1)] if least.shape[1] > k else np.full(len(q), -np.inf)
-            reach = at_pivot + norm[:, None] * far[None, :]
-            row, cell = np.nonzero(reach >= (sure - 1e-6 * (1 + np.abs(sure)))[:, None])
-            names = number[cell].tolist()
-            row = np.repeat(row, [blocks[c] for c in names])
-            yield pa.record_batch(
-                [b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array([c for c in names for _ in range(blocks[c])], pa.int32()), pa.array([i for c in names for i in range(blocks[c])], pa.int32())],
-                names=["query_id", "q", "cell", "block"],
-            )
-
+            for lo in range(0, b.num_rows, ROUTED):
+                own = b.slice(lo, ROUTED)
+                row, cell, at = near_blocks(matrix(own.column(1), width))
+                for s in range(0, len(row), COPIES):
+                    some = pa.array(row[s : s + COPIES])
+                    yield pa.record_batch([*(own.column(c).take(some) for c in range(4)), pa.array(cell[s : s + COPIES], pa.int32()), pa.array(at[s : s + COPIES], pa.int32())], names=["query_id", "q", "asker", "part", "cell", "block"])
+
+    def wanted(batches):
+        """Which blocks the queries of a part go to, without the queries."""
+        seen: set[tuple[int, int, int]] = set()
+        for b in batches:
+            for lo in range(0, b.num_rows, ROUTED):
+                own = b.slice(lo, ROUTED)
+                row, cell, at = near_blocks(matrix(own.column(1), width))
+                seen.update(zip(cell.tolist(), at.tolist(), own.column(3).to_numpy()[row].tolist()))
+            yield pa.record_batch([pa.array([x[i] for x in seen], pa.int32()) for i in range(3)], names=["cell", "block", "part"])
+            seen = set()
+
+    several = np.array([blocks[c["cell"]] for c in cells], np.int64)
     split = F.create_map(*[F.lit(x) for c in blocks.items() for x in c]) if blocks else F.create_map(F.lit(0), F.lit(1))
     asks = data.filter(F.col("vec_id") % query_step == 0)
     parts = 1 + asks.count() // queries  # queries are split too: every block meets each part of them by itself
-    held = celled.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id"), split[F.col("cell")]).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    asked = asks.select("vec_id", "v").mapInArrow(lean(route), f"query_id {ids}, q array<double>, cell int, block int").withColumn("part", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(parts)).cast("int"))
+    asks = asks.select("vec_id", "v", "row", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(parts)).cast("int").alias("part"))
+    met = asks.mapInArrow(lean(wanted), "cell int, block int, part int").distinct()
+    rows = celled.select("vec_id", "v", "row", "cell", F.pmod(F.xxhash64("row"), split[F.col("cell")]).cast("int").alias("block"))
+    held = rows.join(met, ["cell", "block"])  # a block goes only to the parts that ask for it
+    asked = asks.mapInArrow(lean(route), f"query_id {ids}, q array<double>, asker long, part int, cell int, block int")
 
     def solve(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        qid, vid = queries["query_id"].to_numpy(), rows["vec_id"].to_numpy()
-        q = matrix(queries["q"].combine_chunks(), width) if len(qid) else np.zeros((0, width))
+        asker, vid, row = queries["asker"].to_numpy(), rows["vec_id"].to_numpy(), rows["row"].to_numpy()
+        q = matrix(queries["q"].combine_chunks(), width) if len(asker) else np.zeros((0, width))
         order = np.argsort(vid, kind="stable")
-        vid = vid[order]
+        vid, row = vid[order], row[order]
         x = (matrix(rows["v"].combine_chunks(), width) if len(vid) else np.zeros((0, width)))[order]
-        out = []
-        for lo in range(0, len(qid), 256):
+        of, found, scores = [], [], []
+        for lo in range(0, len(asker), 256):
             score = products(q[lo : lo + 256], x)
             for i, own in enumerate(score):
-                others = np.flatnonzero(vid != qid[lo + i])
+                others = np.flatnonzero(row != asker[lo + i])
                 s = own[others]
                 if len(s) > k:
                     cut = np.partition(s, -k)[-k]
                     others, s = others[s >= cut], s[s >= cut]
                 best = np.lexsort((vid[others], -s))[:k]
-                out += [(qid[lo + i], vid[others[j]], s[j]) for j in best]
-        return pa.table({"query_id": pa.array([x[0] for x in out], queries.schema.field("query_id").type), "vec_id": pa.array([x[1] for x in out], rows.schema.field("vec_id").type), "score": pa.array([int(x[2]) for x in out], pa.int64())})
-
-    local = asked.groupBy("cell", "block", "part").cogroup(held.groupBy("cell", "block", "part")).applyInArrow(lean(solve), f"query_id {ids}, vec_id {ids}, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                of += [lo + i] * len(best)
+                found += vid[others[best]].tolist()
+                scores += s[best].tolist()
+        of = pa.array(of, pa.int64())
+        return pa.table({"query_id": queries["query_id"].take(of), "asker": queries["asker"].take(of), "vec_id": pa.array(found, rows.schema.field("vec_id").type), "score": pa.array(scores, pa.int64())})
+
+    local = asked.groupBy("cell", "block", "part").cogroup(held.groupBy("cell", "block", "part")).applyInArrow(lean(solve), f"query_id {ids}, asker long, vec_id {ids}, score long")
+    best = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -157,9 +183,9 @@ def op6_knn_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) AS score FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+s AS (SELECT q.row AS asker, q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) AS score FROM v AS q JOIN v ON q.row <> v.row WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY asker ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score::BIGINT AS score FROM r WHERE rank <= 5
 """

@@ -271,14 +271,14 @@ def test_held_out_rows_are_the_contracts(spark):
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in np.round(rng.normal(size=4), 1)]) for i in range(120)]
-    rows += [(120 + i, [0.5, 0.5, 0.5, 0.5]) for i in range(40)] + [(500, None), (501, [1.0, None, 0.0, 0.0]), (502, [float("nan")] * 4), (503, [float("inf"), 0.0, 0.0, 0.0]), (None, [1.0] * 4), (504, []), (505, [2.0]), (5, rows[5][1])]
+    rows += [(120 + i, [0.5, 0.5, 0.5, 0.5]) for i in range(40)] + [(500, None), (501, [1.0, None, 0.0, 0.0]), (502, [float("nan")] * 4), (503, [float("inf"), 0.0, 0.0, 0.0]), (None, [1.0] * 4), (504, []), (505, [2.0]), (5, rows[5][1]), (5, [1.0, -1.0, 2.0, 0.0]), (60, rows[60][1]), (60, rows[61][1])]
     frame = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, cell int, block int").repartition(4)
-    good = {i: np.floor(256 * np.array(v, np.float32).astype(float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()}
+    good = [(i, np.floor(256 * np.array(v, np.float32).astype(float))) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
     pad = lambda v: np.concatenate([v, np.zeros(4 - len(v))])
     want = []
-    for q in good:
+    for own, (q, x) in enumerate(good):
         if q % 10 == 0:
-            best = sorted(((-int(pad(good[q]) @ pad(v)), i) for i, v in good.items() if i != q))[:5]
+            best = sorted((-int(pad(x) @ pad(v)), i) for row, (i, v) in enumerate(good) if row != own)[:5]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     got = knn_search.top_k(frame, query_step=10, pivots=8, block=16)
     assert bag(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
@@ -289,6 +289,30 @@ def test_top_k(spark):
     assert bag(knn_search.top_k(frame, query_step=10, pivots=8, block=16, queries=3), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
 
 
+def test_top_k_of_repeated_ids_equals_sql(spark):
+    import duckdb
+
+    rng = np.random.default_rng(9)
+    rows = [(i % 70, [float(x) for x in rng.normal(size=6)]) for i in range(300)] + [(1, [9.0] * 6), (1, [-9.0] * 6), (50, [1.0] * 6), (50, [1.0] * 6)]
+    con = duckdb.connect()
+    con.execute("create table embeddings (vec_id bigint, embedding double[])")
+    con.executemany("insert into embeddings values (?, ?)", rows)
+    got = knn_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=20, queries=4)
+    assert bag(got, "query_id", "rank", "vec_id", "score") == sorted(con.execute(knn_search.SQL).fetchall(), key=repr)
+
+
+def test_batches_of_routed_queries_are_bounded(spark, monkeypatch):
+    """Queries that go to every block leave in batches of few rows."""
+    monkeypatch.setattr(knn_search, "COPIES", 7)
+    monkeypatch.setattr(knn_search, "ROUTED", 3)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(150)]
+    good = [(i, np.floor(256 * np.array(v))) for i, v in rows]
+    want = [(q, k + 1, i, -s) for q, x in good if q % 50 == 0 for k, (s, i) in enumerate(sorted((-int(x @ v), i) for i, v in good if i != q)[:5])]
+    got = knn_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=10)
+    assert bag(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+
+
 def test_top_k_of_text_ids_and_clusters(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(str(i), [float(x) for x in 8 * np.eye(8)[i % 8] + rng.normal(scale=0.1, size=8)]) for i in range(400)] + [("no number", [1.0] * 8)]
