@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.keyed import last_rows
+
 # What can be done with a book in a state: action, label, and whether it opens.
 ACTIONS = {
     "fresh_added": ("initialize", "Initialize Book", False),
@@ -70,9 +72,10 @@ def sorted_books(books: DataFrame) -> DataFrame:
     return books.orderBy(F.lower("title"), F.lower("slug"))
 
 
-def upserted(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
-    """stored with the rows of fresh in place of those of the same key."""
-    return stored.join(fresh.select(key), key, "left_anti").select(*fresh.columns).unionByName(fresh)
+def upserted(stored: DataFrame, fresh: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """stored with the rows of fresh in place of those of the same key. Repeated keys of fresh leave their last row by order, else the greatest."""
+    new = last_rows(fresh, key, order)
+    return stored.join(new.select(key), key, "left_anti").select(*fresh.columns).unionByName(new)
 
 
 def removed(stored: DataFrame, gone: DataFrame, key: str) -> DataFrame:
@@ -88,8 +91,8 @@ def invalidated(artifacts: DataFrame, changed: DataFrame, key: str, kind: str, d
 
 
 def initialised(stored: DataFrame, books: DataFrame, key: str, default: DataFrame) -> DataFrame:
-    """stored with default's row for every book that has none."""
-    return stored.unionByName(default.join(books.select(key), key, "left_semi").join(stored.select(key), key, "left_anti"))
+    """stored with default's row for every book that has none; of several, the greatest."""
+    return stored.unionByName(last_rows(default, key).join(books.select(key), key, "left_semi").join(stored.select(key), key, "left_anti"))
 
 
 def resolved_titles(books: DataFrame, registry: DataFrame, library: DataFrame, root: str = "book_root", slug: str = "slug") -> DataFrame:

@@ -27,6 +27,9 @@ def drain(stream: DataFrame, mode: str = "append", checkpoint: str | None = None
 
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{path}/checkpoint")
     writer.foreachBatch(write).start().awaitTermination()
+    out = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/out")
+    if not out.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(out):  # there was nothing to read
+        return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
