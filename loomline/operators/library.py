@@ -90,6 +90,41 @@ def invalidated(artifacts: DataFrame, changed: DataFrame, key: str, kind: str, d
     return met.filter(F.col("__hit").isNull() | ~F.col(kind).isin(*dependants)).drop("__hit")
 
 
+# The artifact of each stage, and what it is made from.
+MADE_FROM = (("units", "text"), ("registry", "text"), ("annotation", "units"), ("annotation", "registry"), ("voices", "registry"), ("tts_script", "annotation"), ("tts_script", "voices"), ("audio", "tts_script"), ("timeline", "audio"), ("audiobook", "timeline"))
+
+
+def depends_on(spark: SparkSession, made_from: DataFrame) -> DataFrame:
+    """kind, source: what each kind of artifact depends on over any number of steps. made_from: kind, source, one step each; cycles end.
+
+    A recursive query over a table of kinds, which the stages bound, not the artifacts.
+    """
+    steps = made_from.select("kind", "source").filter("kind is not null and source is not null").distinct()
+    return spark.sql("WITH RECURSIVE d(kind, source, way) AS (SELECT kind, source, array(kind, source) FROM {s} UNION ALL SELECT d.kind, s.source, array_append(way, s.source) FROM d JOIN {s} AS s ON s.kind = d.source WHERE NOT array_contains(way, s.source)) SELECT DISTINCT kind, source FROM d WHERE kind <> source", s=steps)
+
+
+def cascaded(artifacts: DataFrame, changed: DataFrame, key: str, kind: str, made_from: DataFrame | None = None) -> DataFrame:
+    """artifacts without those that depend, over any number of steps, on one that changed. changed: key, kind. made_from: kind, source; MADE_FROM by default.
+
+    What changed itself stays. Null keys and kinds depend on nothing.
+    """
+    spark = artifacts.sparkSession
+    steps = spark.createDataFrame(MADE_FROM, "kind string, source string") if made_from is None else made_from
+    closure = depends_on(spark, steps).select(F.col("kind").alias("__kind"), F.col("source").alias("__source"))
+    gone = changed.select(key, F.col(kind).alias("__source")).distinct().join(F.broadcast(closure), "__source").select(key, F.col("__kind").alias(kind)).distinct()
+    return artifacts.join(gone, [key, kind], "left_anti").select(*artifacts.columns)
+
+
+def open_stages(artifacts: DataFrame, key: str, kind: str, made_from: DataFrame | None = None) -> DataFrame:
+    """key, kind: the stages that a book lacks and could run now, as it has all that these are made from."""
+    spark = artifacts.sparkSession
+    steps = spark.createDataFrame(MADE_FROM, "kind string, source string") if made_from is None else made_from
+    needs = steps.groupBy("kind").agg(F.count_distinct("source").alias("__needs"))
+    have = artifacts.select(key, F.col(kind).alias("source")).distinct()
+    ready = have.join(F.broadcast(steps.distinct()), "source").groupBy(key, "kind").agg(F.count("*").alias("__has")).join(F.broadcast(needs), "kind").filter("__has = __needs")
+    return ready.select(key, F.col("kind").alias(kind)).join(have.withColumnRenamed("source", kind), [key, kind], "left_anti")
+
+
 def initialised(stored: DataFrame, books: DataFrame, key: str, default: DataFrame) -> DataFrame:
     """stored with default's row for every book that has none; of several, the greatest."""
     return stored.unionByName(last_rows(default, key).join(books.select(key), key, "left_semi").join(stored.select(key), key, "left_anti"))

@@ -30,7 +30,7 @@ def drain(stream: DataFrame, mode: str = "append", checkpoint: str | None = None
     out = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/out")
     if not out.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(out):  # there was nothing to read
         return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    return spark.read.schema(stream.schema).parquet(f"{path}/out").select(*stream.columns)
 
 
 def event_counts(events: DataFrame, ts: str, kind: str, value: str, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
