@@ -193,5 +193,8 @@ def inserted(registry: DataFrame, incoming: DataFrame) -> DataFrame:
         asked = needs.join(state.filter("accepted is null").select("at"), "at").join(least, "key", "left")
         told = asked.groupBy("at").agg(F.min(F.when(F.col("sure.at") < F.col("at"), F.col("sure"))).alias("__by"), F.max(F.coalesce(F.col("open") < F.col("at"), F.lit(False))).alias("__waits"))
         decided = F.when(F.col("accepted").isNotNull(), F.col("accepted")).when(F.col("__by").isNotNull(), False).when(~F.coalesce("__waits", F.lit(False)), True)
-        state = state.join(told, "at", "left").select("at", decided.alias("accepted"), F.coalesce("taken_by", "__by.role_id").alias("taken_by")).checkpoint()
-    return rows.select("at", "role_id").join(state, "at").select(F.col("at").alias("ord"), "role_id", "accepted", "taken_by")
+        state = state.join(told, "at", "left").select("at", decided.alias("accepted"), "taken_by").checkpoint()
+    # only now is the first of the accepted rows known that holds a name
+    first = claims.join(state.filter("accepted").select("at"), "at").groupBy("key").agg(F.min(F.struct("at", "role_id")).alias("held"))
+    lost = needs.join(state.filter("not accepted and taken_by is null").select("at"), "at").join(first, "key").filter("held.at < at").groupBy("at").agg(F.min("held")["role_id"].alias("__by"))
+    return rows.select("at", "role_id").join(state, "at").join(lost, "at", "left").select(F.col("at").alias("ord"), "role_id", "accepted", F.coalesce("taken_by", "__by").alias("taken_by"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import name_key
@@ -57,6 +57,19 @@ def attribution_errors(quotes: DataFrame, rows: DataFrame, roles: DataFrame, kno
     return _listed(found.unionByName(wrong).unionByName(idle), "chapter")
 
 
+def consolidation_errors(quotes: DataFrame, resolved: DataFrame, known: DataFrame) -> DataFrame:
+    """chapter, errors: what is wrong with quotes to which a service or a match gave roles, as attribution_errors tells it.
+
+    quotes: chapter, idx; resolved: chapter, idx, role (null: read by the narrator); known: role, the registry's. Each chapter's roles are numbered as
+    they appear, so a row's role can't be out of range, and roles that the registry lacks are errors, as there are no local speakers.
+    """
+    said = resolved.withColumn("kind", F.when(F.col("role").isNull(), "narrator_quote").otherwise("dialogue")).withColumn("role", F.coalesce("role", F.lit("Narrator")))
+    first = said.groupBy("chapter", "role").agg(F.min("idx").alias("__first"))
+    roles = first.select("chapter", F.row_number().over(Window.partitionBy("chapter").orderBy("__first", "role")).cast("long").alias("role_idx"), "role")
+    rows = said.join(roles, ["chapter", "role"]).select("chapter", "idx", "role_idx", "kind")
+    return attribution_errors(quotes, rows, roles, known)
+
+
 def script_errors(units: DataFrame, rows: DataFrame, roles: DataFrame, known: DataFrame, characters: DataFrame, speakers: DataFrame, types: tuple[str, ...] = ROW_TYPES, most_instruction: int = 240) -> DataFrame:
     """chapter, errors of an annotation script, a rule each:
 

@@ -81,7 +81,7 @@ def table(seed, n, words):
     return registry, batch
 
 
-@pytest.mark.parametrize("seed,n,words", [(1, 60, 4), (2, 120, 60), (3, 150, 400)])
+@pytest.mark.parametrize("seed,n,words", [(1, 60, 4), (2, 120, 60), (3, 150, 400), (7, 300, 150)])
 def test_merged_and_inserted(spark, seed, n, words):
     registry, batch = table(seed, n, words)
     kept, new = spark.createDataFrame(registry, REGISTRY), spark.createDataFrame([*batch, {**batch[0], "ord": n + 2, "name": " "}], COLUMNS.format("name")).repartition(3)
