@@ -18,7 +18,7 @@ def test_all_notices_are_known(model):
 
 
 def test_lines_without_cue_words(model):
-    assert [(n, f) for n, f, _ in model.scan([b"x\nDistributed under MPL 2.0"])[0]] == [(1, "unknown")]
+    assert [(n, f) for n, f, _ in model.scan([b"x\nDistributed under MPL 2.0"])[0]] == [(1, "mpl-2.0")]
     assert model.scan([b"", b"no cue here", b"the and of\n\n?!"]) == [[], [], []]
 
 
