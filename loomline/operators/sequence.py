@@ -227,9 +227,16 @@ def _columns(key: str | list[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
+#: What depth() has found, by files, order and block; a stale answer changes a plan, never its rows.
+_DEPTHS: dict[tuple, int | None] = {}
+
+
 def depth(df: DataFrame, order: str, block: int = BLOCK) -> int | None:
-    """block if any row's order reaches it, else None. Best on a stored table, whose statistics answer it almost alone."""
-    return None if df.filter(F.col(order) >= block).isEmpty() else block
+    """block if any row's order reaches it, else None. Best on a stored table, whose statistics answer it almost alone; asked once for its files."""
+    at = (tuple(sorted(df.inputFiles())), order, block)
+    if not at[0] or at not in _DEPTHS:
+        _DEPTHS[at] = None if df.filter(F.col(order) >= block).isEmpty() else block
+    return _DEPTHS[at]
 
 
 def blocks_of(df: DataFrame, key: list[str], order: str, block: int | None) -> tuple[DataFrame, WindowSpec]:
@@ -310,7 +317,7 @@ def _cumulated(df: DataFrame, key: list[str], order: str, values: dict[str, Colu
         return out
 
     rows = over_blocks(parts, totals, key, carried, block)
-    every = Window.partitionBy(*key) if block is None else Window.partitionBy(*key, "__block")
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in the order of w, so that one operator makes both sums
     for n, v in values.items():
         inside = F.sum(v).over(before(w))
         rows = rows.withColumn(f"{n}_before", F.coalesce(F.col(f"__{n}_earlier") + inside, f"__{n}_earlier", inside))
