@@ -72,17 +72,22 @@ def conversation_timeline_summary(spark, sf_dir):
 MOST, ROLES = 1500, 2
 
 
-@query("speech_windows", f"""WITH RECURSIVE n AS (SELECT conv_id, turn, role, length({SQ("coalesce(text, '')")}) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
+def speech_sql(most: int, roles: int) -> str:
+    """Greedy windows of rendered dialogue by a recursion over the turns of each conversation."""
+    return f"""WITH RECURSIVE n AS (SELECT conv_id, turn, role, length({SQ("coalesce(text, '')")}) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
 f AS (SELECT conv_id, rn, turn, 0::BIGINT AS win, [role] AS roles, role AS last, 0::BIGINT AS closed, CASE WHEN n = 0 THEN 0 ELSE length(role) + 2 + n END::BIGINT AS line FROM n WHERE rn = 1
 UNION ALL SELECT conv_id, rn, turn, CASE WHEN brk THEN win + 1 ELSE win END, CASE WHEN brk THEN [role] ELSE list_distinct(list_append(roles, role)) END, role,
   CASE WHEN brk THEN 0 ELSE c END, CASE WHEN brk THEN CASE WHEN n = 0 THEN 0 ELSE length(role) + 2 + n END ELSE o END
-FROM (SELECT *, (CASE WHEN o > 0 THEN c + o ELSE greatest(0, c - 1) END) > {MOST} OR len(list_distinct(list_append(roles, role))) > {ROLES} AS brk
+FROM (SELECT *, (CASE WHEN o > 0 THEN c + o ELSE greatest(0, c - 1) END) > {most} OR len(list_distinct(list_append(roles, role))) > {roles} AS brk
   FROM (SELECT n.conv_id, n.rn, n.turn, n.role, n.n, f.win, f.roles,
     CASE WHEN f.line > 0 AND n.role <> f.last THEN f.closed + f.line + 1 ELSE f.closed END AS c,
     CASE WHEN f.line > 0 AND n.role <> f.last THEN CASE WHEN n.n = 0 THEN 0 ELSE length(n.role) + 2 + n.n END
          WHEN n.n = 0 THEN f.line WHEN f.line > 0 THEN f.line + 1 + n.n ELSE length(n.role) + 2 + n.n END AS o
     FROM f JOIN n ON n.conv_id = f.conv_id AND n.rn = f.rn + 1)))
-SELECT conv_id, turn, win AS window_id FROM f""")
+SELECT conv_id, turn, win AS window_id FROM f"""
+
+
+@query("speech_windows", speech_sql(MOST, ROLES))
 def speech_windows(spark, sf_dir):
     return S.speech_windows(turns(spark, sf_dir), "conv_id", ["turn"], "role", "text", MOST, ROLES, alone=True).select("conv_id", "turn", "window_id")
 

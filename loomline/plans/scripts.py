@@ -9,7 +9,8 @@ from ..operators import generation as G
 from ..operators import library as B
 from ..operators import quality as Q
 from ..operators import script as P
-from .base import Plan, name_key, reader, squeezed
+from .base import SPACES_SQL, Plan, name_key, reader, squeezed
+from .conversations import speech_sql
 
 PLAN = Plan()
 query, QUERIES, SQL = PLAN.query, PLAN.QUERIES, PLAN.SQL
@@ -59,6 +60,17 @@ def narration_sentences(spark, sf_dir):
     return P.narration_sentences(rows, ["doc_id"], "t", "s").select("doc_id", "part", "begin", (F.col("end") - F.col("begin")).alias("n_chars"))
 
 
+@query("narration_places", f"""WITH RECURSIVE w AS (SELECT doc_id, text, string_split(regexp_replace({squeezed(r"regexp_replace(text, '^\\s+|\\s+$', '', 'g')")}, '([.!?])\\s+(["''“‘A-Z0-9])', '\\1' || chr(31) || '\\2', 'g'), chr(31)) AS ss FROM documents),
+s AS (SELECT doc_id, text, list_filter(ss, lambda x: trim(x) <> '') AS ss, (length(text) - length(regexp_replace(text, '^' || {SPACES_SQL}, '')))::BIGINT AS led FROM w),
+f AS (SELECT doc_id, 1 AS i, text, ss, CASE WHEN strpos(substr(text, led + 1), ss[1]) = 0 THEN led ELSE led + strpos(substr(text, led + 1), ss[1]) - 1 END AS pos FROM s WHERE len(ss) > 0
+UNION ALL SELECT doc_id, i + 1, text, ss, CASE WHEN strpos(substr(text, pos + length(ss[i]) + 1), ss[i + 1]) = 0 THEN pos + length(ss[i]) ELSE pos + length(ss[i]) + strpos(substr(text, pos + length(ss[i]) + 1), ss[i + 1]) - 1 END FROM f WHERE i < len(ss))
+SELECT doc_id, (i - 1)::BIGINT AS part, doc_id % 7 + pos AS "begin", length(ss[i]) AS n_chars FROM f""")
+def narration_places(spark, sf_dir):
+    """Texts as they are: sentences whose white space was squeezed aren't found in them, and stand where the one before ended."""
+    rows = documents(spark, sf_dir).select("doc_id", "text", (F.col("doc_id") % 7).alias("s"))
+    return P.narration_sentences(rows, ["doc_id"], "text", "s").select("doc_id", "part", "begin", (F.col("end") - F.col("begin")).alias("n_chars"))
+
+
 @query("span_sentences", f"SELECT doc_id, len(list_filter(string_split(regexp_replace({squeezed('text')}, '([.!?])\\s+([\"''“‘A-Z0-9])', '\\1' || chr(31) || '\\2', 'g'), chr(31)), lambda x: x <> ''))::BIGINT AS n FROM documents")
 def span_sentences(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.size(P.span_sentences(F.col("text"))).cast("long").alias("n"))
@@ -103,11 +115,15 @@ def halved_windows(spark, sf_dir):
     return P.halved(rows, ["conv_id"], "turn", "text", lambda texts: sum(map(len, texts)) <= 400)
 
 
-@query("profile_windows", "SELECT conv_id, turn, 0::BIGINT AS window_id FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING sum(length(coalesce(text, '')) + length(role) + 3) <= 2400 AND count(DISTINCT role) <= 4)")
+@query("profile_windows", speech_sql(*P.PROFILES["precise"]))
 def profile_windows(spark, sf_dir):
-    c = conversations(spark, sf_dir)
-    small = c.groupBy("conv_id").agg(F.sum(F.length(F.coalesce("text", F.lit(""))) + F.length("role") + 3).alias("n"), F.count_distinct("role").alias("r")).filter("n <= 2400 AND r <= 4").select("conv_id")
-    return P.profile_windows(c.join(small, "conv_id"), "conv_id", ["turn"], "role", "text", " Precise").select("conv_id", "turn", "window_id")
+    return P.profile_windows(conversations(spark, sf_dir), "conv_id", ["turn"], "role", "text", " Precise").select("conv_id", "turn", "window_id")
+
+
+@query("default_windows", speech_sql(*P.PROFILES["balanced"]))
+def default_windows(spark, sf_dir):
+    """A profile that doesn't exist is the balanced one."""
+    return P.profile_windows(conversations(spark, sf_dir), "conv_id", ["turn"], "role", "text", "no such profile").select("conv_id", "turn", "window_id")
 
 
 @query("voice_paths", "WITH j AS (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 1 THEN NULL ELSE role || '_id' END AS role_id, 'v/' || conv_id || '_' || turn AS p, conv_id * 100000 + turn AS o FROM conversations), a AS (SELECT role_id, arg_max(p, o) AS p FROM j WHERE role_id IS NOT NULL GROUP BY 1), b AS (SELECT role, arg_max(p, o) AS p FROM j GROUP BY 1) SELECT conv_id, turn, coalesce(a.p, b.p) AS voice_path FROM j LEFT JOIN a USING (role_id) LEFT JOIN b USING (role)")

@@ -235,6 +235,18 @@ def resume_point(spark, sf_dir):
     return R.resume_points(rows.withColumn("stage", stage), "source", "doc_id", "stage")
 
 
+@query("resume_after_run", """WITH d AS (SELECT d.source, d.doc_id, substr(d.source, 4)::INTEGER AS k, l.doc_id IS NULL AS new, toxic = 1 AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)),
+s AS (SELECT source, doc_id, (k % 4 * 5 - 3)::BIGINT AS completed, CASE WHEN k % 5 = 0 AND toxic THEN 'failed' WHEN k % 5 = 1 AND toxic THEN 'running' WHEN k % 5 = 2 AND new THEN 'missing' WHEN k % 5 = 3 AND toxic THEN 'stale' ELSE 'done' END AS stage FROM d)
+SELECT source, coalesce(min(doc_id) FILTER (stage = 'failed'), min(doc_id) FILTER (stage = 'running'), CASE WHEN max(completed) > 0 AND max(completed) <= count(*) THEN max(completed) - 1 END, min(doc_id) FILTER (stage IN ('stale', 'missing')), 0)::BIGINT AS resume_at FROM s GROUP BY source""")
+def resume_after_run(spark, sf_dir):
+    """Sources with a failed or a running document, a last completed one that exists or doesn't, stale and missing ones, or none."""
+    k = F.substring("source", 4, 9).cast("int")
+    rows = documents(spark, sf_dir).select("doc_id", "source").join(labels(spark, sf_dir).withColumn("seen", F.lit(1)), "doc_id", "left")
+    toxic = F.coalesce(F.col("toxic") == 1, F.lit(False))
+    stage = F.when((k % 5 == 0) & toxic, "failed").when((k % 5 == 1) & toxic, "running").when((k % 5 == 2) & F.col("seen").isNull(), "missing").when((k % 5 == 3) & toxic, "stale").otherwise("done")
+    return R.resume_points(rows.withColumns({"stage": stage, "completed": (k % 4 * 5 - 3).cast("long")}), "source", "doc_id", "stage", "completed")
+
+
 @query("same_bags", "WITH a AS (SELECT lang AS g, quality AS v, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2), b AS (SELECT lang AS g, toxic AS v, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2) SELECT g, bool_and(a.n IS NOT DISTINCT FROM b.n) AS same FROM a FULL JOIN b USING (g, v) GROUP BY g")
 def same_bags(spark, sf_dir):
     rows = documents(spark, sf_dir).select("doc_id", F.col("lang").alias("g")).join(labels(spark, sf_dir), "doc_id")

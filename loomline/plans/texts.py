@@ -142,6 +142,20 @@ def chapter_split(spark, sf_dir):
     return P.chapter_rows(rows, "doc_id", "text").select("doc_id", "chapter", F.sha2("body", 256).alias("body_sha256"))
 
 
+HEADING_SQL = r"(?im)^\s*(?:chapter\s+(?:[0-9]+|[ivxlcdm]+|[a-z]+)|prologue|epilogue|part\s+[ivxlcdm]+)\s*$"
+
+
+@query("chapters_or_none", f"""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN replace(text, chr(10), chr(10) || '  CHAPTER xii ' || chr(10)) WHEN 1 THEN 'Prologue' || chr(10) || regexp_replace(text, '[.] ', '.' || chr(10) || 'part IV' || chr(10), 'g') ELSE text END AS text FROM documents),
+b AS (SELECT doc_id, list_transform(string_split(regexp_replace(text, '{HEADING_SQL}', chr(1), 'g'), chr(1))[2:], lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS bs FROM t),
+k AS (SELECT doc_id, bs FROM b WHERE len(bs) >= 2 AND len(list_filter(bs, lambda x: length(x) < 20)) = 0)
+SELECT doc_id, printf('chapter_%03d', i) AS chapter, sha256(body || chr(10)) AS body_sha256 FROM (SELECT doc_id, unnest(range(1, len(bs) + 1)) AS i, unnest(bs) AS body FROM k)""")
+def chapters_or_none(spark, sf_dir):
+    """Texts with headings at line breaks, after sentences, or as they are: many chapters, too short ones, or too few headings."""
+    k = F.col("doc_id") % 3
+    text = F.when(k == 0, F.replace("text", F.lit("\n"), F.lit("\n  CHAPTER xii \n"))).when(k == 1, F.concat(F.lit("Prologue\n"), F.regexp_replace("text", "[.] ", ".\npart IV\n"))).otherwise(F.col("text"))
+    return P.chapter_rows(documents(spark, sf_dir).select("doc_id", text.alias("text")), "doc_id", "text").select("doc_id", "chapter", F.sha2("body", 256).alias("body_sha256"))
+
+
 @query("stitch_offsets", """WITH s AS (SELECT source, doc_id, length('[' || doc_id || ']' || chr(10)) AS m, length(coalesce(text, '')) AS n FROM documents),
 o AS (SELECT *, coalesce(sum(m + n + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS st FROM s)
 SELECT source, doc_id, st AS marker_start, st + m AS content_start, st + m + n AS content_end FROM o""")
