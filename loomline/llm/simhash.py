@@ -26,7 +26,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import LOWER, drop_path, lean, materialise, mix, partitions, raw, table
@@ -350,7 +350,7 @@ def simhash_components(df: DataFrame, shingle: int = SHINGLE, radius: int = RADI
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def row_hash(text_col: str):
+def row_hash(text_col: str | Column):
     """What tells rows of one id apart: a hash of the text."""
     return F.xxhash64(text_col)
 
@@ -358,6 +358,8 @@ def row_hash(text_col: str):
 def keep_rows(df: DataFrame, prints: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row of df for each group: the smallest id (null last), of its rows the one with the smallest hash, of equal rows any.
 
+    Other columns of df are kept, whatever they are called. An empty df gives an empty one.
+
     prints: doc_id, row (see row_hash) and fp of every row of df; roots: fp and root of the fps that have links.
     """
     nodes, _ = materialise(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("least")), "nodes")
@@ -366,11 +368,12 @@ def keep_rows(df: DataFrame, prints: DataFrame, roots: DataFrame, id_col: str, t
     each = prints.groupBy("doc_id", "row", "fp").agg(F.count(F.lit(1)).alias("n")).join(named, "fp")
     stays = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("row") == F.col("stays.row"))
     marks, _ = materialise(each.withColumn("__stays", stays).filter("NOT __stays OR n > 1").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "__stays"), "marks")
-    here = lambda m: F.col(id_col).eqNullSafe(F.col("__id")) & (row_hash(text_col) == F.col("__row"))
-    alone = df.join(marks, here(marks), "left_anti")
-    several = df.join(marks.filter("__stays"), here(marks))
+    whole = df.select(F.struct("*").alias("whole"))  # so that df's columns may be called anything
+    here = F.col("whole")[id_col].eqNullSafe(F.col("__id")) & (row_hash(F.col("whole")[text_col]) == F.col("__row"))
+    alone = whole.join(marks, here, "left_anti")
+    several = whole.join(marks.filter("__stays"), here)
     one = several.withColumn("__no", F.row_number().over(Window.partitionBy("__id", "__row").orderBy(F.lit(1)))).filter("__no = 1")
-    return alone.union(one.select(*df.columns))
+    return alone.union(one.select("whole")).select("whole.*")
 
 
 def keep_first(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
