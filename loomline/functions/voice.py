@@ -59,17 +59,33 @@ NARRATORS = {
 }
 # The instruction for an accent that has none of its own, around the accent's name; what every voice's instruction ends with.
 OTHER_ACCENT = " pronunciation: keep the accent consistent, audible, and do not drift into General American unless requested"
+# The instructions of accents by their normalised names.
+ACCENT_INSTRUCTIONS = {
+    "british": "British English pronunciation: non-rhotic R, British vowel shapes, crisp consonants, and no General American rhotic R or American vowel coloring",
+    "upperclassbritish": "upper-class southern British Received Pronunciation: non-rhotic R, clipped precise consonants, long bath vowel, controlled intonation, and no General American pronunciation",
+    "receivedpronunciation": "upper-class southern British Received Pronunciation: non-rhotic R, clipped precise consonants, long bath vowel, controlled intonation, and no General American pronunciation",
+    "yorkshire": "Yorkshire / Northern English accent: northern English vowel shapes, flatter short A sounds, plain regional rhythm, and no General American pronunciation",
+    "french": "French-accented English: French vowel coloring, softened th consonants, lightly rolled or softened R, syllable-timed rhythm, and clear understandable English",
+    "german": "German-accented English: precise consonants, German vowel coloring, firmer R articulation, and clear understandable English",
+    "germanscottish": "German-Scottish accented English: a German consonant edge blended with Scottish rhythm and R color, while staying clear and understandable",
+    "welsh": "Welsh-accented English: musical Welsh intonation, clear vowels, lightly rolled R, and no General American pronunciation",
+    "irish": "Irish-accented English: Irish rhythm and vowel color, lightly rhotic R, and no General American pronunciation",
+    "scottish": "Scottish-accented English: Scottish vowel color, firmer or rolled R, clipped rhythm, and no General American pronunciation",
+    "australian": "Australian English pronunciation: Australian vowel shifts, relaxed cadence, and no General American pronunciation",
+    "canadian": "Canadian English pronunciation: Canadian vowel color and clear North American cadence, without drifting into exaggerated US regional accents",
+    "newyork": "New York English pronunciation: New York vowel color and urban rhythm, without drifting into southern or generic accents",
+    "tokyo": "Tokyo Japanese-accented English: Japanese vowel timing, careful consonants, and clear understandable English",
+    "generalamerican": "General American pronunciation: rhotic R, neutral US vowel shapes, and no British or regional accent drift",
+    "southernamerican": "Southern American pronunciation: southern US vowel color, relaxed drawl, rhotic R, and no British accent drift",
+}
 DELIVERY = "clear natural audiobook delivery"
 
 
 def accent_instruction(accent: Column, own: dict[str, str] | None = None) -> Column:
-    """The instruction of an accent by its normalised name, or one made of its name; blank for no accent. own: instructions by name."""
+    """The instruction of an accent by its normalised name, or one made of its name; blank for no accent. own: instructions by name besides the fixed ones, or in place of them."""
     t = F.btrim(F.coalesce(accent, F.lit("")))
-    other = F.concat(t, F.lit(OTHER_ACCENT))
-    if own:
-        table = F.create_map(*[F.lit(x) for kv in own.items() for x in kv])
-        other = F.coalesce(F.try_element_at(table, name_key(t)), other)
-    return F.when(t == "", "").otherwise(other)
+    table = F.create_map(*[F.lit(x) for kv in (ACCENT_INSTRUCTIONS | (own or {})).items() for x in kv])
+    return F.when(t == "", "").otherwise(F.coalesce(F.try_element_at(table, name_key(t)), F.concat(t, F.lit(OTHER_ACCENT))))
 
 
 def narrator_voice(kind: Column) -> tuple[Column, Column]:

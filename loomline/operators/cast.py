@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import voice as V
 from ..functions.text import name_key, slug
 from .lookup import resolve
+from .sequence import numbered
 
 # Character columns that are no longer kept.
 DEPRECATED = ("age", "timeline", "same_person_as", "character_profile", "narrative_notes", "first_seen", "global_evidence", "voice_variants")
@@ -99,7 +100,7 @@ def requested(existing: DataFrame, wanted: DataFrame, key: str, order: str) -> D
     none = wanted.agg(F.count("*").alias("__n"))  # one row
     asked = wanted.groupBy(key).agg(F.min(order).alias("__o"))
     met = existing.select(key).distinct().join(asked, key, "left").crossJoin(F.broadcast(none)).filter(F.col("__o").isNotNull() | (F.col("__n") == 0))
-    return met.select(key, "__o").withColumn("position", F.row_number().over(Window.orderBy(F.col("__o").asc_nulls_last(), key)).cast("long") - 1).drop("__o")
+    return numbered(met.select(key, "__o"), [F.col("__o").asc_nulls_last(), F.col(key)], "position", 0).drop("__o")
 
 
 def legacy_speakers(existing: DataFrame, legacy: DataFrame, chapter: str = "chapter") -> DataFrame:
@@ -156,6 +157,35 @@ def replaced(rows: DataFrame, approvals: DataFrame, chapter: str, role: str) ->
     return met.withColumn(role, F.coalesce("__new", role)).drop("__k", "__new")
 
 
+def confirmed(roles: DataFrame, rows: DataFrame, registry: DataFrame, selections: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A chapter's annotation after each person in it was confirmed at one age stage: its roles, its rows, and the approvals.
+
+    roles: chapter, role_idx, role; rows: with chapter and role_idx; registry: ord, role_id, profile_id, person_id, display_name, aliases, age_stage,
+    role_name (as annotations name the role); selections: chapter, person_id, age_stage. A person without a selection keeps the stage of its
+    first role; a stage that no record of the person has is an error. Roles of one person become that stage's role; the narrator and unknown roles
+    stay. New roles are numbered densely in the order of the old ones, each once, and rows follow. Approvals: chapter, person_id, name, age_stage, role_name.
+    Chapters whose roles changed are what library.cascaded takes as changed.
+    """
+    stage = lambda c: F.replace(F.lower(F.btrim(F.coalesce(c, F.lit("unknown")))), F.lit(" "), F.lit("_"))
+    records = registry.withColumns({"__stage": stage("age_stage"), "__person": F.coalesce(F.nullif(F.btrim("person_id"), F.lit("")), F.col("role_id"))})
+    found = resolve(roles.select(F.col("role").alias("__name")).distinct(), registry, "__name").filter("how in ('direct', 'short')").select("__name", "role_id")
+    own = records.groupBy("role_id").agg(F.min_by(F.struct("__person", "__stage", "display_name"), "ord").alias("__r"))
+    met = roles.join(found.join(own, "role_id"), F.col("role") == F.col("__name"), "left").select("chapter", "role_idx", "role", "__r")
+    first = met.filter("__r is not null").groupBy("chapter", F.col("__r.__person").alias("__person")).agg(F.min_by("__r", "role_idx").alias("__first"))
+    chosen = selections.groupBy("chapter", F.col("person_id").alias("__person")).agg(F.min(stage("age_stage")).alias("__asked"))
+    options = records.groupBy("__person", "__stage").agg(F.min_by("role_name", "ord").alias("role_name"))
+    people = first.join(chosen, ["chapter", "__person"], "left").withColumn("__stage", F.coalesce("__asked", "__first.__stage")).join(options, ["__person", "__stage"], "left")
+    wrong = F.raise_error(F.concat(F.lit("no record of "), F.col("__person"), F.lit(" is "), F.col("__stage"))).cast("string")
+    approvals = people.select("chapter", F.col("__person").alias("person_id"), F.col("__first.display_name").alias("name"), F.col("__stage").alias("age_stage"), F.coalesce("role_name", wrong).alias("role_name"))
+    swap = approvals.select("chapter", F.col("person_id").alias("__person"), F.col("role_name").alias("__new"))
+    said = met.withColumn("__person", F.col("__r.__person")).join(swap, ["chapter", "__person"], "left").select("chapter", "role_idx", F.coalesce("__new", "role").alias("role"))
+    fresh = said.groupBy("chapter", "role").agg(F.min("role_idx").alias("__first"))
+    fresh = fresh.select("chapter", "role", (F.row_number().over(Window.partitionBy("chapter").orderBy("__first")).cast("long") - 1).alias("__new"))
+    moves = said.join(fresh, ["chapter", "role"]).select("chapter", "role_idx", "__new")
+    moved = rows.join(moves, ["chapter", "role_idx"]).withColumn("role_idx", F.col("__new")).select(*rows.columns)
+    return fresh.select("chapter", F.col("__new").alias("role_idx"), "role"), moved, approvals
+
+
 def detected(registry: DataFrame, speakers: DataFrame, column: str, base: tuple[str, ...] = ()) -> DataFrame:
     """value, position: a base list, then the attribute's values in the registry, then those of chapters' speakers, each once by its
     normalised form, first spelling and place kept. registry: ord; speakers: chapter, pos."""
@@ -164,7 +194,7 @@ def detected(registry: DataFrame, speakers: DataFrame, column: str, base: tuple[
     rows = first.union(registry.select(F.lit(1), F.lit(""), F.col("ord").cast("long"), column)).union(speakers.select(F.lit(2), F.col("chapter").cast("string"), F.col("pos").cast("long"), column))
     rows = rows.filter(F.btrim("value") != "")
     each = rows.groupBy(name_key(F.col("value")).alias("__k")).agg(F.min_by("value", F.struct("part", "a", "b")).alias("value"), F.min(F.struct("part", "a", "b")).alias("__at"))
-    return each.select("value", F.row_number().over(Window.orderBy("__at")).cast("long").alias("position"))  # distinct attribute values only
+    return numbered(each, [F.col("__at")], "position", 1).select("value", "position")
 
 
 def known_names(registry: DataFrame, speakers: DataFrame | None = None) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import math
+from collections import deque
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -198,19 +199,20 @@ def session(df: DataFrame, key: str, order: str, kind: str, seconds: str) -> Dat
     """
 
     def start():
-        ready, made, ended = [], 0, False
+        ready, total, made, ended = deque(), Fraction(0), 0, False  # an exact sum, as it goes up and down
 
         def step(k, s):
-            nonlocal made, ended
+            nonlocal total, made, ended
             if k == "end":
-                ended = True
+                ended, total = True, Fraction(0)
                 ready.clear()
             elif not ended and k == "generate":
-                ready.append(s or 0.0)
+                ready.append(Fraction(s or 0.0))
+                total += ready[-1]
                 made += 1
             elif not ended and k == "consume" and ready:
-                ready.pop(0)
-            return len(ready), math.fsum(ready), made
+                total -= ready.popleft()
+            return len(ready), float(total), made
 
         return step
 

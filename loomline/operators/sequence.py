@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.text import speech, squeeze
+from ..session import scratch
 
 
 def ordered_fold(df: DataFrame, key: str | list[str], order: list[str], start: Callable[[], Callable], inputs: list[str], outputs: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
@@ -325,6 +326,19 @@ def _cumulated(df: DataFrame, key: list[str], order: str, values: dict[str, Colu
     return rows
 
 
+def numbered(df: DataFrame, order: list[Column], name: str, first: int = 0) -> DataFrame:
+    """name: places in the order of a whole table, whose rows it tells apart; ranges are sorted and counted by themselves.
+
+    The sorted rows are written once, as ranges are drawn by chance; one row for each range is added up in one task.
+    """
+    scratch(df.sparkSession)
+    place = F.monotonically_increasing_id()
+    ranged = df.orderBy(*order).withColumns({"__range": F.shiftright(place, 33), "__in": place.bitwiseAND(F.lit((1 << 33) - 1))}).checkpoint()
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    starts = counts.select(F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(before(Window.orderBy("__range"))), F.lit(0)).alias("__before"))
+    return ranged.join(F.broadcast(starts), F.col("__range") == F.col("__r")).withColumn(name, (F.col("__before") + F.col("__in") + first).cast("long")).drop("__range", "__in", "__r", "__before")
+
+
 def running_sum(df: DataFrame, key: str | list[str], order: str, value: str, name: str, block: int | None = BLOCK) -> DataFrame:
     """name: the sum of value over the rows before this one, 0 for the first."""
     rows = _cumulated(df, _columns(key), order, {"__sum": F.col(value)}, block)

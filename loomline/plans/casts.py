@@ -67,6 +67,52 @@ def merge_matches(spark, sf_dir):
     return C.merge_matches(new, registry(spark, sf_dir).withColumn("person_id", none()), "id")
 
 
+ACCENTS = [*V.ACCENT_INSTRUCTIONS, "Upper-Class British", " tokyo ", "New York", "Maltese", ""]
+
+
+@query("accent_instructions", f"""WITH a AS (SELECT p_partkey, {ACCENTS!r}[p_partkey % {len(ACCENTS)} + 1] AS accent FROM part),
+t AS (SELECT unnest({list(V.ACCENT_INSTRUCTIONS)!r}) AS k, unnest([{", ".join("'" + x.replace("'", "''") + "'" for x in V.ACCENT_INSTRUCTIONS.values())}]) AS said)
+SELECT p_partkey, CASE WHEN trim(accent) = '' THEN '' ELSE coalesce(said, trim(accent) || '{V.OTHER_ACCENT}') END AS instruction FROM a LEFT JOIN t ON k = {name_key('accent')}""")
+def accent_instructions(spark, sf_dir):
+    accent = F.element_at(F.array(*map(F.lit, ACCENTS)), (F.col("p_partkey") % len(ACCENTS) + 1).cast("int"))
+    return part(spark, sf_dir).select("p_partkey", V.accent_instruction(accent).alias("instruction"))
+
+
+PERSONS_SQL = "reg0 AS (SELECT c_custkey AS ord, c_custkey // 3 AS person, ['child', 'adult', 'elder'][c_custkey % 3 + 1] AS stage FROM customer)"
+
+
+def persons(spark, sf_dir):
+    """Customers as characters: three in a row are one person at three ages."""
+    k = F.col("c_custkey")
+    stage = F.element_at(F.array(*map(F.lit, ("child", "adult", "elder"))), (k % 3 + 1).cast("int"))
+    person = F.concat(F.lit("p"), F.floor(k / 3).cast("string"))
+    return customer(spark, sf_dir).select(k.alias("ord"), F.concat_ws("_", person, stage).alias("role_id"), F.lit(None).cast("string").alias("profile_id"), person.alias("person_id"), F.concat_ws(" ", person, stage).alias("display_name"), F.array().cast("array<string>").alias("aliases"), stage.alias("age_stage"), F.concat_ws(" ", person, stage).alias("role_name"))
+
+
+@query("confirmed_roles", f"""WITH {PERSONS_SQL}, r AS (SELECT o_custkey // 30 AS chapter, o_orderkey AS o, CASE WHEN o_orderkey % 9 = 0 THEN 'Narrator' WHEN o_orderkey % 9 = 1 THEN 'stranger' ELSE 'P' || (o_custkey // 3) || ' ' || upper(['child', 'adult', 'elder'][o_custkey % 3 + 1]) END AS role, CASE WHEN o_orderkey % 9 > 1 THEN o_custkey END AS c FROM orders),
+d AS (SELECT chapter, role, min(o) AS o, any_value(c) AS c FROM r GROUP BY 1, 2),
+f AS (SELECT d.*, person, stage, first_value(stage) OVER (PARTITION BY chapter, person ORDER BY d.o) AS now FROM d LEFT JOIN reg0 ON ord = c),
+s AS (SELECT *, CASE WHEN person IS NULL THEN role ELSE 'p' || person || ' ' || CASE WHEN chapter % 2 = 0 AND person % 2 = 0 AND EXISTS (SELECT 1 FROM reg0 AS x WHERE x.person = f.person AND x.stage = 'elder') THEN 'elder' ELSE now END END AS said FROM f),
+n AS (SELECT chapter, said, row_number() OVER (PARTITION BY chapter ORDER BY min(o)) - 1 AS idx FROM s GROUP BY chapter, said)
+SELECT r.chapter, r.o, n.idx AS role_idx, n.said AS role FROM r JOIN s ON s.chapter = r.chapter AND s.role = r.role JOIN n ON n.chapter = s.chapter AND n.said = s.said""")
+def confirmed_roles(spark, sf_dir):
+    """Orders as quotes of chapters, customers as persons at three ages: a person's roles in a chapter become the role of one age, that of
+    the first by default; even chapters ask for the elder of even persons, where there is one."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    stage = F.upper(F.element_at(F.array(*map(F.lit, ("child", "adult", "elder"))), (c % 3 + 1).cast("int")))
+    role = F.when(k % 9 == 0, "Narrator").when(k % 9 == 1, "stranger").otherwise(F.concat(F.lit("P"), F.floor(c / 3).cast("string"), F.lit(" "), stage))
+    said = orders(spark, sf_dir).select(F.floor(c / 30).alias("chapter"), k.alias("o"), role.alias("role"))
+    first = said.groupBy("chapter", "role").agg(F.min("o").alias("role_idx"))
+    rows = said.join(first, ["chapter", "role"]).select("chapter", "o", "role_idx")
+    registry_ = persons(spark, sf_dir)
+    people = said.filter("o % 9 > 1").select("chapter", F.concat(F.lit("p"), F.regexp_extract("role", "P([0-9]+)", 1)).alias("person_id")).distinct()
+    elders = registry_.filter("age_stage = 'elder'").select("person_id", "age_stage")
+    even = (F.col("chapter") % 2 == 0) & (F.substring("person_id", 2, 20).cast("long") % 2 == 0)
+    asked = people.filter(even).join(elders, "person_id").select("chapter", "person_id", "age_stage")
+    roles, moved, _ = C.confirmed(first, rows, registry_, asked)
+    return moved.join(roles, ["chapter", "role_idx"]).select("chapter", "o", "role_idx", "role")
+
+
 @query("first_speaker", f"WITH {SPEAKERS_SQL}, u AS (SELECT conv_id * 1000 + turn AS u, 'c_' || conv_id || '_' || role AS role_id, 'voices/_temp/' || CASE WHEN turn % 2 = 0 THEN role ELSE 'x' END AS path FROM conversations), m AS (SELECT u, chapter * 1000 + ord AS o, label FROM u JOIN sp ON sp.role_id = u.role_id UNION ALL SELECT u, chapter * 1000 + ord, label FROM u JOIN sp ON 'voices/_temp/' || label = path) SELECT u.u, arg_min(label, o) AS label FROM u LEFT JOIN m USING (u) GROUP BY u.u")
 def first_speaker(spark, sf_dir):
     units = conversations(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("u"), F.concat_ws("_", F.lit("c"), F.col("conv_id").cast("string"), "role").alias("role_id"), F.concat(F.lit("voices/_temp/"), F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise("x")).alias("path"))
@@ -101,7 +147,7 @@ b AS (SELECT *, coalesce({slug('raw')}, 'tmp_' || lpad(i::VARCHAR, 3, '0')) AS b
 n AS (SELECT *, row_number() OVER (PARTITION BY chapter, base ORDER BY pos) AS again FROM b),
 r AS (SELECT *, CASE WHEN again = 1 THEN base ELSE base || '_' || again END AS local_id FROM n),
 d AS (SELECT *, chapter || '_' || local_id AS role_id, ('0x' || substr(sha256('tpch:' || chapter || '_' || local_id), 1, 8))::BIGINT AS seed FROM r)
-SELECT chapter, local_id, role_id, seed, 'adult; calm, dry; Irish; Irish accent' AS description, 'A adult voice; calm, dry personality; Irish pronunciation: keep the accent consistent, audible, and do not drift into General American unless requested; clear natural audiobook delivery, with ' || array_to_string(list_transform(range(3), lambda i: {LABELS_SQL}[(seed + i) % 8 + 1]), ', ') || '.' AS instruction FROM d""")
+SELECT chapter, local_id, role_id, seed, 'adult; calm, dry; Irish; Irish accent' AS description, 'A adult voice; calm, dry personality; {V.ACCENT_INSTRUCTIONS['irish']}; clear natural audiobook delivery, with ' || array_to_string(list_transform(range(3), lambda i: {LABELS_SQL}[(seed + i) % 8 + 1]), ', ') || '.' AS instruction FROM d""")
 def chapter_speakers(spark, sf_dir):
     rows = conversations(spark, sf_dir).select(F.col("conv_id").cast("string").alias("chapter"), F.col("turn").alias("pos"), F.when(F.col("turn") % 2 == 0, F.col("role")).alias("local_id"), F.col("role").alias("label"), F.lit("adult").alias("age_stage"), F.lit("unknown").alias("gender"), F.array(F.lit("calm"), F.lit(" dry ")).alias("personality"), F.lit("Irish").alias("race"), none().alias("accent"))
     out = C.chapter_speakers(rows, "tpch").select(F.col("chapter").cast("long").alias("chapter"), "local_id", "role_id", "seed", "description", "instruction")
