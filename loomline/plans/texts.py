@@ -106,7 +106,7 @@ def marked_text(spark, sf_dir):
     return P.marked(documents(spark, sf_dir), "doc_id", "text")
 
 
-def _units_sql(sentence: str) -> str:
+def units_sql(sentence: str) -> str:
     """Role units by a recursion over the sentences of each document, which hands on whether a quote is open."""
     clean = lambda x: f"regexp_replace({x}, '^' || {SPACES_SQL} || '|' || {SPACES_SQL} || '$', '', 'g')"
     out, inside, tail = """'"[^"]*(?:"|$)|“[^”]*(?:”|$)'""", """'["“][^"”]*(?:["”]|$)'""", """'^[^"”]*["”]?'"""
@@ -121,16 +121,21 @@ u AS (SELECT doc_id, idx, list_filter([CASE WHEN head <> '' THEN trim(head || '
 SELECT doc_id, idx, unnest(range(len(units))) AS part, unnest(units) AS unit FROM u"""
 
 
-@query("role_units", _units_sql("sentence"))
+@query("role_units", units_sql("sentence"))
 def role_units(spark, sf_dir):
     return P.role_unit_rows(P.sentence_rows(documents(spark, sf_dir), "doc_id", "text"), "doc_id", "idx", "sentence")
 
 
-@query("quoted_units", _units_sql("translate(sentence, 'kvwz', '“”\"\"')"))
+#: Rare letters, and the quotation marks that they are taken for.
+QUOTED = ("kvwz", "“”\"\"")
+QUOTED_SQL = "translate(sentence, 'kvwz', '“”\"\"')"
+
+
+@query("quoted_units", units_sql(QUOTED_SQL))
 def quoted_units(spark, sf_dir):
     """The same where rare letters are taken for marks, so that quotes open, run on over sentences and close in every way."""
     rows = P.sentence_rows(documents(spark, sf_dir), "doc_id", "text")
-    return P.role_unit_rows(rows.withColumn("sentence", F.translate("sentence", "kvwz", "“”\"\"")), "doc_id", "idx", "sentence")
+    return P.role_unit_rows(rows.withColumn("sentence", F.translate("sentence", *QUOTED)), "doc_id", "idx", "sentence")
 
 
 @query("chapter_split", r"""WITH b AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM documents),
