@@ -39,6 +39,13 @@ def attributed(quotes: DataFrame, attribution: DataFrame, key: str, idx: str, st
     return met.withColumn("__has", F.coalesce("__has", failed.cast("boolean"))).filter("__has").drop("__has")
 
 
+def script_units(rows: DataFrame, units: DataFrame, key: str, idx: str) -> DataFrame:
+    """Script rows with the columns of their units; a row of a unit that isn't there is an error, units without a row drop out."""
+    met = rows.join(units.withColumn("__has", F.lit(True)), [key, idx], "left")
+    failed = F.raise_error(F.concat(F.lit("unknown unit "), F.coalesce(F.col(idx).cast("string"), F.lit("null"))))
+    return met.withColumn("__has", F.coalesce("__has", failed.cast("boolean"))).filter("__has").drop("__has")
+
+
 def quote_segments(df: DataFrame, key: list[str], text: str, spoken: str) -> DataFrame:
     """key, part, is_quote, segment: a unit's quotes and what stands between them, trimmed, without blanks.
 

@@ -42,6 +42,23 @@ def attributed_quotes(spark, sf_dir):
     return P.attributed(c.select("chapter", "idx", F.length("text").cast("long").alias("n_chars")), attribution, "chapter", "idx")
 
 
+@query("script_units", "SELECT conv_id AS chapter, turn AS idx, upper(role) AS said, length(text) AS n_chars FROM conversations WHERE turn % 4 <> 3")
+def script_units(spark, sf_dir):
+    c = conversations(spark, sf_dir).select(F.col("conv_id").alias("chapter"), F.col("turn").alias("idx"), "role", "text")
+    rows = c.filter("idx % 4 <> 3").select("chapter", "idx", F.upper("role").alias("said"))
+    return P.script_units(rows, c.select("chapter", "idx", F.length("text").cast("long").alias("n_chars")), "chapter", "idx").select("chapter", "idx", "said", "n_chars")
+
+
+@query("report_lines", "SELECT (n_nationkey + 2)::BIGINT AS n, '| ' || n_nationkey || ' | ' || n_name || ' \\| x | ' || CASE WHEN n_regionkey = 1 THEN '' ELSE '[' || n_regionkey || ',0]' END || ' |' AS line FROM nation UNION ALL SELECT 0::BIGINT, '| key | name | regions |' UNION ALL SELECT 1::BIGINT, '| --- | --- | --- |'")
+def report_lines(spark, sf_dir):
+    """Nations as a Markdown table, with a bar and a line break in each name and lists that may be null."""
+    from ..sources.files import markdown_lines
+
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    regions = F.when(F.col("n_regionkey") != 1, F.array(F.col("n_regionkey"), F.lit(0).cast("long")))
+    return markdown_lines(n.select(F.col("n_nationkey").alias("key"), F.concat("n_name", F.lit("\n| x")).alias("name"), regions.alias("regions")), ["key"])
+
+
 @query("quote_segments", r"""WITH t AS (SELECT doc_id, text, (doc_id % 2 = 0) AND NOT regexp_matches(text, '["“]') AND contains(text, '”') AS inside FROM documents),
 x AS (SELECT doc_id, inside, CASE WHEN inside THEN regexp_extract_all(text, '[^”]*”|[^”]+') ELSE regexp_extract_all(text, '["“][^"”]*(?:["”]|$)|[^"“]+') END AS xs FROM t),
 p AS (SELECT doc_id, inside, unnest(xs) AS s, unnest(range(len(xs))) AS i FROM x),

@@ -167,11 +167,28 @@ def write_events(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    """A table as CSV, nested columns as JSON text, and as JSON lines."""
-    flat = [F.to_json(c).alias(c) if isinstance(df.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(c) for c in df.columns]
-    df.select(*flat).write.mode("overwrite").csv(f"{path}/csv", header=True)
+def _flat(df: DataFrame) -> list:
+    """The columns of a table, nested ones as JSON text."""
+    return [F.to_json(c).alias(c) if isinstance(df.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(c) for c in df.columns]
+
+
+def markdown_lines(df: DataFrame, order: list[str]) -> DataFrame:
+    """n, line: a table as Markdown, its rows in the order of columns that tell them apart; nested cells as JSON, nulls blank, bars escaped, line breaks as spaces."""
+    from ..operators.sequence import numbered
+
+    cell = lambda c: F.regexp_replace(F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), r"\s*[\r\n]+\s*", " ")
+    row = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    rows = numbered(df, [F.col(c) for c in order], "__n", 2).select("__n", *_flat(df))
+    head = df.sparkSession.createDataFrame([(0, f"| {' | '.join(df.columns)} |"), (1, "| " + " | ".join("---" for _ in df.columns) + " |")], "n long, line string")
+    return head.unionByName(rows.select(F.col("__n").alias("n"), row([cell(c) for c in df.columns]).alias("line")))
+
+
+def write_report(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """A table as CSV, nested columns as JSON text, as JSON lines, and, where an order is given, as Markdown, whose files in the order of their names are one table."""
+    df.select(*_flat(df)).write.mode("overwrite").csv(f"{path}/csv", header=True)
     df.write.mode("overwrite").json(f"{path}/json")
+    if order:
+        markdown_lines(df, order).orderBy("n").select("line").write.mode("overwrite").text(f"{path}/markdown")
 
 
 def write_chapters(df: DataFrame, path: str, chapter: str = "chapter", text: str = "text") -> None:

@@ -34,3 +34,22 @@ def test_numbered_over_ranges(spark):
     assert {r["__n"] for r in got} == {1}
     assert {r["x"]: r["place"] for r in got} == {x: i + 5 for i, x in enumerate(sorted((i * 7919 % 3001 for i in range(3000)), reverse=True))}
     assert sequence.numbered(df.limit(0), [F.col("x")], "place").count() == 0
+
+
+def test_reports(spark, tmp_path):
+    from loomline.sources.files import write_report
+
+    rows = spark.createDataFrame([(i, "a|b" if i % 2 else None, [i]) for i in range(30)], "k int, `na me` string, l array<int>").repartition(4)
+    write_report(rows, str(tmp_path), ["k"])
+    lines = "".join(f.read_text() for f in sorted((tmp_path / "markdown").glob("part-*"))).splitlines()
+    assert lines == ["| k | na me | l |", "| --- | --- | --- |", *(f"| {i} | {'a' + chr(92) + '|b' if i % 2 else ''} | [{i}] |" for i in range(30))]
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 30 and spark.read.json(str(tmp_path / "json")).count() == 30
+
+
+def test_unknown_units_are_an_error(spark):
+    from loomline.operators import script
+
+    units = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], "c string, u int, text string")
+    assert [r["text"] for r in script.script_units(units.limit(1).select("c", "u"), units, "c", "u").collect()] == ["x"]
+    with pytest.raises(Exception, match="unknown unit 9"):
+        script.script_units(spark.createDataFrame([("a", 9)], "c string, u int"), units, "c", "u").collect()
