@@ -72,7 +72,9 @@ def merge_matches(incoming: DataFrame, registry: DataFrame, key: str) -> DataFra
     mine = _names(incoming.withColumn("__stage", stage("age_stage")), [key, "__stage"], "name", "profile_id", spaced("profile_id"), F.when(unknown, F.col("person_id")), more="aliases")
     theirs = _names(registry.withColumn("__other", stage("age_stage")), ["ord", "role_id", "__other"], "role_id", spaced("role_id"), "profile_id", spaced("profile_id"), "display_name", "person_id", more="aliases")
     clash = ~F.col("__stage").isin("", "unknown") & ~F.col("__other").isin("", "unknown") & (F.col("__stage") != F.col("__other"))
-    met = mine.join(theirs, "key").filter(~clash)
+    # a name that many roles have joins as one row for each age stage, that of its first role
+    first = theirs.groupBy("key", "__other").agg(F.min_by("role_id", "ord").alias("role_id"), F.min("ord").alias("ord"))
+    met = mine.join(first, "key").filter(~clash)
     return met.groupBy(key).agg(F.min_by("role_id", "ord").alias("role_id"))
 
 
