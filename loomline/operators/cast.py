@@ -80,8 +80,9 @@ def merge_matches(incoming: DataFrame, registry: DataFrame, key: str) -> DataFra
 
 def first_of(rows: DataFrame, left: DataFrame, key: str, order: str, either: list[tuple[str, str]], value: str) -> DataFrame:
     """left with value of the first of rows (by order) that agrees in any of the pairs (column of left, column of rows): one
-    equi-join for each pair instead of a nested loop."""
-    parts = [left.select(key, F.col(mine).alias("__k")).join(rows.select(F.col(theirs).alias("__k"), order, value), "__k").select(key, order, value) for mine, theirs in either]
+    equi-join for each pair instead of a nested loop, with the first row of each column's value alone."""
+    firsts = lambda c: rows.groupBy(F.col(c).alias("__k")).agg(F.min_by(value, order).alias(value), F.min(order).alias(order))
+    parts = [left.select(key, F.col(mine).alias("__k")).join(firsts(theirs), "__k").select(key, order, value) for mine, theirs in either]
     every = parts[0]
     for p in parts[1:]:
         every = every.union(p)

@@ -33,3 +33,12 @@ def test_a_name_of_all_is_matched_once_a_stage(spark):
     got = cast.merge_matches(new, held, "id")
     assert join_rows(got) <= 3 * n
     assert {r.id: r.role_id for r in got.collect()} == {i: "r2" if i % 2 == 0 else "r1" for i in range(n)}
+
+
+def test_first_of_many_equal_rows_joins_once(spark):
+    n = 300
+    rows = spark.range(n).select(F.lit("x").alias("path"), F.col("id").alias("role"), (F.lit(n) - F.col("id")).alias("o"), F.concat(F.lit("l"), F.col("id").cast("string")).alias("label"))
+    left = spark.range(n).select(F.col("id").alias("u"), F.lit("x").alias("path"), F.col("id").alias("role"))
+    got = cast.first_of(rows, left, "u", "o", [("role", "role"), ("path", "path")], "label")
+    assert join_rows(got) <= 2 * n
+    assert {r.label for r in got.collect()} == {f"l{n - 1}"}
