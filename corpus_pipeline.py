@@ -1,4 +1,4 @@
-"""Corpus cleaning and packing: toxicity, line dedup, near-dedup by shingles, decontamination, best-fit packing.
+"""Corpus cleaning and packing: toxicity, line dedup, near-dedup by SimHash and shingles, decontamination, best-fit packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents. n_chars follows the text.
@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import decontaminate, line_dedup, near_dedup, packing, toxicity
+from loomline.llm import decontaminate, line_dedup, near_dedup, packing, simhash, toxicity
 from loomline.llm._shared import materialise
 
-#: Near duplicates: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+#: Near duplicates: documents whose SimHash fingerprints (see simhash) differ in two bits at most, or whose sets of five-word shingles have
+#: a Jaccard similarity of 0.8 or more, which lies further apart than fingerprints of 64 bits can be searched for.
 SHINGLE, SIMILARITY = 5, 0.8
 
 
@@ -28,7 +29,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near duplicates."""
-    return near_dedup.keep_first(docs, SHINGLE, SIMILARITY)
+    found = simhash.united(simhash.groups(docs), near_dedup.groups(docs, SHINGLE, SIMILARITY))
+    return simhash.keep_rows(docs, *found, "doc_id", "text")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

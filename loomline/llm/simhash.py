@@ -376,12 +376,27 @@ def keep_rows(df: DataFrame, prints: DataFrame, roots: DataFrame, id_col: str, t
     return alone.union(one.select("whole")).select("whole.*")
 
 
-def keep_first(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of df, with all its columns (see keep_rows)."""
+def groups(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """doc_id, row (see row_hash) and fp of every row; and fp and root of the fingerprints that have links."""
     rows = df.select(F.struct(F.col(id_col).alias("doc_id"), row_hash(text_col).alias("row")).alias("own"), F.col(text_col).alias("text"))
     prints, _ = materialise(fingerprints(rows, shingle, "own", "text").select("doc_id.*", "fp"), "fingerprints")
     nodes, _ = materialise(prints.select("fp").distinct(), "nodes")
-    return keep_rows(df, prints, components(near_links(nodes, radius)), id_col, text_col)
+    return prints, components(near_links(nodes, radius))
+
+
+def united(first: tuple[DataFrame, DataFrame], second: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The groups of two ways of linking the same rows, joined where they share a row: prints and roots as groups() gives them."""
+    rooted = [prints.join(roots, "fp", "left").select("doc_id", "row", F.coalesce("root", "fp").alias(name)) for (prints, roots), name in ((first, "a"), (second, "b"))]
+    other = rooted[1].distinct().select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "b")
+    both, _ = materialise(rooted[0].join(other, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row"))).select("doc_id", "row", "a", "b"), "both")
+    least = both.groupBy("b").agg(F.min("a").alias("least"))
+    links = both.select("a", "b").distinct().join(least, "b").filter("a <> least").select("a", F.col("least").alias("b"))
+    return both.select("doc_id", "row", F.col("a").alias("fp")), components(links)
+
+
+def keep_first(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of df, with all its columns (see keep_rows)."""
+    return keep_rows(df, *groups(df, shingle, radius, id_col, text_col), id_col, text_col)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,3 +83,14 @@ def test_stage_on_nulls_and_repeated_rows(spark):
     kept = corpus_pipeline.near_duplicates(spark, frame, "").collect()
     assert sorted(map(tuple, kept), key=repr) == sorted([(1, a), (2, b), (3, "alone"), (None, "left"), (None, "right")], key=repr)
     assert corpus_pipeline.near_duplicates(spark, frame.limit(0), "").count() == 0
+
+
+def test_stage_links_by_simhash_too(spark):
+    """Two texts of one fingerprint whose shingle sets aren't similar, a chain over both ways of linking, and a text that neither links."""
+    from loomline.llm import simhash
+
+    long = " ".join(f"w{i}" for i in range(40))
+    texts = [" ".join(["x y z"] * 60 + ["a b c"]), " ".join(["x y z"] * 60 + ["d e f"]), " ".join(["x y z"] * 60 + ["d e f g"]), long, long + " more", "some other words stand here alone"]
+    assert simhash.fingerprint(texts[0].encode()) == simhash.fingerprint(texts[1].encode()) and jaccard(shingles(texts[0]), shingles(texts[1])) < 0.8
+    frame = spark.createDataFrame([(9 - i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame, "").collect()) == [4, 5, 7]
