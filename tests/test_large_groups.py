@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loomline.operators import cast
+from loomline.operators import cast, lookup
 
 
 def join_rows(frame) -> int:
@@ -42,3 +42,39 @@ def test_first_of_many_equal_rows_joins_once(spark):
     got = cast.first_of(rows, left, "u", "o", [("role", "role"), ("path", "path")], "label")
     assert join_rows(got) <= 2 * n
     assert {r.label for r in got.collect()} == {f"l{n - 1}"}
+
+
+def crowd(spark, n):
+    """n roles of one name, as candidates with that name and their own, some with names of nobody; and the bridge."""
+    own = F.concat(F.lit("r"), F.col("id").cast("string"))
+    said = spark.range(n + 2).select("id", F.when(F.col("id") == n, F.array(F.lit("nobody"))).when(F.col("id") == n + 1, F.array(own, F.lit("Ann"), F.lit("Two"))).otherwise(F.array(F.lit("ann"), own)).alias("names")).repartition(3)
+    bridge = spark.range(n).select(F.explode(F.array(own, F.when(F.col("id") % 7 != 0, "ann"), F.when(F.col("id") % 2 == 0, "two"))).alias("alias"), own.alias("role_id")).filter("alias is not null")
+    ann, two = {f"r{i}" for i in range(n) if i % 7}, {f"r{i}" for i in range(0, n, 2)}
+    want = {i: sorted(ann | {f"r{i}"}) for i in range(n)} | {n: [], n + 1: sorted(ann | two)}
+    return said, bridge, {k: ",".join(v) for k, v in want.items()}
+
+
+def shuffled(frame) -> int:
+    """The bytes of the largest shuffle of a frame."""
+    frame.collect()
+    most, open_ = 0, [frame._jdf.queryExecution().executedPlan()]
+    while open_:
+        node = open_.pop()
+        if node.metrics().contains("dataSize") and node.getClass().getSimpleName() == "ShuffleExchangeExec":
+            most = max(most, node.metrics().apply("dataSize").value())
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            open_.append(node.executedPlan())
+        elif node.getClass().getSimpleName().endswith("QueryStageExec"):
+            open_.append(node.plan())
+        else:
+            children = node.children()
+            open_ += [children.apply(i) for i in range(children.size())]
+    return most
+
+
+def test_a_list_that_many_share_moves_once(spark):
+    said, bridge, want = crowd(spark, 2000)
+    got = lookup.match_candidates(said, bridge, "id", "names")
+    assert shuffled(got) < 2_000_000  # all lists are 22 MB
+    assert {r.id: r.roles for r in got.collect()} == want
+    assert {r.id: (r.n_roles, r.role_id) for r in got.collect()} == {k: (len(v.split(",")) if v else 0, None) for k, v in want.items()}
