@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loomline.operators import cast, lookup
+from loomline.operators import annotation, cast, lookup
 
 
 def join_rows(frame) -> int:
@@ -78,3 +78,6 @@ def test_a_list_that_many_share_moves_once(spark):
     assert shuffled(got) < 2_000_000  # all lists are 22 MB
     assert {r.id: r.roles for r in got.collect()} == want
     assert {r.id: (r.n_roles, r.role_id) for r in got.collect()} == {k: (len(v.split(",")) if v else 0, None) for k, v in want.items()}
+    taken = annotation.collisions(said, bridge, "names")
+    assert shuffled(taken) < 2_000_000
+    assert {r.id: r.taken_by for r in taken.collect()} == {k: v for k, v in want.items() if v}
