@@ -17,9 +17,11 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import name_key
+from ..session import scratch
 from ..sources.tail import store
 from .annotation import compact, race_and_accent
-from .lookup import match_candidates
+from .lookup import listed, named_roles
 from .merging import merged
 from .sequence import capacity_windows
 
@@ -69,14 +71,24 @@ class Kept:
         self.system.move(draft, file)
 
 
-def answered(df: DataFrame, key: str, prompt: str, client: Client, check: Check, answers: str, at_once: int = 8, retries: int = 2) -> DataFrame:
+def answered(df: DataFrame, key: str, prompt: str, client: Client, check: Check, answers: str, at_once: int = 8, retries: int = 2, made: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """key, answer (JSON text or null), errors, tries of every row. Equal prompts are one question; a null prompt is an empty one.
 
+    made: adds the prompt to rows of df, where prompts are long but what they are made of is short: they are made once to be told apart, and
+    again where they are asked, and never move. Keys must then be distinct and not null.
+
     answers: a folder that all executors share. at_once: how many questions a task has open at a time. Right answers are kept for good; a question whose
     answers were all wrong is open again the next time. client and check are sent to the executors, so they must be picklable.
     """
-    asked = df.select(key, F.coalesce(prompt, F.lit("")).alias("__prompt")).withColumn("__digest", F.sha2("__prompt", 256))
-    questions = asked.groupBy("__digest").agg(F.first("__prompt").alias("__prompt"))
+    whole = lambda rows, *more: (made(rows) if made else rows).select(*more, F.coalesce(prompt, F.lit("")).alias("__prompt"))
+    if made is None:
+        asked = whole(df, key).withColumn("__digest", F.sha2("__prompt", 256))
+        questions = asked.groupBy("__digest").agg(F.first("__prompt").alias("__prompt"))
+    else:
+        scratch(df.sparkSession)
+        asked = whole(df, key).select(key, F.sha2("__prompt", 256).alias("__digest")).checkpoint()
+        one = asked.groupBy("__digest").agg(F.min(key).alias(key))
+        questions = whole(df.join(one, key), "__digest")
 
     def run(batches):
         kept = Kept(answers)
@@ -91,8 +103,8 @@ def answered(df: DataFrame, key: str, prompt: str, client: Client, check: Check,
 
         with ThreadPoolExecutor(at_once) as pool:
             for b in batches:
-                for lo in range(0, b.num_rows, 16 * at_once):
-                    part = b.slice(lo, 16 * at_once)
+                for lo in range(0, b.num_rows, 2 * at_once):
+                    part = b.slice(lo, 2 * at_once)
                     out = list(pool.map(one, part.column(0).to_pylist(), part.column(1).to_pylist()))
                     yield pa.record_batch([part.column(0), *(pa.array([x[c] for x in out], k) for c, k in (("answer", pa.string()), ("errors", pa.string()), ("tries", pa.int64())))], names=["__digest", "answer", "errors", "tries"])
 
@@ -115,14 +127,20 @@ def consolidated(candidates: DataFrame, bridge: DataFrame, key: str, aliases: st
 
     The prompt is a JSON object with names and roles; the answer is one with role_id, which must be one of these roles.
     """
-    met = match_candidates(candidates, bridge, key, aliases)
-    open_ = met.filter("n_roles > 1").join(candidates.select(key, aliases), key)
-    prompt = F.to_json(F.struct(F.array_sort(F.array_distinct(F.array_compact(aliases))).alias("names"), F.split("roles", ",").alias("roles")))
-    told = answered(open_.select(key, prompt.alias("prompt")), key, "prompt", client, lambda a: [] if isinstance(a.get("role_id"), str) else ["no role_id"], answers, **how)
-    chosen = told.select(key, F.get_json_object("answer", "$.role_id").alias("__chosen"))
-    out = met.join(chosen, key, "left").withColumn("__ok", F.array_contains(F.split("roles", ","), F.col("__chosen")))
-    asked = F.when(F.col("__ok"), F.col("__chosen"))
-    return out.select(key, F.coalesce("role_id", asked).alias("role_id"), F.when(F.col("role_id").isNotNull(), "match").when(asked.isNotNull(), "asked").otherwise("none").alias("how"))
+    scratch(candidates.sparkSession)
+    named, lists = named_roles(candidates, bridge, key, aliases)
+    named, lists = named.checkpoint(), lists.checkpoint()
+    several = F.col("__many").isNotNull() | (F.size("__few") > 1)
+    own = candidates.select(key, F.array_sort(F.array_distinct(F.array_compact(aliases))).alias("names"))
+    prompt = F.to_json(F.struct("names", F.split("__roles", ",").alias("roles")))
+    made = lambda rows: listed(rows, lists, key).withColumn("prompt", prompt)
+    told = answered(named.filter(several).join(own, key), key, "prompt", client, lambda a: [] if isinstance(a.get("role_id"), str) else ["no role_id"], answers, made=made, **how)
+    chosen = told.select(key, F.get_json_object("answer", "$.role_id").alias("__chosen")).filter("__chosen is not null")
+    # the answer is one of the roles that the aliases name
+    said = candidates.select(key, F.explode(F.array_distinct(F.transform(aliases, name_key))).alias("alias")).join(chosen, key)
+    right = said.join(bridge.withColumnRenamed("role_id", "__chosen"), ["alias", "__chosen"], "left_semi").select(key, "__chosen").distinct()
+    out = named.select(key, F.when(~several, F.try_element_at("__few", F.lit(1))).alias("__one")).join(right, key, "left")
+    return out.select(key, F.coalesce("__one", "__chosen").alias("role_id"), F.when(F.col("__one").isNotNull(), "match").when(F.col("__chosen").isNotNull(), "asked").otherwise("none").alias("how"))
 
 
 CHARACTERS = "struct<characters:array<struct<name:string,age_stage:string,gender:string,race_or_accent:string,occupation:string,personality_type:string>>>"
@@ -151,6 +169,7 @@ def discovered(chapters: DataFrame, registry: DataFrame, client: Client, answers
     it was before; their characters are merged in the order of chapters. render: makes a prompt of the known characters (JSON) and a chunk's
     text, which are put after one another by default. A chunk that gets no right answer adds nothing.
     """
+    scratch(chapters.sparkSession)
     known = registry.select("role_id", "display_name", "age_stage", "gender", F.col("race_or_ethnicity").alias("race"), "accent", "occupation", "personality", "aliases")
     listed = F.array_sort(F.collect_list(F.struct("name", "age_stage", "gender", "race_or_accent", "occupation", "personality")))
     summary = compact(known).agg(F.to_json(listed).alias("known"))  # the registry of one book as one text, as prompts need it

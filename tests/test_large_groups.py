@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loomline.operators import annotation, cast, lookup
+from loomline.operators import annotation, asking, cast, lookup
 
 
 def join_rows(frame) -> int:
@@ -81,3 +81,15 @@ def test_a_list_that_many_share_moves_once(spark):
     taken = annotation.collisions(said, bridge, "names")
     assert shuffled(taken) < 2_000_000
     assert {r.id: r.taken_by for r in taken.collect()} == {k: v for k, v in want.items() if v}
+
+
+def test_long_prompts_are_made_where_they_are_asked(spark, tmp_path):
+    """What moves is what prompts are made of: the rows that ask, the answers, and no prompt."""
+    n = 300
+    df = spark.range(n).select("id", (F.col("id") % 150).alias("word")).repartition(3)
+    made = lambda rows: rows.withColumn("prompt", F.concat(F.repeat(F.lit("x"), 100_000), F.col("word").cast("string")))
+    got = asking.answered(df, "id", "prompt", lambda p: '{"n": %d}' % len(p), lambda a: [], str(tmp_path / "answers"), made=made)
+    assert shuffled(got) < 100_000
+    rows = got.collect()
+    assert {r.id: r.answer for r in rows} == {i: '{"n": %d}' % (100_000 + len(str(i % 150))) for i in range(n)}
+    assert asking.kept_answers(spark, str(tmp_path / "answers")).count() == 150
