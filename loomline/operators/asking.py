@@ -178,6 +178,6 @@ def discovered(chapters: DataFrame, registry: DataFrame, client: Client, answers
     part = F.concat(F.lit("## "), F.coalesce("title", F.lit("")), F.lit("\n"), F.col("text"))
     texts = chunked.groupBy("window_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__order", part.alias("t")))), lambda x: x["t"]), "\n\n").alias("chunk"))
     made = render or (lambda known_, chunk: F.concat(F.lit("Known characters: "), known_, F.lit("\n\n"), chunk))
-    prompts = texts.join(F.broadcast(summary)).select("window_id", made(F.coalesce("known", F.lit("[]")), F.col("chunk")).alias("prompt"))
-    told = answered(prompts, "window_id", "prompt", client, lambda a: [] if isinstance(a.get("characters"), list) else ["characters is no list"], answers, **how)
+    prompt = made(F.coalesce("known", F.lit("[]")), F.col("chunk"))
+    told = answered(texts.checkpoint(), "window_id", "prompt", client, lambda a: [] if isinstance(a.get("characters"), list) else ["characters is no list"], answers, made=lambda rows: rows.join(F.broadcast(summary)).withColumn("prompt", prompt), **how)
     return merged(registry, character_rows(told, "window_id"))
