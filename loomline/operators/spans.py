@@ -10,6 +10,8 @@ from ..functions.text import HEADING, QUOTE, SPACES, sentences, title
 from .sequence import BLOCK, before, blocks_of, over_blocks, running_sum
 
 WHITE = " \t\n\x0b\f\r"
+#: Sentences of a text that are folded at once; lists grow inside of so many and by so many, so no list is copied for each sentence.
+RUN = 500
 
 
 def sentence_rows(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -91,6 +93,8 @@ def titles(df: DataFrame, key: str, text: str, stem: str = "document_%s") -> Dat
 #: Quotes of a sentence that begins outside of one: a mark is closed by its own kind, or runs on; and of one that began inside, where any closing mark ends a quote.
 OUTSIDE, INSIDE = r'"[^"]*(?:"|\z)|“[^”]*(?:”|\z)', r'["“][^"”]*(?:["”]|\z)'
 TAIL = r'\A[^"”]*["”]?'
+#: Sentences without any of these are one unit, and leave a quote open or closed as it was.
+MARK = '["“”]'
 
 
 def _open_after(c: Column) -> tuple[Column, Column]:
@@ -137,6 +141,11 @@ def open_before(df: DataFrame, key: str, order: str, text: str, name: str, block
     return met.withColumn(name, state).select(*df.columns, name)
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), where value is worked out once, however often and in whatever lambda it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def role_units(text: Column, inside: Column) -> Column:
     """The units of a sentence, one for each quote: narration before the first quote joins it, later narration joins the unit before.
 
@@ -144,15 +153,58 @@ def role_units(text: Column, inside: Column) -> Column:
     """
     clean = lambda c: F.regexp_replace(c, rf"\A{SPACES}|{SPACES}\z", "")
     said = F.coalesce(text, F.lit(""))
-    head = clean(F.when(inside, F.regexp_extract(said, TAIL, 0)).otherwise(""))
-    rest = F.when(inside, F.regexp_replace(said, TAIL, "")).otherwise(said)
-    quotes = F.when(inside, F.regexp_extract_all(rest, F.lit(INSIDE), F.lit(0))).otherwise(F.regexp_extract_all(rest, F.lit(OUTSIDE), F.lit(0)))
-    between = F.transform(F.when(inside, F.split(rest, INSIDE, -1)).otherwise(F.split(rest, OUTSIDE, -1)), clean)
     joined = lambda *parts: F.array_join(F.filter(F.array(*parts), lambda x: x != ""), " ")
-    first = F.element_at(between, 1)
-    units = F.transform(quotes, lambda q, i: joined(F.when((i == 0) & (head == ""), first).otherwise(""), clean(q), F.element_at(between, i.cast("int") + 2)))
-    led = F.when(head != "", F.array(joined(head, first))).when(F.size(quotes) == 0, F.array(first)).otherwise(F.array().cast("array<string>"))
-    return F.filter(F.concat(led, units), lambda u: u != "")
+
+    def units(x: Column) -> Column:
+        head, quotes, between = x["head"], x["quotes"], x["between"]
+        first = F.element_at(between, 1)
+        each = F.transform(quotes, lambda q, i: joined(F.when((i == 0) & (head == ""), first).otherwise(""), clean(q), F.element_at(between, i.cast("int") + 2)))
+        led = F.when(head != "", F.array(joined(head, first))).when(F.size(quotes) == 0, F.array(first)).otherwise(F.array().cast("array<string>"))
+        return F.concat(led, each)
+
+    def cut(rest: Column, pattern: str, head: Column) -> Column:
+        return F.struct(head.alias("head"), F.regexp_extract_all(rest, F.lit(pattern), F.lit(0)).alias("quotes"), F.transform(F.split(rest, pattern, -1), clean).alias("between"))
+
+    tail = _once(F.regexp_replace(said, TAIL, ""), lambda rest: cut(rest, INSIDE, clean(F.regexp_extract(said, TAIL, 0))))
+    found = F.when(~F.regexp_like(said, F.lit(MARK)), F.array(clean(said))).otherwise(_once(F.when(inside, tail).otherwise(cut(said, OUTSIDE, F.lit(""))), units))
+    return F.filter(found, lambda u: u != "")
+
+
+def insides(said: Column) -> Column:
+    """Whether a quote is open where each of a text's sentences begins, from closed at the start: a fold over an array, runs of so many at once."""
+
+    def step(c: Column) -> Column:
+        """The state after a sentence: bit 0 where it begins outside, bit 1 where it begins inside."""
+        out, inside = _open_after(c)
+        return F.when(F.regexp_like(c, F.lit(MARK)), out.cast("int") + 2 * inside.cast("int")).otherwise(2)
+
+    none = F.array().cast("array<boolean>")
+    state = lambda open_, was: F.struct(open_.alias("open"), was.alias("was"))
+
+    def after(a: Column, s: Column) -> Column:
+        return state(F.when(a["open"], s >= 2).otherwise(s % 2 == 1), F.concat(a["was"], F.array(a["open"])))
+
+    def fold(steps: Column) -> Column:
+        runs = F.sequence(F.lit(0), F.floor((F.greatest(F.size(steps), F.lit(1)) - 1) / RUN).cast("int"))
+        one = lambda a, k: F.aggregate(F.slice(steps, k * RUN + 1, RUN), state(a["open"], none), after)
+        return F.aggregate(runs, state(F.lit(False), none), lambda a, k: _once(one(a, k), lambda run: state(run["open"], F.concat(a["was"], run["was"]))), lambda a: a["was"])
+
+    return _once(F.transform(said, lambda c: step(F.coalesce(c, F.lit("")))), fold)
+
+
+def text_role_units(df: DataFrame, key: str, text: str, as_read=lambda sentence: sentence) -> DataFrame:
+    """key, idx, part, unit: what role_unit_rows gives for the sentences of each text, without any shuffle, as a text is one row.
+
+    as_read: what a sentence is read as.
+    """
+    found = _once(F.transform(sentences(F.col(text)), as_read), lambda ss: F.zip_with(ss, insides(ss), lambda s, i: F.struct(s.alias("sentence"), i.alias("inside"))))
+    rows = df.select(key, F.posexplode(found).alias("idx", "__s"))
+    return rows.select(key, F.col("idx").cast("long").alias("idx"), F.posexplode(role_units(F.col("__s.sentence"), F.col("__s.inside"))).alias("part", "unit")).withColumn("part", F.col("part").cast("long"))
+
+
+def text_units(text: Column) -> Column:
+    """All role units of a text, in order."""
+    return F.flatten(_once(sentences(text), lambda ss: F.zip_with(ss, insides(ss), role_units)))
 
 
 def role_unit_rows(df: DataFrame, key: str, idx: str, sentence: str, block: int = BLOCK) -> DataFrame:
