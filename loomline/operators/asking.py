@@ -1,8 +1,9 @@
 """Stages that ask an outside service: deterministic answers first, each distinct question once, several at a time, answers kept.
 
-Questions are told apart by the hash of their text. A task looks a question's answer up in a shared folder before it asks, and puts
-each answer there as soon as it has come; so a lost executor, a repeated stage or a later run asks only what is still open. An answer
-is a small file of its own: asking costs far more than a file.
+Questions are told apart by the hash of their text. A call looks up which of its questions have an answer in a shared folder, and asks the
+others. Each attempt of a task logs its answers, a line each, as soon as they have come, and one that runs again looks into the logs of
+the attempts before it; what all tasks were told is one compressed table for each call, and then its logs go. So a lost executor, a repeated
+stage or a later run asks only what is still open, and answers take a few files for each call, not one each.
 """
 
 from __future__ import annotations
@@ -11,9 +12,12 @@ import json
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from threading import Lock
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,34 +49,43 @@ def ask(client: Client, check: Check, prompt: str, retries: int) -> dict:
     return {"answer": None if errors else json.dumps(answer, sort_keys=True), "errors": "; ".join(errors), "tries": n}
 
 
-class Kept:
-    """Answers in a shared folder, by the hash of the question."""
+TOLD = "digest string, answer string, errors string, tries long"
 
-    def __init__(self, path: str):
-        self.system, self.path = store(path)
 
-    def _file(self, digest: str) -> str:
-        return f"{self.path}/{digest[:2]}/{digest}.json"
+class Log:
+    """What the attempts of one task were told, a line for each question; each attempt writes a file of its own.
 
-    def get(self, digest: str) -> dict | None:
-        try:
-            with self.system.open_input_stream(self._file(digest)) as f:
-                return json.loads(f.read())
-        except FileNotFoundError:
-            return None
+    On stores whose files are seen only when they are closed, a lost attempt's answers are lost with it.
+    """
 
-    def put(self, digest: str, found: dict) -> None:
-        """Readers see the whole answer or none."""
-        file = self._file(digest)
-        self.system.create_dir(file.rsplit("/", 1)[0], recursive=True)
-        draft = f"{self.path}/{digest[:2]}/.{uuid.uuid4().hex}"
-        with self.system.open_output_stream(draft) as out:
-            out.write(json.dumps(found).encode())
-        self.system.move(draft, file)
+    def __init__(self, path: str, partition: int, attempt: int):
+        self.system, self.path = store(path)
+        self.known: dict[str, dict] = {}
+        if attempt:
+            for f in self.system.get_file_info(fs.FileSelector(self.path, allow_not_found=True)):
+                if f.base_name.startswith(f"{partition:06d}-"):
+                    with self.system.open_input_stream(f.path) as old:
+                        for line in old.read().split(b"\n")[:-1]:  # a line without its end was being written
+                            found = json.loads(line)
+                            if found["answer"] is not None:
+                                self.known[found["digest"]] = found
+        self.file, self.out, self.lock = f"{self.path}/{partition:06d}-{uuid.uuid4().hex}.json", None, Lock()
+
+    def put(self, found: dict) -> None:
+        with self.lock:
+            if self.out is None:
+                self.system.create_dir(self.path, recursive=True)
+                self.out = self.system.open_output_stream(self.file)
+            self.out.write(json.dumps(found).encode() + b"\n")
+            self.out.flush()
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
 
 
 def answered(df: DataFrame, key: str, prompt: str, client: Client, check: Check, answers: str, at_once: int = 8, retries: int = 2, made: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """key, answer (JSON text or null), errors, tries of every row. Equal prompts are one question; a null prompt is an empty one.
+    """key, answer (JSON text or null), errors, tries of every row; asked now. Equal prompts are one question; a null prompt is an empty one.
 
     made: adds the prompt to rows of df, where prompts are long but what they are made of is short: they are made once to be told apart, and
     again where they are asked, and never move. Keys must then be distinct and not null.
@@ -80,25 +93,32 @@ def answered(df: DataFrame, key: str, prompt: str, client: Client, check: Check,
     answers: a folder that all executors share. at_once: how many questions a task has open at a time. Right answers are kept for good; a question whose
     answers were all wrong is open again the next time. client and check are sent to the executors, so they must be picklable.
     """
+    spark = df.sparkSession
+    scratch(spark)
     whole = lambda rows, *more: (made(rows) if made else rows).select(*more, F.coalesce(prompt, F.lit("")).alias("__prompt"))
+    full = whole(df, key).withColumn("__digest", F.sha2("__prompt", 256))
+    asked = full.select(key, "__digest").checkpoint()
+    kept = kept_answers(spark, answers).withColumnRenamed("digest", "__digest")
+    met = kept.join(asked.select("__digest").distinct(), "__digest", "left_semi").select("__digest", "answer", F.lit("").alias("errors"), "tries").checkpoint()
+    some = not met.isEmpty()
     if made is None:
-        asked = whole(df, key).withColumn("__digest", F.sha2("__prompt", 256))
-        questions = asked.groupBy("__digest").agg(F.first("__prompt").alias("__prompt"))
+        open_ = full.join(met.select("__digest"), "__digest", "left_anti") if some else full
+        questions = open_.groupBy("__digest").agg(F.first("__prompt").alias("__prompt"))
     else:
-        scratch(df.sparkSession)
-        asked = whole(df, key).select(key, F.sha2("__prompt", 256).alias("__digest")).checkpoint()
         one = asked.groupBy("__digest").agg(F.min(key).alias(key))
+        one = one.join(met.select("__digest"), "__digest", "left_anti") if some else one
         questions = whole(df.join(one, key), "__digest")
+    run_path = f"{answers.rstrip('/')}/{uuid.uuid4().hex}"
 
     def run(batches):
-        kept = Kept(answers)
+        task = TaskContext.get()
+        log = Log(f"{run_path}/log", task.partitionId(), task.attemptNumber())
 
         def one(digest: str, text: str) -> dict:
-            found = kept.get(digest)
+            found = log.known.get(digest)
             if found is None:
-                found = ask(client, check, text, retries)
-                if found["answer"] is not None:
-                    kept.put(digest, found)
+                found = {"digest": digest} | ask(client, check, text, retries)
+                log.put(found)
             return found
 
         with ThreadPoolExecutor(at_once) as pool:
@@ -106,19 +126,31 @@ def answered(df: DataFrame, key: str, prompt: str, client: Client, check: Check,
                 for lo in range(0, b.num_rows, 2 * at_once):
                     part = b.slice(lo, 2 * at_once)
                     out = list(pool.map(one, part.column(0).to_pylist(), part.column(1).to_pylist()))
-                    yield pa.record_batch([part.column(0), *(pa.array([x[c] for x in out], k) for c, k in (("answer", pa.string()), ("errors", pa.string()), ("tries", pa.int64())))], names=["__digest", "answer", "errors", "tries"])
+                    yield pa.record_batch([part.column(0), *(pa.array([x[c] for x in out], k) for c, k in (("answer", pa.string()), ("errors", pa.string()), ("tries", pa.int64())))], names=["digest", "answer", "errors", "tries"])
+        log.close()
 
-    told = questions.mapInArrow(run, "__digest string, answer string, errors string, tries long")
-    return asked.join(told, "__digest").select(key, "answer", "errors", "tries")
+    questions.mapInArrow(run, TOLD).write.parquet(f"{run_path}/told")
+    system, path = store(run_path)
+    system.delete_dir_contents(f"{path}/log", missing_dir_ok=True)
+    told = spark.read.schema(TOLD).parquet(f"{run_path}/told").withColumnRenamed("digest", "__digest")
+    return asked.join(told.unionByName(met) if some else told, "__digest").select(key, "answer", "errors", "tries")
 
 
 def kept_answers(spark, answers: str) -> DataFrame:
-    """digest, answer, tries of the answers kept in a folder."""
+    """digest, answer, tries of the answers kept in a folder: of calls that ended, and in the logs of those that didn't."""
     system, path = store(answers)
-    if system.get_file_info(path).type == fs.FileType.NotFound:
+    found = []
+    for run in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+        base = f"{answers.rstrip('/')}/{run.base_name}"
+        for f in system.get_file_info([f"{run.path}/told/_SUCCESS"]):
+            if f.type != fs.FileType.NotFound:
+                found.append(spark.read.schema(TOLD).parquet(f"{base}/told"))
+        if any(f.size for f in system.get_file_info(fs.FileSelector(f"{run.path}/log", allow_not_found=True))):
+            found.append(spark.read.schema(TOLD).json(f"{base}/log"))
+    if not found:
         return spark.createDataFrame([], "digest string, answer string, tries long")
-    rows = spark.read.schema("answer string, errors string, tries long").json(f"{answers}/*/*.json")
-    return rows.select(F.regexp_extract("_metadata.file_name", r"\A([0-9a-f]+)", 1).alias("digest"), "answer", "tries")
+    every = reduce(DataFrame.unionByName, found).filter("digest is not null and answer is not null")
+    return every.groupBy("digest").agg(F.first(F.struct("answer", "tries")).alias("x")).select("digest", "x.*")
 
 
 def consolidated(candidates: DataFrame, bridge: DataFrame, key: str, aliases: str, client: Client, answers: str, **how) -> DataFrame:
