@@ -55,10 +55,7 @@ def imported_books(spark, sf_dir):
     other = c.select("conv_id").distinct().select(book.alias("book"), slug.alias("slug"), rest).select("book", "slug", "m.path", F.col("m.data").cast("binary").alias("data"))
     root = place(spark, "library")
     books.import_books(chapters.unionByName(other), root, slug="slug")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(root).select("path", "length")
-    counts = files.groupBy(F.element_at(F.split("path", "/"), -3).alias("slug")).agg(F.count("*").alias("n_chapters"), F.sum("length").alias("n_bytes"))
-    titles = spark.read.schema("title string, slug string").option("recursiveFileLookup", "true").option("pathGlobFilter", books.MANIFEST).json(root, multiLine=True)
-    return counts.join(titles, "slug")
+    return books.library_books(spark, root).select("slug", "n_chapters", "n_bytes", F.get_json_object("manifest", "$.title").alias("title"))
 
 
 @query("upserted_table", "SELECT CASE WHEN p_partkey % 3 = 0 THEN p_partkey ELSE p_partkey + 0 END AS p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'new ' || p_name ELSE p_name END AS p_name, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END AS version FROM part UNION ALL SELECT -1 - p_partkey, p_name, 2 FROM part WHERE p_partkey % 3 = 1")

@@ -14,8 +14,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
@@ -46,12 +47,14 @@ def folder_slug(text: str) -> str:
     return re.sub(r"[^a-z0-9]+", "-", text.strip().lower()).strip("-") or "imported-book"
 
 
-def free_slug(base: str, taken: Callable[[str], bool]) -> str:
-    """base, or the first of base-2, base-3 ... that isn't taken."""
-    slug, n = base, 2
-    while taken(slug):
-        slug, n = f"{base}-{n}", n + 1
-    return slug
+def free_slug(base: str, taken: Callable[[str], bool], tried: dict[str, int]) -> str:
+    """base, or the first of base-2, base-3 ... that isn't taken. tried: by base, the numbers below which none is free; so a batch tries each once."""
+    n = tried.get(base, 1)
+    slug = lambda: base if n == 1 else f"{base}-{n}"
+    while taken(slug()):
+        n += 1
+    tried[base] = n
+    return slug()
 
 
 def required(path: str) -> set[str]:
@@ -83,11 +86,14 @@ class BookWriter(DataSourceWriter):
     def write(self, iterator: Iterator) -> Written:
         """A task that runs again writes the same files."""
         system, _, staging = self._places()
-        done = Written()
+        done, there = Written(), set()
         for book, slug, path, data in iterator:
             path = member_path(path or "")
             file = f"{staging}/{self._folder(book)}/{path}"
-            system.create_dir(file.rsplit("/", 1)[0], recursive=True)
+            folder = file.rsplit("/", 1)[0]
+            if folder not in there:
+                system.create_dir(folder, recursive=True)
+                there.add(folder)
             with system.open_output_stream(file) as out:
                 out.write(bytes(data or b""))
             old = done.books.get(book, ("", set()))
@@ -102,6 +108,7 @@ class BookWriter(DataSourceWriter):
                 old = books.get(book, ("", set()))
                 books[book] = (old[0] or slug, old[1] | has)
         moved: list[str] = []
+        tried: dict[str, int] = {}
         try:
             for book, (asked, has) in sorted(books.items()):
                 lacks = sorted({*REQUIRED, *REQUIRED_KINDS} - has)
@@ -115,7 +122,7 @@ class BookWriter(DataSourceWriter):
                 if not own:
                     raise ValueError(f"book {book!r} has an empty manifest")
                 title = str(own.get("title") or package.get("title") or "Imported Book")
-                slug = free_slug(folder_slug(asked or str(own.get("slug") or package.get("source_slug") or title)), lambda s: system.get_file_info(f"{root}/{s}").type != fs.FileType.NotFound)
+                slug = free_slug(folder_slug(asked or str(own.get("slug") or package.get("source_slug") or title)), lambda s: system.get_file_info(f"{root}/{s}").type != fs.FileType.NotFound, tried)
                 with system.open_output_stream(f"{folder}/{MANIFEST}") as out:
                     out.write(json_bytes(portable(own, slug, title, str(own.get("author") or package.get("author") or ""))))
                 if package:
@@ -158,6 +165,33 @@ class BookSource(DataSource):
         return BookWriter(self.options["path"], overwrite)
 
 
+def library_books(spark: SparkSession, root: str, tasks: int | None = None) -> DataFrame:
+    """slug, manifest (JSON text), n_chapters, n_bytes of the chapters of each book of a library. One listing names the books; their folders are listed and read by
+    the tasks that they are dealt to, so the driver holds no file."""
+
+    def names(batches):
+        for _ in batches:
+            system, path = store(root)
+            found = [f.base_name for f in system.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.type == fs.FileType.Directory and not f.base_name.startswith("_")]
+            for lo in range(0, len(found), 10_000):
+                yield pa.record_batch([pa.array(found[lo : lo + 10_000], pa.string())], names=["slug"])
+
+    def read(batches):
+        system, path = store(root)
+        for b in batches:
+            rows = []
+            for slug in b.column(0).to_pylist():
+                with system.open_input_stream(f"{path}/{slug}/{MANIFEST}") as f:
+                    manifest = f.read().decode()
+                sizes = [f.size for f in system.get_file_info(fs.FileSelector(f"{path}/{slug}/chapters", allow_not_found=True, recursive=True)) if f.type == fs.FileType.File]
+                rows.append((slug, manifest, len(sizes), sum(sizes)))
+            columns = list(zip(*rows)) if rows else [()] * 4
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["slug", "manifest", "n_chapters", "n_bytes"])
+
+    dealt = spark.range(1, numPartitions=1).mapInArrow(names, "slug string").repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInArrow(read, "slug string, manifest string, n_chapters long, n_bytes long")
+
+
 def import_books(members: DataFrame, root: str, book: str = "book", slug: str | None = None, path: str = "path", data: str = "data") -> None:
     """Adds the books of a table of package members (as files.zip_members or library.unpacked give them) to a library folder.
 

@@ -102,3 +102,16 @@ def test_upserts_at_the_same_time_lose_nothing(spark, tmp_path):
     [x.join() for x in run]
     rows = {r["k"]: r["v"] for r in t.read().collect()}
     assert {k: v for k, v in rows.items() if k < 100} == {0: 0, 1: 1, 2: 2} and t.version()[0] == 3
+
+
+def test_a_batch_tries_each_slug_once(spark, tmp_path):
+    tried, asked = {}, []
+    free = {"a", *(f"a-{n}" for n in range(2, 300))}
+    for _ in range(200):
+        slug = books.free_slug("a", lambda s: asked.append(s) or s not in free, tried)
+        free.remove(slug)
+    assert slug == "a-200" and len(asked) < 500
+    root = str(tmp_path / "library")
+    books.import_books(members(spark, ("a", "One"), ("b", "One"), ("c", "Two"), extra=[("c", "chapters/more/2.txt", b"12")]), root)
+    assert sorted((r.slug, json.loads(r.manifest)["title"], r.n_chapters, r.n_bytes) for r in books.library_books(spark, root).collect()) == [("one", "One", 1, 16), ("one-2", "One", 1, 16), ("two", "Two", 2, 18)]
+    assert books.library_books(spark, str(tmp_path / "none")).count() == 0
