@@ -43,6 +43,11 @@ def _array(c: str) -> Column:
     return F.coalesce(F.col(c), F.array().cast("array<string>"))
 
 
+def _met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of two tables that grow with the batch, by sorting: stored tables are compressed, so their sizes on disk, which the planner would go by, let it send whole ones to the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _keys(*names: Column, more: Column | None = None) -> Column:
     """The distinct normalised names, without blanks and nulls."""
     every = F.array(*names) if more is None else F.concat(F.array(*names), more)
@@ -77,10 +82,10 @@ def components(pairs: DataFrame, row: str, name: str) -> DataFrame:
     pairs = pairs.select(F.col(row).alias("r"), F.col(name).alias("n")).distinct().checkpoint()
     labels = pairs.select("r").distinct().withColumn("c", F.col("r"))
     while True:
-        least = pairs.join(labels, "r").groupBy("n").agg(F.min("c").alias("m"))
-        seen = pairs.join(least, "n").groupBy("r").agg(F.min("m").alias("m"))
+        least = _met(pairs, labels, "r").groupBy("n").agg(F.min("c").alias("m"))
+        seen = _met(pairs, least, "n").groupBy("r").agg(F.min("m").alias("m"))
         over = labels.select(F.col("r").alias("m"), F.col("c").alias("cc"))
-        new = labels.join(seen, "r").join(over, "m", "left").select("r", F.least("c", "m", F.coalesce("cc", "m")).alias("new"), "c").checkpoint()
+        new = _met(_met(labels, seen, "r"), over, "m", "left").select("r", F.least("c", "m", F.coalesce("cc", "m")).alias("new"), "c").checkpoint()
         if new.filter("new <> c").isEmpty():
             return new.select(F.col("r").alias(row), F.col("new").alias("component"))
         labels = new.select("r", F.col("new").alias("c"))
@@ -136,9 +141,9 @@ def matched(registry: DataFrame, incoming: DataFrame) -> DataFrame:
     scratch(rows.sparkSession)
     rows = rows.withColumns({"__has": has, "__asked": F.when(F.col("__asks"), asks), "__left": F.when(F.col("__asks"), _keys(F.col("display_name"), more=_array("aliases")))}).checkpoint()
     found = components(rows.select("at", F.explode("__has").alias("name")), "at", "name")
-    narrow = rows.select("at", "__stage", "__has", "__asked", "__left").join(found, "at", "left").withColumn("component", F.coalesce("component", "at"))
+    narrow = _met(rows.select("at", "__stage", "__has", "__asked", "__left"), found, "at", "left").withColumn("component", F.coalesce("component", "at"))
     told = ordered_fold(narrow, "component", ["at"], _matcher, ["at", "__stage", "__has", "__asked", "__left"], {"record": LONG}).select("at", "record")
-    return rows.join(told, "at").select("at", "record", *names, *common)
+    return _met(rows, told, "at").select("at", "record", *names, *common)
 
 
 def _gathered(rows: DataFrame, values: Column, name: str) -> DataFrame:
@@ -160,11 +165,11 @@ def merged(registry: DataFrame, incoming: DataFrame) -> DataFrame:
     known = lambda c: F.when(~F.coalesce(F.col(c), F.lit("")).isin("", UNKNOWN), F.col(c))
     filled = rows.groupBy("record").agg(F.count("*").alias("n_rows"), *[F.min_by(known(c), F.when(known(c).isNotNull(), F.col("at"))).alias(f"__{c}") for c in ("age_stage", *IDENTITY)])
     shown = own.select("record", name_key(F.coalesce("display_name", F.lit(""))).alias("__shown"))
-    named = rows.join(shown, "record")
+    named = _met(rows, shown, "record")
     its = F.when((F.col("at") != F.col("record")) & (name_key(F.coalesce("display_name", F.lit(""))) != F.col("__shown")), F.array("display_name")).otherwise(F.array().cast("array<string>"))
-    out = own.drop("personality", "aliases", "at").join(filled, "record")
+    out = _met(own.drop("personality", "aliases", "at"), filled, "record")
     for name, values, source in (("personality", _array("personality"), rows), ("aliases", F.concat(_array("aliases"), its), named)):
-        out = out.join(_gathered(source, values, name), "record", "left").withColumn(name, _array(name))
+        out = _met(out, _gathered(source, values, name), "record", "left").withColumn(name, _array(name))
     values = [F.coalesce(f"__{c}", c).alias(c) for c in ("age_stage", *IDENTITY)]
     return out.select(F.col("record").alias("ord"), "role_id", "profile_id", "person_id", "display_name", *values, "personality", "aliases", "n_rows")
 
@@ -184,17 +189,17 @@ def inserted(registry: DataFrame, incoming: DataFrame) -> DataFrame:
     holder = lambda at, role: F.min(F.struct(at.cast("long").alias("at"), role.alias("role_id")))
     taken = stored.groupBy("key").agg(holder(F.col("ord"), F.col("role_id")).alias("held"))
     needs, claims = (rows.select("at", "role_id", F.explode(c).alias("key")).checkpoint() for c in ("needs", "claims"))
-    met = needs.join(taken, "key").groupBy("at").agg(F.min("held")["role_id"].alias("taken_by"))
-    state = rows.select("at").join(met, "at", "left").select("at", F.when(F.col("taken_by").isNotNull(), False).alias("accepted"), "taken_by").checkpoint()
+    met = _met(needs, taken, "key").groupBy("at").agg(F.min("held")["role_id"].alias("taken_by"))
+    state = _met(rows.select("at"), met, "at", "left").select("at", F.when(F.col("taken_by").isNotNull(), False).alias("accepted"), "taken_by").checkpoint()
     while not state.filter("accepted is null").isEmpty():
-        live = claims.join(state.filter("accepted is null or accepted").select("at", "accepted"), "at")
+        live = _met(claims, state.filter("accepted is null or accepted").select("at", "accepted"), "at")
         sure = F.when(F.col("accepted"), F.struct("at", "role_id"))
         least = live.groupBy("key").agg(F.min(sure).alias("sure"), F.min(F.when(F.col("accepted").isNull(), F.col("at"))).alias("open"))
-        asked = needs.join(state.filter("accepted is null").select("at"), "at").join(least, "key", "left")
+        asked = _met(_met(needs, state.filter("accepted is null").select("at"), "at"), least, "key", "left")
         told = asked.groupBy("at").agg(F.min(F.when(F.col("sure.at") < F.col("at"), F.col("sure"))).alias("__by"), F.max(F.coalesce(F.col("open") < F.col("at"), F.lit(False))).alias("__waits"))
         decided = F.when(F.col("accepted").isNotNull(), F.col("accepted")).when(F.col("__by").isNotNull(), False).when(~F.coalesce("__waits", F.lit(False)), True)
-        state = state.join(told, "at", "left").select("at", decided.alias("accepted"), "taken_by").checkpoint()
+        state = _met(state, told, "at", "left").select("at", decided.alias("accepted"), "taken_by").checkpoint()
     # only now is the first of the accepted rows known that holds a name
-    first = claims.join(state.filter("accepted").select("at"), "at").groupBy("key").agg(F.min(F.struct("at", "role_id")).alias("held"))
-    lost = needs.join(state.filter("not accepted and taken_by is null").select("at"), "at").join(first, "key").filter("held.at < at").groupBy("at").agg(F.min("held")["role_id"].alias("__by"))
-    return rows.select("at", "role_id").join(state, "at").join(lost, "at", "left").select(F.col("at").alias("ord"), "role_id", "accepted", F.coalesce("taken_by", "__by").alias("taken_by"))
+    first = _met(claims, state.filter("accepted").select("at"), "at").groupBy("key").agg(F.min(F.struct("at", "role_id")).alias("held"))
+    lost = _met(_met(needs, state.filter("not accepted and taken_by is null").select("at"), "at"), first, "key").filter("held.at < at").groupBy("at").agg(F.min("held")["role_id"].alias("__by"))
+    return _met(_met(rows.select("at", "role_id"), state, "at"), lost, "at", "left").select(F.col("at").alias("ord"), "role_id", "accepted", F.coalesce("taken_by", "__by").alias("taken_by"))
