@@ -12,8 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow import slices
 from .registry import stale
 
+#: Bytes of text whose sound is held at a time: samples are many times as large.
+HEARD = 1 << 14
+
 
 class Adapter(Protocol):
     """What a speech generator must do. It is sent to the executors, so it must be picklable, and loads its model when first used."""
@@ -68,11 +72,11 @@ class Worker:
 
 
 def generated(df: DataFrame, text: str, voice: str, adapter: Adapter, keep_samples: bool = False) -> DataFrame:
-    """df with n_samples, sample_rate and, if asked for, the samples of each row, generated batch by batch."""
+    """df with n_samples, sample_rate and, if asked for, the samples of each row, generated for so much text at a time as its sound can be held for."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
+        for b in slices(batches, text, HEARD):
             names = b.schema.names
             made = adapter.generate([t or "" for t in b.column(names.index(text)).to_pylist()], b.column(names.index(voice)).to_pylist())
             more = [pa.array([len(x) for x in made], pa.int64()), pa.array([adapter.rate] * len(made), pa.int64())]
