@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrow import slices
 from ..functions.text import HEADING, QUOTE, SPACES, sentences, title
 from .sequence import BLOCK, before, blocks_of, over_blocks, running_sum
 
@@ -39,7 +40,7 @@ def _spans(df: DataFrame, key: str, text: str) -> DataFrame:
         import regex
 
         quotes = regex.compile(pattern)
-        for b in batches:
+        for b in slices(batches, 1):
             rows: list[tuple] = []
             for i, t in enumerate(b.column(1).to_pylist()):
                 n, cursor = [0, 0, 0], 0
