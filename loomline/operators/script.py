@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrow import slices
 from ..functions.text import SENTENCE_BREAK, sentences
 from .sequence import ordered_fold, speech_windows
 
@@ -72,8 +73,8 @@ def narration_sentences(df: DataFrame, key: list[str], text: str, start: str) ->
     rows = df.select(*key, F.col(text).alias("__t"), F.col(start).cast("long").alias("__s"), F.filter(sentences(whole), lambda x: F.btrim(x) != "").alias("__p"))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            n = len(key)
+        n = len(key)
+        for b in slices(batches, n):
             row, part, said, begin = [], [], [], []
             for r, (t, s, parts) in enumerate(zip(*(b.column(n + i).to_pylist() for i in range(3)))):
                 cursor = len(t or "") - len((t or "").lstrip())
@@ -178,7 +179,7 @@ def tokenised(df: DataFrame, key: str, text: str, tokenizer: Callable[[str], lis
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
+        for b in slices(batches, 1):
             rows = [(i, k, s.strip()) for i, t in enumerate(b.column(1).to_pylist()) for k, s in enumerate(tokenizer(t or "")) if s.strip()]
             at = pa.array([r[0] for r in rows], pa.int64())
             yield pa.record_batch([b.column(0).take(at), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=[key, "idx", "sentence"])
