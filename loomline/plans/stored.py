@@ -142,8 +142,9 @@ def limit_calls(spark, sf_dir):
     number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long") - 1
     calls = events(spark, sf_dir).select("user_id", number.alias("call"), (1 + F.pmod("event_id", F.lit(9))).alias("blocks"), (F.col("value") * 1000).cast("long").alias("peak"))
     path = place(spark, "calls")
-    calls.repartition(3, F.xxhash64("user_id", "call")).write.parquet(path)
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    calls.repartition(3 * spark.sparkContext.defaultParallelism, F.xxhash64("user_id", "call")).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    stream = spark.readStream.schema(dealt.schema).option("maxFilesPerTrigger", -(-len(dealt.inputFiles()) // 3)).parquet(path)  # three batches
     return drain(limit_stream(stream, "user_id", "call", "blocks", "peak", 120_000, 4))
 
 
