@@ -56,3 +56,31 @@ def test_sound_is_made_for_a_little_text_at_a_time(spark):
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     rows = spark.range(300).select("id", F.repeat(F.lit("x"), F.lit(1000)).alias("t"), F.lit("v").alias("v")).coalesce(1)
     assert generation.generated(rows, "t", "v", Adapter()).agg(F.sum("n_samples")).first()[0] == 300_000
+
+
+def parts(spark):
+    """Roles, of which very many share a name, as parts of tables and candidates; the planner takes both for small."""
+    own = F.concat(F.lit("r"), F.col("id").cast("string"))
+    said = spark.range(400).select("id", F.array(F.when(F.col("id") % 2 == 0, "Ann"), own).alias("names"))
+    bridge = spark.range(300).select(F.explode(F.array(own, F.when(F.col("id") % 3 == 0, "ann"))).alias("alias"), own.alias("role_id")).filter("alias is not null")
+    ann = {f"r{i}" for i in range(0, 300, 3)}
+    return said, bridge, {i: sorted((ann if i % 2 == 0 else set()) | ({f"r{i}"} if i < 300 else set())) for i in range(400)}
+
+
+def test_lists_of_roles_are_not_sent_to_the_driver(spark):
+    said, bridge, want = parts(spark)
+    got = lookup.match_candidates(said, bridge, "id", "names")
+    assert "BroadcastExchange" not in plan(got)
+    assert {r.id: (r.roles, r.n_roles, r.role_id) for r in got.collect()} == {k: (",".join(v), len(v), v[0] if len(v) == 1 else None) for k, v in want.items()}
+
+
+def test_rows_without_a_list_are_dealt_out(spark):
+    """Rows that share no list don't meet in one task."""
+    said = spark.range(4000).select("id", F.array(F.concat(F.lit("r"), F.col("id").cast("string"))).alias("names"))
+    bridge = spark.range(4000).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("alias"), F.col("id").cast("string").alias("role_id"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = lookup.match_candidates(said, bridge, "id", "names").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["count"] for r in got) == 4000 and max(r["count"] for r in got) < 2000
