@@ -84,3 +84,10 @@ def test_rows_without_a_list_are_dealt_out(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sum(r["count"] for r in got) == 4000 and max(r["count"] for r in got) < 2000
+
+
+def test_names_that_are_taken_are_not_sent_to_the_driver(spark):
+    said, bridge, want = parts(spark)
+    got = annotation.collisions(said.withColumn("n", F.col("id") + 1), bridge, "names")
+    assert "BroadcastExchange" not in plan(got)
+    assert {(r.id, r.n): r.taken_by for r in got.collect()} == {(k, k + 1): ",".join(v) for k, v in want.items() if v}
