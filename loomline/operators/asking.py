@@ -96,18 +96,19 @@ def answered(df: DataFrame, key: str, prompt: str, client: Client, check: Check,
     spark = df.sparkSession
     scratch(spark)
     whole = lambda rows, *more: (made(rows) if made else rows).select(*more, F.coalesce(prompt, F.lit("")).alias("__prompt"))
+    # rows, questions and answers meet by sorting: the planner goes by compressed sizes, and would send them to the driver
     full = whole(df, key).withColumn("__digest", F.sha2("__prompt", 256))
     asked = full.select(key, "__digest").checkpoint()
     kept = kept_answers(spark, answers).withColumnRenamed("digest", "__digest")
-    met = kept.join(asked.select("__digest").distinct(), "__digest", "left_semi").select("__digest", "answer", F.lit("").alias("errors"), "tries").checkpoint()
+    met = kept.join(asked.select("__digest").distinct().hint("merge"), "__digest", "left_semi").select("__digest", "answer", F.lit("").alias("errors"), "tries").checkpoint()
     some = not met.isEmpty()
     if made is None:
-        open_ = full.join(met.select("__digest"), "__digest", "left_anti") if some else full
+        open_ = full.join(met.select("__digest").hint("merge"), "__digest", "left_anti") if some else full
         questions = open_.groupBy("__digest").agg(F.first("__prompt").alias("__prompt"))
     else:
         one = asked.groupBy("__digest").agg(F.min(key).alias(key))
-        one = one.join(met.select("__digest"), "__digest", "left_anti") if some else one
-        questions = whole(df.join(one, key), "__digest")
+        one = one.join(met.select("__digest").hint("merge"), "__digest", "left_anti") if some else one
+        questions = whole(df.join(one.hint("merge"), key), "__digest")
     run_path = f"{answers.rstrip('/')}/{uuid.uuid4().hex}"
 
     def run(batches):
@@ -133,7 +134,7 @@ def answered(df: DataFrame, key: str, prompt: str, client: Client, check: Check,
     system, path = store(run_path)
     system.delete_dir_contents(f"{path}/log", missing_dir_ok=True)
     told = spark.read.schema(TOLD).parquet(f"{run_path}/told").withColumnRenamed("digest", "__digest")
-    return asked.join(told.unionByName(met) if some else told, "__digest").select(key, "answer", "errors", "tries")
+    return asked.join((told.unionByName(met) if some else told).hint("merge"), "__digest").select(key, "answer", "errors", "tries")
 
 
 def kept_answers(spark, answers: str) -> DataFrame:
@@ -164,14 +165,14 @@ def consolidated(candidates: DataFrame, bridge: DataFrame, key: str, aliases: st
     named, lists = named.checkpoint(), lists.checkpoint()
     several = F.col("__many").isNotNull() | (F.size("__few") > 1)
     own = candidates.select(key, F.array_sort(F.array_distinct(F.array_compact(aliases))).alias("names"))
-    prompt = F.to_json(F.struct("names", F.split("__roles", ",").alias("roles")))
-    made = lambda rows: listed(rows, lists, key).withColumn("prompt", prompt)
-    told = answered(named.filter(several).join(own, key), key, "prompt", client, lambda a: [] if isinstance(a.get("role_id"), str) else ["no role_id"], answers, made=made, **how)
+    prompt = F.concat(F.lit('{"names":'), F.to_json("names"), F.lit(',"roles":'), F.col("__roles"), F.lit("}"))
+    made = lambda rows: listed(rows, lists, key, F.to_json).withColumn("prompt", prompt)
+    told = answered(named.filter(several).join(own.hint("merge"), key), key, "prompt", client, lambda a: [] if isinstance(a.get("role_id"), str) else ["no role_id"], answers, made=made, **how)
     chosen = told.select(key, F.get_json_object("answer", "$.role_id").alias("__chosen")).filter("__chosen is not null")
     # the answer is one of the roles that the aliases name
-    said = candidates.select(key, F.explode(F.array_distinct(F.transform(aliases, name_key))).alias("alias")).join(chosen, key)
-    right = said.join(bridge.withColumnRenamed("role_id", "__chosen"), ["alias", "__chosen"], "left_semi").select(key, "__chosen").distinct()
-    out = named.select(key, F.when(~several, F.try_element_at("__few", F.lit(1))).alias("__one")).join(right, key, "left")
+    said = candidates.select(key, F.explode(F.array_distinct(F.transform(aliases, name_key))).alias("alias")).join(chosen.hint("merge"), key)
+    right = said.join(bridge.withColumnRenamed("role_id", "__chosen").hint("merge"), ["alias", "__chosen"], "left_semi").select(key, "__chosen").distinct()
+    out = named.select(key, F.when(~several, F.try_element_at("__few", F.lit(1))).alias("__one")).join(right.hint("merge"), key, "left")
     return out.select(key, F.coalesce("__one", "__chosen").alias("role_id"), F.when(F.col("__one").isNotNull(), "match").when(F.col("__chosen").isNotNull(), "asked").otherwise("none").alias("how"))
 
 

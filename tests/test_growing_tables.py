@@ -1,12 +1,18 @@
 """Tables that grow with the input: none is sent to the driver, none is held whole by a reading task, no batch of texts is held as objects."""
 
+import json
+import sys
+
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from loomline.functions.arrow import slices
-from loomline.operators import annotation, generation, lookup, merging
+from loomline.operators import annotation, asking, generation, lookup, merging
 from loomline.plans import merges
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers don't import tests
+
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -91,3 +97,21 @@ def test_names_that_are_taken_are_not_sent_to_the_driver(spark):
     got = annotation.collisions(said.withColumn("n", F.col("id") + 1), bridge, "names")
     assert "BroadcastExchange" not in plan(got)
     assert {(r.id, r.n): r.taken_by for r in got.collect()} == {(k, k + 1): ",".join(v) for k, v in want.items() if v}
+
+
+def test_no_question_or_answer_is_sent_to_the_driver(spark, tmp_path):
+    said, bridge, want = parts(spark)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+
+    def client(prompt):
+        asked = json.loads(prompt)
+        assert prompt == json.dumps(asked, separators=(",", ":")) and list(asked) == ["names", "roles"] and asked["roles"] == sorted(asked["roles"])
+        return json.dumps({"role_id": asked["roles"][-1]})
+
+    for _ in range(2):  # the second call finds answers
+        got = asking.consolidated(said, bridge, "id", "names", client, str(tmp_path))
+        assert {r.id: (r.role_id, r.how) for r in got.collect()} == {k: (v[-1], "asked" if len(v) > 1 else "match") if v else (None, "none") for k, v in want.items()}
+    ran = store.executionsList()
+    plans = [ran.apply(i).physicalPlanDescription() for i in range(ran.size()) if ran.apply(i).executionId() >= before]
+    assert len(plans) > 8 and not any("BroadcastExchange" in p for p in plans)
