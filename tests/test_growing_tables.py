@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions.arrow import slices
 from loomline.operators import annotation, asking, generation, lookup, merging
-from loomline.plans import merges
+from loomline.plans import annotations, merges
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers don't import tests
 
@@ -115,3 +115,20 @@ def test_no_question_or_answer_is_sent_to_the_driver(spark, tmp_path):
     ran = store.executionsList()
     plans = [ran.apply(i).physicalPlanDescription() for i in range(ran.size()) if ran.apply(i).executionId() >= before]
     assert len(plans) > 8 and not any("BroadcastExchange" in p for p in plans)
+
+
+def test_repair_hints_name_all_candidates(spark):
+    rows = spark.createDataFrame([("c", 1, "Jo Far"), ("c", 2, "Jo Near"), ("d", 3, "Jo Far"), ("d", 4, "Al_x"), ("d", 5, "Bo x"), ("d", 6, None)], "chapter string, idx int, role string")
+    bridge = spark.createDataFrame([("jo", f"r{i:03d}") for i in (*range(99, -1, -1), 3)] + [("al", f"a{i}") for i in range(9)] + [("xx", "x")], "alias string, role_id string")
+    got = annotation.repair_hints(rows, rows.limit(0).select("chapter", "role"), bridge, most=None)
+    jo, al = ",".join(f"r{i:03d}" for i in range(100)), ",".join(f"a{i}" for i in range(9))
+    want = [("c", "Jo Far", "1", jo), ("c", "Jo Near", "2", jo), ("d", "Jo Far", "3", jo), ("d", "Al_x", "4", al), ("d", "Bo x", "5", None), ("d", None, "6", None)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and "BroadcastExchange" not in plan(got)
+
+
+def test_the_query_of_repair_hints_has_no_cap(spark, tmp_path):
+    """A part's name as a lost role's first word: all roles of that name are its candidates."""
+    spark.range(30).selectExpr("id + 100 as p_partkey", "'ghost' as p_name", "'Brand#1' as p_brand", "'x' as p_type", "1 as p_size", "1.0D as p_retailprice").write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(3).selectExpr("1L as conv_id", "id as turn", "'user' as role", "'t' as text").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.role: r.candidates for r in annotations.repair_hints(spark, str(tmp_path)).collect()}
+    assert {k: len(v.split(",")) for k, v in got.items()} == {"ghost 0": 30 - 4, "ghost 1": 30 - 4}  # the name of every seventh begins with a title
