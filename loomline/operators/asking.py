@@ -8,6 +8,7 @@ stage or a later run asks only what is still open, and answers take a few files
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Callable
@@ -17,9 +18,11 @@ from threading import Lock
 
 import pyarrow as pa
 from pyarrow import fs
+from pyarrow import parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import name_key
 from ..session import scratch
@@ -35,8 +38,9 @@ Check = Callable[[dict], list[str]]
 
 def ask(client: Client, check: Check, prompt: str, retries: int) -> dict:
     """answer (JSON text or None), errors and tries of one question, put again with the errors that its answers had."""
-    asked, errors, answer, n = prompt, ["not asked"], None, 0
+    errors, answer, n = ["not asked"], None, 0
     while errors and n <= retries:
+        asked = f"{prompt}\n\nThe last answer was wrong: {'; '.join(errors)}" if n else prompt
         n += 1
         try:
             answer = json.loads(client(asked))
@@ -45,10 +49,11 @@ def ask(client: Client, check: Check, prompt: str, retries: int) -> dict:
             errors = [f"not JSON: {e}"]
         except Exception as e:  # a failing service is a question's error, not the stage's  # noqa: BLE001
             errors = [f"{type(e).__name__}: {e}"]
-        asked = f"{prompt}\n\nThe last answer was wrong: {'; '.join(errors)}"
     return {"answer": None if errors else json.dumps(answer, sort_keys=True), "errors": "; ".join(errors), "tries": n}
 
 
+#: Characters of a text that all prompts begin with that a task holds at a time.
+HELD = 1 << 26
 TOLD = "digest string, answer string, errors string, tries long"
 
 
@@ -84,12 +89,38 @@ class Log:
             self.out.close()
 
 
-def answered(df: DataFrame, key: str, prompt: str, client: Client, check: Check, answers: str, at_once: int = 8, retries: int = 2, made: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def head_text(path: str) -> str:
+    """The text of one row that was stored in a folder."""
+    system, inside = store(path)
+    return pq.read_table(inside, filesystem=system).column(0)[0].as_py()
+
+
+def digested(rows: DataFrame, head: str) -> DataFrame:
+    """rows (key, __prompt) with __digest, the hash of the prompt after the text stored in head, which is hashed once for each task."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("__digest", T.StringType())])
+
+    def run(batches):
+        begin = hashlib.sha256(head_text(head).encode())
+        for b in batches:
+            out = []
+            for text in b.column(1):
+                h = begin.copy()
+                h.update(text.as_py().encode())
+                out.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "__digest"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def answered(df: DataFrame, key: str, prompt: str, client: Client, check: Check, answers: str, at_once: int = 8, retries: int = 2, made: Callable[[DataFrame], DataFrame] | None = None, head: DataFrame | None = None) -> DataFrame:
     """key, answer (JSON text or null), errors, tries of every row; asked now. Equal prompts are one question; a null prompt is an empty one.
 
     made: adds the prompt to rows of df, where prompts are long but what they are made of is short: they are made once to be told apart, and
     again where they are asked, and never move. Keys must then be distinct and not null.
 
+    head: one row of one text that every prompt begins with, and that the column prompt leaves out. It is stored once for a call, each task reads it
+    once, and it is put before a prompt only where that is asked; fewer questions are open at a time where it is long. Digests are those of whole prompts.
+
     answers: a folder that all executors share. at_once: how many questions a task has open at a time. Right answers are kept for good; a question whose
     answers were all wrong is open again the next time. client and check are sent to the executors, so they must be picklable.
     """
@@ -97,7 +128,11 @@ def answered(df: DataFrame, key: str, prompt: str, client: Client, check: Check,
     scratch(spark)
     whole = lambda rows, *more: (made(rows) if made else rows).select(*more, F.coalesce(prompt, F.lit("")).alias("__prompt"))
     # rows, questions and answers meet by sorting: the planner goes by compressed sizes, and would send them to the driver
-    full = whole(df, key).withColumn("__digest", F.sha2("__prompt", 256))
+    run_path = f"{answers.rstrip('/')}/{uuid.uuid4().hex}"
+    if head is not None:
+        head.coalesce(1).write.parquet(f"{run_path}/head")
+    full = whole(df, key)
+    full = full.withColumn("__digest", F.sha2("__prompt", 256)) if head is None else digested(full, f"{run_path}/head")
     asked = full.select(key, "__digest").checkpoint()
     kept = kept_answers(spark, answers).withColumnRenamed("digest", "__digest")
     met = kept.join(asked.select("__digest").distinct().hint("merge"), "__digest", "left_semi").select("__digest", "answer", F.lit("").alias("errors"), "tries").checkpoint()
@@ -109,20 +144,23 @@ def answered(df: DataFrame, key: str, prompt: str, client: Client, check: Check,
         one = asked.groupBy("__digest").agg(F.min(key).alias(key))
         one = one.join(met.select("__digest").hint("merge"), "__digest", "left_anti") if some else one
         questions = whole(df.join(one.hint("merge"), key), "__digest")
-    run_path = f"{answers.rstrip('/')}/{uuid.uuid4().hex}"
+
+    headed = head is not None
 
     def run(batches):
         task = TaskContext.get()
+        begin = head_text(f"{run_path}/head") if headed else ""
+        open_at_once = max(1, min(at_once, HELD // max(1, len(begin))))
         log = Log(f"{run_path}/log", task.partitionId(), task.attemptNumber())
 
         def one(digest: str, text: str) -> dict:
             found = log.known.get(digest)
             if found is None:
-                found = {"digest": digest} | ask(client, check, text, retries)
+                found = {"digest": digest} | ask(client, check, begin + text, retries)
                 log.put(found)
             return found
 
-        with ThreadPoolExecutor(at_once) as pool:
+        with ThreadPoolExecutor(open_at_once) as pool:
             for b in batches:
                 for lo in range(0, b.num_rows, 2 * at_once):
                     part = b.slice(lo, 2 * at_once)
@@ -132,7 +170,8 @@ def answered(df: DataFrame, key: str, prompt: str, client: Client, check: Check,
 
     questions.mapInArrow(run, TOLD).write.parquet(f"{run_path}/told")
     system, path = store(run_path)
-    system.delete_dir_contents(f"{path}/log", missing_dir_ok=True)
+    for done in ("log", "head"):
+        system.delete_dir_contents(f"{path}/{done}", missing_dir_ok=True)
     told = spark.read.schema(TOLD).parquet(f"{run_path}/told").withColumnRenamed("digest", "__digest")
     return asked.join((told.unionByName(met) if some else told).hint("merge"), "__digest").select(key, "answer", "errors", "tries")
 
@@ -210,7 +249,12 @@ def discovered(chapters: DataFrame, registry: DataFrame, client: Client, answers
     chunked = capacity_windows(one, "__book", ["__order"], "__n", most, alone=True, block=block)
     part = F.concat(F.lit("## "), F.coalesce("title", F.lit("")), F.lit("\n"), F.col("text"))
     texts = chunked.groupBy("window_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__order", part.alias("t")))), lambda x: x["t"]), "\n\n").alias("chunk"))
-    made = render or (lambda known_, chunk: F.concat(F.lit("Known characters: "), known_, F.lit("\n\n"), chunk))
-    prompt = made(F.coalesce("known", F.lit("[]")), F.col("chunk"))
-    told = answered(texts.checkpoint(), "window_id", "prompt", client, lambda a: [] if isinstance(a.get("characters"), list) else ["characters is no list"], answers, made=lambda rows: rows.join(F.broadcast(summary)).withColumn("prompt", prompt), **how)
+    right = lambda a: [] if isinstance(a.get("characters"), list) else ["characters is no list"]
+    known_ = F.coalesce("known", F.lit("[]"))
+    if render is None:
+        begin = summary.select(F.concat(F.lit("Known characters: "), known_, F.lit("\n\n")).alias("head"))
+        told = answered(texts.checkpoint(), "window_id", "chunk", client, right, answers, head=begin, **how)
+    else:
+        made = lambda rows: rows.join(F.broadcast(summary)).withColumn("prompt", render(known_, F.col("chunk")))
+        told = answered(texts.checkpoint(), "window_id", "prompt", client, right, answers, made=made, **how)
     return merged(registry, character_rows(told, "window_id"))

@@ -100,7 +100,7 @@ def discovered_characters(spark, sf_dir):
     known = known.select("ord", "role_id", F.col("role_id").alias("profile_id"), F.col("role_id").alias("person_id"), F.col("role_id").alias("display_name"), F.lit("unknown").alias("age_stage"), F.lit("unknown").alias("gender"), *[none().alias(x) for x in ("race_or_ethnicity", "accent", "occupation")], *[none("array<string>").alias(x) for x in ("personality", "aliases")])
 
     def client(prompt: str) -> str:
-        found = sorted({line[3:] for line in prompt.split("\n") if line.startswith("## ")})
+        found = sorted({line[3:] for line in prompt[max(prompt.find("\n## "), 0) :].split("\n") if line.startswith("## ")})
         return json.dumps({"characters": [{"name": f, "gender": "Female", "race_or_accent": "Japanese; Tokyo accent"} for f in found]})
 
     return K.discovered(c, known, client, place(spark, "answers"), most=50_000, block=10_000).select("role_id", "n_rows", "gender", "accent")

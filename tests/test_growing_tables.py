@@ -1,5 +1,6 @@
 """Tables that grow with the input: none is sent to the driver, none is held whole by a reading task, no batch of texts is held as objects."""
 
+import hashlib
 import json
 import sys
 
@@ -132,3 +133,28 @@ def test_the_query_of_repair_hints_has_no_cap(spark, tmp_path):
     spark.range(3).selectExpr("1L as conv_id", "id as turn", "'user' as role", "'t' as text").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {r.role: r.candidates for r in annotations.repair_hints(spark, str(tmp_path)).collect()}
     assert {k: len(v.split(",")) for k, v in got.items()} == {"ghost 0": 30 - 4, "ghost 1": 30 - 4}  # the name of every seventh begins with a title
+
+
+def test_a_known_registry_is_stored_once_and_hashed_once(spark, tmp_path):
+    """No rows are joined with the registry, prompts begin with it, and digests are those of whole prompts."""
+    kinds = "ord long, role_id string, profile_id string, person_id string, display_name string, age_stage string, gender string, race_or_ethnicity string, accent string, occupation string, personality array<string>, aliases array<string>"
+    registry = spark.createDataFrame([(i, f"r{i}", f"r{i}", f"r{i}", f"Röle {i}", "unknown", None, None, None, None, [], []) for i in range(200)], kinds)
+    chapters = spark.createDataFrame([(i, f"T{i % 4}", "ж" * 20) for i in range(12)] + [(12, None, None)], "order long, title string, text string")
+    (tmp_path / "calls").mkdir()
+
+    def client(prompt):
+        (tmp_path / "calls" / hashlib.sha256(prompt.encode()).hexdigest()).write_text(prompt)
+        return json.dumps({"characters": [{"name": "New"}]})
+
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    for _ in range(2):
+        got = asking.discovered(chapters, registry, client, str(tmp_path / "kept"), most=25).collect()
+        assert len(got) == 201 and sum(r.n_rows for r in got) == 212
+    asked = {p.name: p.read_text() for p in (tmp_path / "calls").iterdir()}
+    begin = "Known characters: " + json.dumps(json.loads(next(iter(asked.values())).split("\n")[0][18:]), separators=(",", ":"), ensure_ascii=False) + "\n\n"
+    assert begin.count("Röle") == 200 and {p.removeprefix(begin)[:5] for p in asked.values()} == {f"## T{i}" for i in range(4)}
+    assert {r.digest for r in asking.kept_answers(spark, str(tmp_path / "kept")).collect()} == set(asked)
+    ran = store.executionsList()
+    plans = [ran.apply(i).physicalPlanDescription() for i in range(ran.size()) if ran.apply(i).executionId() >= before]
+    assert len(plans) > 4 and not any("BroadcastNestedLoopJoin" in p or "CartesianProduct" in p for p in plans)
